@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loomframe.llm.decontamination import op6_decontamination
+from loomframe.llm.langid import op4_language_id
 from loomframe.llm.sharding import op9_sharding
 from loomframe.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op6_decontamination": op6_decontamination,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }

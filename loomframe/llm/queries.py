@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from loomframe.llm.decontamination import op6_decontamination
 from loomframe.llm.langid import op4_language_id
+from loomframe.llm.secret_scan import OP2_SQL, op2_secrets
 from loomframe.llm.sharding import op9_sharding
 from loomframe.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_secrets": OP2_SQL,
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomframe.llm.decontamination import op6_decontamination
 from loomframe.llm.langid import op4_language_id
+from loomframe.llm.mixing import op1_mixing
 from loomframe.llm.quality import op5_quality
 from loomframe.llm.secret_scan import OP2_SQL, op2_secrets
 from loomframe.llm.sharding import op9_sharding
@@ -11,6 +12,7 @@ from loomframe.llm.simhash import op8_simhash
 from loomframe.llm.token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,

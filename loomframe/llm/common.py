@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 HELD_OUT_REMAINDER = 2
 FOLDS = 4
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_lean(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, and drop the shuffle files of the write as soon as it has ended: for steps that shuffle much."""
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def text_keys(text_col: str) -> list[Column]:
+    """Two independent 64-bit hashes, h1 and h2, that stand for a text (null for a null text: its seed)."""
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def fold_of(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 4 (null for a null id)."""
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS

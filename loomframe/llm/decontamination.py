@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize, table, text_or_empty
+from loomframe.llm.common import materialize, table, text_keys, text_or_empty
 
 WINDOW_WORDS = 13
 MAX_BROADCAST_TERMS = 200_000
@@ -103,11 +103,6 @@ def postings(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
     return found if small is not None else found.join(needed.select("term"), "term", "left_semi")
 
 
-def text_keys(text_col: str) -> list:
-    text = F.col(text_col).cast("string")
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
-
-
 def phrase_matches(
     docs: DataFrame, phrases: DataFrame, text_col: str = "text", slop: int = 0
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from loomframe.llm.quality import op5_quality
 from loomframe.llm.secret_scan import OP2_SQL, op2_secrets
 from loomframe.llm.sharding import op9_sharding
 from loomframe.llm.simhash import op8_simhash
+from loomframe.llm.substrings import op10_suffix_dedup
 from loomframe.llm.token_counts import op3_token_counts
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {

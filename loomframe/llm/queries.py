@@ -11,6 +11,7 @@ from loomframe.llm.sharding import op9_sharding
 from loomframe.llm.simhash import op8_simhash
 from loomframe.llm.substrings import op10_suffix_dedup
 from loomframe.llm.token_counts import op3_token_counts
+from loomframe.llm.topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
@@ -26,4 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_secrets": OP2_SQL,
+    "op7_topk": OP7_SQL,
 }

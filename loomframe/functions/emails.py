@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomframe.functions.text import display_name, first_name, fold, last_name, ordered_distinct
+from loomframe.functions.text import display_name, first_name, fold, last_name, let, ordered_distinct
 
 # What an address looks like, plain or obfuscated, and local parts that name no person.
 _LOCAL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}"
@@ -43,9 +43,13 @@ def is_generic(email: Column) -> Column:
 
 def email_score(email: Column, name: Column, domain: str) -> Column:
     """3 for the surname in the local part, 2 for first initial and start of the surname, 1 for the home domain."""
+    names = F.struct(last_name(name).alias("last"), F.substring(fold(display_name(name)), 1, 1).alias("first"))
+    return let(names, lambda n: _score(email, n, domain))
+
+
+def _score(email: Column, n: Column, domain: str) -> Column:
     local = fold(F.substring_index(email, "@", 1))
-    last = last_name(name)
-    first = F.substring(fold(display_name(name)), 1, 1)
+    last, first = n["last"], n["first"]
     start = F.substring(F.substring_index(last, " ", -1), 1, 4)
     three = (last != "") & F.contains(local, F.replace(last, F.lit(" "), F.lit("")))
     two = (first != "") & (last != "") & F.startswith(local, first) & F.contains(local, start)
@@ -55,16 +59,26 @@ def email_score(email: Column, name: Column, domain: str) -> Column:
 
 def pick_email(emails: Column, name: Column, domain: str) -> Column:
     """The best-scoring address that is not generic, the first of equals; '' if there is none."""
+    names = F.struct(last_name(name).alias("last"), F.substring(fold(display_name(name)), 1, 1).alias("first"))
     own = F.filter(emails, lambda e: ~is_generic(e))
-    scored = F.transform(own, lambda e, i: F.struct(email_score(e, name, domain).alias("s"), (-i).alias("o"), e.alias("e")))
+    scored = let(names, lambda n: F.transform(own, lambda e, i: F.struct(_score(e, n, domain).alias("s"), (-i).alias("o"), e.alias("e"))))
     return F.coalesce(F.array_max(scored)["e"], F.lit(""))
 
 
 def email_matches(email: Column, name: Column) -> Column:
     """The local part holds the surname or first name, or is the initial and the start of the surname."""
-    letters = lambda c: F.regexp_replace(c, "[^a-z]", "")
-    local, last, first = letters(fold(F.substring_index(email, "@", 1))), letters(last_name(name)), letters(first_name(name))
-    by_last = (F.length(last) >= 3) & F.contains(local, last)
-    by_first = (F.length(first) >= 3) & F.contains(local, first)
-    by_start = (first != "") & (last != "") & F.startswith(local, F.concat(F.left(first, F.lit(1)), F.left(last, F.lit(3))))
-    return (local != "") & (by_last | by_first | by_start)
+    def letters(c: Column) -> Column:
+        return F.regexp_replace(c, "[^a-z]", "")
+
+    parts = F.struct(
+        letters(fold(F.substring_index(email, "@", 1))).alias("local"), letters(last_name(name)).alias("last"), letters(first_name(name)).alias("first")
+    )
+
+    def fits(p: Column) -> Column:
+        local, last, first = p["local"], p["last"], p["first"]
+        by_last = (F.length(last) >= 3) & F.contains(local, last)
+        by_first = (F.length(first) >= 3) & F.contains(local, first)
+        by_start = (first != "") & (last != "") & F.startswith(local, F.concat(F.left(first, F.lit(1)), F.left(last, F.lit(3))))
+        return (local != "") & (by_last | by_first | by_start)
+
+    return let(parts, fits)

@@ -46,6 +46,14 @@ def _accents() -> tuple[str, str]:
     return "".join(accented + marks), "".join(plain)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it: a lambda over a one-element array.
+
+    Without it, functions that use their argument several times multiply into huge expressions when they are nested.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(col: Column) -> Column:
     """The text, or null where it is empty or null."""
     return F.nullif(col, F.lit(""))
@@ -83,36 +91,38 @@ def _words(col: Column) -> Column:
 
 
 def looks_like_name(col: Column) -> Column:
-    t = clean_name(col)
+    return F.coalesce(let(clean_name(col), _is_name), F.lit(False))
+
+
+def _letters(w: Column) -> Column:
+    return F.length(F.regexp_replace(w, f"[^{_LETTERS}]", ""))
+
+
+def _is_name(t: Column) -> Column:
     comma = F.contains(t, F.lit(","))
-    sides = F.transform(F.split(t, ","), lambda p: F.trim(p))
-    words = F.when(comma, F.concat(_words(F.get(sides, F.lit(0))), _words(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))))).otherwise(_words(t))
-    two_sides = (F.size(sides) == 2) & (F.get(sides, F.lit(0)) != "") & (F.get(sides, F.lit(1)) != "")
+    two_sides = F.regexp_like(t, F.lit(r"^\s*[^\s,][^,]*,\s*[^\s,][^,]*$"))
+    shape = (t != "") & (F.length(t) <= 60) & ~F.regexp_like(t, F.lit(r"[\d@/:_=#|]")) & (~comma | two_sides)
+
+    def words_fit(words: Column) -> Column:
+        edge = F.when(comma, F.get(words, F.lit(0))).otherwise(F.element_at(words, -1))
+        long_enough = F.exists(words, lambda w: _letters(w) >= 2) & ((F.size(words) >= 3) | (_letters(edge) >= 2))
+        return F.size(words).between(2, 5) & long_enough & F.forall(words, _is_name_word)
 
-    def letters(w: Column) -> Column:
-        return F.length(F.regexp_replace(w, f"[^{_LETTERS}]", ""))
+    return shape & let(_words(F.regexp_replace(t, ",", " ")), words_fit)
 
-    edge = F.when(comma, F.get(words, F.lit(0))).otherwise(F.element_at(words, -1))
 
-    def allowed(w: Column) -> Column:
-        base = strip(w, ".,")
+def _is_name_word(word: Column) -> Column:
+    def fits(base: Column) -> Column:
         low = F.lower(base)
         cased = F.regexp_like(base, F.lit(r"^[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’.\-]*$"))
-        return ~F.array_contains(F.lit(STOP_WORDS), low) & (F.array_contains(F.lit(PARTICLES), low) | cased)
+        return ~low.isin(STOP_WORDS) & (low.isin(PARTICLES) | cased)
 
-    shape = (t != "") & (F.length(t) <= 60) & ~F.regexp_like(t, F.lit(r"[\d@/:_=#|]")) & (~comma | two_sides)
-    sized = F.size(words).between(2, 5)
-    return F.coalesce(
-        shape & sized & F.exists(words, lambda w: letters(w) >= 2) & ((letters(edge) >= 2) | (F.size(words) >= 3)) & F.forall(words, allowed),
-        F.lit(False),
-    )
+    return let(strip(word, ".,"), fits)
 
 
 def display_name(col: Column) -> Column:
     """'Last, First M.' turned round at the first comma; otherwise the cleaned name."""
-    t = clean_name(col)
-    turned = F.concat_ws(" ", F.trim(F.regexp_replace(t, "^[^,]*,", "")), F.trim(F.substring_index(t, ",", 1)))
-    return squash(F.when(F.contains(t, F.lit(",")), turned).otherwise(t))
+    return squash(F.regexp_replace(clean_name(col), "^([^,]*),(.*)$", "$2 $1"))
 
 
 def name_tokens(col: Column) -> Column:
@@ -135,8 +145,7 @@ def first_name(col: Column) -> Column:
 
 
 def name_key(col: Column) -> Column:
-    tokens = name_tokens(col)
-    return F.trim(F.concat_ws(" ", F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), last_of(tokens)))
+    return let(name_tokens(col), lambda t: F.trim(F.concat_ws(" ", F.coalesce(F.get(t, F.lit(0)), F.lit("")), last_of(t))))
 
 
 def initials(col: Column) -> Column:
@@ -177,13 +186,13 @@ def now_iso() -> Column:
 
 def program(col: Column) -> Column:
     """Degree programme; any text with 'ph' counts as PhD, and any that begins with b as Undergraduate."""
-    t = fold(col)
-    return (
-        F.when(F.regexp_like(t, F.lit("ph|doctor")), "PhD")
+    return let(
+        fold(col),
+        lambda t: F.when(F.regexp_like(t, F.lit("ph|doctor")), "PhD")
         .when(F.regexp_like(t, F.lit(r"^m\.?s|master")), "MS")
         .when(F.contains(t, F.lit("postdoc")), "Postdoc")
         .when(F.contains(t, F.lit("undergrad")) | F.startswith(t, F.lit("b")), "Undergraduate")
-        .otherwise("")
+        .otherwise(""),
     )
 
 
@@ -204,8 +213,15 @@ def slug_to_phrase(col: Column) -> Column:
 
 def ordered_distinct(arr: Column, key=lambda x: x) -> Column:
     """Elements whose key has not come before, in order."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    keyed = F.transform(arr, lambda x: F.struct(x.alias("x"), key(x).alias("k")))
+
+    def once(pairs: Column) -> Column:
+        return let(
+            F.transform(pairs, lambda p: p["k"]),
+            lambda keys: F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["x"]),
+        )
+
+    return let(keyed, once)
 
 
 def fold_distinct(arr: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomframe.functions.text import let
+
 # Query keys that only track, and paths and endings that are not people pages.
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|mc_.*|ref|replytocom|share|print|amp|_ga|sessionid|phpsessid)$"
 SKIP_ENDINGS = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|svg|mp4|mp3|css|js|ico)$"
@@ -24,16 +26,13 @@ def url_part(col: Column, part: str) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """``href`` made absolute against ``base``; dot segments in front of a relative path are resolved one by one."""
+    return let(F.trim(href), lambda h: _joined(base, h))
+
+
+def _joined(base: Column, h: Column) -> Column:
     root = F.concat(url_part(base, "scheme"), F.lit("://"), F.regexp_extract(F.trim(base), r"^[^:]+://([^/?#]*)", 1))
-    folder = F.regexp_extract(url_part(base, "path"), r"^(.*/)", 1)
-    folder = F.when(folder == "", "/").otherwise(folder)
-    h = F.trim(href)
+    folder = F.coalesce(F.nullif(F.regexp_extract(url_part(base, "path"), r"^(.*/)", 1), F.lit("")), F.lit("/"))
     up = F.regexp_replace(folder, r"[^/]+/$", "")
-    relative = (
-        F.when(F.startswith(h, F.lit("../")), F.concat(root, up, F.substring(h, 4, 1 << 20)))
-        .when(F.startswith(h, F.lit("./")), F.concat(root, folder, F.substring(h, 3, 1 << 20)))
-        .otherwise(F.concat(root, folder, h))
-    )
     own_path = F.regexp_extract(F.trim(base), r"^([^?#]*)", 1)
     return (
         F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), h)
@@ -41,7 +40,8 @@ def join_url(base: Column, href: Column) -> Column:
         .when(F.startswith(h, F.lit("//")), F.concat(url_part(base, "scheme"), F.lit(":"), h))
         .when(F.startswith(h, F.lit("/")), F.concat(root, h))
         .when(F.startswith(h, F.lit("?")), F.concat(own_path, h))
-        .otherwise(relative)
+        .when(F.startswith(h, F.lit("../")), F.concat(root, up, F.substring(h, 4, 1 << 20)))
+        .otherwise(F.concat(root, folder, F.regexp_replace(h, r"^\./", "")))
     )
 
 
@@ -53,8 +53,12 @@ def canon_url(url: Column, base: Column | None = None) -> Column:
     raw = F.coalesce(F.trim(url), F.lit(""))
     local = F.regexp_like(raw, F.lit("^(mailto:|tel:|javascript:|#|data:|sms:)"))
     full = join_url(base, raw) if base is not None else raw
-    host, port, path = url_part(full, "host"), url_part(full, "port"), url_part(full, "path")
-    pairs = F.filter(F.split(url_part(full, "query"), "&"), lambda p: F.regexp_like(p, F.lit("^[^=]+=.+")))
+    return F.coalesce(F.when(~local, let(full, _canon)), F.lit(""))
+
+
+def _query_pairs(query: Column) -> Column:
+    """The wanted keys with their first values, sorted, as key=value texts."""
+    pairs = F.filter(F.split(query, "&"), lambda p: F.regexp_like(p, F.lit("^[^=]+=.+")))
     keyed = F.transform(
         pairs,
         lambda p: F.struct(
@@ -62,16 +66,21 @@ def canon_url(url: Column, base: Column | None = None) -> Column:
         ),
     )
     wanted = F.filter(keyed, lambda p: p["k"].isNotNull() & ~F.regexp_like(p["k"], F.lit(TRACKING)))
-    names = F.transform(wanted, lambda p: p["k"])
-    first = F.filter(wanted, lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    in_order = F.array_sort(F.transform(first, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
-    query = F.array_join(F.transform(in_order, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+
+    def first_values(found: Column) -> Column:
+        first = let(F.transform(found, lambda p: p["k"]), lambda ks: F.filter(found, lambda p, i: F.array_position(ks, p["k"]) == i + 1))
+        return F.transform(F.array_sort(first), lambda p: F.concat(p["k"], F.lit("="), p["v"]))
+
+    return let(wanted, first_values)
+
+
+def _canon(full: Column) -> Column:
+    host, port, path = url_part(full, "host"), url_part(full, "port"), url_part(full, "path")
     built = F.concat(
         F.lit("https://"), host, F.when((port == "") | port.isin("80", "443"), "").otherwise(F.concat(F.lit(":"), port)),
-        F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
+        F.when(path == "", "/").otherwise(path), F.regexp_replace(F.concat(F.lit("?"), F.array_join(_query_pairs(url_part(full, "query")), "&")), r"^\?$", ""),
     )
-    good = ~local & url_part(full, "scheme").isin("http", "https") & (host != "")
-    return F.when(F.coalesce(good, F.lit(False)), built).otherwise("")
+    return F.when(url_part(full, "scheme").isin("http", "https") & (host != ""), built).otherwise("")
 
 
 def in_domain(host: Column, domain: str) -> Column:

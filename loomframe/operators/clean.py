@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, name_tokens, norm_unit, squash, strip, strip_dept, unescape_common
+from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape_common
 from loomframe.operators.resolve import fix_shared_emails, merge_duplicates, repair_group
 
 # What the clean-up takes for junk, a label, a code, a title or staff.
@@ -75,20 +77,23 @@ def like(col: Column, pattern: str) -> Column:
 
 
 def is_noise_text(col: Column) -> Column:
-    t = squash(col)
-    words = F.filter(F.transform(F.split(t, r"[\s,;/]+"), lambda w: F.lower(strip(w, ".,;()"))), lambda w: w != "")
-    return (t == "") | like(t, NOISE) | ((F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(F.lit(CREDENTIAL_WORDS), w)))
+    def noise(t: Column) -> Column:
+        words = F.filter(F.transform(F.split(t, r"[\s,;/]+"), lambda w: F.lower(strip(w, ".,;()"))), lambda w: w != "")
+        credentials = let(words, lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: w.isin(CREDENTIAL_WORDS)))
+        return (t == "") | like(t, NOISE) | credentials
+
+    return let(squash(col), noise)
 
 
 def plausible_faculty(title: Column, lines: Column) -> Column:
     """Keep without any text, or with a title word, or without a staff word; the text is the title or the first two lines."""
     text = F.coalesce(F.nullif(title, F.lit("")), F.array_join(F.slice(lines, 1, 2), " "), F.lit(""))
-    return (text == "") | like(text, TITLE) | ~like(text, STAFF)
+    return let(text, lambda t: (t == "") | like(t, TITLE) | ~like(t, STAFF))
 
 
 def student_name_ok(col: Column) -> Column:
-    n = squash(col)
-    return (n != "") & ~like(n, STUDENT_JUNK) & ~like(n, BUILDING) & ~like(n, r"(?iu)^(dr|prof|professor)\b\.?") & ~like(n, SENTENCE)
+    bad = [STUDENT_JUNK, BUILDING, r"(?iu)^(dr|prof|professor)\b\.?", SENTENCE]
+    return let(squash(col), lambda n: reduce(lambda ok, p: ok & ~like(n, p), bad, n != ""))
 
 
 def clean_areas(areas: Column, name: Column, own_labels: Column, unit_names: Column) -> Column:
@@ -99,7 +104,9 @@ def clean_areas(areas: Column, name: Column, own_labels: Column, unit_names: Col
     own = F.array_union(F.filter(name_tokens(name), lambda t: F.length(t) > 1), F.lit(["dr", "prof"]))
 
     def good(a: Column) -> Column:
-        f = fold(a)
+        return let(fold(a), lambda f: judged(a, f))
+
+    def judged(a: Column, f: Column) -> Column:
         words = F.regexp_extract_all(f, F.lit("[a-z]+"), F.lit(0))
         shouting = (F.upper(a) == a) & (F.lower(a) != a) & (F.length(a) > 3) & F.contains(a, F.lit(" "))
         own_unit = F.exists(own_labels, lambda d: (d != "") & ((f == d) | (f == F.concat(F.lit("department of "), d))))
@@ -133,8 +140,8 @@ def clean_title(title: Column) -> Column:
     edge = r" ,;:|\-–—"
     t = strip(F.regexp_replace(squash(unescape_common(title)), r"(?iu)^(affiliations?)\s+", ""), edge)
     t = strip(F.regexp_replace(t, r"(?iu)\s+\S+(?:\s\S+)?['’]s\s+[\w&]+\s+(?:profile|page|website)(?:\s+page)?\s*$", ""), edge)
-    drop = (F.length(t) > 140) | F.contains(F.lower(t), F.lit("collection of websites")) | F.startswith(t, F.lit(":"))
-    return F.when(drop | like(t, r"(?iu)graduate faculty status|dean'?s office$"), "").otherwise(t)
+    bad = r"(?isu)^.{141}|collection of websites|^:|graduate faculty status|dean'?s office$"
+    return let(t, lambda x: F.when(like(x, bad), "").otherwise(x))
 
 
 def clean_summary(summary: Column) -> Column:

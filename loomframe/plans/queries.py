@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.functions import emails as em
 from loomframe.functions import text as tx
 from loomframe.functions import urls as ur
-from loomframe.operators import clean as cl
 from loomframe.operators import coverage as cv
+from loomframe.operators import extract as ex
 from loomframe.operators import ordered as od
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
+from loomframe.sources import html as ht
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -400,3 +401,44 @@ def best_of_group(spark, sf_dir):
         F.lit(True).alias("any"), F.countDistinct("o_orderstatus").alias("n"),
         F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("largest"),
     )
+
+
+@query("SELECT page_id, (len(regexp_extract_all(html, '<a '))::BIGINT) AS anchors FROM pages WHERE regexp_matches(html, '<a ')")
+def page_links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    links = ex.page_links(ht.page_nodes(pages), pages)
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
+
+
+@query()
+def page_tokens(spark, sf_dir):
+    return ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages"))).drop("cells")
+
+
+@query()
+def page_sections(spark, sf_dir):
+    found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")))))
+    return found.select("page_id", "sec", "title", "level", F.size("lines").alias("n_lines"))
+
+
+@query()
+def page_text(spark, sf_dir):
+    return ht.page_text(read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_profiles(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return ex.parse_profiles(ht.page_nodes(pages).cache(), pages, "example.net").drop("profile_students")
+
+
+@query()
+def link_categories(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return ex.categorize_links(ex.page_links(ht.page_nodes(pages), pages), "example.net")
+
+
+@query()
+def listing_people(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return ex.listing_people(ht.page_nodes(pages).cache(), pages, "example.net")

@@ -61,7 +61,8 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
             for text in pdf["text"]:
                 words = words_of(text)
                 found.update(words if small is None else filter(small.value.__contains__, words))
-            yield pd.DataFrame({"term": [t.decode() for t in found], "c": list(found.values())})
+            if found:
+                yield pd.DataFrame({"term": [t.decode() for t in found], "c": list(found.values())})
 
     texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where("text is not null")
     counts = texts.mapInPandas(count, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))

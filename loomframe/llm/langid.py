@@ -41,7 +41,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for w, c in words.items():
                     for g in [w] if n == 0 else grams_of(w, n):
                         grams[g] += c
-                yield pd.DataFrame({"lang": lang, "n": n, "gram": list(grams), "c": list(grams.values())})
+                if grams:
+                    yield pd.DataFrame({"lang": lang, "n": n, "gram": list(grams), "c": list(grams.values())})
 
 
 class LanguageModel:

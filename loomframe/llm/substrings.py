@@ -132,7 +132,7 @@ def _sort_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = pdf["lead"].factorize()[0].astype(np.int64)
         record, index = repeated_in_bucket(group, pdf["offset"].to_numpy(np.int64), list(pdf["content"]))
         if not len(record):
-            return pd.DataFrame({"gram": [], "whole": [], "low": [], "high": []})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("gram", "whole", "low", "high")})
         record, low, high = _runs(record, index)
         gram, whole = pdf["gram"].to_numpy()[record], pdf["whole"].to_numpy()[record]
         return pd.DataFrame({"gram": gram, "whole": whole, "low": low, "high": high})

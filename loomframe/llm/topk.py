@@ -171,7 +171,8 @@ def _scored(visits: DataFrame, pages: DataFrame, blocks: DataFrame, k: int, dim:
                         good = good[order]
                     for j in good:
                         out.append((q_rows[i], q_ids[i], rows[start + first + j], ids[start + first + j], s[j]))
-            yield pd.DataFrame(out, columns=["q_row", "query_id", "row", "vec_id", "score"])
+            if out:
+                yield pd.DataFrame(out, columns=["q_row", "query_id", "row", "vec_id", "score"])
 
     payload = visits.join(pages, "pivot").join(blocks, "block")
     return payload.select("pivot", "who", "tau", "rows", "ids", "far", "xs", "q_rows", "q_ids", "qs").mapInPandas(score, _FOUND)
@@ -212,7 +213,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             who, taus = by.setdefault(int(pivot), ([], []))
             who.append(i)
             taus.append(tau)
-        return pd.DataFrame([(p, block, w, t) for p, (w, t) in by.items()], columns=["pivot", "block", "who", "tau"])
+        rows = [(p, block, w, t) for p, (w, t) in by.items()]
+        return pd.DataFrame(rows, columns=["pivot", "block", "who", "tau"]) if rows else pd.DataFrame()
 
     def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,0 +1,19 @@
+"""The pipeline's stages on a small table."""
+
+import corpus_pipeline
+from loomframe.llm.common import materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SF), f"test-{name}")
+        assert out.columns == columns, name
+        assert out.count() <= docs.count() * (1.5 if name == "mixing" else 1), name
+        docs = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == [*columns, "shard", "slot"] and last.count() == docs.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "mixing", "sharding"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape_common
-from loomframe.operators.resolve import fix_shared_emails, merge_duplicates, repair_group
+from loomframe.operators.resolve import few, fix_shared_emails, merge_duplicates, repair_group
 
 # What the clean-up takes for junk, a label, a code, a title or staff.
 LABEL_JUNK = (
@@ -216,7 +216,7 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     blanked = F.transform(kept, lambda a: F.struct(a["college"].alias("college"), F.when(whole(a["department"]), "").otherwise(a["department"]).alias("department")))
     repaired = repaired.withColumns({"department": department, "affiliations": F.array_distinct(blanked)})
     names = units.select(F.explode(F.array(fold(F.col("name")), norm_unit(F.col("name")), fold(F.col("college")), F.regexp_replace(fold(F.col("name")), r"\s+department$", ""))).alias("n"))
-    unit_names = F.lit([r[0] for r in names.distinct().limit(20_000).collect()] or [""])
+    unit_names = F.lit(few(names.distinct(), 20_000) or [""])
     own_labels = F.concat(F.array(fold(F.col("department")), fold(F.col("college"))), F.transform("affiliations", lambda a: fold(a["department"])), F.transform("affiliations", lambda a: fold(a["college"])))
     courses = F.transform(F.filter("research_areas", has_course_code), lambda a: F.regexp_replace(a, r"(?iu)^teaching[:\s]+", ""))
     plain = F.filter("research_areas", lambda a: ~has_course_code(a))

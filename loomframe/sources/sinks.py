@@ -45,6 +45,9 @@ def meta_document(records: DataFrame, students: DataFrame, updated_at: str, revi
 
 
 def csv_text(lines: DataFrame, header: str, path: str) -> None:
-    """Lines (ord, line) below a header, in order, ended by CRLF: the text itself is written, so that line feeds in cells stay."""
+    """Lines (ord, line) below a header, in order, ended by CRLF, as one file: the export of what a person has filtered.
+
+    The text itself is written, so that line feeds in cells stay. One task writes it; for whole tables use Spark's CSV writer.
+    """
     head = lines.sparkSession.createDataFrame([(-1, header)], "ord long, line string")
     head.union(lines.select(F.col("ord").cast("long"), "line")).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)

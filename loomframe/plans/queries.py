@@ -415,12 +415,12 @@ def page_links(spark, sf_dir):
 
 @query()
 def page_tokens(spark, sf_dir):
-    return ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages"))).drop("cells")
+    return ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")).cache()).drop("cells")
 
 
 @query()
 def page_sections(spark, sf_dir):
-    found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")))))
+    found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")).cache())))
     return found.select("page_id", "sec", "title", "level", F.size("lines").alias("n_lines"))
 
 

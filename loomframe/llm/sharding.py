@@ -213,11 +213,14 @@ def shard_documents(
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 of nearly equal bytes."""
-    out = shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
-    return out.select(
+    docs = table(spark, sf_dir, "documents")
+    crc = F.crc32(text_or_empty(F.col("text")).cast("binary"))
+    # measured before the rows move, so the texts themselves need not
+    measured = docs.select("doc_id", "text", "lang", "source", size_of(F.col("text")).alias("__size"), crc.alias("text_crc32"))
+    return shard_documents(measured, n_shards=16).select(
         "doc_id",
-        size_of(F.col("text")).alias("size"),
-        F.crc32(text_or_empty(F.col("text")).cast("binary")).alias("text_crc32"),
+        F.col("__size").alias("size"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

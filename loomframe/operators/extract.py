@@ -396,17 +396,18 @@ def listing_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str =
     """People of listing pages by the method that finds clearly most on a page: links, microformat cards or repeated cards.
 
     Links are taken from the content, or from the whole body where that has under three and the body more. Cards win with
-    five or more and 1.4 times as many; microformat cards before others if they are not clearly fewer.
+    five or more and 1.4 times as many; microformat cards before others if they are not clearly fewer. The candidates of
+    each method are persisted, as they are counted first and chosen from afterwards.
     """
     columns = [page, "ord", "name", "profile_url", "title", "email", "location", "roles", "specialty", "lines"]
-    strict, loose = (linked_people(nodes, pages, domain, page, m).select(*columns) for m in ("strict", "loose"))
+    strict, loose = (linked_people(nodes, pages, domain, page, m).select(*columns).persist() for m in ("strict", "loose"))
     n_strict = strict.groupBy(page).agg(F.count(F.lit(1)).alias("ns"))
     n_loose = loose.groupBy(page).agg(F.count(F.lit(1)).alias("nl"))
     use = n_loose.join(n_strict, page, "full").select(page, ((F.coalesce("ns", F.lit(0)) < 3) & (F.coalesce("nl", F.lit(0)) > F.coalesce("ns", F.lit(0)))).alias("body"))
     linked = strict.join(use.where("not body").select(page), page, "left_semi").union(loose.join(use.where("body").select(page), page, "left_semi"))
     keep = plausible_faculty(F.col("title"), F.col("lines"))
     vcards, cards = vcard_people(nodes, pages, domain, page).select(*columns).where(keep), card_people(nodes, pages, domain, page).select(*columns).where(keep)
-    every = reduce(DataFrame.union, [d.withColumn("method", F.lit(m)) for m, d in (("links", linked), ("vcards", vcards), ("cards", cards))])
+    every = reduce(DataFrame.union, [d.withColumn("method", F.lit(m)) for m, d in (("links", linked), ("vcards", vcards), ("cards", cards))]).persist()
     counts = every.groupBy(page).pivot("method", ["links", "vcards", "cards"]).count().na.fill(0)
     alternative = F.when((F.col("vcards") >= 5) & (F.col("vcards") >= 0.8 * F.col("cards")), "vcards").when(F.col("vcards") >= F.col("cards"), "vcards").otherwise("cards")
     n_alt = F.when(F.col("alt") == "vcards", F.col("vcards")).otherwise(F.col("cards"))

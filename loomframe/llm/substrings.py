@@ -18,6 +18,8 @@ LEAD = 32
 SPREAD = LENGTH - LEAD + 1
 CROWD = 2000
 _CHUNK = 1 << 22
+_ROWS_A_FRAME = 50_000
+_RECORDS_A_FRAME = 20_000
 _POSITION = np.uint64((1 << 24) - 1)
 _ODD = [np.uint64((k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 | 1) & (1 << 64) - 1) for k in range(1, 10)]
 _BLOCK_WORDS = 9
@@ -71,17 +73,32 @@ def anchored(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in (grams, firsts, counts, offsets))
 
 
+_ANCHORS = ["h1", "h2", "gram", "whole", "first", "count", "offset"]
+
+
 def _emit_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchors of many texts at a time: a frame for each text would cost more than its anchors do."""
     for pdf in batches:
+        parts: list[tuple] = []
+        ready = 0
         for h1, h2, text in zip(pdf["h1"], pdf["h2"], pdf["text"]):
             gram, first, count, offset = anchored(text)
-            if len(gram):
-                whole = [xxhash.xxh64_intdigest(text[a : a + c + LENGTH - 1]) for a, c in zip(first.tolist(), count.tolist())]
-                yield pd.DataFrame({
-                    "h1": np.full(len(gram), h1), "h2": np.full(len(gram), h2), "gram": gram.view(np.int64),
-                    "whole": np.array(whole, np.uint64).view(np.int64), "first": first.astype(np.int32),
-                    "count": count.astype(np.int16), "offset": offset.astype(np.int16),
-                })
+            n = len(gram)
+            if n:
+                digest = xxhash.xxh64_intdigest
+                whole = [digest(text[a : a + c + LENGTH - 1]) for a, c in zip(first.tolist(), count.tolist())]
+                parts.append((np.full(n, h1), np.full(n, h2), gram.view(np.int64), np.array(whole, np.uint64).view(np.int64), first, count, offset))
+                ready += n
+            if ready >= _ROWS_A_FRAME:
+                yield _anchor_frame(parts)
+                parts, ready = [], 0
+        if parts:
+            yield _anchor_frame(parts)
+
+
+def _anchor_frame(parts: list[tuple]) -> pd.DataFrame:
+    columns = dict(zip(_ANCHORS, (np.concatenate(c) for c in zip(*parts))))
+    return pd.DataFrame(columns).astype({"first": np.int32, "count": np.int16, "offset": np.int16})
 
 
 def repeated_in_bucket(group: np.ndarray, offset: np.ndarray, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,23 +166,33 @@ def _sort_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["lead", "gram", "whole", "crowded", "many", "offset", "content"]
     for pdf in batches:
+        out: list[tuple] = []
         for text, records in zip(pdf["text"], pdf["records"]):
-            out = []
             for r in records:
                 content = text[r["first"] : r["first"] + r["count"] + LENGTH - 1]
                 lead = content[r["offset"] : r["offset"] + LEAD]
                 out.append((lead, r["gram"], r["whole"], r["crowded"], r["many"], r["offset"], content))
-            yield pd.DataFrame(out, columns=["lead", "gram", "whole", "crowded", "many", "offset", "content"])
+            if len(out) >= _RECORDS_A_FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
 
 def _each_string(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["gram", "whole", "many", "place", "low", "digest"]
     for pdf in batches:
+        out: list[tuple] = []
         for gram, whole, many, offset, content in zip(pdf["gram"], pdf["whole"], pdf["many"], pdf["offset"], pdf["content"]):
-            n = len(content) - LENGTH + 1
-            digests = [xxhash.xxh3_128_digest(content[i : i + LENGTH]) for i in range(n)]
-            index = np.arange(n, dtype=np.int32)
-            yield pd.DataFrame({"gram": gram, "whole": whole, "many": many, "place": offset - index, "low": index, "digest": digests})
+            digest = xxhash.xxh3_128_digest
+            out += [(gram, whole, many, offset - i, i, digest(content[i : i + LENGTH])) for i in range(len(content) - LENGTH + 1)]
+            if len(out) >= _ROWS_A_FRAME:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

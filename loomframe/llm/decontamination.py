@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import materialize, table, text_keys, text_or_empty
@@ -15,7 +15,6 @@ from loomframe.llm.common import materialize, table, text_keys, text_or_empty
 WINDOW_WORDS = 13
 MAX_BROADCAST_TERMS = 200_000
 MAX_TERM_BYTES = 64
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEEP = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -26,6 +25,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_KEEP).split()
 
 
+def count_words(text: Column) -> Column:
+    """Words of a text, 0 for null; splitting bytes is several times as fast here as counting matches of a regex."""
+
+    @F.pandas_udf("long")
+    def udf(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    return udf(text_or_empty(text).cast("binary"))
+
+
 def item_windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """``(item, phrase)``: the n-word windows of each item, or the item itself if it has fewer words."""
 
@@ -179,8 +188,7 @@ def contamination(
         .groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     found = materialize(hits.join(in_items, ["h1", "h2"]), "contamination")
-    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    every = docs.select(F.col(id_col), *text_keys(text_col), n_words.alias("n_words"))
+    every = docs.select(F.col(id_col), *text_keys(text_col), count_words(F.col(text_col)).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(found, ["h1", "h2"], "left").select(

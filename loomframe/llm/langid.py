@@ -48,18 +48,20 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class LanguageModel:
     """Log frequencies of words and n-grams in each language, in plain dicts; small enough to broadcast by its bounds."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
+    def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
+        """counts: (lang, n, gram, c); n is 0 for whole words."""
         self.langs = langs
-        at = {lang: i for i, lang in enumerate(langs)}
-        self.index: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
-        for _, n, gram, _ in rows:
-            self.index[n].setdefault(gram, len(self.index[n]))
-        self.logs = []
+        self.index: list[dict[str, int]] = []
+        self.logs: list[np.ndarray] = []
         for n in range(MAX_GRAM + 1):
-            floor = [math.log10(0.1 / max(1, totals.get((lang, n), 0))) for lang in langs]
-            self.logs.append(np.tile(np.array(floor, np.float32), (len(self.index[n]), 1)))
-        for lang, n, gram, c in rows:
-            self.logs[n][self.index[n][gram], at[lang]] = math.log10(c / totals[lang, n])
+            own = counts[counts["n"] == n]
+            codes, grams = pd.factorize(own["gram"])
+            total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
+            logs = np.tile(np.log10(0.1 / total).astype(np.float32), (len(grams), 1))
+            at = np.array([langs.index(lang) for lang in own["lang"]], np.int64)
+            logs[codes, at] = np.log10(own["c"].to_numpy(np.float64) / total[at]) if len(own) else 0
+            self.index.append({g: i for i, g in enumerate(grams)})
+            self.logs.append(logs)
         self.cache: dict[str, np.ndarray | None] = {}
 
     def _word(self, word: str) -> np.ndarray | None:
@@ -129,13 +131,12 @@ def fit_language_model(
     kept = (
         counts.select("*", F.row_number().over(rank).alias("k"), F.sum("c").over(total).alias("total"))
         .where(F.col("k") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-        .collect()
-    )
-    return LanguageModel(
-        sorted({r["lang"] for r in kept}),
-        [(r["lang"], r["n"], r["gram"], r["c"]) for r in kept],
-        {(r["lang"], r["n"]): r["total"] for r in kept},
+        .select("lang", "n", "gram", "c", "total")
+        .toArrow()
+        .to_pandas()
     )
+    totals = kept.groupby(["lang", "n"])["total"].first().to_dict()
+    return LanguageModel(sorted(kept["lang"].unique()), kept, totals)
 
 
 def predict_language(spark: SparkSession, model: LanguageModel, text: Column) -> Column:

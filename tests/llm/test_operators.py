@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def test_language_id_learns_no_held_out_rows(some):
 
 
 def test_backoff_of_unseen_words():
-    model = li.LanguageModel(["aa", "bb"], [("aa", 0, "foo", 5), ("bb", 0, "bar", 5), ("aa", 2, "xq", 3), ("bb", 1, "z", 2)], {("aa", 0): 5, ("bb", 0): 5, ("aa", 2): 3, ("bb", 1): 2})
+    counts = pd.DataFrame([("aa", 0, "foo", 5), ("bb", 0, "bar", 5), ("aa", 2, "xq", 3), ("bb", 1, "z", 2)], columns=["lang", "n", "gram", "c"])
+    model = li.LanguageModel(["aa", "bb"], counts, {("aa", 0): 5, ("bb", 0): 5, ("aa", 2): 3, ("bb", 1): 2})
     assert model.predict("foo")[0] == "aa" and model.predict("axqa")[0] == "aa" and model.predict("zzz")[0] == "bb"
     assert model.predict("ккк")[0] == "aa" and model.predict("12 !")[0] == "und"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,8 @@ def repeated_in_bucket(group: np.ndarray, offset: np.ndarray, contents: list[byt
     """(record, index) of each 200-byte string that another record of its group holds at the same place from the lead.
 
     A multikey quicksort over three tokens of 72 bytes each (64-bit digests, overlapping to 200 bytes): strings are ordered
-    by the current token, and only runs of equal ones go on to the next. What is left after the last is repeated.
+    by the current token, and only runs of equal ones go on to the next. Different bytes may share tokens, so what is left
+    after the last is compared byte by byte: only equal strings are repeated.
     """
     sizes = np.array([len(c) for c in contents], np.int64)
     data = b"".join(contents) + b"\0" * 80
@@ -129,7 +131,28 @@ def repeated_in_bucket(group: np.ndarray, offset: np.ndarray, contents: list[byt
         many = np.bincount(run, minlength=1)[run] > 1
         order = order[many]
         record, index, start, run = record[order], index[order], start[order], run[many]
-    return record, index
+    again = _equal_to_another(data, words, start, run)
+    return record[again], index[again]
+
+
+def _equal_to_another(data: bytes, words: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Whether each 200-byte string (at ``start``; runs are adjacent) has the very bytes of another one of its run."""
+    if not len(start):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], run[1:] != run[:-1]])
+    first = np.nonzero(new)[0]
+    own = np.cumsum(new) - 1
+    head = start[first][own]
+    differs = np.zeros(len(start), bool)
+    for j in range(0, LENGTH, 8):
+        differs |= words[start + j] != words[head + j]
+    again = np.ones(len(start), bool)
+    last = np.append(first[1:], len(start))
+    for k in np.unique(own[differs]).tolist():  # runs of strings that only share their tokens
+        strings = [data[a : a + LENGTH] for a in start[first[k] : last[k]].tolist()]
+        counts = Counter(strings)
+        again[first[k] : last[k]] = [counts[x] > 1 for x in strings]
+    return again
 
 
 def _runs(record: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +226,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     once has no repeated string; one whose surroundings are always alike is repeated as a whole, without a look at its
     bytes. (2) The distinct surroundings of the other leads are cut out of their texts and range-partitioned by their
     leading bytes at splitters that Spark samples; equal leads meet in one bucket, so that no match crosses a boundary
-    between buckets. (3) A bucket is sorted by lead and, within it, by multikey quicksort over tokens of 72 bytes.
+    between buckets. (3) A bucket is sorted by lead and, within it, by multikey quicksort over tokens of 72 bytes;
+    strings that agree in all tokens are then compared byte by byte.
     Leads with more than CROWD distinct surroundings do not go to one bucket: their strings are counted one by one by
     128-bit digest, with sums before the shuffle. Texts match themselves too; matches never cross documents.
     """

@@ -333,3 +333,34 @@ def test_long_texts_in_chunks(monkeypatch):
     text = ("".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(60))).encode()
     gram, first, count, offset = su.anchored(text)
     assert count.sum() == len(text) - 199 and first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all()
+
+
+def near_copies():
+    """Pairs of texts that differ in two letters' cases or in two digits, 8 to 64 bytes apart."""
+    edits = [(a, b, c, d) for a, b, c, d in ("aAaA", "aAAa", "0480", "1990", "0404", "0808")]
+    pairs = []
+    for gap in range(8, 65, 8):
+        for n, (a, b, c, d) in enumerate(edits):
+            filler = "".join(hashlib.sha256(f"{gap} {n} {i}".encode()).hexdigest() for i in range(12))
+            pairs += [filler[:350] + x + filler[351 : 350 + gap] + y + filler[351 + gap :] for x, y in ((a, c), (b, d))]
+    return pairs
+
+
+def test_near_copies_are_not_repeats(spark):
+    texts = near_copies()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = []
+    for r in su.with_repeated_spans(frame).collect():
+        b = r["text"].encode()
+        kept = su.kept_bytes(b, r["repeated"])
+        told.append((len(b), len(b) - len(kept), len(r["repeated"]), hashlib.sha256(kept).hexdigest()))
+    assert sorted(told) == brute_repeats(texts)
+
+
+def test_equal_strings_among_others_of_the_same_tokens(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(su, "_mixed", lambda h: h * np.uint64(0))
+    a, b, c = (x * su.LENGTH for x in (b"a", b"b", b"c"))
+    record, index = su.repeated_in_bucket(np.zeros(5, np.int64), np.zeros(5, np.int64), [a, b, a, c, b])
+    assert sorted(record.tolist()) == [0, 1, 2, 4] and set(index.tolist()) == {0}

@@ -46,7 +46,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams in each language, in plain dicts; small enough to broadcast by its bounds."""
+    """Log frequencies of words and n-grams in each language, in plain dicts; small enough to broadcast by its bounds.
+
+    What a language lacks costs the same in all languages, a tenth of one occurrence in the language with most to learn
+    from: a floor of its own would favour a language for having been learned from little.
+    """
 
     def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
         """counts: (lang, n, gram, c); n is 0 for whole words."""
@@ -57,7 +61,7 @@ class LanguageModel:
             own = counts[counts["n"] == n]
             codes, grams = pd.factorize(own["gram"])
             total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
-            logs = np.tile(np.log10(0.1 / total).astype(np.float32), (len(grams), 1))
+            logs = np.full((len(grams), len(langs)), np.log10(0.1 / total.max(initial=1)), np.float32)
             at = np.array([langs.index(lang) for lang in own["lang"]], np.int64)
             logs[codes, at] = np.log10(own["c"].to_numpy(np.float64) / total[at]) if len(own) else 0
             self.index.append({g: i for i, g in enumerate(grams)})
@@ -69,12 +73,17 @@ class LanguageModel:
         if i is not None:
             return self.logs[0][i]
         for n in range(MAX_GRAM, 0, -1):
-            known = [j for g in grams_of(word, n) if (j := self.index[n].get(g)) is not None]
-            if known:
+            grams = [g for g in grams_of(word, n) if g in self.index[n]]
+            if set(grams) - {" "}:  # a word's edge alone says nothing
+                known = [self.index[n][g] for g in grams]
                 return self.logs[n][known].mean(axis=0)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, known): known is whether any word or n-gram of the text was learned in any language."""
         words = words_of(text) if text else {}
         vectors, weights = [], []
         for w, c in words.items():
@@ -88,14 +97,14 @@ class LanguageModel:
                 vectors.append(v)
                 weights.append(c)
         if not self.langs or not any(ch.isalpha() for w in words for ch in w):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         if not vectors:  # letters of no language learned: all are as likely
-            return self.langs[0], 1.0 / len(self.langs)
+            return self.langs[0], 1.0 / len(self.langs), False
         weight = np.array(weights, np.float64)
         mean = (weight[:, None] * np.array(vectors, np.float64)).sum(axis=0) / weight.sum()
         odds = np.exp((mean - mean.max()) * math.log(10) * min(EVIDENCE_WORDS, weight.sum()))
         best = int(np.argmax(mean))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.langs[best], float(odds[best] / odds.sum()), True
 
 
 def fit_language_model(
@@ -140,13 +149,13 @@ def fit_language_model(
 
 
 def predict_language(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """struct(lang, score) of a text: ``und`` and 0 for null or letterless texts."""
+    """struct(lang, score, known) of a text: ``und``, 0 and false for null or letterless texts."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, known boolean")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang", "score", "known"])
 
     return udf(text.cast("string"))
 
@@ -167,10 +176,18 @@ def identify_languages(
     return found.select(*rest.columns, F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("lang_score"))
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.5, **names: str) -> DataFrame:
-    """``docs`` whose language is identified with at least ``min_score``."""
-    found = identify_languages(docs, **names)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+def drop_unidentified(
+    docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int
+) -> DataFrame:
+    """``docs`` whose language is identified, with at least ``min_score`` if that is asked for.
+
+    Not identified are undetermined texts and those without one word or n-gram of any language learned, for which all
+    languages are as likely. Short texts and texts of like languages stay, however low their score.
+    """
+    model = fit_language_model(docs, id_col, text_col, lang_col, **bounds)
+    pick = predict_language(docs.sparkSession, model, F.col(text_col))
+    found = docs.withColumn("__p", pick)
+    return found.where(F.col("__p.known") & (F.col("__p.score") >= min_score)).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,3 +364,27 @@ def test_equal_strings_among_others_of_the_same_tokens(monkeypatch):
     a, b, c = (x * su.LENGTH for x in (b"a", b"b", b"c"))
     record, index = su.repeated_in_bucket(np.zeros(5, np.int64), np.zeros(5, np.int64), [a, b, a, c, b])
     assert sorted(record.tolist()) == [0, 1, 2, 4] and set(index.tolist()) == {0}
+
+
+def test_a_language_of_one_row_takes_no_others(spark, some):
+    held = li.is_held_out(F.col("doc_id"))
+    one = some.where(~held).limit(1).withColumn("lang", F.lit("aa")).withColumn("text", F.lit(" ".join(f"qu{c}zx" for c in "abcdefghijklmnopqrst")))
+    marked = li.identify_languages(some.unionByName(one)).where(held)
+    assert marked.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
+
+
+def test_floor_does_not_depend_on_the_language():
+    counts = pd.DataFrame([("big", 0, "foo", 90), ("big", 0, "bar", 9910), ("mid", 0, "baz", 10), ("tiny", 0, "qux", 2)], columns=["lang", "n", "gram", "c"])
+    model = li.LanguageModel(["big", "mid", "tiny"], counts, {("big", 0): 10_000, ("mid", 0): 100, ("tiny", 0): 2})
+    assert model.predict("foo baz baz baz foo foo foo foo")[0] == "big"
+    logs = model.logs[0]
+    assert len({float(logs[model.index[0][w]][i]) for w, i in (("foo", 1), ("foo", 2), ("baz", 0), ("baz", 2), ("qux", 0))}) == 1
+
+
+def test_stage_keeps_short_texts_of_like_languages(spark):
+    own = {"xa": "huset", "xb": "husen", "xc": "husat"}
+    rows = [(i, f"og det er {w} " * 5, lang) for i in range(40) for lang, w in own.items()]
+    rows += [(1000, "og det er", None), (1001, "det", None), (1002, "123", None), (1003, "ккк", None), (1004, "og huset", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in li.drop_unidentified(frame).where("doc_id >= 1000").collect()}
+    assert kept == {1000, 1001, 1004}

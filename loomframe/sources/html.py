@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS = 4_000_000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template"}
 ASIDE = {"nav", "footer"}
@@ -88,7 +87,7 @@ class _Reader(HTMLParser):
 
 def _nodes_of(text: str | None) -> list[dict]:
     reader = _Reader()
-    reader.feed((text or "")[:MAX_CHARS])
+    reader.feed(text or "")
     reader.close()
     reader._close(0)
     return reader.rows
@@ -99,8 +98,8 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     Elements are numbered in document order; those inside one have numbers up to its ``end``. children and inner: the
     tags right below and anywhere below; lines: the pieces of text inside (loud: those not in nav or footer; own, for
-    list items: those not in a nested list). Null pages and pages without elements give no rows. Pages are read up to
-    MAX_CHARS characters, the size at which the source cuts them.
+    list items: those not in a nested list). Null pages and pages without elements give no rows. Pages are read to
+    their end; ``usable_pages`` cuts those that a fetch would have cut.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

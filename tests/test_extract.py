@@ -125,3 +125,10 @@ def test_roster(spark):
     assert [(r["name"], r["title"], r["department"]) for r in rows] == [
         ("Jane Doe", "Associate Professor", "Soil Science"), ("Rick Roe", "Professor", ""), ("Ian Poe", "Lecturer", "Botany"),
     ]
+
+
+def test_long_pages_are_read_to_their_end():
+    from loomframe.sources.html import _nodes_of
+
+    rows = _nodes_of("<p>" + "word " * 900_000 + "</p><a href='/last'>last</a>")
+    assert [r["tag"] for r in rows] == ["p", "a"] and rows[1]["lines"] == ["last"]

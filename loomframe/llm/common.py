@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 HELD_OUT_REMAINDER = 2
 FOLDS = 4
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,23 +36,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Inside this, Python workers get at most so many rows at a time: for rows that are large."""
+    return _setting(spark, ARROW_ROWS, str(rows))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here. ``release`` deletes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
 
 
 def materialize_lean(df: DataFrame, label: str) -> DataFrame:
     """``materialize``, and drop the shuffle files of the write as soon as it has ended: for steps that shuffle much."""
-    spark = df.sparkSession
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with _setting(df.sparkSession, SHUFFLE_CLEANUP, "true"):
         return materialize(df, label)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` of which nothing that is still to run reads; others are left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None) if df is not None else None
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_keys(text_col: str) -> list[Column]:

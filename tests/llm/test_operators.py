@@ -388,3 +388,43 @@ def test_stage_keeps_short_texts_of_like_languages(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in li.drop_unidentified(frame).where("doc_id >= 1000").collect()}
     assert kept == {1000, 1001, 1004}
+
+
+def brute_topk(rows, k, asks):
+    q = [(n, i, [math.floor(1024 * x) for x in v]) for n, (i, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, i, x in q:
+        if i is not None and asks(i):
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), j is None, j or 0) for m, j, y in q if m != n)
+            want += [(i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(scored[:k])]
+    return sorted(map(str, want))
+
+
+def test_topk_in_a_deep_tree(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(c, 0.3) for c in ((i % 7) / 3, (i % 5) / 2, (i % 3))]) for i in range(1200)] + [(2000 + i, [0.25, 0.5, 1.0]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for page_rows, fanout in ((1, 8), (4, 3), (64, 256)):
+        got = tk.top_k(vectors, F.col("vec_id") % 100 == 0, k=5, page_rows=page_rows, fanout=fanout)
+        assert sorted(map(str, map(tuple, got.collect()))) == brute_topk(rows, 5, lambda i: i % 100 == 0), (page_rows, fanout)
+
+
+def test_bounds_spare_products():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    xs = np.concatenate([rng.integers(-20, 20, (256, 4)) + c for c in ([900, 0, 0, 0], [0, 900, 0, 0], [0, 0, 900, 0], [-900, 0, 0, 0])]).astype(float)
+    pages = []
+    for j in range(4):
+        own = xs[256 * j : 256 * (j + 1)]
+        far = np.sqrt(((own - own[0]) ** 2).sum(1))
+        order = far.argsort()
+        path = [{"node": j + 1, "pivot": own[0].astype(int).tolist(), "to_parent": float("inf"), "radius": far.max()}]
+        rows = np.arange(256 * j, 256 * (j + 1), dtype=np.int64)[order]
+        pages.append({"path": path, "rows": rows.tobytes(), "ids": rows.tobytes(), "far": far[order].tobytes(), "xs": own[order].astype("<i2").tobytes(), "kind": "<i2"})
+    search = tk.Search(np.array([5], np.int64), xs[5:6], np.array([-np.inf]), 3)
+    search.visit(pd.DataFrame(pages), 4)
+    best = sorted(((-int(xs[5] @ x), i) for i, x in enumerate(xs) if i != 5))[:3]
+    assert [(a, b) for a, b, _ in search.found[0]] == best and search.computed <= 256

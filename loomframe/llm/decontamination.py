@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize, table, text_keys, text_or_empty
+from loomframe.llm.common import materialize, release, table, text_keys, text_or_empty
 
 WINDOW_WORDS = 13
-MAX_BROADCAST_TERMS = 200_000
-MAX_TERM_BYTES = 64
+SLOP = 2
+MAX_BROADCAST_BYTES = 32 << 20
+TERM_OVERHEAD = 160  # bytes of a dict entry besides the term
 _KEEP = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -50,78 +53,115 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
     return source.mapInPandas(cut, "item string, phrase string").distinct()
 
 
-def _small_set(terms: DataFrame, columns: list[str]) -> Broadcast | None:
-    """The rows as a broadcast dict of first column to the others, if they are few and short; else None."""
-    spark = terms.sparkSession
-    n, longest = terms.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length(columns[0])), F.lit(0))).first()
-    if n > MAX_BROADCAST_TERMS or longest > MAX_TERM_BYTES:
-        return None
-    rows = terms.select(*columns).collect()
-    return spark.sparkContext.broadcast({r[0].encode(): tuple(r[1:]) for r in rows})
+def _term_blocks(terms: DataFrame, columns: list[str]) -> Iterator[Broadcast]:
+    """The rows as broadcast dicts of first column to the others, one after another, each of bounded size.
+
+    Most sets are one block. A larger one costs a pass over the documents for each block, and gives the same rows.
+    """
+    spark, term = terms.sparkSession, F.col(columns[0])
+    size = terms.agg(F.coalesce(F.sum(F.octet_length(term) + TERM_OVERHEAD), F.lit(0))).first()[0]
+    n_blocks = max(1, math.ceil(size / MAX_BROADCAST_BYTES))
+    for block in range(n_blocks):
+        rows = terms.where(F.pmod(F.xxhash64(term), F.lit(n_blocks)) == block).select(*columns).collect()
+        yield spark.sparkContext.broadcast({r[0].encode(): tuple(r[1:]) for r in rows})
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """``(term, c)``: how often each of ``terms(term)`` stands in the documents; terms that never do are left out."""
-    small = _small_set(terms, ["term"])
+    texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where("text is not null")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: Counter = Counter()
-            for text in pdf["text"]:
-                words = words_of(text)
-                found.update(words if small is None else filter(small.value.__contains__, words))
-            if found:
-                yield pd.DataFrame({"term": [t.decode() for t in found], "c": list(found.values())})
+    def count(wanted: Broadcast):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found: Counter = Counter()
+                for text in pdf["text"]:
+                    found.update(filter(wanted.value.__contains__, words_of(text)))
+                if found:
+                    yield pd.DataFrame({"term": [t.decode() for t in found], "c": list(found.values())})
 
-    texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where("text is not null")
-    counts = texts.mapInPandas(count, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
-    return counts if small is not None else counts.join(terms, "term", "left_semi")
+        return texts.mapInPandas(of, "term string, c long")
+
+    parts = [count(block) for block in _term_blocks(terms, ["term"])]
+    return reduce(DataFrame.union, parts).groupBy("term").agg(F.sum("c").alias("c"))
 
 
 def postings(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
-    """The positional index: ``(h1, h2, term, pos, before, near)``, one row for each occurrence of a needed term.
+    """The positional index: ``(h1, h2, term, pos, before, near)``, one row for each place of a needed term in each text.
 
     needed: ``(term, back, ahead)``, how many words around an occurrence its posting carries (``near``, of which
-    ``before`` precede it). A document goes by two hashes of its text, so copies share their postings.
+    ``before`` precede it). A document goes by two hashes of its text, so copies have one set of postings.
     """
-    small = _small_set(needed, ["term", "back", "ahead"])
+    text = F.col(text_col).cast("string")
+    source = docs.select(*text_keys(text_col), text.cast("binary").alias("text")).where("text is not null")
+    columns = ["h1", "h2", "term", "pos", "before", "near"]
+
+    def emit(wanted: Broadcast):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out: list[tuple] = []
+                once = pdf.drop_duplicates(["h1", "h2"])
+                for h1, h2, text in zip(once["h1"], once["h2"], once["text"]):
+                    words = words_of(text)
+                    for pos, w in enumerate(words):
+                        if (hit := wanted.value.get(w)) is not None:
+                            low = max(0, pos - hit[0])
+                            near = b" ".join(words[low : pos + hit[1] + 1]).decode()
+                            out.append((h1, h2, w.decode(), pos, pos - low, near))
+                    if len(out) >= 20_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=columns)
+
+        return source.mapInPandas(of, "h1 long, h2 long, term string, pos int, before int, near string")
+
+    parts = [emit(block) for block in _term_blocks(needed, ["term", "back", "ahead"])]
+    return reduce(DataFrame.union, parts).dropDuplicates(["h1", "h2", "term", "pos"])
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _span(words: list[str], at: int, phrase: list[str], off: int, most: int) -> tuple[int, int] | None:
+    """The shortest (start, stop) in ``words`` that holds the phrase's words in order, word ``off`` being the one at ``at``; None beyond ``most`` words."""
+    start = stop = at
+    for w in reversed(phrase[:off]):
+        start -= 1
+        while start >= 0 and words[start] != w:
+            start -= 1
+        if start < 0:
+            return None
+    for w in phrase[off + 1 :]:
+        stop += 1
+        while stop < len(words) and words[stop] != w:
+            stop += 1
+        if stop == len(words):
+            return None
+    return (start, stop + 1) if stop + 1 - start <= most else None
+
+
+def _verified(candidates: DataFrame, slop: int) -> DataFrame:
+    """Of candidates (h1, h2, phrase, off, pos, before, near), the spans that hold all words of their phrases in order."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[tuple] = []
-            for h1, h2, text in zip(pdf["h1"], pdf["h2"], pdf["text"]):
-                words = words_of(text)
-                for pos, w in enumerate(words):
-                    if small is None:
-                        back, ahead = WINDOW_WORDS - 1, WINDOW_WORDS - 1
-                    elif (hit := small.value.get(w)) is not None:
-                        back, ahead = hit
-                    else:
-                        continue
-                    low = max(0, pos - back)
-                    near = b" ".join(words[low : pos + ahead + 1]).decode() if back or ahead else None
-                    out.append((h1, h2, w.decode(), pos, pos - low, near))
-                    if len(out) >= 50_000:
-                        yield pd.DataFrame(out, columns=["h1", "h2", "term", "pos", "before", "near"])
-                        out = []
+            out = []
+            for r in pdf.itertuples(index=False):
+                phrase = r.phrase.split(" ")
+                found = _span(r.near.split(" "), r.before, phrase, r.off, len(phrase) + slop)
+                if found is not None and found[1] - found[0] > len(phrase):
+                    out.append((r.h1, r.h2, r.phrase, r.pos - r.before + found[0], found[1] - found[0]))
             if out:
-                yield pd.DataFrame(out, columns=["h1", "h2", "term", "pos", "before", "near"])
+                yield pd.DataFrame(out, columns=["h1", "h2", "phrase", "start", "n"])
 
-    text = F.col(text_col).cast("string")
-    source = docs.select(*text_keys(text_col), text.cast("binary").alias("text")).where("text is not null")
-    found = source.mapInPandas(emit, "h1 long, h2 long, term string, pos int, before int, near string")
-    return found if small is not None else found.join(needed.select("term"), "term", "left_semi")
+    return candidates.mapInPandas(check, "h1 long, h2 long, phrase string, start int, n int")
 
 
-def phrase_matches(
-    docs: DataFrame, phrases: DataFrame, text_col: str = "text", slop: int = 0
-) -> DataFrame:
-    """Where ``phrases(phrase)`` stand in the documents: ``(h1, h2, phrase, start, n, kind)``.
+def phrase_matches(docs: DataFrame, phrases: DataFrame, text_col: str = "text", slop: int = 0) -> DataFrame:
+    """Where ``phrases(phrase)`` stand in the documents: ``(h1, h2, phrase, start, n, kind)``, n words from word ``start``.
 
     Every phrase is looked up by its two rarest terms in the corpus. Their posting lists, moved by the terms' offsets, are
     intersected; what is left is compared with the words that the rarest term's postings carry: ``exact``. With ``slop``,
-    pairs whose moved positions differ by 1 to ``slop`` are returned as ``near``, at the rarest term's position. Phrases
-    with a term that the corpus lacks are dropped at once. Beyond MAX_BROADCAST_TERMS the terms are joined instead.
+    places where the two moved positions differ by 1 to ``slop``, or agree without an exact match, are compared as well: ``near`` is a shortest run
+    of words with all of the phrase's words in their order and 1 to ``slop`` others between them. Phrases with a term
+    that the corpus lacks are dropped at once.
     """
     words = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     counts = materialize(term_counts(docs, words.select("term").distinct(), text_col), "term-counts")
@@ -132,32 +172,29 @@ def phrase_matches(
         .where("least > 0")
         .withColumn("rank", F.row_number().over(own.orderBy("c", "term", "off")))
     )
-    anchors = materialize(ranked.where("rank <= 2").select("phrase", "off", "term", "n", "rank"), "anchors")
+    anchors = materialize(ranked.where("rank <= 2").select("phrase", "off", "term", F.col("n").cast("int").alias("n"), "rank"), "anchors")
     first = F.col("rank") == 1
-    needed = anchors.groupBy("term").agg(
-        F.coalesce(F.max(F.when(first, F.col("off"))), F.lit(0)).alias("back"),
-        F.coalesce(F.max(F.when(first, F.col("n") - 1 - F.col("off"))), F.lit(0)).cast("int").alias("ahead"),
-    )
+    reach = lambda c: F.coalesce(F.max(F.when(first, c + slop)), F.lit(0)).cast("int")
+    needed = anchors.groupBy("term").agg(reach(F.col("off")).alias("back"), reach(F.col("n") - 1 - F.col("off")).alias("ahead"))
     index = materialize(postings(docs, needed, text_col), "postings")
     moved = index.join(anchors, "term").withColumn("start", F.col("pos") - F.col("off"))
-    rarest = moved.where(first).select("h1", "h2", "phrase", "start", "n", "off", "before", "near", "term")
+    rarest = moved.where(first).select("h1", "h2", "phrase", "start", "n", "off", "pos", "before", "near")
     second = moved.where("rank = 2").select("h1", "h2", "phrase", "start")
+    words_here = F.array_join(F.slice(F.split("near", " "), F.col("before") - F.col("off") + 1, "n"), " ")
+    same = F.when((F.col("before") >= F.col("off")) & (F.col("start") >= 0), words_here == F.col("phrase"))
     both = rarest.where("n > 1").join(second, ["h1", "h2", "phrase", "start"], "left_semi")
-    words_here = F.array_join(F.slice(F.split("near", " "), F.col("before") - F.col("off") + 1, F.col("n").cast("int")), " ")
-    whole = both.where("before >= off and start >= 0").where(words_here == F.col("phrase")).union(rarest.where("n = 1"))
-    exact = whole.select("h1", "h2", "phrase", "start", "n", F.lit("exact").alias("kind")).distinct()
+    alone = rarest.where("n = 1")
+    exact = both.union(alone).where(same).select("h1", "h2", "phrase", "start", "n", F.lit("exact").alias("kind")).distinct()
+    release(counts)
     if not slop:
         return exact
     step = slop + 1
-    left = rarest.where("n > 1").select("h1", "h2", "phrase", "start", "n", F.floor(F.col("start") / step).alias("cell"))
-    right = second.select(
-        "h1", "h2", "phrase", F.col("start").alias("other"),
-        F.explode(F.array(*[F.floor(F.col("start") / step) + d for d in (-1, 0, 1)])).alias("cell"),
-    )
-    near = left.join(right, ["h1", "h2", "phrase", "cell"]).where(
-        (F.abs(F.col("start") - F.col("other")) <= slop) & (F.col("start") != F.col("other"))
-    )
-    return exact.union(near.select("h1", "h2", "phrase", "start", "n", F.lit("near").alias("kind")).distinct())
+    left = rarest.where("n > 1").where(~F.coalesce(same, F.lit(False))).withColumn("cell", F.floor(F.col("start") / step))
+    cells = F.explode(F.array(*[F.floor(F.col("start") / step) + d for d in (-1, 0, 1)])).alias("cell")
+    right = second.select("h1", "h2", "phrase", F.col("start").alias("other"), cells)
+    met = left.join(right, ["h1", "h2", "phrase", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
+    near = _verified(met.select("h1", "h2", "phrase", "off", "pos", "before", "near").distinct(), slop).distinct()
+    return exact.union(near.withColumn("kind", F.lit("near")))
 
 
 def contamination(
@@ -169,15 +206,20 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW_WORDS,
     share: int = 20,
+    slop: int = 0,
 ) -> DataFrame:
-    """One row per document: id, h1, h2, n_words, n_hit, n_items, items (sorted strings) and contaminated.
+    """One row per document: id, h1, h2, n_words, n_hit, n_items, items (sorted strings), contaminated and n_near.
 
     A word is hit inside any occurrence of a window of an item; a document is contaminated if at least one in ``share``
-    of its words is hit. Null texts have no words; items without words have no windows; items with a null id are counted
+    of its words is hit. n_near counts the windows that occur nearly, with up to ``slop`` other words between their own, and
+    not exactly; they hit nothing. Null texts have no words; items without words have no windows; items with a null id are counted
     as none. Repeated rows give repeated rows; empty tables give no hits.
     """
     windows = materialize(item_windows(items, item_id_col, item_text_col, window), "windows")
-    matches = materialize(phrase_matches(docs, windows.select("phrase").distinct(), text_col), "matches")
+    every_match = materialize(phrase_matches(docs, windows.select("phrase").distinct(), text_col, slop), "matches")
+    matches = every_match.where("kind = 'exact'")
+    by_phrase = every_match.groupBy("h1", "h2", "phrase").agg(F.min("kind").alias("kind"))
+    nearly = by_phrase.groupBy("h1", "h2").agg(F.count_if(F.col("kind") == "near").alias("n_near"))
     earlier = Window.partitionBy("h1", "h2").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     spans = matches.select("h1", "h2", "start", (F.col("start") + F.col("n")).alias("end"), "n").distinct()
     reach = F.coalesce(F.max("end").over(earlier), F.lit(0))
@@ -187,13 +229,14 @@ def contamination(
         matches.select("h1", "h2", "phrase").distinct().join(windows, "phrase").select("h1", "h2", "item").distinct()
         .groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    found = materialize(hits.join(in_items, ["h1", "h2"]), "contamination")
+    found = materialize(nearly.join(hits.join(in_items, ["h1", "h2"]), ["h1", "h2"], "left"), "contamination")
+    release(windows, every_match)
     every = docs.select(F.col(id_col), *text_keys(text_col), count_words(F.col(text_col)).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(found, ["h1", "h2"], "left").select(
         id_col, "h1", "h2", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
@@ -207,7 +250,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in every document."""
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Benchmark windows in every document; n_near: windows that are there only with up to two words between their own."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")

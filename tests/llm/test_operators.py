@@ -128,13 +128,13 @@ def test_rules_of_a_tree():
     assert qu.tree_rules(debug, ["a"]) == {(("a", "<=", 1.5),), (("a", "<=", 0.5),), (("a", "<=", 1.5), ("a", ">", 0.5)), (("a", ">", 1.5),)}
 
 
-def brute_contamination(rows, items):
+def brute_contamination(rows, items, window=13):
     windows = defaultdict(set)
     for item, text in items:
         w = de.words_of((text or "").encode())
         if w:
-            for k in range(max(1, len(w) - 12)):
-                windows[tuple(w[k : k + 13])].add(str(item))
+            for k in range(max(1, len(w) - window + 1)):
+                windows[tuple(w[k : k + window])].add(str(item))
     out = []
     for i, text in rows:
         w, hit, found = de.words_of((text or "").encode()), set(), set()
@@ -147,13 +147,21 @@ def brute_contamination(rows, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_contamination(spark, docs, some, monkeypatch, limit):
-    monkeypatch.setattr(de, "MAX_BROADCAST_TERMS", limit)
-    items = spark.createDataFrame([(1, PROSE), (2, "No ID"), (3, None), (4, ""), (5, "zebra " + PROSE[4:])], "item_id int, text string")
-    got = de.contamination(docs, items).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_contamination([(r[0], r[1]) for r in ROWS], items.collect())
+CJK = "今日は天気がとてもいいので散歩に行きましょうと彼女は言った"
+
+
+@pytest.mark.parametrize("window", [5, 13, 20])
+@pytest.mark.parametrize("limit", [32 << 20, 700])
+def test_contamination(spark, docs, some, monkeypatch, limit, window):
+    monkeypatch.setattr(de, "MAX_BROADCAST_BYTES", limit)
+    forty = " ".join(f"w{i}" for i in range(40))
+    own = docs.unionByName(spark.createDataFrame([(20, f"x {CJK} y"), (21, f"a b {forty} c"), (22, "w3 " * 30)], "doc_id long, text string"), allowMissingColumns=True)
+    items = spark.createDataFrame([(1, PROSE), (2, "No ID"), (3, None), (4, ""), (5, "zebra " + PROSE[4:]), (6, CJK), (7, forty)], "item_id int, text string")
+    got = de.contamination(own, items, window=window, slop=2).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()
+    rows = [(r["doc_id"], r["text"]) for r in own.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in got), key=str) == brute_contamination(rows, items.collect(), window)
     assert not de.contamination(docs, items.limit(0)).where("n_hit > 0").count()
+    assert not de.contamination(docs.limit(0), items).count()
 
 
 def test_contamination_of_given_tables(spark, some):
@@ -164,11 +172,35 @@ def test_contamination_of_given_tables(spark, some):
     assert kept.count() == sum(not r["contaminated"] for r in got)
 
 
+def brute_near(words, phrase, slop):
+    """Whether some run of up to len(phrase) + slop words holds the phrase in order, and none of just its length does."""
+
+    def holds(run):
+        rest = iter(run)
+        return all(w in rest for w in phrase)
+
+    sizes = {n for n in range(len(phrase), len(phrase) + slop + 1) for i in range(len(words) - n + 1) if holds(words[i : i + n])}
+    return bool(sizes) and len(phrase) not in sizes
+
+
 def test_near_phrases(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha beta"), (3, "beta a b c d e alpha")], "doc_id int, text string")
-    phrases = spark.createDataFrame([("alpha beta",)], "phrase string")
-    got = de.phrase_matches(docs, phrases, slop=2)
-    assert sorted(r["kind"] for r in got.collect()) == ["exact", "near"]
+    import random
+
+    rng = random.Random(2)
+    texts = ["alpha x beta", "alpha beta", "beta a b c d e alpha", "alpha x y beta", "alpha x y z beta", *[" ".join(rng.choices("abcdefg", k=40)) for _ in range(60)]]
+    texts += texts[:20] * 3
+    phrases = ["alpha beta", "a b c d", "b a g", "c c d", "e f", "g", "a z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = de.phrase_matches(docs, spark.createDataFrame([(p,) for p in phrases], "phrase string"), slop=2)
+    keyed = docs.select("text", *de.text_keys("text")).distinct()
+    rows = got.join(keyed, ["h1", "h2"]).collect()
+    told = {k: {(r["text"], r["phrase"]) for r in rows if r["kind"] == k} for k in ("exact", "near")}
+    assert told["exact"] == {(t, p) for t in texts for p in phrases if f" {p} " in f" {t} "}
+    near = {(t, p) for t in texts for p in phrases if brute_near(t.split(), p.split(), 2)}
+    assert told["near"] - told["exact"] == near
+    for r in rows:
+        run = r["text"].split()[r["start"] : r["start"] + r["n"]]
+        assert r["kind"] == "near" or run == r["phrase"].split()
 
 
 def test_topk(spark):

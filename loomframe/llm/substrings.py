@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize_lean, table, text_keys, text_or_empty
+from loomframe.llm.common import materialize_lean, release, table, text_keys, text_or_empty
 
 LENGTH = 200
 LEAD = 32
 SPREAD = LENGTH - LEAD + 1
-CROWD = 2000
+#: Strings of a group share 201 - w bytes: the lead at first, then the stretch common to strings whose leads stand at up to w places.
+WIDTHS = (42, 8, 1)
+BUCKET_RECORDS = 2000
 _CHUNK = 1 << 22
 _ROWS_A_FRAME = 50_000
 _RECORDS_A_FRAME = 20_000
@@ -166,7 +169,7 @@ def _runs(record: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sort_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records in order of lead -> repeated runs; a lead that goes on in the next batch is carried over."""
+    """Records in order of their leading bytes -> repeated runs; leading bytes that go on in the next batch are carried over."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         group = pdf["lead"].factorize()[0].astype(np.int64)
@@ -174,8 +177,8 @@ def _sort_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(record):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("gram", "whole", "low", "high")})
         record, low, high = _runs(record, index)
-        gram, whole = pdf["gram"].to_numpy()[record], pdf["whole"].to_numpy()[record]
-        return pd.DataFrame({"gram": gram, "whole": whole, "low": low, "high": high})
+        gram, whole, base = (pdf[c].to_numpy()[record] for c in ("gram", "whole", "base"))
+        return pd.DataFrame({"gram": gram, "whole": whole, "low": low + base, "high": high + base})
 
     rest: pd.DataFrame | None = None
     for pdf in batches:
@@ -188,34 +191,85 @@ def _sort_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(rest.reset_index(drop=True))
 
 
+_RECORD = "gram long, whole long, base int, offset short, lead binary, key long, print long, content binary"
+_RECORD_COLUMNS = ["gram", "whole", "base", "offset", "lead", "key", "print", "content"]
+
+
 def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["lead", "gram", "whole", "crowded", "many", "offset", "content"]
+    """The surroundings of anchors, cut out of their texts; key is the lead's hash, print that of the whole content."""
     for pdf in batches:
         out: list[tuple] = []
         for text, records in zip(pdf["text"], pdf["records"]):
             for r in records:
                 content = text[r["first"] : r["first"] + r["count"] + LENGTH - 1]
                 lead = content[r["offset"] : r["offset"] + LEAD]
-                out.append((lead, r["gram"], r["whole"], r["crowded"], r["many"], r["offset"], content))
+                out.append((r["gram"], r["whole"], 0, r["offset"], lead, r["gram"], r["whole"], content))
             if len(out) >= _RECORDS_A_FRAME:
-                yield pd.DataFrame(out, columns=columns)
+                yield pd.DataFrame(out, columns=_RECORD_COLUMNS)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=_RECORD_COLUMNS)
 
 
-def _each_string(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["gram", "whole", "many", "place", "low", "digest"]
-    for pdf in batches:
-        out: list[tuple] = []
-        for gram, whole, many, offset, content in zip(pdf["gram"], pdf["whole"], pdf["many"], pdf["offset"], pdf["content"]):
-            digest = xxhash.xxh3_128_digest
-            out += [(gram, whole, many, offset - i, i, digest(content[i : i + LENGTH])) for i in range(len(content) - LENGTH + 1)]
-            if len(out) >= _ROWS_A_FRAME:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+def narrowed(content: bytes, offset: int, width: int) -> list[tuple[int, bytes, bytes]]:
+    """(start, leading bytes, content) of a record's parts: its strings by the place of the lead in them, ``width`` places together.
+
+    All strings of a part hold its leading bytes, 201 - width of them: from the first place's start to the last one's end.
+    """
+    parts = []
+    lowest = offset - (len(content) - LENGTH)  # place of the lead in the record's last string
+    for a in range(lowest // width * width, offset + 1, width):
+        first, last = max(0, offset - (a + width - 1)), min(len(content) - LENGTH, offset - a)
+        parts.append((first, content[offset - a : offset - (a + width - 1) + LENGTH], content[first : last + LENGTH]))
+    return parts
+
+
+def _narrow(width: int):
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh64_intdigest
+        for pdf in batches:
+            out: list[tuple] = []
+            for gram, whole, base, offset, content in zip(pdf["gram"], pdf["whole"], pdf["base"], pdf["offset"], pdf["content"]):
+                for first, lead, part in narrowed(content, offset, width):
+                    key, own = digest(lead, width), digest(part, width + 1)
+                    out.append((gram, whole, base + first, offset - first, lead, key - (key >> 63 << 64), own - (own >> 63 << 64), part))
+                if len(out) >= _RECORDS_A_FRAME:
+                    yield pd.DataFrame(out, columns=_RECORD_COLUMNS)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=_RECORD_COLUMNS)
+
+    return split
+
+
+_SPAN = ["gram", "whole", "low", "high"]
+
+
+def _fitting_buckets(records: DataFrame, found: list[DataFrame], used: list[DataFrame]) -> list[DataFrame]:
+    """Records by leading bytes in groups that fit a bucket: too large a group is split by more of its leading bytes.
+
+    records: distinct ones. Parts that are alike in two records are repeated as they are, which goes to ``found``; one of
+    them stays for the others to meet. A part that shares its leading bytes with no other is done with. At the last width the
+    leading bytes are the whole string, so nothing is left to sort.
+    """
+    fitting = []
+    for width in (*WIDTHS, 0):
+        sizes = records.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = records.join(sizes, "key")
+        fitting.append(sized.where(F.col("size") <= BUCKET_RECORDS).drop("size"))
+        crowd = sized.where(F.col("size") > BUCKET_RECORDS)
+        if not width or crowd.isEmpty():
+            break
+        parts = materialize_lean(crowd.mapInPandas(_narrow(width), _RECORD), "narrowed")
+        alike = parts.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("gram", "whole", "base")).alias("one")).where("n > 1")
+        alike = materialize_lean(alike.select("key", "print", F.col("one").alias("__one")), "alike")
+        met = parts.join(alike, ["key", "print"], "left")
+        whole = met.where("__one is not null")
+        found.append(whole.select("gram", "whole", F.col("base").alias("low"), (F.col("base") + F.octet_length("content")).cast("int").alias("high")))
+        own = F.struct("gram", "whole", "base")
+        records = materialize_lean(met.where(F.col("__one").isNull() | (F.col("__one") == own)).drop("__one"), "narrowed-once")
+        used += [parts, alike, records]
+    return fitting
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -227,9 +281,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bytes. (2) The distinct surroundings of the other leads are cut out of their texts and range-partitioned by their
     leading bytes at splitters that Spark samples; equal leads meet in one bucket, so that no match crosses a boundary
     between buckets. (3) A bucket is sorted by lead and, within it, by multikey quicksort over tokens of 72 bytes;
-    strings that agree in all tokens are then compared byte by byte.
-    Leads with more than CROWD distinct surroundings do not go to one bucket: their strings are counted one by one by
-    128-bit digest, with sums before the shuffle. Texts match themselves too; matches never cross documents.
+    strings that agree in all tokens are then compared byte by byte. Before that, leads with more surroundings than a bucket
+    holds are split by more of the bytes that their strings share, as often as is needed, up to whole strings.
+    Texts match themselves too; matches never cross documents.
     """
     text = text_or_empty(F.col(text_col))
     keys = text_keys("__text")
@@ -244,24 +298,19 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = F.struct("h1", "h2", "first", "count", "offset")
     distinct = alive.where("mixed").groupBy("gram", "whole").agg((F.count(F.lit(1)) > 1).alias("many"), F.min(place).alias("at"))
     distinct = materialize_lean(distinct.select("gram", "whole", "many", "at.*"), "distinct-records")
-    crowds = distinct.groupBy("gram").count().where(F.col("count") > CROWD).select("gram", F.lit(True).alias("crowded"))
-    wanted = distinct.join(crowds, "gram", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    record = F.struct("gram", "whole", "crowded", "many", "first", "count", "offset")
-    by_text = wanted.groupBy("h1", "h2").agg(F.collect_list(record).alias("records"))
-    one_each = long_enough.join(by_text, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("text", "records")
-    cut = "lead binary, gram long, whole long, crowded boolean, many boolean, offset short, content binary"
-    records = materialize_lean(one_each.mapInPandas(_cut_records, cut), "records")
-
-    found_shape = "gram long, whole long, low int, high int"
-    buckets = records.where("not crowded").repartitionByRange("lead").sortWithinPartitions("lead")
-    sorted_out = buckets.select("lead", "gram", "whole", "offset", "content").mapInPandas(_sort_bucket, found_shape)
-    crowded = records.where("crowded").select("gram", "whole", "many", "offset", "content")
-    strings = crowded.mapInPandas(_each_string, "gram long, whole long, many boolean, place int, low int, digest binary")
-    common = ["gram", "place", "digest"]
-    again = strings.groupBy(*common).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = strings.join(again, common, "left_semi").select("gram", "whole", "low", (F.col("low") + LENGTH).alias("high"))
+    record = F.struct("gram", "whole", "first", "count", "offset")
+    by_text = distinct.groupBy("h1", "h2").agg(F.collect_list(record).alias("records"))
+    # Copies of a text are dropped by the task that reads them, so that one a task is left to move, not all of them.
+    once = long_enough.dropDuplicates(["h1", "h2"])
+    cut = once.join(by_text, ["h1", "h2"]).select("text", "records").mapInPandas(_cut_records, _RECORD)
+    records = materialize_lean(cut, "records")
+
     wholly = distinct.where("many").select("gram", "whole", F.lit(0).alias("low"), (F.col("count") + LENGTH - 1).cast("int").alias("high"))
-    found = materialize_lean(sorted_out.union(counted).union(wholly), "repeated")
+    known, used = [wholly], [anchors, grams, distinct, records]
+    fitting = reduce(DataFrame.unionByName, _fitting_buckets(records, known, used))
+    buckets = fitting.select("lead", "gram", "whole", "base", "offset", "content").repartitionByRange("lead").sortWithinPartitions("lead")
+    sorted_out = buckets.mapInPandas(_sort_bucket, "gram long, whole long, low int, high int")
+    found = materialize_lean(reduce(DataFrame.union, [d.select(*_SPAN) for d in (sorted_out, *known)]), "repeated")
 
     alike = alive.where("not mixed").select("h1", "h2", F.col("first").alias("start"), (F.col("first") + F.col("count") + LENGTH - 1).alias("stop"))
     placed = alive.where("mixed").select("h1", "h2", "gram", "whole", "first").join(found, ["gram", "whole"])
@@ -273,7 +322,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     numbered = marked.withColumn("__no", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     islands = numbered.groupBy("h1", "h2", "__no").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     listed = islands.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return materialize_lean(listed, "spans")
+    spans = materialize_lean(listed, "spans")
+    release(*used, alive, found)
+    return spans
 
 
 def with_repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

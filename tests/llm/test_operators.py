@@ -338,11 +338,13 @@ def brute_repeats(texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_repeated_strings(spark, monkeypatch, crowd):
-    monkeypatch.setattr(su, "CROWD", crowd)
+    monkeypatch.setattr(su, "BUCKET_RECORDS", crowd)
     base = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(12))
-    texts = [base, base, "x" + base[:450] + "y" + base[300:], base[100:299], base[100:300], base[5:400] + "é" * 150, "a" * 900, "ab" * 300, None, "", "short", LONG, LONG + "!"]
+    line = base[:190]  # too short to be repeated itself, in many surroundings
+    crowds = [str(i) * 40 + line + str(i % 3) * 30 for i in range(9)] + [c * 30 + base[100:320] + c * 250 for c in "pqrst"]
+    texts = [*crowds, base, base, "x" + base[:450] + "y" + base[300:], base[100:299], base[100:300], base[5:400] + "é" * 150, "a" * 900, "ab" * 300, None, "", "short", LONG, LONG + "!"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = su.with_repeated_spans(frame).collect()
     told = []
@@ -354,6 +356,19 @@ def test_repeated_strings(spark, monkeypatch, crowd):
     assert su.with_repeated_spans(frame.limit(0)).count() == 0
 
 
+def test_narrowed_parts_hold_each_string_once():
+    content = bytes(range(97, 97 + 120)) * 4
+    for size, offset in ((200, 0), (200, 168), (231, 31), (368, 168), (300, 100)):
+        own = content[:size]
+        for width in su.WIDTHS:
+            told = []
+            for first, lead, part in su.narrowed(own, offset, width):
+                assert len(lead) == 201 - width and own[first : first + len(part)] == part
+                told += range(first, first + len(part) - 199)
+                assert all(lead in part[i : i + 200] for i in range(len(part) - 199))
+            assert sorted(told) == list(range(size - 199))
+
+
 def test_repeats_keep_columns(docs):
     got = su.with_repeated_spans(docs)
     assert ids(got) == ALL_IDS and got.columns == [*docs.columns, "repeated"]

@@ -282,7 +282,36 @@ def test_sharding(spark, docs, some):
             sizes = [sum(r["size"] for r in rs) for rs in by.values()]
             largest = max(r["size"] for r in rows)
             assert len(by) == 16 and max(sizes) - min(sizes) <= 2 * largest
-    assert sh.shard_documents(some, target_bytes=100_000).agg(F.max("shard")).first()[0] >= 3
+
+
+@pytest.mark.parametrize("target", [100_000, 4_000])
+def test_leaves_reach_the_target(spark, some, target):
+    rows = sh.shard_documents(some, target_bytes=target).select("shard", "slot", sh.size_of(F.col("text")).alias("size")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    assert len(rows) == some.count() and sorted(by) == list(range(len(by)))
+    assert all(sum(r["size"] for r in rs) <= target or len(rs) == 1 for rs in by.values())
+    assert len(by) <= 2.5 * sum(r["size"] for r in rows) / target + sum(r["size"] > target / 2 for r in rows)
+    assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in by.values())
+
+
+def test_thousands_of_leaves(spark):
+    frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50 + 20).cast("int")).alias("text"), F.lit("en").alias("lang"))
+    sizes = [r["s"] for r in sh.shard_documents(frame, target_bytes=100).groupBy("shard").agg(F.sum(sh.size_of(F.col("text"))).alias("s")).collect()]
+    assert len(sizes) >= 2000 and max(sizes) <= 100
+
+
+def test_repeated_rows_still_split(spark):
+    rows = [(7, "the same text " * 4, "en", "s")] * 600 + [(i, f"text number {i} " * 5, "de", "t") for i in range(1000, 1600)] + [(None, None, None, None)] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = sh.shard_documents(frame, n_shards=8).select("shard", "slot", sh.size_of(F.col("text")).alias("size")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    sizes = [sum(r["size"] for r in rs) for rs in by.values()]
+    assert len(got) == len(rows) and len(sizes) == 8 and max(sizes) <= 1.1 * min(sizes)
+    assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in by.values())
 
 
 def test_hot_metadata_still_splits(spark):

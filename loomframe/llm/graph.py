@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize
+from loomframe.llm.common import materialize, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,14 +24,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select("v", "u"))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = materialize(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
+            both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
             "large",
         )
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        fresh = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(edges, first, large, least)
+        edges = fresh
         last, mark = mark, _mark(edges)
         if last == mark:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -10,12 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialize, table, text_or_empty
+from loomframe.llm.common import materialize, release, table, text_or_empty
 from loomframe.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
+GRIDS = (4, 2, 1)  # bits a segment
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 
@@ -48,20 +50,29 @@ def fingerprint(text: Column) -> Column:
     return udf(text_or_empty(text).cast("binary"))
 
 
-def popcount_cell(fp: Column) -> Column:
-    """The bit counts of the 16 four-bit segments, packed into a long, four bits each."""
+def popcount_cell(fp: Column, width: int) -> Column:
+    """The bit counts of the segments of ``width`` bits (4, 2 or 1), packed into a long, ``width`` bits each."""
+    if width == 1:
+        return fp
     low, half = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
     # two-bit counts: without a carry out of the long, which ANSI arithmetic would refuse
     pairs = fp.bitwiseXOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
+    if width == 2:
+        return pairs
     return pairs.bitwiseAND(F.lit(0x3333333333333333)) + F.shiftrightunsigned(pairs, 2).bitwiseAND(F.lit(0x3333333333333333))
 
 
-def _near_cells(cell: Column) -> Column:
+def _near_cells(cell: Column, width: int) -> Column:
     """The cell and all cells one step from it in Manhattan distance."""
-    steps = [cell]
-    for s in range(16):
-        count = F.shiftrightunsigned(cell, 4 * s).bitwiseAND(F.lit(15))
-        steps += [F.when(count < 4, cell + F.lit(1 << 4 * s)), F.when(count > 0, cell - F.lit(1 << 4 * s))]
+    steps, mask = [cell], (1 << width) - 1
+    if width == 1:
+        steps += [cell.bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)]
+        return F.array(*steps)
+    for s in range(0, 64, width):
+        count = F.shiftrightunsigned(cell, s).bitwiseAND(F.lit(mask))
+        others = mask << s ^ (1 << 64) - 1
+        without = cell.bitwiseAND(F.lit(others - (others >> 63 << 64)))
+        steps += [F.when(count < width, without.bitwiseOR(F.shiftleft(count + 1, s))), F.when(count > 0, without.bitwiseOR(F.shiftleft(count - 1, s)))]
     return F.filter(F.array(*steps), lambda c: c.isNotNull())
 
 
@@ -70,27 +81,26 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
     The Manhattan distance of the segments' bit counts is at most the Hamming distance, so fingerprints within two bits lie
     within two steps on the grid of count vectors and so share a cell that is at most one step from either. A cell of two
-    gives a pair, verified by its differing bits. Fingerprints of cells with more members are linked exactly without
-    pairing: each goes to itself and its 64 one-bit neighbours; those that meet at such a point (65 at most) are within
-    two bits of each other, and each is linked to the smallest. Links that follow from others are not all listed.
+    gives a pair, verified by its differing bits. Fingerprints of cells with more members are joined again on a finer grid:
+    first 16 segments, then 32, then 64. On the finest a cell is a fingerprint and its members, 65 at most, lie within one
+    bit of it, so any two of them are within two bits, and each is linked to the smallest. That is exact, emits no pairs of
+    a crowd, and has no caps. Links that follow from others are not all listed.
     """
-    spread = nodes.select("fp", F.explode(_near_cells(popcount_cell(F.col("fp")))).alias("cell"))
-    cells = materialize(
-        spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"),
-        "cells",
-    )
-    pairs = cells.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE).select("u", "v")
-    crowd = spread.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    points = [F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)) for b in range(64)]]
-    met = (
-        crowd.select("fp", F.explode(F.array(*points)).alias("bit"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
-        .groupBy("point")
-        .agg(F.collect_set("fp").alias("fps"))
-        .where(F.size("fps") > 1)
-    )
-    stars = met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v")
-    return pairs.union(stars).distinct()
+    found, used, left = [], [], nodes.select("fp")
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE
+    for width in GRIDS[:-1]:
+        spread = left.select("fp", F.explode(_near_cells(popcount_cell(F.col("fp"), width), width)).alias("cell"))
+        cells = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
+        cells = materialize(cells, f"cells-{width}")
+        found.append(cells.where("n = 2").where(near).select("u", "v"))
+        left = materialize(spread.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct(), "crowd")
+        used += [cells, left]
+    spread = left.select("fp", F.explode(_near_cells(F.col("fp"), 1)).alias("cell"))
+    met = spread.groupBy("cell").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v").where(near)
+    links = materialize(reduce(DataFrame.union, [*found, stars]).distinct(), "links")
+    release(*used)
+    return links
 
 
 def components_of(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -100,7 +110,9 @@ def components_of(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = rooted.where("fp <> root").select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return materialize(linked.union(smallest.select(F.col("root").alias("fp"), "component_id")), "components")
+    told = materialize(linked.union(smallest.select(F.col("root").alias("fp"), "component_id")), "components")
+    release(nodes, roots)
+    return told
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,6 +150,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select("head.__key", "head.__hash")
     )
     kept = materialize(kept, "kept")
+    release(prints, heads, roots)
     return (
         docs.withColumns({"__key": key, "__hash": text_hash})
         .join(kept, ["__key", "__hash"], "left_semi")

@@ -158,10 +158,10 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text_col: str = "text",
     """Where ``phrases(phrase)`` stand in the documents: ``(h1, h2, phrase, start, n, kind)``, n words from word ``start``.
 
     Every phrase is looked up by its two rarest terms in the corpus. Their posting lists, moved by the terms' offsets, are
-    intersected; what is left is compared with the words that the rarest term's postings carry: ``exact``. With ``slop``,
-    places where the two moved positions differ by 1 to ``slop``, or agree without an exact match, are compared as well: ``near`` is a shortest run
-    of words with all of the phrase's words in their order and 1 to ``slop`` others between them. Phrases with a term
-    that the corpus lacks are dropped at once.
+    intersected: what is left has both terms within ``slop`` words of where the phrase has them. It is compared with the words
+    that the rarest term's postings carry: ``exact`` is the phrase itself, ``near`` a shortest run of words with all of the
+    phrase's words in their order and 1 to ``slop`` others between them. Phrases with a term that the corpus lacks are
+    dropped at once.
     """
     words = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
     counts = materialize(term_counts(docs, words.select("term").distinct(), text_col), "term-counts")
@@ -172,28 +172,37 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text_col: str = "text",
         .where("least > 0")
         .withColumn("rank", F.row_number().over(own.orderBy("c", "term", "off")))
     )
-    anchors = materialize(ranked.where("rank <= 2").select("phrase", "off", "term", F.col("n").cast("int").alias("n"), "rank"), "anchors")
-    first = F.col("rank") == 1
-    reach = lambda c: F.coalesce(F.max(F.when(first, c + slop)), F.lit(0)).cast("int")
-    needed = anchors.groupBy("term").agg(reach(F.col("off")).alias("back"), reach(F.col("n") - 1 - F.col("off")).alias("ahead"))
+    two = ranked.where("rank <= 2").groupBy("phrase", F.col("n").cast("int").alias("n"))
+    pick = lambda c, rank: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    anchors = two.agg(pick("term", 1).alias("term"), pick("off", 1).alias("off"), pick("term", 2).alias("term2"), pick("off", 2).alias("off2"))
+    anchors = materialize(anchors, "anchors")
+    own_reach = anchors.select("term", (F.col("off") + slop).alias("back"), (F.col("n") - 1 - F.col("off") + slop).alias("ahead"))
+    others = anchors.where("term2 is not null").select(F.col("term2").alias("term"), F.lit(0).alias("back"), F.lit(0).alias("ahead"))
+    needed = own_reach.union(others).groupBy("term").agg(F.max("back").cast("int").alias("back"), F.max("ahead").cast("int").alias("ahead"))
     index = materialize(postings(docs, needed, text_col), "postings")
-    moved = index.join(anchors, "term").withColumn("start", F.col("pos") - F.col("off"))
-    rarest = moved.where(first).select("h1", "h2", "phrase", "start", "n", "off", "pos", "before", "near")
-    second = moved.where("rank = 2").select("h1", "h2", "phrase", "start")
+    moved = index.join(anchors.drop("off2"), "term").withColumn("start", F.col("pos") - F.col("off"))
+    padded = F.concat(F.lit(" "), "near", F.lit(" "))
+    likely = F.col("term2").isNull() | F.contains(padded, F.concat(F.lit(" "), "term2", F.lit(" ")))
+    # Written, so that Spark knows how few they are before it moves the other lists.
+    rarest = materialize(moved.where(likely).select("h1", "h2", "phrase", "start", "n", "off", "pos", "before", "near"), "rarest")
+    other = index.select("h1", "h2", F.col("term").alias("term2"), "pos").join(anchors.select("phrase", "term2", "off2"), "term2")
+    other = other.select("h1", "h2", "phrase", (F.col("pos") - F.col("off2")).alias("other"))
+    step = slop + 1
+    around = [F.floor(F.col("start") / step) + d for d in ((-1, 0, 1) if slop else (0,))]
+    left = rarest.where("n > 1").withColumn("cell", F.explode(F.array(*around)))
+    right = other.withColumn("cell", F.floor(F.col("other") / step))
+    key = ["h1", "h2", "phrase", "cell"]
+    close = (F.abs(left["start"] - right["other"]) <= slop) & reduce(Column.__and__, [left[c] == right[c] for c in key])
+    met = left.join(right, close, "left_semi").drop("cell").distinct()
     words_here = F.array_join(F.slice(F.split("near", " "), F.col("before") - F.col("off") + 1, "n"), " ")
     same = F.when((F.col("before") >= F.col("off")) & (F.col("start") >= 0), words_here == F.col("phrase"))
-    both = rarest.where("n > 1").join(second, ["h1", "h2", "phrase", "start"], "left_semi")
-    alone = rarest.where("n = 1")
-    exact = both.union(alone).where(same).select("h1", "h2", "phrase", "start", "n", F.lit("exact").alias("kind")).distinct()
-    release(counts)
+    told = met.union(rarest.where("n = 1")).withColumn("same", F.coalesce(same, F.lit(False)))
+    told = materialize(told, "intersection")
+    exact = told.where("same").select("h1", "h2", "phrase", "start", "n", F.lit("exact").alias("kind"))
+    release(counts, anchors, index, rarest)
     if not slop:
         return exact
-    step = slop + 1
-    left = rarest.where("n > 1").where(~F.coalesce(same, F.lit(False))).withColumn("cell", F.floor(F.col("start") / step))
-    cells = F.explode(F.array(*[F.floor(F.col("start") / step) + d for d in (-1, 0, 1)])).alias("cell")
-    right = second.select("h1", "h2", "phrase", F.col("start").alias("other"), cells)
-    met = left.join(right, ["h1", "h2", "phrase", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    near = _verified(met.select("h1", "h2", "phrase", "off", "pos", "before", "near").distinct(), slop).distinct()
+    near = _verified(told.where("not same and n > 1").select("h1", "h2", "phrase", "off", "pos", "before", "near"), slop).distinct()
     return exact.union(near.withColumn("kind", F.lit("near")))
 
 

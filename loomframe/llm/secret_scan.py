@@ -11,10 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.functions.text import let
 from loomframe.llm.common import materialize, table, text_or_empty
 
 MAX_ALTERNATIVES = 64
 MASK_BITS = 62
+SPAN_BLOCK = 256
+KEY = "__loomframe_key"
 
 
 @dataclass(frozen=True)
@@ -121,27 +124,58 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> tuple
     return materialize(met.where(reduce(Column.__or__, [F.col(f) for f in ways])), "secret-candidates"), flags
 
 
+def _no_spans() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
+
+
 def _spans(rule: Rule, no: int, text: Column) -> Column:
     """array<struct<start, kind, stop>> of a rule's counting matches, in code points.
 
-    The pieces between matches and the matches themselves give the positions: each starts where all before it end.
+    The pieces between matches and the matches themselves give the positions: each starts where all before it end. Lengths
+    are summed block by block, so that a text with very many matches does not copy a growing array for each of them.
     """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
+    pieces = F.split(text, rule.pattern)
+
+    def lengths(found: Column) -> Column:
+        gaps = F.transform(F.slice(found["pieces"], F.lit(1), F.size(found["matches"])), lambda p: F.length(p))
+        sizes = F.transform(found["matches"], lambda m: F.length(m))
+        counts = F.transform(found["values"], lambda v: F.length(v) >= rule.least)
+        return F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), counts.alias("counts"))
+
+    def placed(rows: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / SPAN_BLOCK).cast("int"))
+        block = lambda b: F.slice(rows, b * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))
+        total = lambda b: F.aggregate(block(b), F.lit(0), lambda at, x: at + x["gap"] + x["size"])
+        none_yet = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        run = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+        starts = F.aggregate(F.transform(blocks, total), none_yet, run)["starts"]
+
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            stop = start + x["size"]
+            one = F.array(F.struct(start.alias("start"), F.lit(no).alias("kind"), stop.alias("stop")))
+            return F.struct(stop.alias("at"), F.when(x["counts"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        stop = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), F.lit(no).alias("kind"), stop.alias("stop")))
-        counts = F.length(x["value"]) >= rule.least
-        return F.struct(stop.alias("at"), F.when(counts, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), F.struct(F.get(at, b).alias("at"), _no_spans().alias("spans")), add)["spans"])))
 
-    pieces = F.slice(F.split(text, rule.pattern), F.lit(1), F.size(matches))
-    zipped = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), values.alias("value"))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), add)["spans"]
-    return F.when(F.regexp_like(text, pattern), walked).otherwise(none)
+    found = F.struct(pieces.alias("pieces"), matches.alias("matches"), values.alias("values"))
+    return F.when(F.regexp_like(text, pattern), let(let(found, lengths), placed)).otherwise(_no_spans())
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, added: str) -> DataFrame:
+    """``docs`` plus the spans as ``added``; private names otherwise."""
+    found, flags = candidates(docs.select(text_col), rules, text_col)
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col(text_col)))
+    if found is not None:
+        keyed = keyed.join(found.select(F.col("key").alias(KEY), *[F.col(f).alias(f"{KEY}_{f}") for f in found.columns if f != "key"]), KEY, "left")
+    text, parts = text_or_empty(F.col(text_col)), []
+    for no, rule in enumerate(rules):
+        spans = _spans(rule, no, text)
+        parts.append(spans if flags[rule.name] is None else F.when(F.col(f"{KEY}_{flags[rule.name]}"), spans).otherwise(_no_spans()))
+    return keyed.select(*docs.columns, F.array_sort(F.concat(*parts)).alias(added))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text") -> DataFrame:
@@ -151,17 +185,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_col
     trigrams read only the texts that the index returns; the others read every text. Null and empty texts have no spans.
     A column of this name is replaced; all others stay, and repeated rows stay repeated.
     """
-    rest = docs.drop("secret_spans")
-    found, flags = candidates(docs.select(text_col), rules, text_col)
-    keyed = rest.withColumn("__key", F.xxhash64(F.col(text_col)))
-    if found is not None:
-        keyed = keyed.join(found.withColumnRenamed("key", "__key"), "__key", "left")
-    text, parts = text_or_empty(F.col(text_col)), []
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
-    for no, rule in enumerate(rules):
-        spans = _spans(rule, no, text)
-        parts.append(spans if flags[rule.name] is None else F.when(F.col(flags[rule.name]), spans).otherwise(none))
-    return keyed.select(*rest.columns, F.array_sort(F.concat(*parts)).alias("secret_spans"))
+    return _scanned(docs.drop("secret_spans"), rules, text_col, "secret_spans")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +201,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every span of ``scan_secrets`` (overlaps merged from the left) replaced by ``mark``."""
-    found = scan_secrets(docs, rules, text_col)
+    """``docs`` with every span of ``scan_secrets`` (overlaps merged from the left) replaced by ``mark``; null texts stay null."""
+    spans = f"{KEY}_spans"
+    found = _scanned(docs, rules, text_col, spans)
 
     def cut(acc: Column, s: Column) -> Column:
         kept = F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"])
@@ -189,10 +214,11 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_c
         )
 
     rest = F.aggregate(
-        "secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
     )
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, rest).otherwise(F.col(text_col))).drop("secret_spans")
+    clean = F.when(F.size(spans) > 0, rest).otherwise(F.col(text_col))
+    return found.withColumn(text_col, clean).select(*docs.columns)
 
 
 _ASSIGN_SQL = (

@@ -327,19 +327,25 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return spans
 
 
+def _spanned(docs: DataFrame, text_col: str, added: str) -> DataFrame:
+    """``docs`` plus the runs of each text as ``added``; private names otherwise."""
+    spans = repeated_spans(docs, text_col)
+    keyed = docs.withColumn("__loomframe_text", text_or_empty(F.col(text_col)))
+    keyed = keyed.withColumns(dict(zip(("__loomframe_h1", "__loomframe_h2"), text_keys("__loomframe_text")))).drop("__loomframe_text")
+    match = (keyed["__loomframe_h1"] == spans["h1"]) & (keyed["__loomframe_h2"] == spans["h2"])
+    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
+    return keyed.join(spans.withColumnRenamed("spans", "__loomframe_spans"), match, "left").select(
+        *[keyed[c] for c in docs.columns], F.coalesce("__loomframe_spans", none).alias(added)
+    )
+
+
 def with_repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``repeated``: array<struct<start, stop>>, byte runs of the whole UTF-8 text, in order.
 
     Null texts count as empty; texts below 200 bytes have no runs. Repeated rows match each other, so they are covered as
     a whole. A column of this name is replaced.
     """
-    rest = docs.drop("repeated")
-    spans = repeated_spans(rest, text_col)
-    keyed = rest.withColumn("__text", text_or_empty(F.col(text_col)))
-    keyed = keyed.withColumns(dict(zip(("__h1", "__h2"), text_keys("__text")))).drop("__text")
-    match = (keyed["__h1"] == spans["h1"]) & (keyed["__h2"] == spans["h2"])
-    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    return keyed.join(spans, match, "left").select(*rest.columns, F.coalesce("spans", none).alias("repeated"))
+    return _spanned(docs.drop("repeated"), text_col, "repeated")
 
 
 def kept_bytes(text: bytes, spans) -> bytes:
@@ -361,9 +367,10 @@ def _kept(digest: bool, kind: str):
 
 def drop_repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated runs cut out of the texts; bytes of a character cut in two are dropped as well."""
-    found = with_repeated_spans(docs, text_col)
-    cut = _kept(False, "string")(text_or_empty(F.col(text_col)).cast("binary"), F.col("repeated"))
-    return found.withColumn(text_col, F.when(F.size("repeated") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    spans = "__loomframe_repeated"
+    found = _spanned(docs, text_col, spans)
+    cut = _kept(False, "string")(text_or_empty(F.col(text_col)).cast("binary"), F.col(spans))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,16 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import is_held_out, is_learnable, table
+from loomframe.llm.common import is_held_out, is_learnable, materialize, release, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 5
 EVIDENCE_WORDS = 20
-CACHE_WORDS = 200_000
+CACHE_BYTES = 32 << 20
 
 
 def words_of(text: str) -> Counter:
@@ -30,6 +31,11 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def key_of(gram: str) -> int:
+    """The gram's xxhash64 as Spark has it, unsigned."""
+    return xxhash.xxh64_intdigest(gram.encode(), 42)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
@@ -46,37 +52,61 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams in each language, in plain dicts; small enough to broadcast by its bounds.
+    """Log frequencies of words and n-grams, in sparse rows: a gram's hash, and the languages that have it.
 
     What a language lacks costs the same in all languages, a tenth of one occurrence in the language with most to learn
     from: a floor of its own would favour a language for having been learned from little.
     """
 
     def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
-        """counts: (lang, n, gram, c); n is 0 for whole words."""
+        """counts: (lang, n, key, c), key being ``key_of`` the gram as a signed number; n is 0 for whole words."""
         self.langs = langs
-        self.index: list[dict[str, int]] = []
+        self.keys: list[np.ndarray] = []  # sorted, by order n
+        self.first: list[np.ndarray] = []  # where each key's entries begin
+        self.at: list[np.ndarray] = []  # an entry's language
         self.logs: list[np.ndarray] = []
+        self.floor: list[float] = []
+        number = {lang: i for i, lang in enumerate(langs)}
         for n in range(MAX_GRAM + 1):
             own = counts[counts["n"] == n]
-            codes, grams = pd.factorize(own["gram"])
+            key = own["key"].to_numpy(np.int64).view(np.uint64)
+            at = np.array([number[x] for x in own["lang"]], np.int64)
             total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
-            logs = np.full((len(grams), len(langs)), np.log10(0.1 / total.max(initial=1)), np.float32)
-            at = np.array([langs.index(lang) for lang in own["lang"]], np.int64)
-            logs[codes, at] = np.log10(own["c"].to_numpy(np.float64) / total[at]) if len(own) else 0
-            self.index.append({g: i for i, g in enumerate(grams)})
-            self.logs.append(logs)
+            order = np.lexsort((at, key))
+            key, at = key[order], at[order]
+            keys, first = np.unique(key, return_index=True)
+            self.keys.append(keys)
+            self.first.append(np.append(first, len(key)).astype(np.int64))
+            self.at.append(at.astype(np.int32))
+            self.logs.append(np.log10(own["c"].to_numpy(np.float64)[order] / total[at]).astype(np.float32) if len(at) else np.zeros(0, np.float32))
+            self.floor.append(float(np.log10(0.1 / total.max(initial=1))))
         self.cache: dict[str, np.ndarray | None] = {}
+        self.cached = max(1000, CACHE_BYTES // (8 * max(1, len(langs))))
+
+    def rows(self, n: int, grams: list[str]) -> list[int]:
+        """Which rows of order n the grams have; those without are left out."""
+        keys = self.keys[n]
+        if not len(keys):
+            return []
+        wanted = np.array([key_of(g) for g in grams], np.uint64)
+        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return found[keys[found] == wanted].tolist()
+
+    def log_of(self, n: int, rows: list[int]) -> np.ndarray:
+        """The mean log frequency of rows of order n in every language."""
+        out = np.zeros(len(self.langs))
+        for r in rows:
+            span = slice(self.first[n][r], self.first[n][r + 1])
+            out[self.at[n][span]] += self.logs[n][span] - self.floor[n]
+        return out / max(1, len(rows)) + self.floor[n]
 
     def _word(self, word: str) -> np.ndarray | None:
-        i = self.index[0].get(word)
-        if i is not None:
-            return self.logs[0][i]
+        if known := self.rows(0, [word]):
+            return self.log_of(0, known)
         for n in range(MAX_GRAM, 0, -1):
-            grams = [g for g in grams_of(word, n) if g in self.index[n]]
-            if set(grams) - {" "}:  # a word's edge alone says nothing
-                known = [self.index[n][g] for g in grams]
-                return self.logs[n][known].mean(axis=0)
+            grams = [g for g in grams_of(word, n) if g != " "]  # a word's edge alone says nothing
+            if self.rows(n, grams):
+                return self.log_of(n, self.rows(n, grams_of(word, n)))
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -90,7 +120,7 @@ class LanguageModel:
             if w in self.cache:
                 v = self.cache[w]
             else:
-                if len(self.cache) >= CACHE_WORDS:
+                if len(self.cache) >= self.cached:
                     self.cache.clear()
                 v = self.cache[w] = self._word(w)
             if v is not None:
@@ -101,7 +131,7 @@ class LanguageModel:
         if not vectors:  # letters of no language learned: all are as likely
             return self.langs[0], 1.0 / len(self.langs), False
         weight = np.array(weights, np.float64)
-        mean = (weight[:, None] * np.array(vectors, np.float64)).sum(axis=0) / weight.sum()
+        mean = weight @ np.array(vectors) / weight.sum()
         odds = np.exp((mean - mean.max()) * math.log(10) * min(EVIDENCE_WORDS, weight.sum()))
         best = int(np.argmax(mean))
         return self.langs[best], float(odds[best] / odds.sum()), True
@@ -113,43 +143,37 @@ def fit_language_model(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_lang: int = 2000,
-    max_words: int = 20_000,
-    max_grams: int = 20_000,
+    max_rows: int = 100_000,
+    max_entries: int = 4_000_000,
 ) -> LanguageModel:
     """Fit on about ``rows_per_lang`` learnable labelled rows of each language, chosen by a hash of their ids.
 
-    Bounds: the most frequent ``max_words`` words and ``max_grams`` n-grams of each order and language are kept, so the
-    model's size depends on the number of languages alone. Rows without text, label or id are not learned from.
+    Bounds: a sample of at most about ``max_rows`` rows over all languages; every word and n-gram of it is kept. Should that
+    make more than ``max_entries`` (word or n-gram, language) pairs, the sample is halved until it does not, so that what
+    is broadcast, 24 bytes an entry, has a bound. Rows without text, label or id are not learned from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         is_learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    share = F.lit(0.0)
-    for r in rows.groupBy("lang").count().collect():
-        share = F.when(F.col("lang") == r["lang"], rows_per_lang / r["count"]).otherwise(share)
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    wanted = min(rows_per_lang, max_rows / max(1, sizes.count()))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = (
-        rows.where(chance < share)
-        .select("lang", "text")
-        .mapInPandas(_counted, "lang string, n int, gram string, c long")
-        .groupBy("lang", "n", "gram")
-        .agg(F.sum("c").alias("c"))
-    )
-    rank = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
-    total = Window.partitionBy("lang", "n")
-    kept = (
-        counts.select("*", F.row_number().over(rank).alias("k"), F.sum("c").over(total).alias("total"))
-        .where(F.col("k") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-        .select("lang", "n", "gram", "c", "total")
-        .toArrow()
-        .to_pandas()
-    )
-    totals = kept.groupby(["lang", "n"])["total"].first().to_dict()
-    return LanguageModel(sorted(kept["lang"].unique()), kept, totals)
+    counts = None
+    while True:
+        release(counts)
+        sample = rows.join(sizes, "lang").where(chance < wanted / F.col("n")).select("lang", "text")
+        counted = sample.mapInPandas(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", F.xxhash64("gram").alias("key"))
+        counts = materialize(counted.agg(F.sum("c").alias("c")), "language-counts")
+        if counts.count() <= max_entries:
+            break
+        wanted /= 2
+    kept = counts.toArrow().to_pandas()
+    release(counts, sizes)
+    return LanguageModel(sorted(kept["lang"].unique()), kept, kept.groupby(["lang", "n"])["c"].sum().to_dict())
 
 
 def predict_language(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """struct(lang, score, known) of a text: ``und``, 0 and false for null or letterless texts."""
+    """struct(lang, score, known) of a text: ``und``, 0 and false for null, empty or letterless texts; ties go to the first language in order."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, known boolean")
@@ -172,8 +196,8 @@ def identify_languages(
     """
     model = fit_language_model(docs, id_col, text_col, lang_col, **bounds)
     rest = docs.drop("lang_pred", "lang_score")
-    found = rest.withColumn("__p", predict_language(docs.sparkSession, model, F.col(text_col)))
-    return found.select(*rest.columns, F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("lang_score"))
+    found = rest.withColumn("__loomframe_pick", predict_language(docs.sparkSession, model, F.col(text_col)))
+    return found.select(*rest.columns, F.col("__loomframe_pick.lang").alias("lang_pred"), F.col("__loomframe_pick.score").alias("lang_score"))
 
 
 def drop_unidentified(
@@ -186,8 +210,8 @@ def drop_unidentified(
     """
     model = fit_language_model(docs, id_col, text_col, lang_col, **bounds)
     pick = predict_language(docs.sparkSession, model, F.col(text_col))
-    found = docs.withColumn("__p", pick)
-    return found.where(F.col("__p.known") & (F.col("__p.score") >= min_score)).select(*docs.columns)
+    found = docs.withColumn("__loomframe_pick", pick)
+    return found.where(F.col("__loomframe_pick.known") & (F.col("__loomframe_pick.score") >= min_score)).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import defaultdict
 
 import pandas as pd
@@ -59,6 +60,13 @@ def test_secrets_by_hand(docs):
     assert clean == '<secret>" token=short é <secret> <secret>'
 
 
+def test_very_many_secrets(spark):
+    text = "é " + " ".join(f"{i:016x} password={i:012d}" for i in range(3000))
+    found = ss.scan_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()["secret_spans"]
+    assert len(found) == 6000 and [text[s["start"] : s["stop"]] for s in found[:2]] == ["0" * 16, "password=000000000000"]
+    assert text[found[-1]["start"] : found[-1]["stop"]] == "password=000000002999"
+
+
 def test_trigram_queries():
     assert ss.trigram_query("abcd") == [frozenset({"abc", "bcd"})]
     assert ss.trigram_query("(?:abc|xyz)+q") == [frozenset({"abc"}), frozenset({"xyz"})]
@@ -87,13 +95,63 @@ def test_language_id_learns_no_held_out_rows(some):
     assert a == b
 
 
+def language_counts(rows):
+    counts = pd.DataFrame(rows, columns=["lang", "n", "gram", "c"])
+    return counts.assign(key=[k - (k >> 63 << 64) for k in map(li.key_of, counts["gram"])])
+
+
 def test_backoff_of_unseen_words():
-    counts = pd.DataFrame([("aa", 0, "foo", 5), ("bb", 0, "bar", 5), ("aa", 2, "xq", 3), ("bb", 1, "z", 2)], columns=["lang", "n", "gram", "c"])
+    counts = language_counts([("aa", 0, "foo", 5), ("bb", 0, "bar", 5), ("aa", 2, "xq", 3), ("bb", 1, "z", 2)])
     model = li.LanguageModel(["aa", "bb"], counts, {("aa", 0): 5, ("bb", 0): 5, ("aa", 2): 3, ("bb", 1): 2})
     assert model.predict("foo")[0] == "aa" and model.predict("axqa")[0] == "aa" and model.predict("zzz")[0] == "bb"
     assert model.predict("ккк")[0] == "aa" and model.predict("12 !")[0] == "und"
 
 
+def plain_language_scores(rows, texts):
+    """Dense dictionaries of all words and n-grams, no hashes: the languages' means of each text."""
+    langs = sorted({lang for lang, _ in rows})
+    counts = [defaultdict(int) for _ in range(6)]
+    for lang, text in rows:
+        for w, c in li.words_of(text).items():
+            for n in range(6):
+                for g in [w] if n == 0 else li.grams_of(w, n):
+                    counts[n][lang, g] += c
+    totals = [{x: sum(c for (lang, _), c in counts[n].items() if lang == x) for x in langs} for n in range(6)]
+    known = [{g for _, g in counts[n]} for n in range(6)]
+    log = lambda n, lang, g: math.log10(counts[n][lang, g] / totals[n][lang] if (lang, g) in counts[n] else 0.1 / max(totals[n].values()))
+    out = []
+    for text in texts:
+        sums, weight = dict.fromkeys(langs, 0.0), 0
+        for w, c in li.words_of(text).items():
+            n, grams = 0, [w] if w in known[0] else []
+            for n in (0,) if grams else range(5, 0, -1):
+                grams = grams or [g for g in li.grams_of(w, n) if g in known[n]]
+                if set(grams) - {" "}:
+                    break
+                grams = []
+            if grams:
+                weight += c
+                for x in langs:
+                    sums[x] += c * sum(log(n, x, g) for g in grams) / len(grams)
+        out.append(max(langs, key=lambda x: (sums[x], [-ord(ch) for ch in x])) if weight else langs[0])
+    return out
+
+
+def test_language_id_against_plain_dictionaries(some):
+    rows = some.where("text is not null and lang is not null").select("doc_id", "lang", "text").orderBy("doc_id").collect()
+    learn = [(r["lang"], r["text"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify_languages(some).select("doc_id", "lang_pred").collect()}
+    lettered = [r for r in rows if li.words_of(r["text"])][:60]
+    want = plain_language_scores(learn, [r["text"] for r in lettered])
+    assert [got[r["doc_id"]] for r in lettered] == want
+
+
+def test_many_labels_make_no_large_plan(spark):
+    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("lang"), F.col("id").cast("string")).alias("lang"), F.lit("some words here").alias("text"))
+    assert len(li.fit_language_model(frame, max_rows=200).langs) < 600
+    assert len(li.fit_language_model(frame, max_entries=2000).langs) < 600
+
+
 def test_tokens_add_up(spark, docs):
     found = tc.count_by_section(docs).collect()
     encoding, _ = tc._encoder(open(tc.DEFAULT_RANKS, "rb").read(), tc.SPLIT_PATTERN)
@@ -450,11 +508,11 @@ def test_a_language_of_one_row_takes_no_others(spark, some):
 
 
 def test_floor_does_not_depend_on_the_language():
-    counts = pd.DataFrame([("big", 0, "foo", 90), ("big", 0, "bar", 9910), ("mid", 0, "baz", 10), ("tiny", 0, "qux", 2)], columns=["lang", "n", "gram", "c"])
+    counts = language_counts([("big", 0, "foo", 90), ("big", 0, "bar", 9910), ("mid", 0, "baz", 10), ("tiny", 0, "qux", 2)])
     model = li.LanguageModel(["big", "mid", "tiny"], counts, {("big", 0): 10_000, ("mid", 0): 100, ("tiny", 0): 2})
     assert model.predict("foo baz baz baz foo foo foo foo")[0] == "big"
-    logs = model.logs[0]
-    assert len({float(logs[model.index[0][w]][i]) for w, i in (("foo", 1), ("foo", 2), ("baz", 0), ("baz", 2), ("qux", 0))}) == 1
+    log = lambda w: model.log_of(0, model.rows(0, [w]))
+    assert len({round(float(log(w)[i]), 6) for w, i in (("foo", 1), ("foo", 2), ("baz", 0), ("baz", 2), ("qux", 0))}) == 1
 
 
 def test_stage_keeps_short_texts_of_like_languages(spark):

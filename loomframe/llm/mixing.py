@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import is_learnable, materialize, table, text_or_empty
+from loomframe.functions.text import let
+from loomframe.llm.common import is_learnable, materialize, release, table, text_or_empty
 
 # Domains over the labels table, the first condition that holds counts; and the shares of tokens to reach.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "good": "quality = 1"}
 WEIGHTS = {"toxic": 0.02, "low": 0.08, "good": 0.90}
 N_STATS = 5
+MOST_COPIES = 4.0
+PROFILE_BINS = 4096
+# Private columns, so that those of users stay.
+EVERY, WORDS, STATS, TOKENS, DICE, RATE, COPIES, GAP, P = (
+    f"__loomframe_{x}" for x in ("every", "words", "stats", "tokens", "dice", "rate", "copies", "gap", "p")
+)
 
 
 @dataclass
 class DomainModel:
-    """Multinomial logistic regression over text statistics and the presence of a bounded vocabulary."""
+    """Multinomial logistic regression over text statistics and the presence of words."""
 
     domains: list[str]
     biases: list[float]
@@ -30,8 +39,7 @@ class DomainModel:
     word_weights: list[list[float]]  # by domain, by word
 
     def posteriors(self, words: Column, stats: list[Column]) -> list[Column]:
-        vocabulary = F.lit(self.vocabulary)
-        held = F.transform(F.array_intersect(words, vocabulary), lambda w: F.array_position(vocabulary, w).cast("int"))
+        held = held_words(words, self.vocabulary)
         logits = []
         for k, bias in enumerate(self.biases):
             total = _summed(held, bias, F.lit(self.word_weights[k])) if self.vocabulary else F.lit(bias)
@@ -41,6 +49,20 @@ class DomainModel:
         return [o / reduce(Column.__add__, odds) for o in odds]
 
 
+def held_words(words: Column, vocabulary: list[str]) -> Column:
+    """The numbers, from 1, of the vocabulary's words among ``words``: looked up in a literal hash table, so its size costs nothing."""
+    if not vocabulary:
+        return F.array().cast("array<int>")
+    n = 1 << max(4, (2 * len(vocabulary)).bit_length())
+    table: list[list[int]] = [[] for _ in range(n)]
+    for i, w in enumerate(vocabulary):
+        table[xxhash.xxh64_intdigest(w.encode(), 42) % n].append(i + 1)
+    rows = F.from_json(F.lit(json.dumps(table)), "array<array<int>>")
+    spelled = F.lit(vocabulary)
+    bucket = lambda w: F.get(rows, F.xxhash64(w).bitwiseAND(F.lit(n - 1)).cast("int"))
+    return F.flatten(F.transform(words, lambda w: F.filter(bucket(w), lambda i: F.element_at(spelled, i) == w)))
+
+
 def _summed(held: Column, start: float, gain: Column) -> Column:
     def add(acc: Column, i: Column) -> Column:
         return acc + F.element_at(gain, i)
@@ -49,15 +71,15 @@ def _summed(held: Column, start: float, gain: Column) -> Column:
 
 
 def described(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` plus __words (distinct, lower-cased), __stats (array of N_STATS numbers) and tokens (words)."""
+    """``docs`` plus WORDS (distinct lower-cased runs of letters and digits), STATS (array of N_STATS numbers) and TOKENS (how many words)."""
     text = text_or_empty(F.col(text_col))
-    pieces = F.filter(F.split(F.lower(text), r"[\s.,]+"), lambda w: w != "")
-    split = docs.withColumn("__all", pieces).withColumn("__words", F.array_distinct("__all"))
-    n, distinct = F.size("__all"), F.size("__words")
+    pieces = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = docs.withColumn(EVERY, pieces).withColumn(WORDS, F.array_distinct(EVERY))
+    n, distinct = F.size(EVERY), F.size(WORDS)
     at_least_one = F.greatest(n, F.lit(1))
     marks = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]"))
     stats = [F.log2(n + 1), F.log2(distinct + 1), distinct / at_least_one, F.length(text) / at_least_one, marks / at_least_one]
-    return split.withColumns({"__stats": F.array(*stats), "tokens": n.cast("long")}).drop("__all")
+    return split.withColumns({STATS: F.array(*stats), TOKENS: n.cast("long")}).drop(EVERY)
 
 
 def fit_domains(
@@ -67,89 +89,134 @@ def fit_domains(
     id_col: str,
     text_col: str,
     max_train_rows: int = 6000,
-    vocabulary_size: int = 64,
+    evidence: float = 15.0,
 ) -> DomainModel | None:
     """Fit on about ``max_train_rows`` learnable labelled rows, chosen by a hash of their ids; None without any.
 
-    The vocabulary is made of the words with most mutual information with the domain, ties in order of the words. Several
-    labels of an id all count.
+    The vocabulary is every word of those rows whose presence goes with the domain by a likelihood ratio (G) of at least
+    ``evidence``, however many they are. Several labels of an id all count.
     """
     case = F.lit(None).cast("string")
     for name, condition in reversed(domains.items()):
         case = F.when(F.expr(condition), F.lit(name)).otherwise(case)
-    marks = labels.select(F.col(id_col).alias("__id"), case.alias("__domain")).where(is_learnable(F.col("__id")) & F.col("__domain").isNotNull()).distinct()
+    marks = labels.select(F.col(id_col).alias("id"), case.alias("domain")).where(is_learnable(F.col("id")) & F.col("domain").isNotNull()).distinct()
     share = max_train_rows / max(1, marks.count())
-    chosen = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(chosen), "__id")
-    train = materialize(described(rows, text_col).select("__domain", "__words", "__stats"), "mixing-train")
-    sizes = {r["__domain"]: r["count"] for r in train.groupBy("__domain").count().collect()}
+    chosen = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    train = materialize(described(rows, "text").select("domain", WORDS, STATS), "mixing-train")
+    sizes = {r["domain"]: r["count"] for r in train.groupBy("domain").count().collect()}
     names = [d for d in domains if d in sizes]
     if len(names) < 2:
         return DomainModel(names, [0.0], [[0.0] * N_STATS], [], [[]]) if names else None
     n = sum(sizes.values())
-    with_word = [F.count_if(F.col("__domain") == d).alias(f"n{k}") for k, d in enumerate(names)]
-    words = train.select("__domain", F.explode("__words").alias("word")).groupBy("word").agg(*with_word)
+    with_word = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names)]
+    words = train.select("domain", F.explode(WORDS).alias("word")).groupBy("word").agg(*with_word)
     all_of = reduce(Column.__add__, [F.col(f"n{k}") for k in range(len(names))])
-    info = F.lit(0.0)
+    ratio = F.lit(0.0)
     for k, d in enumerate(names):
         for part, whole in ((F.col(f"n{k}"), all_of), (F.lit(sizes[d]) - F.col(f"n{k}"), F.lit(n) - all_of)):
-            joint = (part + 0.5) / (n + 1.0)
-            info = info + joint * F.log(joint / ((whole + 0.5) / (n + 1.0) * (sizes[d] + 0.5) / (n + 1.0)))
-    vocabulary = [r["word"] for r in words.orderBy(F.desc(info), "word").limit(vocabulary_size).collect()]
+            ratio = ratio + F.when(part > 0, 2.0 * part * F.log(part * F.lit(float(n)) / (whole * F.lit(sizes[d])))).otherwise(0.0)
+    vocabulary = [r["word"] for r in words.where(ratio >= evidence).orderBy("word").select("word").collect()]
     number = F.lit(0)
     for k, d in enumerate(names):
-        number = F.when(F.col("__domain") == d, F.lit(k)).otherwise(number)
-    present = [F.array_contains("__words", w).cast("double") for w in vocabulary]
-    features = F.array(*[F.col("__stats")[j] for j in range(N_STATS)], *present)
-    rows = materialize(train.select(number.cast("double").alias("y"), array_to_vector(features).alias("features")), "mixing-features")
-    fit = LogisticRegression(labelCol="y", family="multinomial", regParam=1e-4, maxIter=80).fit(rows)
+        number = F.when(F.col("domain") == d, F.lit(k)).otherwise(number)
+    present = F.lit([0.0] * 0).cast("array<double>")
+    if vocabulary:
+        present = let(
+            held_words(F.col(WORDS), vocabulary),
+            lambda held: F.transform(F.sequence(F.lit(1), F.lit(len(vocabulary))), lambda j: F.array_contains(held, j).cast("double")),
+        )
+    features = array_to_vector(F.concat(F.col(STATS), present)).alias("features")
+    rows = materialize(train.select(number.cast("double").alias("y"), features), "mixing-features")
+    fit = LogisticRegression(labelCol="y", family="multinomial", regParam=1e-3, maxIter=80).fit(rows)
     weights = fit.coefficientMatrix.toArray()
+    release(train, rows)
     return DomainModel(
         names, [float(x) for x in fit.interceptVector], weights[:, :N_STATS].tolist(), vocabulary, weights[:, N_STATS:].tolist()
     )
 
 
-def rate_expr(posteriors: list[Column], steps: list[list[float]]) -> Column:
-    """The rate after these gradient steps, from 1, projected to be nonnegative after each."""
+def rate_expr(posteriors: list[Column], steps: list[list[float]], most: float = MOST_COPIES) -> Column:
+    """The rate after these gradient steps, from 1, projected to between 0 and ``most`` after each."""
     rate = F.lit(1.0)
     for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - reduce(Column.__add__, [p * F.lit(c) for p, c in zip(posteriors, step)]))
+        moved = rate - reduce(Column.__add__, [p * F.lit(c) for p, c in zip(posteriors, step)])
+        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), moved))
     return rate
 
 
-def fit_rates(profile: DataFrame, n_domains: int, goals: list[float], tolerance: float = 1e-4, max_steps: int = 25) -> list[list[float]]:
-    """Steps of projected gradient descent on the squared distance of expected domain tokens from ``goals`` (tokens).
+def fit_rates(
+    profile: DataFrame, n_domains: int, goals: list[float], tolerance: float = 1e-4, max_steps: int = 25, most: float = MOST_COPIES
+) -> tuple[list[list[float]], float]:
+    """Steps of projected gradient descent on the squared distance of expected domain tokens from ``goals`` (tokens), and the gap left.
+
+    profile: ``(p0.., tokens)``, the token mass of each posterior. A document's rate depends on its posterior alone, so it
+    stays a column expression of the steps so far; each step costs one pass over the profile, which sums a number for each
+    domain and pair of domains. The gradient is scaled by the inverse Gram matrix of the posteriors of documents whose
+    rate is inside its bounds, which makes a few steps enough; a step that does not lessen the distance is halved.
 
-    profile: ``(p0.., tokens)``, the token mass of each distinct posterior. A document's rate depends on its posterior
-    alone, so it stays a column expression of the steps so far; each step costs one pass over the profile, which sums a
-    number for each domain and pair of domains. The gradient is scaled by the inverse Gram matrix of the posteriors of
-    documents whose rate is above zero, which makes a few steps enough; a step that does not lessen the distance is halved.
+    The gap is the largest distance of a domain from its goal as a share of all tokens: above ``tolerance`` the goals
+    cannot be met between rates 0 and ``most``, or not in ``max_steps``; the steps that came nearest are returned. Without
+    tokens there are no steps and no gap.
     """
     ps = [F.col(f"p{k}") for k in range(n_domains)]
     pairs = [(i, j) for i in range(n_domains) for j in range(i, n_domains)]
     total = float(profile.agg(F.sum("tokens")).first()[0] or 0)
     steps: list[list[float]] = []
-    best = float("inf")
+    best, nearest = float("inf"), []
     for _ in range(max_steps if total else 0):
-        rated = profile.withColumn("rate", rate_expr(ps, steps))
-        mass, live = F.col("tokens") / total, F.col("rate") > 0
+        rated = profile.withColumn("rate", rate_expr(ps, steps, most))
+        mass, live = F.col("tokens") / total, (F.col("rate") > 0) & (F.col("rate") < most)
         got = rated.agg(
             *[F.sum(p * mass * F.col("rate")) for p in ps], *[F.sum(F.when(live, ps[i] * ps[j] * mass).otherwise(0.0)) for i, j in pairs]
         ).first()
         residual = np.array([got[k] - goals[k] / total for k in range(n_domains)])
         distance = float(np.abs(residual).max())
-        if distance <= tolerance:
-            break
-        if distance >= best:
+        if distance < best:
+            best, nearest = distance, [list(s) for s in steps]
+        elif steps:
             steps[-1] = [x / 2 for x in steps[-1]]
             continue
-        best = distance
+        if distance <= tolerance:
+            break
         gram = np.zeros((n_domains, n_domains))
         for value, (i, j) in zip(got[n_domains:], pairs):
             gram[i, j] = gram[j, i] = value
         ridge = 1e-9 * max(1e-9, float(np.trace(gram)))
         steps.append([float(x) for x in np.linalg.solve(gram + ridge * np.eye(n_domains), residual)])
-    return steps
+    return nearest, best if total else 0.0
+
+
+def _rated(
+    docs: DataFrame, labels: DataFrame, domains: dict[str, str], weights: dict[str, float], full: str, id_col: str, text_col: str, keep_text: bool
+) -> DataFrame:
+    """``docs`` with TOKENS, RATE, COPIES, GAP and a posterior P + domain for each domain, all under private names."""
+    model = fit_domains(docs, labels, domains, id_col, text_col)
+    spread = described(docs, text_col)
+    names = model.domains if model else []
+    ps = model.posteriors(F.col(WORDS), [F.col(STATS)[j] for j in range(N_STATS)]) if model else []
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    dice = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_or_empty(F.col(text_col))), F.lit(1 << 30)) / float(1 << 30)
+    given = spread.withColumn(P, F.array(*ps)) if ps else spread
+    scored = materialize(given.select(*kept, TOKENS, dice.alias(DICE), *[F.col(P)[k].alias(f"{P}{k}") for k in range(len(names))]), "mixing-scored")
+    own = [F.col(f"{P}{k}") for k in range(len(names))]
+    steps, gap = [], 0.0
+    if names:
+        # Posteriors that agree to 1/PROFILE_BINS are one row of the profile, at the mean of their tokens' posteriors.
+        mass = F.sum(TOKENS)
+        means = [F.coalesce(F.sum(p * F.col(TOKENS)) / F.nullif(mass, F.lit(0)), F.avg(p)).alias(f"p{k}") for k, p in enumerate(own)]
+        cells = [F.floor(p * PROFILE_BINS).alias(f"cell{k}") for k, p in enumerate(own)]
+        profile = materialize(scored.groupBy(*cells).agg(mass.alias("tokens"), *means), "mixing-profile")
+        have = profile.agg(*[F.coalesce(F.sum(F.col(f"p{k}") * F.col("tokens")), F.lit(0.0)) for k in range(len(names))]).first()
+        wanted = sum(weights[d] for d in names)
+        total = have[names.index(full)] * wanted / weights[full] if full in names else sum(have)
+        goals = [min(total * weights[d] / wanted, have[k]) for k, d in enumerate(names)]
+        steps, gap = fit_rates(profile, len(names), goals)
+        release(profile)
+    rated = scored.withColumns({RATE: rate_expr(own, steps), GAP: F.lit(gap)})
+    rated = rated.withColumn(COPIES, F.floor(F.col(RATE) + F.col(DICE)).cast("int"))
+    posterior = [(own[names.index(d)] if d in names else F.lit(0.0)).alias(f"{P}_{d}") for d in domains]
+    return rated.select(*kept, TOKENS, RATE, COPIES, GAP, *posterior)
 
 
 def mix(
@@ -162,48 +229,34 @@ def mix(
     text_col: str = "text",
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` plus ``tokens``, ``p_<domain>``, ``rate`` and ``copies``.
+    """``docs`` plus ``tokens``, ``p_<domain>``, ``rate``, ``copies`` and ``gap``.
 
     The expected tokens of each domain, posterior times tokens times rate, are brought to the weights' shares of a total
-    at which domain ``full`` keeps the tokens that it has. ``copies`` rounds the rate up or down by a hash of the id and
-    text, so that its mean is the rate. Null and empty texts have no tokens and rates by their posterior. Without labels
+    at which domain ``full`` keeps the tokens that it has. A domain with fewer tokens than its share keeps them all instead:
+    none is blown up by repetition, and no rate is above MOST_COPIES. ``copies`` rounds the rate up or down by a hash of the
+    id and text, so that its mean is the rate. ``gap``, the same in all rows, is the largest share of all tokens by which a
+    domain misses its goal. Null and empty texts have no tokens and rates by their posterior. Without labels
     every rate is 1. A domain that no label names has no posterior; if it is ``full``, the total is that of the input.
     Only column expressions run here. Columns of the added names are replaced.
     """
     domains, weights = domains or DOMAINS, weights or WEIGHTS
-    added = ["tokens", "rate", "copies", *[f"p_{d}" for d in domains]]
-    rest = docs.drop(*added)
-    model = fit_domains(rest, labels, domains, id_col, text_col)
-    spread = described(rest, text_col)
-    names = model.domains if model else []
-    if model:
-        ps = model.posteriors(F.col("__words"), [F.col("__stats")[j] for j in range(N_STATS)])
-        spread = spread.withColumn("__p", F.array(*ps))
+    rest = docs.drop("tokens", "rate", "copies", "gap", *[f"p_{d}" for d in domains])
+    rated = _rated(rest, labels, domains, weights, full, id_col, text_col, keep_text)
     kept = [c for c in rest.columns if keep_text or c != text_col]
-    dice = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_or_empty(F.col(text_col))), F.lit(1 << 30)) / float(1 << 30)
-    scored = materialize(
-        spread.select(*kept, "tokens", dice.alias("__dice"), *[F.col("__p")[k].alias(f"__p{k}") for k in range(len(names))]), "mixing-scored"
+    given = [F.col(f"{P}_{d}").alias(f"p_{d}") for d in domains]
+    return rated.select(
+        *kept, F.col(TOKENS).alias("tokens"), *given, F.col(RATE).alias("rate"), F.col(COPIES).alias("copies"), F.col(GAP).alias("gap")
     )
-    steps: list[list[float]] = []
-    if names:
-        profile = materialize(
-            scored.groupBy(*[F.col(f"__p{k}").alias(f"p{k}") for k in range(len(names))]).agg(F.sum("tokens").alias("tokens")), "mixing-profile"
-        )
-        have = profile.agg(*[F.coalesce(F.sum(F.col(f"p{k}") * F.col("tokens")), F.lit(0.0)) for k in range(len(names))]).first()
-        wanted = sum(weights[d] for d in names)
-        total = have[names.index(full)] * wanted / weights[full] if full in names else sum(have)
-        steps = fit_rates(profile, len(names), [total * weights[d] / wanted for d in names])
-    rate = rate_expr([F.col(f"__p{k}") for k in range(len(names))], steps)
-    given = [F.col(f"__p{names.index(d)}").alias(f"p_{d}") if d in names else F.lit(0.0).alias(f"p_{d}") for d in domains]
-    rated = scored.withColumn("rate", rate)
-    copies = F.floor(F.col("rate") + F.col("__dice")).cast("int").alias("copies")
-    return rated.select(*kept, "tokens", *given, "rate", copies)
-
-
-def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated ``copies`` times, so that expected domain shares are the weights."""
-    rated = mix(docs, labels, **options)
-    return rated.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def mixed_documents(
+    docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, weights: dict[str, float] | None = None,
+    full: str = "good", id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with every row repeated ``copies`` times (see ``mix``), so that expected domain shares are the weights; all columns stay as they are."""
+    rated = _rated(docs, labels, domains or DOMAINS, weights or WEIGHTS, full, id_col, text_col, True)
+    repeated = rated.where(F.col(COPIES) > 0).withColumn(DICE, F.explode(F.sequence(F.lit(1), F.col(COPIES))))
+    return repeated.select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,14 +381,38 @@ def test_hot_metadata_still_splits(spark):
 def test_mixing(spark, docs, some):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = mi.mix(some, labels)
+    have = got.agg(*[F.sum(F.col(f"p_{d}") * F.col("tokens")) for d in mi.DOMAINS]).first()
     t = got.agg(*[F.sum(F.col(f"p_{d}") * F.col("tokens") * F.col("rate")) for d in mi.DOMAINS]).first()
-    assert all(abs(x / sum(t) - w) < 0.01 for x, w in zip(t, mi.WEIGHTS.values()))
-    assert not got.where("rate < 0 or copies < 0 or abs(p_toxic + p_low + p_good - 1) > 1e-9").count()
+    goals = [min(have[2] / 0.9 * w, h) for w, h in zip(mi.WEIGHTS.values(), have)]
+    assert all(abs(x - g) < 0.01 * sum(have) for x, g in zip(t, goals))
+    assert not got.where("rate < 0 or copies < 0 or rate > 4 or abs(p_toxic + p_low + p_good - 1) > 1e-9 or gap > 0.01 or gap < 0").count()
     assert not got.where("abs(copies - rate) >= 1").count()
     none = mi.mix(docs, labels.limit(0))
     assert ids(none) == ALL_IDS and {r["rate"] for r in none.collect()} == {1.0}
-    assert mi.mixed_documents(docs, labels.limit(0)).columns == docs.columns
     assert mi.mix(docs.limit(0), labels).count() == 0
+    own = some.withColumns({"tokens": F.lit(777), "rate": F.lit("mine"), "copies": F.lit("c"), "gap": F.lit("g"), "p_good": F.lit("p"), "words": F.lit("w")})
+    mixed = mi.mixed_documents(own, labels)
+    assert mixed.columns == own.columns and {tuple(r) for r in mixed.select("tokens", "rate", "copies", "gap", "p_good", "words").distinct().collect()} == {(777, "mine", "c", "g", "p", "w")}
+    assert mixed.count() == got.agg(F.sum("copies")).first()[0]
+
+
+def test_held_words(spark):
+    vocabulary = [f"w{i}" for i in range(300)] + ["é", "", "it's"]
+    frame = spark.createDataFrame([(["w7", "é", "nothing", "w299", "W7"],), ([],), (["it's"],)], "words array<string>")
+    got = [sorted(vocabulary[i - 1] for i in r[0]) for r in frame.select(mi.held_words(F.col("words"), vocabulary)).collect()]
+    assert got == [["w299", "w7", "é"], [], ["it's"]]
+
+
+def test_posteriors_know_the_held_out_fold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = mi.mix(docs.select("doc_id", "text"), labels, keep_text=False).join(labels, "doc_id").where(li.is_held_out(F.col("doc_id"))).collect()
+    assert area_under_curve([(r["p_toxic"], r["toxic"]) for r in got]) > 0.9
+    assert area_under_curve([(r["p_good"], r["quality"]) for r in got if not r["toxic"]]) > 0.9
+
+
+def area_under_curve(pairs):
+    ones, zeros = ([s for s, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
 
 
 def test_rates_against_numpy(spark):
@@ -399,11 +423,12 @@ def test_rates_against_numpy(spark):
     tokens = rng.integers(1, 500, size=300)
     frame = spark.createDataFrame([(*map(float, a), int(t)) for a, t in zip(p, tokens)], "p0 double, p1 double, p2 double, tokens long")
     goals = [300.0, 5000.0, 30000.0]
-    steps = mi.fit_rates(frame, 3, goals)
+    steps, gap = mi.fit_rates(frame, 3, goals)
     rate = np.ones(300)
     for s in steps:
-        rate = np.maximum(0, rate - p @ np.array(s))
-    assert np.allclose(p.T @ (tokens * rate), goals, atol=2e-4 * tokens.sum())
+        rate = np.clip(rate - p @ np.array(s), 0, mi.MOST_COPIES)
+    assert np.allclose(p.T @ (tokens * rate), goals, atol=2e-4 * tokens.sum()) and gap <= 1e-4
+    assert mi.fit_rates(frame, 3, [1e9, 1e9, 1e9])[1] > 1
 
 
 def brute_repeats(texts):

@@ -254,12 +254,16 @@ def _fitting_buckets(records: DataFrame, found: list[DataFrame], used: list[Data
     """
     fitting = []
     for width in (*WIDTHS, 0):
-        sizes = records.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = records.join(sizes, "key")
-        fitting.append(sized.where(F.col("size") <= BUCKET_RECORDS).drop("size"))
-        crowd = sized.where(F.col("size") > BUCKET_RECORDS)
-        if not width or crowd.isEmpty():
+        # Few keys are that large: so small a table is joined without moving the records.
+        large = materialize_lean(records.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_RECORDS).select("key"), "large-keys")
+        used.append(large)
+        if large.isEmpty():
+            fitting.append(records)
             break
+        fitting.append(records.join(large, "key", "left_anti"))
+        if not width:
+            break
+        crowd = records.join(large, "key", "left_semi")
         parts = materialize_lean(crowd.mapInPandas(_narrow(width), _RECORD), "narrowed")
         alike = parts.groupBy("key", "print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("gram", "whole", "base")).alias("one")).where("n > 1")
         alike = materialize_lean(alike.select("key", "print", F.col("one").alias("__one")), "alike")

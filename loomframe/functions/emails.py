@@ -14,6 +14,8 @@ OBFUSCATED = (
     r"(?i)(" + _LOCAL + r")\s{0,3}(?:\[at\]|\(at\)|\{at\}|\bat\b)\s{0,3}"
     r"((?:[A-Za-z0-9\-]{1,63}\s{0,3}(?:\[dot\]|\(dot\)|\.)\s{0,3}){1,6}[A-Za-z]{2,24})"
 )
+#: Every obfuscated address holds this; it is quick to look for.
+_HIDDEN = r"(?i)(?:[\[({]at[\])}]|\bat\b)\s{0,3}[A-Za-z0-9\-]{1,63}\s{0,3}(?:\[dot\]|\(dot\)|\.)"
 GENERIC_LOCALS = [
     "info", "contact", "webmaster", "admin", "office", "dept", "department", "help", "support", "web",
     "communications", "news", "events", "advising", "undergrad", "grad", "gradinfo", "chair", "dean",
@@ -27,13 +29,18 @@ GENERIC_LOCAL = (
 
 def find_emails(text: Column) -> Column:
     """Addresses of a text, lower-cased, the plain ones first, each once."""
-    t = F.coalesce(text, F.lit(""))
-    plain = F.transform(F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0)), F.lower)
+    return let(F.coalesce(text, F.lit("")), _found)
+
+
+def _found(t: Column) -> Column:
+    none = F.array().cast("array<string>")
+    plain = F.when(F.contains(t, F.lit("@")), F.transform(F.regexp_extract_all(t, F.lit(EMAIL), F.lit(0)), F.lower)).otherwise(none)
     local = F.regexp_extract_all(t, F.lit(OBFUSCATED), F.lit(1))
     domain = F.regexp_extract_all(t, F.lit(OBFUSCATED), F.lit(2))
     dots = lambda d: F.replace(F.regexp_replace(d, r"(?i)\s*(\[dot\]|\(dot\))\s*", "."), F.lit(" "), F.lit(""))
     hidden = F.zip_with(local, domain, lambda a, d: F.lower(F.concat(a, F.lit("@"), dots(d))))
-    return ordered_distinct(F.concat(plain, hidden))
+    hidden = F.when(F.regexp_like(t, F.lit(_HIDDEN)), hidden).otherwise(none)
+    return let(F.concat(plain, hidden), lambda found: F.when(F.size(found) > 1, ordered_distinct(found)).otherwise(found))
 
 
 def is_generic(email: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from functools import cache, reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,16 +35,28 @@ _LETTERS = "A-Za-zÀ-ÿ"
 
 
 @cache
-def _accents() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one letter and marks, and those letters; then the marks themselves."""
-    accented, plain = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions without combining marks: the characters that become one character or none, what the first
+    of them become, and those that become several. Hangul syllables are left to arithmetic."""
+    one, plain, none, several = [], [], [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)):
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code) and base.isalpha():
-            accented.append(chr(code))
+        if base == "":
+            none.append(chr(code))
+        elif len(base) > 1:
+            several[chr(code)] = base
+        elif base != chr(code):
+            one.append(chr(code))
             plain.append(base)
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
-    return "".join(accented + marks), "".join(plain)
+    return "".join(one + none), "".join(plain), several
+
+
+def _char_class(chars) -> str:
+    """A regex class of these characters, neighbours as ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [None, *codes]) if before is None or c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], None]) if after is None or c != after - 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
 
 
 def let(value: Column, use) -> Column:
@@ -60,8 +73,28 @@ def present(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower-cased, without accents."""
-    return F.lower(F.translate(F.coalesce(col, F.lit("")), *_accents()))
+    """Lower-cased compatibility decomposition without combining marks."""
+
+    def folded(t: Column) -> Column:
+        translated, plain, several = _foldings()
+        grown = F.regexp_like(t, F.lit(f"{_char_class(several)}|[\uac00-\ud7a3]"))
+        return F.lower(F.translate(F.when(grown, _expanded(t)).otherwise(t), translated, plain))
+
+    return let(F.coalesce(col, F.lit("")), lambda t: F.when(F.regexp_like(t, F.lit("[^\\x00-\\x7F]")), folded(t)).otherwise(F.lower(t)))
+
+
+def _expanded(t: Column) -> Column:
+    """Every character that decomposes into several, decomposed; the others as they are."""
+    several = _foldings()[2]
+    known, jamo = F.from_json(F.lit(json.dumps(several)), "map<string,string>"), lambda first, n: F.lit([chr(first + i) for i in range(n)])
+
+    def letter(c: Column) -> Column:
+        place = F.ascii(c) - 0xAC00
+        tail = F.when(place % 28 > 0, F.get(jamo(0x11A7, 28), (place % 28).cast("int"))).otherwise("")
+        syllable = F.concat(F.get(jamo(0x1100, 19), F.floor(place / 588).cast("int")), F.get(jamo(0x1161, 21), F.floor(place % 588 / 28).cast("int")), tail)
+        return F.when(F.regexp_like(c, F.lit("[\uac00-\ud7a3]")), syllable).when(F.regexp_like(c, F.lit(_char_class(several))), known[c]).otherwise(c)
+
+    return F.array_join(F.transform(F.split(t, ""), letter), "")
 
 
 def squash(col: Column) -> Column:
@@ -154,7 +187,7 @@ def initials(col: Column) -> Column:
 
 
 def strip_dept(col: Column) -> Column:
-    n = F.regexp_replace(squash(unescape_common(col)), r"\s*&\s*", " and ")
+    n = F.regexp_replace(squash(unescape(col)), r"\s*&\s*", " and ")
     n = F.regexp_replace(n, r"(?iu)^(the\s+)?department of\s+", "")
     return squash(F.regexp_replace(n, r"(?iu)[\s,]+department$", ""))
 
@@ -169,10 +202,45 @@ def norm_unit(col: Column) -> Column:
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
-def unescape_common(col: Column) -> Column:
-    """The entities that ASCII markup needs, and decimal no-break spaces; ``html_unescape`` of sources.html does all."""
-    pairs = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&")]
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, F.coalesce(col, F.lit("")))
+@cache
+def _entities() -> tuple[str, list[int], str]:
+    """Named references and their texts as JSON, the lengths of the names that need no semicolon, and what odd code points stand for."""
+    from html.entities import html5
+
+    odd = {n: chr(n) for n in range(0x80, 0xA0)}
+    for n in odd:
+        try:
+            odd[n] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            pass
+    return json.dumps(html5), sorted({len(k) for k in html5 if not k.endswith(";")}, reverse=True), json.dumps({0: "\ufffd", 0x0D: "\r", **odd})
+
+
+def unescape(col: Column) -> Column:
+    """All HTML character references resolved, named ones with or without their semicolon, and numeric ones, as browsers do."""
+    names, lengths, odd = _entities()
+    known, odd_points = F.from_json(F.lit(names), "map<string,string>"), F.from_json(F.lit(odd), "map<string,string>")
+
+    def char(code: Column) -> Column:
+        outside = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        silent = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        spelled = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(odd_points[code.cast("string")], F.when(outside, "\ufffd").when(silent, "").otherwise(spelled))
+
+    def reference(piece: Column) -> Column:
+        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_extract(piece, r"^#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(F.regexp_like(piece, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        shorter = [F.when(F.length(name) > n, F.concat(known[F.left(name, F.lit(n))], F.substring(piece, n + 1, 1 << 30))) for n in lengths]
+        named = F.coalesce(F.concat(known[name], F.substring(piece, F.length(name) + 1, F.lit(1 << 30))), *shorter, F.concat(F.lit("&"), piece))
+        return F.when(number != "", F.concat(char(code), F.substring(piece, F.length(number) + 1, F.lit(1 << 30)))).otherwise(named)
+
+    def resolved(t: Column) -> Column:
+        pieces = F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(reference(p)))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
+
+    return let(F.coalesce(col, F.lit("")), resolved)
 
 
 def uid(*parts: Column) -> Column:
@@ -212,16 +280,14 @@ def slug_to_phrase(col: Column) -> Column:
 
 
 def ordered_distinct(arr: Column, key=lambda x: x) -> Column:
-    """Elements whose key has not come before, in order."""
-    keyed = F.transform(arr, lambda x: F.struct(x.alias("x"), key(x).alias("k")))
+    """Elements whose key has not come before, in order: sorted by key and place, the first of each key, sorted back by place."""
+    keyed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
 
-    def once(pairs: Column) -> Column:
-        return let(
-            F.transform(pairs, lambda p: p["k"]),
-            lambda keys: F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["x"]),
-        )
+    def once(rows: Column) -> Column:
+        first = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
+        return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
 
-    return let(keyed, once)
+    return let(F.array_sort(keyed), once)
 
 
 def fold_distinct(arr: Column) -> Column:
@@ -236,3 +302,13 @@ def to_csv_line(*cells: Column) -> Column:
     """Every cell quoted, quotes doubled, null as empty."""
     quote = F.lit('"')
     return F.concat_ws(",", *[F.concat(quote, F.replace(F.coalesce(c.cast("string"), F.lit("")), quote, F.lit('""')), quote) for c in cells])
+
+
+def count_text(col: Column) -> Column:
+    """A number with thousands separators; null as 0."""
+    return F.format_number(F.coalesce(col, F.lit(0)), 0)
+
+
+def date_text(col: Column) -> Column:
+    """A moment as 'Oct 10, 2026, 3:04 PM' in the session's time zone; 'Never' where there is none."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(col), "MMM d, yyyy, h:mm a"), F.lit("Never"))

@@ -25,23 +25,38 @@ def url_part(col: Column, part: str) -> Column:
 
 
 def join_url(base: Column, href: Column) -> Column:
-    """``href`` made absolute against ``base``; dot segments in front of a relative path are resolved one by one."""
+    """``href`` made absolute against ``base``; dot segments of its path are resolved, at the root they go nowhere."""
     return let(F.trim(href), lambda h: _joined(base, h))
 
 
+def _resolved(segments: Column) -> Column:
+    """A path of these segments without '.' and '..'."""
+    step = lambda path, s: F.when(s == "..", F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).when(s == ".", path).otherwise(F.concat(path, F.array(s)))
+    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.concat(F.lit("/"), F.regexp_replace(F.array_join(ended, "/"), "^/+", ""))
+
+
 def _joined(base: Column, h: Column) -> Column:
     root = F.concat(url_part(base, "scheme"), F.lit("://"), F.regexp_extract(F.trim(base), r"^[^:]+://([^/?#]*)", 1))
     folder = F.coalesce(F.nullif(F.regexp_extract(url_part(base, "path"), r"^(.*/)", 1), F.lit("")), F.lit("/"))
-    up = F.regexp_replace(folder, r"[^/]+/$", "")
     own_path = F.regexp_extract(F.trim(base), r"^([^?#]*)", 1)
+    own = F.regexp_extract(h, r"^([^?#]*)", 1)
+    tail = F.substring(h, F.length(own) + 1, F.lit(1 << 20))
+
+    def below(segments: Column) -> Column:
+        last = F.size(segments) - 1
+        return F.filter(segments, lambda s, i: (i == 0) | (i == last) | (s != ""))
+
+    absolute = F.concat(root, _resolved(F.split(own, "/")), tail)
+    relative = F.concat(root, let(below(F.split(F.concat(folder, own), "/")), _resolved), tail)
     return (
         F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), h)
         .when(h == "", F.trim(base))
         .when(F.startswith(h, F.lit("//")), F.concat(url_part(base, "scheme"), F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(root, h))
-        .when(F.startswith(h, F.lit("?")), F.concat(own_path, h))
-        .when(F.startswith(h, F.lit("../")), F.concat(root, up, F.substring(h, 4, 1 << 20)))
-        .otherwise(F.concat(root, folder, F.regexp_replace(h, r"^\./", "")))
+        .when(F.startswith(h, F.lit("?")) | F.startswith(h, F.lit("#")), F.concat(own_path, h))
+        .when(F.startswith(h, F.lit("/")), absolute)
+        .otherwise(relative)
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape_common
+from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape
 from loomframe.operators.resolve import few, fix_shared_emails, merge_duplicates, repair_group
 
 # What the clean-up takes for junk, a label, a code, a title or staff.
@@ -60,6 +60,17 @@ STUDENT_JUNK = (
     r"schedule|calendar|resources?|information|credit|unique|degrees?|thesis|dissertation|exams?|defense|advising|seminar|"
     r"travel|funding|opportunit\w+|study|professional|graduate|undergraduate|students?|faculty|staff|program|department)\b"
 )
+# Titles of those who teach, of staff, and bare ranks of the administration, for records that are otherwise empty.
+FACULTY_WORD = (
+    r"(?iu)professor|lecturer|instructor|faculty|scientist|researcher|fellow|emerit|chair|scholar|dean|investigator|clinician|"
+    r"physician|librarian|curator|coach|artist|engineer|specialist in|agent"
+)
+STAFF_TITLE = (
+    r"(?iu)\b(director of (finance|it|operations|development|engagement|communications|admissions|student)|it director|"
+    r"coordinator|manager|administrator|analyst|secretary|accountant|buyer|payroll|human resources|"
+    r"program assistant|office assistant|business manager|fiscal|budget|technician|webmaster|receptionist)\b"
+)
+BARE_STAFF = r"(?iu)^(director|assistant director|associate director|executive director|senior director)\b"
 BUILDING = r"(?iu)\b(hall|building|bldg|center|centre|library|room)\b\s*\d*$"
 SENTENCE = r"(?iu)\b(this|that|who|welcome|congratulations|joined|joins)\b"
 _EDGE = r" \-–—•·|;,"
@@ -118,7 +129,7 @@ def clean_areas(areas: Column, name: Column, own_labels: Column, unit_names: Col
             | F.array_contains(unit_names, f) | like(a, _DEGREE_LINE) | (like(f, _RANK) & (F.size(F.split(f, r"\s+")) <= 5)) | like(f, _FURNITURE)
         )
 
-    trimmed = F.transform(areas, lambda a: strip(squash(unescape_common(a)), _EDGE))
+    trimmed = F.transform(areas, lambda a: strip(squash(unescape(a)), _EDGE))
     return fold_distinct(F.filter(trimmed, good))
 
 
@@ -127,25 +138,25 @@ def clean_teaching(teaching: Column, extra: Column) -> Column:
         loose = (F.size(F.split(t, r"\s+")) > 14) | F.endswith(t, F.lit(":")) | like(t, LABEL_JUNK)
         return F.length(t).between(4, 160) & ~like(t, TEACH_JUNK) & (has_course_code(t) | ~loose)
 
-    trimmed = F.transform(F.concat(teaching, extra), lambda t: strip(squash(unescape_common(t)), _EDGE))
+    trimmed = F.transform(F.concat(teaching, extra), lambda t: strip(squash(unescape(t)), _EDGE))
     return fold_distinct(F.filter(trimmed, good))
 
 
 def clean_extension(extension: Column) -> Column:
-    plain = F.transform(extension, lambda e: squash(unescape_common(e)))
+    plain = F.transform(extension, lambda e: squash(unescape(e)))
     return F.filter(plain, lambda e: (e != "") & ~like(e, TEACH_JUNK) & (F.length(e) < 200))
 
 
 def clean_title(title: Column) -> Column:
     edge = r" ,;:|\-–—"
-    t = strip(F.regexp_replace(squash(unescape_common(title)), r"(?iu)^(affiliations?)\s+", ""), edge)
+    t = strip(F.regexp_replace(squash(unescape(title)), r"(?iu)^(affiliations?)\s+", ""), edge)
     t = strip(F.regexp_replace(t, r"(?iu)\s+\S+(?:\s\S+)?['’]s\s+[\w&]+\s+(?:profile|page|website)(?:\s+page)?\s*$", ""), edge)
     bad = r"(?isu)^.{141}|collection of websites|^:|graduate faculty status|dean'?s office$"
     return let(t, lambda x: F.when(like(x, bad), "").otherwise(x))
 
 
 def clean_summary(summary: Column) -> Column:
-    return F.regexp_replace(squash(unescape_common(summary)), r"(?isu)^Research Departmental Program Areas:.*?Research focus:\s*", "")
+    return F.regexp_replace(squash(unescape(summary)), r"(?isu)^Research Departmental Program Areas:.*?Research focus:\s*", "")
 
 
 def is_not_a_person(name: Column, n_affiliations: Column, title: Column, email: Column) -> Column:
@@ -154,7 +165,8 @@ def is_not_a_person(name: Column, n_affiliations: Column, title: Column, email:
 
 
 def is_staff(title: Column) -> Column:
-    return (title != "") & ~like(title, TITLE) & like(title, STAFF)
+    """A title that speaks of staff or is a bare rank of the administration, without a word of those who teach."""
+    return (title != "") & ~like(title, FACULTY_WORD) & (like(title, STAFF_TITLE) | like(title, BARE_STAFF))
 
 
 def canonical_affiliations(affiliations: Column) -> Column:
@@ -198,7 +210,9 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     units: (ord, name, college), a few thousand rows at most; label_college: (label, group).
     """
     merged = merge_duplicates(canonicalize(records, units))
-    merged = merged.withColumns({c: squash(unescape_common(F.col(c))) for c in ("department", "college", "location", "lab_name")})
+    merged = merged.withColumns({c: squash(unescape(F.col(c))) for c in ("department", "college", "location", "lab_name")})
+    plain = F.transform("affiliations", lambda a: F.struct(squash(unescape(a["college"])).alias("college"), squash(unescape(a["department"])).alias("department")))
+    merged = merged.withColumn("affiliations", plain)
     merged = merged.withColumns({"title": clean_title(F.col("title")), "research_summary": clean_summary(F.col("research_summary"))})
     first = units.groupBy(fold(F.col("name")).alias("label")).agg(F.min_by("college", "ord").alias("group"))
     asked = F.when(F.col("college") == "", F.col("department")).otherwise("")
@@ -222,7 +236,7 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     plain = F.filter("research_areas", lambda a: ~has_course_code(a))
     cleaned = repaired.withColumns({
         "research_areas": clean_areas(plain, F.col("name"), own_labels, unit_names), "teaching": clean_teaching(F.col("teaching"), courses),
-        "extension": clean_extension(F.col("extension")), "roles": F.filter(F.transform("roles", lambda r: squash(unescape_common(r))), lambda r: r != ""),
+        "extension": clean_extension(F.col("extension")), "roles": F.filter(F.transform("roles", lambda r: squash(unescape(r))), lambda r: r != ""),
     })
     person = ~is_not_a_person(F.col("name"), F.size("affiliations"), F.col("title"), F.col("email"))
     idle_staff = is_staff(F.col("title")) & (F.size("research_areas") == 0) & (F.col("google_scholar") == "")

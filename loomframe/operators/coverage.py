@@ -51,7 +51,7 @@ def quality_gate(records: DataFrame, units: DataFrame, declared: int | None = No
     least = {**GATES, **(least or {})}
     r = records.agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("id").alias("ids"),
-        count_where((F.col("profile_url") != "") & (F.size("research_areas") + F.size("teaching") > 0)).alias("enriched"),
+        count_where((F.col("profile_url") != "") & ((F.size("research_areas") > 0) | (F.col("email") != ""))).alias("enriched"),
     )
     u = units.agg(count_where(F.col("site") != "").alias("units_with_site"), count_where(F.col("status") == "ok").alias("units_ok"))
     row = r.crossJoin(u)

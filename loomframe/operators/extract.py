@@ -12,6 +12,7 @@ from loomframe.functions import text as tx
 from loomframe.functions import urls as ur
 from loomframe.operators import ordered as od
 from loomframe.operators.clean import TITLE, is_noise_text, like, plausible_faculty
+from loomframe.session import written
 from loomframe.sources.html import attr
 
 # What headings, labels, links and classes mean.
@@ -63,6 +64,10 @@ RANK_LINE = (
     r"(?i)^(?:(?:Distinguished|Assistant|Associate|Research|Clinical|Courtesy|Adjunct|Affiliate|Emeritus|Visiting|Full|Senior|Master)\s+)*"
     r"(?:Professor|Lecturer|Scientist|Instructor|Curator|Scholar|Researcher|Engineer|Librarian)(?:\b.*)?$"
 )
+GENERIC_LINK = (
+    r"(?i)^(read more|more|view( full)?( profile| bio)?|profile|full profile|bio|biography|learn more|website|web ?site|homepage|home page|details|"
+    r"see more|visit|cv|more info(rmation)?|about)\b"
+)
 LINK_NOISE = "prospective|apply|admission|alumni|undergrad|how to|handbook|resources|forms|news|event|seminar|job|career|award|opportunit"
 PHONE = r"\d{3}[-.)\s]\d{3,4}"
 
@@ -150,13 +155,16 @@ def page_sections(tokens: DataFrame, page: str = "page_id") -> DataFrame:
 
 def section_lines(sections: DataFrame, page: str = "page_id") -> DataFrame:
     """Sections with the lines of the deeper ones that follow, up to the first one not deeper."""
-    later = sections.select(page, F.col("sec").alias("s2"), F.col("level").alias("l2"), F.col("lines").alias("lines2"))
-    pairs = sections.where("level > 0").join(later, page).where("s2 > sec")
-    stop = pairs.where("l2 <= level").groupBy(page, "sec").agg(F.min("s2").alias("stop"))
-    inner = pairs.join(stop, [page, "sec"], "left").where("stop is null or s2 < stop")
-    more = inner.groupBy(page, "sec").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s2", "lines2"))), lambda x: x["lines2"])).alias("more"))
-    joined = sections.join(more, [page, "sec"], "left")
-    return joined.withColumn("lines", F.concat("lines", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    listed = sections.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("sec", "title", "level", "lines"))).alias("all"))
+
+    def whole(s: Column, i: Column) -> Column:
+        later = F.slice(F.col("all"), i + 2, F.size("all"))
+        stop = F.array_position(F.transform(later, lambda x: x["level"] <= s["level"]), True)
+        inner = F.when(stop > 0, F.slice(later, F.lit(1), (stop - 1).cast("int"))).otherwise(later)
+        more = F.when(s["level"] > 0, F.flatten(F.transform(inner, lambda x: x["lines"]))).otherwise(F.array().cast("array<string>"))
+        return F.struct(s["sec"].alias("sec"), s["title"].alias("title"), s["level"].alias("level"), F.concat(s["lines"], more).alias("lines"))
+
+    return listed.select(page, F.inline(F.transform("all", whole)))
 
 
 def split_areas(lines: Column, limit: int = 15) -> tuple[Column, Column]:
@@ -199,7 +207,7 @@ def page_links(nodes: DataFrame, pages: DataFrame, page: str = "page_id", url_co
     based = anchors.join(pages.select(page, F.col(url_col).alias("base")), page)
     href = attr("href")
     url = F.when(F.startswith(F.trim(href), F.lit("mailto:")), "").otherwise(ur.canon_url(href, F.col("base")))
-    out = based.select(page, "node", "end", "parent", "base", "attrs", href.alias("href"), url.alias("url"), text_of().alias("text"), ((F.size("lines") > 0) & (F.size("loud") == 0)).alias("aside"))
+    out = based.select(page, "node", "end", "parent", "base", "attrs", href.alias("href"), url.alias("url"), text_of().alias("text"), "aside", "roled", "above")
     return out.withColumns({"host": ur.url_part(F.col("url"), "host"), "path": ur.url_part(F.col("url"), "path")})
 
 
@@ -233,75 +241,134 @@ def next_pages(links: DataFrame, page: str = "page_id", limit: int = 40) -> Data
     return od.top_rows(once, [page], ["ord"], limit)
 
 
-def link_names(links: DataFrame, nodes: DataFrame, page: str = "page_id") -> DataFrame:
-    """Links with ``name`` and ``strong``: from the link's text or labels, else (weak) its picture or a heading near by."""
+BLOCK = 64
+
+
+def within(outer: DataFrame, inner: DataFrame, page: str, start: str, stop: str, at: str) -> DataFrame:
+    """Rows of ``inner`` with the rows of ``outer`` that they stand in (start < at <= stop), met by blocks of BLOCK elements."""
+    spread = outer.withColumn("__block", F.explode(F.sequence((F.col(start) / BLOCK).cast("int"), (F.col(stop) / BLOCK).cast("int"))))
+    placed = inner.withColumn("__block", (F.col(at) / BLOCK).cast("int"))
+    return spread.join(placed, [page, "__block"]).where((F.col(at) > F.col(start)) & (F.col(at) <= F.col(stop))).drop("__block")
+
+
+def named_nodes(nodes: DataFrame, page: str = "page_id") -> DataFrame:
+    """``(page, node, tag, attrs, text, named)`` of the elements that may hold a card's name; named: their text is like one."""
+    may = F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "strong", "b", "a") | (attr("itemprop") == "name") | like(attr("class"), r"(^|\s)(fn|n|name)(\s|$)")
+    rows = nodes.where(may).select(page, "node", "tag", "attrs", text_of().alias("text"))
+    return rows.withColumn("named", tx.looks_like_name(F.col("text")))
+
+
+def link_names(links: DataFrame, nodes: DataFrame, page: str = "page_id", names: DataFrame | None = None) -> DataFrame:
+    """Links with ``name`` and ``strong``: from the link's text or labels, else (weak) its picture or a heading near by.
+
+    Near by: one of the first four headings of the nearest of the four elements around the link that has a name there.
+    """
+    names = named_nodes(nodes, page) if names is None else names
     label = F.coalesce(F.nullif(attr("aria-label"), F.lit("")), attr("title"))
     label = F.regexp_replace(label, r"(?i)^(view|read|visit|go to)\s+(the\s+)?(profile|bio|page)?\s*(for|of)?\s*", "")
     pictures = nodes.where("tag = 'img'").select(page, F.col("node").alias("i"), attr("alt").alias("alt"))
-    alt = links.select(page, "node", "end").join(pictures, page).where("i > node and i <= end").groupBy(page, "node").agg(F.min_by("alt", "i").alias("alt"))
+    alt = within(links.where("end > node").select(page, "node", "end"), pictures, page, "node", "end", "i").groupBy(page, "node").agg(F.min_by("alt", "i").alias("alt"))
     shown = F.coalesce(F.nullif(F.regexp_extract("alt", r"(?i)(?:headshot|photo|picture|portrait|image)\s+of\s+(?:dr\.?\s+)?([^,.–—]+)", 1), F.lit("")), F.col("alt"), F.lit(""))
-    heads = nodes.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "strong", "b")).withColumn("t", text_of())
-    heads = heads.where(tx.looks_like_name(F.col("t"))).select(page, F.col("node").alias("h"), "t")
-    above = nodes.where(~F.col("tag").isin("body", "main", "html")).select(page, F.col("node").alias("a"), F.col("end").alias("a_end"), "depth")
-    climb = links.select(page, "node").join(above, page).where("a < node and node <= a_end")
-    climb = od.top_rows(climb, [page, "node"], [F.desc("depth")], 4)
-    near = climb.join(heads, page).where("h > a and h <= a_end").groupBy(page, "node").agg(F.min_by("t", F.struct(-F.col("depth"), "h")).alias("near"))
+    generic = like(F.col("text"), GENERIC_LINK) | (F.col("text") == "")
+    heads = names.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "strong", "b")).select(page, F.col("node").alias("h"), "text", "named")
+    around = links.where(generic).select(page, "node", F.posexplode(F.slice("above", 1, 4)).alias("climb", "a"))
+    ends = nodes.select(page, F.col("node").alias("a"), F.col("end").alias("a_end"))
+    cards = around.select(page, "a").distinct().join(ends, [page, "a"])
+    order = Window.partitionBy(page, "a").orderBy("h")
+    first = within(cards, heads, page, "a", "a_end", "h").withColumn("no", F.row_number().over(order)).where("no <= 4 and named")
+    first = first.groupBy(page, "a").agg(F.min_by("text", "h").alias("t"))
+    near = around.join(first, [page, "a"]).groupBy(page, "node").agg(F.min_by("t", "climb").alias("near"))
     joined = links.join(alt, [page, "node"], "left").join(near, [page, "node"], "left")
-    generic = like(F.col("text"), r"(?i)^(read more|more|view( full)?( profile| bio)?|profile|full profile|bio|biography|learn more|website|web ?site|homepage|home page|details|see more|visit|cv|more info(rmation)?|about)\b") | (F.col("text") == "")
     strong = F.when(tx.looks_like_name(F.col("text")), F.col("text")).when(tx.looks_like_name(label), label)
-    weak = F.when(tx.looks_like_name(shown), shown).when(generic, F.col("near"))
-    named = joined.withColumns({"strong": strong.isNotNull(), "name": tx.display_name(F.coalesce(strong, weak))})
-    return named.where("name <> ''").drop("alt", "near")
+    weak = F.when(tx.looks_like_name(shown), shown).otherwise(F.col("near"))
+    picked = joined.withColumn("__strong", strong).withColumn("__name", F.coalesce("__strong", weak))
+    named = picked.where("__name is not null").withColumns({"strong": F.col("__strong").isNotNull(), "name": tx.display_name(F.col("__name"))})
+    return named.where("name <> ''").drop("alt", "near", "__strong", "__name")
 
 
-def _card_fields(cards: DataFrame, domain: str) -> DataFrame:
-    """title, location, roles and specialty of cards (name, lines)."""
+def card_fields(cards: DataFrame, domain: str) -> DataFrame:
+    """title, e-mail, location, roles and specialty of cards (name, lines, loud, linked, given); linked: cards around a
+    profile link, which keep three special lines and read roles from their lines; others have roles ``given``."""
+    linked = F.col("linked")
     fine = lambda l, n: F.length(l) < n
-    title = F.coalesce(F.get(F.filter("lines", lambda l: like(l, TITLE) & fine(l, 120) & ~is_noise_text(l)), F.lit(0)), F.lit(""))
-    out = cards.withColumn("title", title).withColumn("__rest", F.filter("lines", lambda l: l != F.col("title")))
-    out = out.withColumn("location", F.coalesce(F.get(F.filter("__rest", lambda l: like(l, LOCATION) & fine(l, 100)), F.lit(0)), F.lit("")))
-    out = out.withColumn("roles", F.slice(F.filter("__rest", lambda l: like(l, ROLE) & fine(l, 100)), 1, 2))
-    special = F.filter("__rest", lambda l: (l != F.col("location")) & ~F.array_contains("roles", l) & fine(l, 120) & ~F.contains(l, F.lit("@")) & ~like(l, PHONE) & ~is_noise_text(l))
+    pick = lambda rows: F.coalesce(F.get(rows, F.lit(0)), F.lit(""))
+    quiet = F.transform("lines", lambda l: F.struct(l.alias("l"), is_noise_text(l).alias("noise"), like(l, TITLE).alias("titled")))
+    out = cards.withColumn("__lines", quiet)
+    titled = F.filter("__lines", lambda x: x["titled"] & ~x["noise"] & (F.length(x["l"]) < F.when(linked, 120).otherwise(140)))
+    out = out.withColumn("title", F.coalesce(F.get(titled, F.lit(0))["l"], F.lit("")))
+    out = out.withColumn("__rest", F.filter("__lines", lambda x: (x["l"] != F.col("title")) & (linked | ~x["noise"])))
+    out = out.withColumn("location", pick(F.transform(F.filter("__rest", lambda x: like(x["l"], LOCATION) & fine(x["l"], 100)), lambda x: x["l"])))
+    roles = F.transform(F.filter("__rest", lambda x: like(x["l"], ROLE) & fine(x["l"], 100)), lambda x: x["l"])
+    out = out.withColumn("__roles", F.when(linked, roles).otherwise(F.array().cast("array<string>")))
+    plain = lambda x: (x["l"] != F.col("location")) & ~F.contains(x["l"], F.lit("@")) & ~like(x["l"], PHONE) & ~x["noise"]
+    special = F.filter("__rest", lambda x: plain(x) & fine(x["l"], F.when(linked, 120).otherwise(100)) & ~F.array_contains("__roles", x["l"]))
+    specialty = F.slice(F.transform(special, lambda x: x["l"]), F.lit(1), F.when(linked, 3).otherwise(2))
     email = em.pick_email(em.find_emails(F.array_join("loud", " ")), F.col("name"), domain)
-    return out.withColumns({"specialty": F.slice(special, 1, 3), "email": email, "lines": F.slice("lines", 1, 6)}).drop("__rest", "loud")
+    shown = F.when(linked, F.slice("__roles", 1, 2)).otherwise(F.slice("given", 1, 3))
+    return out.withColumns({"specialty": specialty, "email": email, "roles": shown, "lines": F.slice("lines", 1, 6)}).drop("__lines", "__rest", "__roles", "loud", "linked", "given")
 
 
-def linked_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id", mode: str = "strict") -> DataFrame:
-    """People of listing pages by their profile links: links in large path groups, with the text of the smallest card around each."""
+_CARD = ["ord", "profile_url", "name", "lines", "loud", "given", "areas"]
+_NONE = "cast(array() as array<string>)"
+
+
+def linked_cards(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id", mode: str = "strict", named: DataFrame | None = None) -> DataFrame:
+    """Cards of people with profile links: links in large path groups, each with the text of the largest of the five elements
+    around it that holds no other candidate's link. named: the page's links with names, if they are at hand."""
+    links = link_names(page_links(nodes, pages, page), nodes, page) if named is None else named
     roots = content_roots(nodes, page, mode)
-    links = page_links(nodes, pages, page).join(roots, page).where("node > root and node <= root_end and not aside and url <> ''")
+    links = links.join(roots, page).where("node > root and node <= root_end and not aside and url <> ''")
+    links = links.where(~F.col("roled")) if mode == "strict" else links
     own = (ur.url_part(F.col("base"), "host") == F.col("host")) & (F.regexp_replace("path", "/$", "") == F.regexp_replace(ur.url_part(F.col("base"), "path"), "/$", ""))
     links = links.where(ur.in_domain(F.col("host"), domain) & ~like(F.col("path"), ur.SKIP_ENDINGS) & ~own)
-    named = link_names(links, nodes, page).select(page, "node", "end", "url", "host", "path", "name", "strong")
-    best = named.groupBy(page, "url").agg(F.min("node").alias("ord"), F.min_by(F.struct("node", "end", "host", "path", "name"), F.struct(~F.col("strong"), "node")).alias("c"))
-    cands = best.select(page, "url", "ord", "c.*")
+    best = links.groupBy(page, "url").agg(F.min("node").alias("ord"), F.min_by(F.struct("node", "host", "path", "name", "above"), F.struct(~F.col("strong"), "node")).alias("c"))
     query = F.contains("url", F.lit("?"))
     folder = F.when(query, F.col("path")).otherwise(F.coalesce(F.nullif(F.regexp_extract("path", "^(.*/)[^/]*/[^/]*$", 1), F.lit("")), F.lit("/")))
-    cands = cands.withColumn("prefix", F.concat("host", folder)).withColumn("__folder", folder)
+    cands = best.select(page, "url", "ord", "c.*").withColumn("folder", folder)
+    cands = written(cands.withColumn("prefix", F.concat("host", "folder")), "candidates")
     groups = od.large_groups(cands, [page], "prefix").select(page, "prefix")
-    chosen = cands.join(groups, [page, "prefix"]).where(~like(F.col("__folder"), ur.SKIP_PATHS)).drop("__folder")
-    above = nodes.where(~F.col("tag").isin("body", "main", "html")).select(page, F.col("node").alias("a"), F.col("end").alias("a_end"), "depth", "lines", "loud")
-    around = chosen.select(page, "node").join(above, page).where("a <= node and node <= a_end")
-    around = od.top_rows(around, [page, "node"], [F.desc("depth")], 6)
-    others = cands.select(page, F.col("node").alias("o"))
-    crowded = around.join(others, page).where("o <> node and o >= a and o <= a_end").groupBy(page, "node").agg(F.max("depth").alias("deepest"))
-    free = around.join(crowded, [page, "node"], "left").where("deepest is null or depth > deepest")
-    card = free.groupBy(page, "node").agg(F.min_by(F.struct("lines", "loud"), "depth").alias("card"))
-    rows = chosen.join(card, [page, "node"]).select(page, "ord", "url", "name", F.col("card.lines").alias("lines"), F.col("card.loud").alias("loud"))
+    chosen = cands.join(groups, [page, "prefix"]).where(~like(F.col("folder"), ur.SKIP_PATHS))
+    around = chosen.select(page, "node", F.posexplode(F.concat(F.array("node"), F.slice("above", 1, 5))).alias("climb", "a"))
+    ends = nodes.select(page, F.col("node").alias("a"), F.col("end").alias("a_end"))
+    sized = around.select(page, "a").distinct().join(ends, [page, "a"])
+    held = within(sized.withColumn("__from", F.col("a") - 1), cands.select(page, F.col("node").alias("o")), page, "__from", "a_end", "o")
+    alone = held.groupBy(page, "a").agg(F.count(F.lit(1)).alias("n"))
+    counted = around.join(alone, [page, "a"]).withColumn("__free", (F.col("n") == 1) | (F.col("climb") == 0))
+    stop = F.min(F.when(~F.col("__free"), F.col("climb"))).over(Window.partitionBy(page, "node"))
+    card = counted.withColumn("__stop", stop).where("__stop is null or climb < __stop").groupBy(page, "node").agg(F.max_by("a", "climb").alias("a"))
+    texts = nodes.select(page, F.col("node").alias("a"), "lines", "loud")
     name = tx.fold(F.col("name"))
-    rows = rows.withColumn("lines", F.filter("lines", lambda l: ~F.contains(tx.fold(l), name)))
-    people = _card_fields(rows, domain).withColumnRenamed("url", "profile_url")
-    first = od.keep_first(people.withColumn("key", tx.name_key(F.col("name"))), [page, "key"], ["ord"])
-    return first.where(plausible_faculty(F.col("title"), F.col("lines"))).drop("key")
+    rows = chosen.join(card, [page, "node"]).join(texts, [page, "a"]).withColumn("__fold", name)
+    lines = F.filter("lines", lambda l: ~F.contains(tx.fold(l), F.col("__fold")))
+    rows = rows.select(page, "ord", F.col("url").alias("profile_url"), "name", lines.alias("lines"), "loud", F.expr(_NONE).alias("given"), F.expr(_NONE).alias("areas"))
+    return _first_of_name(rows, [page])
+
+
+def _first_of_name(cards: DataFrame, keys: list[str]) -> DataFrame:
+    return od.keep_first(cards.withColumn("__key", tx.name_key(F.col("name"))), [*keys, "__key"], ["ord"]).drop("__key")
+
+
+def linked_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id", mode: str = "strict") -> DataFrame:
+    """People of listing pages by their profile links."""
+    return people_of_cards(linked_cards(nodes, pages, domain, page, mode).withColumn("linked", F.lit(True)), domain)
+
+
+def people_of_cards(cards: DataFrame, domain: str) -> DataFrame:
+    """Cards with their fields read, without those of staff."""
+    people = card_fields(cards, domain)
+    people = people.withColumn("specialty", F.when(F.size("areas") > 0, F.slice("areas", 1, 6)).otherwise(F.col("specialty"))).drop("areas")
+    return people.where(plausible_faculty(F.col("title"), F.col("lines")) & ~is_noise_text(F.col("name")))
 
 
 def table_cells(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     """``(page, table_node, row, col, is_head, text, lines, loud)`` of all tables; rows and columns count from 0."""
     tables = nodes.where("tag = 'table'").select(page, F.col("node").alias("table_node"), F.col("end").alias("table_end"))
     trs = nodes.where("tag = 'tr'").select(page, F.col("node").alias("tr"))
-    rows = trs.join(tables, page).where("tr > table_node and tr <= table_end").groupBy(page, "tr").agg(F.max("table_node").alias("table_node"))
+    rows = within(tables, trs, page, "table_node", "table_end", "tr").groupBy(page, "tr").agg(F.max("table_node").alias("table_node"))
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(page, "table_node").orderBy("tr")) - 1)
-    cells = nodes.where(F.col("tag").isin("td", "th")).select(page, F.col("parent").alias("tr"), F.col("node").alias("cell"), (F.col("tag") == "th").alias("is_head"), text_of().alias("text"), "lines", "loud")
+    cells = nodes.where(F.col("tag").isin("td", "th")).select(
+        page, F.col("parent").alias("tr"), F.col("node").alias("cell"), F.col("end").alias("cell_end"), (F.col("tag") == "th").alias("is_head"), text_of().alias("text"), "lines", "loud"
+    )
     col = F.row_number().over(Window.partitionBy(page, "tr").orderBy("cell")) - 1
     return rows.join(cells, [page, "tr"]).withColumn("col", col).drop("tr")
 
@@ -313,109 +380,153 @@ def mapped_rows(cells: DataFrame, columns: dict[str, str], last_wins: bool, page
     pick = F.max if last_wins else F.min
     at = heads.select(page, "table_node", "col", F.explode(meaning).alias("key")).groupBy(page, "table_node", "key").agg(pick("col").alias("col"))
     body = cells.where("row > 0").join(at, [page, "table_node", "col"])
-    value = lambda k: F.max(F.when(F.col("key") == k, F.struct("text", "lines", "loud"))).alias(k)
+    value = lambda k: F.max(F.when(F.col("key") == k, F.struct("text", "lines", "loud", "cell", "cell_end"))).alias(k)
     return body.groupBy(page, "table_node", "row").agg(*[value(k) for k in columns]).where("name is not null")
 
 
 def table_people(nodes: DataFrame, page: str = "page_id") -> DataFrame:
-    """People of tables without profile links; of equal headers the last counts."""
+    """People of tables; of equal headers the last counts. Their profile is the first absolute link of the name's cell."""
     rows = mapped_rows(table_cells(nodes, page), PERSON_COLUMNS, True, page).where(tx.looks_like_name(F.col("name.text")))
     empty = F.array().cast("array<string>")
     areas, _ = split_areas(F.when(F.col("research").isNull(), empty).otherwise(F.array(F.array_join("research.lines", "; "))))
     found = em.find_emails(F.array_join("email.loud", " "))
     text = lambda c: F.coalesce(F.col(c)["text"], F.lit(""))
-    return rows.select(
+    people = rows.select(
         page, "table_node", "row", tx.display_name(text("name")).alias("name"), text("title").alias("title"),
-        F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("email"), F.coalesce(areas, empty).alias("specialty"),
+        F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("email"), F.coalesce(areas, empty).alias("specialty"), F.col("name.cell").alias("cell"), F.col("name.cell_end").alias("cell_end"),
     )
+    anchors = nodes.where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select(page, F.col("node").alias("i"), ur.canon_url(attr("href")).alias("u"))
+    linked = within(people.select(page, "cell", "cell_end"), anchors, page, "cell", "cell_end", "i").groupBy(page, "cell").agg(F.min_by("u", "i").alias("u"))
+    return people.join(linked, [page, "cell"], "left").withColumn("profile_url", F.coalesce("u", F.lit(""))).drop("cell", "cell_end", "u")
+
 
+VCARD_NAMES = [".fn", ".n", "h2", "h3", "h4", "strong"]
+CARD_NAMES = [".fn", ".n", "[itemprop=name]", ".name", "h1", "h2", "h3", "h4", "h5", "strong", "b", "a"]
 
-def _named_in(cards: DataFrame, nodes: DataFrame, page: str, ranks: Column) -> DataFrame:
-    """Cards (page, card, card_end) with the first name-like text inside, by rank of where it stands, then by order."""
-    inner = nodes.withColumn("__r", ranks).where("__r is not null").withColumn("__t", text_of())
-    inner = inner.where(tx.looks_like_name(F.col("__t"))).select(page, F.col("node").alias("i"), "__r", "__t")
-    hit = cards.select(page, "card", "card_end").join(inner, page).where("i > card and i <= card_end")
-    return hit.groupBy(page, "card").agg(tx.display_name(F.min_by("__t", F.struct("__r", "i"))).alias("name"))
 
+def _selects(selector: str) -> Column:
+    if selector.startswith("."):
+        return F.array_contains(F.split(attr("class"), r"\s+"), selector[1:])
+    return attr("itemprop") == "name" if selector.startswith("[") else F.col("tag") == selector
 
-def _name_ranks() -> Column:
-    has = lambda c: F.array_contains(F.split(attr("class"), r"\s+"), c)
-    ranks = [has("fn"), has("n"), attr("itemprop") == "name", has("name"), *[F.col("tag") == t for t in ("h1", "h2", "h3", "h4", "h5", "strong", "b", "a")]]
-    return F.coalesce(*[F.when(c, i) for i, c in enumerate(ranks)])
+
+def _named_in(cards: DataFrame, names: DataFrame, page: str, selectors: list[str], most: int) -> DataFrame:
+    """``(page, card, name)``: of the first ``most`` elements inside a card for each selector, the first that is like a name, selector by selector."""
+    ranks = F.array_compact(F.array(*[F.when(_selects(x), F.lit(i)) for i, x in enumerate(selectors)]))
+    points = names.select(page, F.col("node").alias("i"), "text", "named", F.explode(ranks).alias("rank"))
+    hit = within(cards.select(page, "card", "card_end"), points, page, "card", "card_end", "i")
+    near = hit.withColumn("no", F.row_number().over(Window.partitionBy(page, "card", "rank").orderBy("i"))).where((F.col("no") <= most) & F.col("named"))
+    return near.groupBy(page, "card").agg(tx.display_name(F.min_by("text", F.struct("rank", "i"))).alias("name"))
 
 
 def _profile_links(cards: DataFrame, links: DataFrame, page: str, domain: str) -> DataFrame:
-    inner = links.where((F.col("url") != "") & ur.in_domain(F.col("host"), domain) & ~like(F.col("path"), ur.SKIP_ENDINGS)).select(page, F.col("node").alias("i"), "url", "text")
-    hit = cards.select(page, "card", "card_end").join(inner, page).where("i >= card and i <= card_end")
+    """``(page, card, profile_url)``: the first link of a card that speaks of a profile, else its first link, none to the page itself."""
+    own = (F.regexp_replace("path", "/$", "") == F.regexp_replace(ur.url_part(F.col("base"), "path"), "/$", "")) & ~F.contains("url", F.lit("?"))
+    inner = links.where((F.col("url") != "") & ur.in_domain(F.col("host"), domain) & ~like(F.col("path"), ur.SKIP_ENDINGS) & ~own).select(page, F.col("node").alias("i"), "url", "text")
+    around = cards.select(page, "card", (F.col("card") - 1).alias("__from"), "card_end")
+    hit = within(around, inner, page, "__from", "card_end", "i")
     wanted = ~like(F.col("text"), "(?i)profile|bio|more|read|view")
     return hit.groupBy(page, "card").agg(F.min_by("url", F.struct(wanted, "i")).alias("profile_url"))
 
 
-def vcard_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
-    """People of microformat cards; their classes tell staff, roles and research areas."""
+def _without_surname(cards: DataFrame) -> DataFrame:
+    last = cards.withColumn("__last", tx.fold(F.substring_index("name", " ", -1)))
+    return last.withColumn("lines", F.filter("lines", lambda l: ~F.contains(tx.fold(l), F.col("__last")) | (F.length(l) > 60))).drop("__last")
+
+
+def vcard_cards(nodes: DataFrame, links: DataFrame, names: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
+    """Microformat cards; their classes tell staff, roles and research areas."""
     classes = F.filter(F.split(attr("class"), r"\s+"), lambda c: c != "")
     vcard = F.array_contains(classes, "vcard")
-    cards = outside(nodes.withColumn("__v", vcard), page, F.col("__v") | F.col("tag").isin("nav", "footer")).where("__v").withColumn("classes", classes)
+    cards = outside(nodes.where(vcard & ~F.col("aside") & ~F.col("roled")), page, F.lit(True)).withColumn("classes", classes)
     staff = F.arrays_overlap("classes", F.lit(STAFF_CLASSES)) & ~F.array_contains("classes", "faculty")
     cards = cards.where(~staff).select(page, F.col("node").alias("card"), F.col("end").alias("card_end"), "classes", "lines", "loud")
-    named = cards.join(_named_in(cards, nodes, page, _name_ranks()), [page, "card"]).join(_profile_links(cards, page_links(nodes, pages, page), page, domain), [page, "card"], "left")
+    named = cards.join(_named_in(cards, names, page, VCARD_NAMES, 1), [page, "card"]).join(_profile_links(cards, links, page, domain), [page, "card"], "left")
     roles = F.transform(F.filter("classes", lambda c: F.array_contains(F.lit(ROLE_CLASSES), c)), lambda c: F.initcap(F.replace(c, F.lit("-"), F.lit(" "))))
     known = F.lit(ROLE_CLASSES + STATUS_CLASSES + STAFF_CLASSES)
     slugs = F.filter("classes", lambda c: ~F.array_contains(known, c) & ~like(c, "^(cn-|cn_|is-|has-|js-)") & (F.length(c) > 3) & ~like(c, r"^([a-f0-9\-]{20,}|\d+)$"))
-    last = tx.fold(F.substring_index("name", " ", -1))
-    rows = named.withColumns({"__roles": F.slice(roles, 1, 3), "__areas": F.slice(F.transform(slugs, tx.slug_to_phrase), 1, 6)})
-    rows = rows.withColumn("lines", F.filter("lines", lambda l: ~F.contains(tx.fold(l), last) | (F.length(l) > 60)))
-    full = _card_fields(rows, domain).withColumn("specialty", F.when(F.size("__areas") > 0, F.col("__areas")).otherwise(F.slice("specialty", 1, 2))).withColumn("roles", F.col("__roles"))
-    full = full.withColumns({"key": tx.name_key(F.col("name")), "profile_url": F.coalesce("profile_url", F.lit("")), "ord": F.col("card")})
-    return od.keep_first(full.drop("classes", "card_end", "__roles", "__areas", "card"), [page, "key"], ["ord"]).drop("key")
+    rows = named.withColumns({"given": roles, "areas": F.transform(slugs, tx.slug_to_phrase), "ord": F.col("card"), "profile_url": F.coalesce("profile_url", F.lit(""))})
+    return _first_of_name(_without_surname(rows).select(page, *_CARD), [page])
 
 
-def card_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
-    """People of repeated sibling cards: of all parents with five or more like children, most of them named, the one with most."""
+def repeated_cards(nodes: DataFrame, links: DataFrame, names: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
+    """Repeated sibling cards: of all parents with five or more like children, most of them named, the one with most."""
     bad = ["script", "style", "select", "nav", "footer", "head", "table", "thead", "tr"]
-    kids = outside(nodes, page, F.col("tag").isin("nav", "footer")).where(~F.col("tag").isin("script", "style", "nav", "footer"))
+    kids = nodes.where(~F.col("tag").isin("script", "style", "nav", "footer") & ~F.col("aside")).select(page, "parent", "tag", F.col("node").alias("card"), F.col("end").alias("card_end"))
     parents = nodes.where(~F.col("tag").isin(bad)).select(page, F.col("node").alias("parent"))
-    kids = kids.join(parents, [page, "parent"]).select(page, "parent", "tag", F.col("node").alias("card"), F.col("end").alias("card_end"), "lines", "loud")
     sizes = kids.groupBy(page, "parent", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("card").alias("f"))
     group = sizes.groupBy(page, "parent").agg(F.max_by(F.struct("tag", "n"), F.struct("n", -F.col("f"))).alias("g")).select(page, "parent", "g.tag", "g.n").where("n >= 5")
+    kids = kids.join(group.join(parents, [page, "parent"]), [page, "parent", "tag"])
+    texts = nodes.select(page, F.col("node").alias("card"), "lines", "loud")
+    cards = kids.join(texts, [page, "card"])
     long = F.length(F.array_join("lines", " ")) > 1500
     before = Window.partitionBy(page, "parent").orderBy("card").rowsBetween(Window.unboundedPreceding, 0)
-    cards = kids.join(group, [page, "parent", "tag"]).withColumn("__cut", F.max(long.cast("int")).over(before)).where("__cut = 0")
-    named = cards.join(_named_in(cards, nodes, page, _name_ranks()), [page, "card"]).withColumns({"key": tx.name_key(F.col("name")), "ord": F.col("card")})
-    named = od.keep_first(named, [page, "parent", "key"], ["ord"])
+    cards = written(cards.withColumn("__cut", F.max(long.cast("int")).over(before)).where("__cut = 0").drop("__cut"), "cards")
+    leading = F.filter(F.transform(F.slice("lines", 1, 4), tx.squash), tx.looks_like_name)
+    fallback = cards.select(page, "card", tx.display_name(F.get(leading, F.lit(0))).alias("line_name"))
+    named = cards.join(_named_in(cards, names, page, CARD_NAMES, 3), [page, "card"], "left").join(fallback, [page, "card"])
+    named = named.withColumn("name", F.coalesce("name", F.nullif("line_name", F.lit("")))).where("name is not null").withColumn("ord", F.col("card"))
+    named = written(_first_of_name(named.drop("line_name"), [page, "parent"]), "named-cards")
     found = named.groupBy(page, "parent", "n").agg(F.count(F.lit(1)).alias("m")).where((F.col("m") >= 5) & (F.col("m") >= F.col("n") * 0.6))
     best = found.groupBy(page).agg(F.max_by("parent", F.struct("m", -F.col("parent"))).alias("parent"))
-    rows = named.join(best, [page, "parent"]).join(_profile_links(cards, page_links(nodes, pages, page), page, domain), [page, "card"], "left")
-    last = tx.fold(F.substring_index("name", " ", -1))
-    rows = rows.withColumn("lines", F.filter("lines", lambda l: ~F.contains(tx.fold(l), last) | (F.length(l) > 60)))
-    rows = rows.select(page, "ord", "name", "lines", "loud", F.coalesce("profile_url", F.lit("")).alias("profile_url"))
-    return _card_fields(rows, domain).where(~is_noise_text(F.col("name")))
+    rows = named.join(best, [page, "parent"]).join(_profile_links(named, links, page, domain), [page, "card"], "left")
+    rows = rows.withColumns({"profile_url": F.coalesce("profile_url", F.lit("")), "given": F.expr(_NONE), "areas": F.expr(_NONE)})
+    return _without_surname(rows).select(page, *_CARD)
+
+
+def vcard_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
+    """People of microformat cards."""
+    cards = vcard_cards(nodes, page_links(nodes, pages, page), named_nodes(nodes, page), domain, page)
+    return people_of_cards(cards.withColumn("linked", F.lit(False)), domain)
+
+
+def card_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
+    """People of repeated sibling cards."""
+    cards = repeated_cards(nodes, page_links(nodes, pages, page), named_nodes(nodes, page), domain, page)
+    return people_of_cards(cards.withColumn("linked", F.lit(False)), domain)
 
 
 def listing_people(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
     """People of listing pages by the method that finds clearly most on a page: links, microformat cards or repeated cards.
 
     Links are taken from the content, or from the whole body where that has under three and the body more. Cards win with
-    five or more and 1.4 times as many; microformat cards before others if they are not clearly fewer. The candidates of
-    each method are persisted, as they are counted first and chosen from afterwards.
+    five or more and 1.4 times as many; microformat cards before others if they are not clearly fewer. Links, names and the
+    cards of all methods are written as tables, as each is read several times; their fields are read once for all methods.
     """
-    columns = [page, "ord", "name", "profile_url", "title", "email", "location", "roles", "specialty", "lines"]
-    strict, loose = (linked_people(nodes, pages, domain, page, m).select(*columns).persist() for m in ("strict", "loose"))
-    n_strict = strict.groupBy(page).agg(F.count(F.lit(1)).alias("ns"))
-    n_loose = loose.groupBy(page).agg(F.count(F.lit(1)).alias("nl"))
-    use = n_loose.join(n_strict, page, "full").select(page, ((F.coalesce("ns", F.lit(0)) < 3) & (F.coalesce("nl", F.lit(0)) > F.coalesce("ns", F.lit(0)))).alias("body"))
-    linked = strict.join(use.where("not body").select(page), page, "left_semi").union(loose.join(use.where("body").select(page), page, "left_semi"))
-    keep = plausible_faculty(F.col("title"), F.col("lines"))
-    vcards, cards = vcard_people(nodes, pages, domain, page).select(*columns).where(keep), card_people(nodes, pages, domain, page).select(*columns).where(keep)
-    every = reduce(DataFrame.union, [d.withColumn("method", F.lit(m)) for m, d in (("links", linked), ("vcards", vcards), ("cards", cards))]).persist()
-    counts = every.groupBy(page).pivot("method", ["links", "vcards", "cards"]).count().na.fill(0)
+    columns = [page, "ord", "name", "profile_url", "title", "email", "location", "roles", "specialty", "lines", "method"]
+    links = written(page_links(nodes, pages, page), "links")
+    names = written(named_nodes(nodes, page), "names")
+    named = written(link_names(links, nodes, page, names), "named-links")
+    strict, loose = (linked_cards(nodes, pages, domain, page, m, named) for m in ("strict", "loose"))
+    found = {"links": strict, "loose": loose, "vcards": vcard_cards(nodes, links, names, domain, page), "cards": repeated_cards(nodes, links, names, domain, page)}
+    cards = [d.select(page, *_CARD).withColumn("method", F.lit(m)) for m, d in found.items()]
+    cards = written(reduce(DataFrame.union, cards).withColumn("linked", F.col("method").isin("links", "loose")), "all-cards")
+    every = written(people_of_cards(cards, domain).select(*columns), "listed")
+    counts = every.groupBy(page).pivot("method", list(found)).count().na.fill(0)
+    body = (F.col("links") < 3) & (F.col("loose") > F.col("links"))
+    counts = counts.withColumn("linked", F.when(body, "loose").otherwise("links")).withColumn("n_linked", F.greatest("links", F.when(body, F.col("loose")).otherwise(F.lit(0))))
     alternative = F.when((F.col("vcards") >= 5) & (F.col("vcards") >= 0.8 * F.col("cards")), "vcards").when(F.col("vcards") >= F.col("cards"), "vcards").otherwise("cards")
     n_alt = F.when(F.col("alt") == "vcards", F.col("vcards")).otherwise(F.col("cards"))
-    choice = counts.withColumn("alt", alternative).withColumn("method", F.when((n_alt >= 5) & (n_alt >= 1.4 * F.col("links")), F.col("alt")).otherwise("links"))
-    chosen = every.join(choice.select(page, "method"), [page, "method"]).withColumn("key", tx.name_key(F.col("name")))
-    known = linked.groupBy(page, tx.name_key(F.col("name")).alias("key")).agg(F.max_by("profile_url", "ord").alias("known"))
-    filled = chosen.join(known, [page, "key"], "left").withColumn("profile_url", F.coalesce(F.nullif("profile_url", F.lit("")), "known", F.lit("")))
-    return filled.select(*columns, "method")
+    choice = counts.withColumn("alt", alternative).withColumn("method", F.when((n_alt >= 5) & (n_alt >= 1.4 * F.col("n_linked")), F.col("alt")).otherwise(F.col("linked")))
+    keyed = every.withColumn("key", tx.name_key(F.col("name")))
+    linked = keyed.join(choice.select(page, F.col("linked").alias("method")), [page, "method"])
+    known = linked.groupBy(page, "key").agg(F.max_by("profile_url", "ord").alias("known"))
+    chosen = keyed.join(choice.select(page, "method"), [page, "method"]).join(known, [page, "key"], "left")
+    filled = chosen.withColumns({"profile_url": F.coalesce(F.nullif("profile_url", F.lit("")), "known", F.lit("")), "method": F.when(F.col("method") == "loose", "links").otherwise(F.col("method"))})
+    return filled.select(*columns)
+
+
+def people_on_pages(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
+    """``listing_people``, and on pages with under three of them the people of tables whose names are not among them."""
+    listed = written(listing_people(nodes, pages, domain, page), "people")
+    few_there = pages.select(page).join(listed.groupBy(page).agg(F.count(F.lit(1)).alias("n")), page, "left").where("n is null or n < 3").select(page)
+    tables = table_people(nodes, page).join(few_there, page, "left_semi").join(listed.select(page, "name"), [page, "name"], "left_anti")
+    none = F.expr(_NONE)
+    rows = tables.select(
+        page, (F.lit(1 << 30) + F.col("table_node") + F.col("row")).cast("int").alias("ord"), "name", "profile_url", "title", "email", F.lit("").alias("location"),
+        none.alias("roles"), "specialty", none.alias("lines"), F.lit("tables").alias("method"),
+    )
+    return listed.union(rows)
 
 
 def page_students(nodes: DataFrame, tokens: DataFrame, page: str = "page_id") -> DataFrame:
@@ -486,7 +597,7 @@ def catalogue_units(nodes: DataFrame, pages: DataFrame, group_pattern: str, page
     marks = nodes.where(F.col("tag").isin("h2", "li")).withColumn("t", text_of())
     group = F.when(F.col("tag") == "h2", F.when(like(F.col("t"), group_pattern), F.col("t")).otherwise(""))
     under = marks.withColumn("college", od.carry_forward(group, [page], ["node"])).where("tag = 'li' and college <> ''")
-    hit = under.select(page, "node", "end", "college").join(first, page).where("i > node and i <= end")
+    hit = within(under.select(page, "node", "end", "college"), first, page, "node", "end", "i")
     one = hit.groupBy(page, "node", "college").agg(F.min_by(F.struct("url", "text"), "i").alias("l"))
     rows = one.select("college", F.col("l.text").alias("name"), F.col("l.url").alias("url"), F.col("node").alias("ord")).where("name <> '' and url <> ''")
     return od.keep_first(rows, ["college", "name"], ["ord"])

@@ -497,7 +497,7 @@ golden("teaching_rules", lambda c: F.array_join(cl.clean_teaching(F.split(c, "_"
 golden("area_split", lambda c: F.array_join(ex.split_areas(F.split(c, "_"))[0], "|"), {
     "Research interests: soil; water_Publications 2020_Soil": "soil|water", "more_a b c • d e f": "a b c|d e f", "x": "",
 })
-golden("unescape_html", ht.html_unescape, {"a &amp; b": "a & b", "&eacute;t&eacute;": "été", "plain": "plain"})
+golden("unescape_html", tx.unescape, {"a &amp; b": "a & b", "&eacute;t&eacute;": "été", "plain": "plain"})
 golden("progress", lambda c: cv.progress_percent(F.split(c, " ")[0], F.split(c, " ")[1].cast("int"), F.split(c, " ")[2].cast("int")).cast("string"), {
     "units 0 4": "1.0", "departments 1 2": "12.5", "profiles 1 2": "56.0", "done 1 1": "100.0",
 })

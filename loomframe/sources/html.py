@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,34 +21,51 @@ CLOSES = {
 }
 ENDS_P = {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "blockquote", "form", "main", "nav", "footer", "header"}
 
-NODE_SCHEMA = (
-    "node int, end int, parent int, depth int, tag string, attrs map<string,string>, children array<string>, inner array<string>, "
-    "lines array<string>, loud array<string>, own array<string>"
+ELEMENT = (
+    "struct<node:int,end:int,parent:int,depth:int,tag:string,attrs:map<string,string>,children:array<string>,inner:array<string>,"
+    "low:int,high:int,aside:boolean,roled:boolean,above:array<int>>"
 )
+WALLS = {"body", "main", "html"}
+CHROME_ROLES = {"navigation", "contentinfo", "banner"}
+CLIMB = 5
+PIECE = "struct<text:string,aside:boolean,item:int>"
 _SPACE = re.compile(r"\s+")
 
 
 class _Reader(HTMLParser):
-    """Builds the element rows; unclosed elements end with what they stand in."""
+    """Builds the element rows and the pieces of text; unclosed elements end with what they stand in.
+
+    An element knows which pieces stand inside it by their numbers (low to high), so a piece is kept once, however deep.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
+        self.pieces: list[tuple[str, bool, int]] = []
         self.open: list[dict] = []
+        self.names: Counter = Counter()  # open elements by tag
+        self.roles = 0  # open elements with a role of site furniture
+        self.items: list[int] = []  # the list item that text belongs to; -1 in a list outside its items
 
     def _close(self, upto: int) -> None:
         while len(self.open) > upto:
             row = self.open.pop()
-            row["end"] = len(self.rows) - 1
+            row["end"], row["high"] = len(self.rows) - 1, len(self.pieces)
+            self.names[row["tag"]] -= 1
+            self.roles -= row["attrs"].get("role") in CHROME_ROLES
+            if row["tag"] in ("li", "ul", "ol"):
+                self.items.pop()
             if self.open:
                 self.open[-1]["inner"] |= row["inner"] | {row["tag"]}
 
     def _close_tag(self, tags: set, stop: set) -> None:
+        if not any(self.names[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] in tags:
                 return self._close(i)
             if self.open[i]["tag"] in stop:
-                return None
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES:
@@ -56,9 +73,15 @@ class _Reader(HTMLParser):
         elif tag in ENDS_P:
             self._close_tag({"p"}, {"td", "th", "li", "div", "body"})
         parent = self.open[-1] if self.open else None
+        above: list[int] = []
+        for i in range(len(self.open) - 1, max(-1, len(self.open) - 1 - CLIMB), -1):
+            if self.open[i]["tag"] in WALLS:
+                break
+            above.append(self.open[i]["node"])
         row = {
             "node": len(self.rows), "end": len(self.rows), "parent": parent["node"] if parent else -1, "depth": len(self.open), "tag": tag,
-            "attrs": {k: v or "" for k, v in attrs}, "children": set(), "inner": set(), "lines": [], "loud": [], "own": [],
+            "attrs": {k: v or "" for k, v in attrs}, "children": set(), "inner": set(), "low": len(self.pieces), "high": len(self.pieces),
+            "aside": any(self.names[t] for t in ASIDE), "roled": self.roles > 0, "above": above,
         }
         if parent:
             parent["children"].add(tag)
@@ -66,71 +89,75 @@ class _Reader(HTMLParser):
         self.rows.append(row)
         if tag not in VOID:
             self.open.append(row)
+            self.names[tag] += 1
+            self.roles += row["attrs"].get("role") in CHROME_ROLES
+            if tag in ("li", "ul", "ol"):
+                self.items.append(row["node"] if tag == "li" else -1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                return self._close(i)
+        if self.names[tag]:
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i]["tag"] == tag:
+                    return self._close(i)
 
     def handle_data(self, data):
         text = _SPACE.sub(" ", data.replace("\xa0", " ")).strip()
-        tags = {r["tag"] for r in self.open}
-        if text and not tags & SILENT:
-            lists = max((i for i, r in enumerate(self.open) if r["tag"] in ("ul", "ol")), default=-1)
-            for i, row in enumerate(self.open):
-                row["lines"].append(text)
-                if not tags & ASIDE:
-                    row["loud"].append(text)
-                if row["tag"] == "li" and i > lists:
-                    row["own"].append(text)
+        if text and not any(self.names[t] for t in SILENT):
+            self.pieces.append((text, any(self.names[t] for t in ASIDE), self.items[-1] if self.items else -1))
 
 
-def _nodes_of(text: str | None) -> list[dict]:
-    reader = _Reader()
-    reader.feed(text or "")
-    reader.close()
-    reader._close(0)
-    return reader.rows
-
-
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(id, node, end, parent, depth, tag, attrs, children, inner, lines, loud, own)``, a row for each element.
+def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(id, elements, pieces)``, a row for each page: its elements in document order and its pieces of text.
 
-    Elements are numbered in document order; those inside one have numbers up to its ``end``. children and inner: the
-    tags right below and anywhere below; lines: the pieces of text inside (loud: those not in nav or footer; own, for
-    list items: those not in a nested list). Null pages and pages without elements give no rows. Pages are read to
-    their end; ``usable_pages`` cuts those that a fetch would have cut.
+    This is what to keep when a page is used more than once; ``nodes_of`` makes rows of it. Null pages and pages without
+    elements give no rows. Pages are read to their end; ``usable_pages`` cuts those that a fetch would have cut.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [id_col, "node", "end", "parent", "depth", "tag", "attrs", "children", "inner", "lines", "loud", "own"]
         for pdf in batches:
             for page, text in zip(pdf[id_col], pdf[html_col]):
-                rows = _nodes_of(text)
-                for r in rows:
-                    r["children"], r["inner"], r[id_col] = sorted(r["children"]), sorted(r["inner"]), page
-                if rows:
-                    yield pd.DataFrame(rows)[columns]
+                reader = _Reader()
+                reader.feed(text or "")
+                reader.close()
+                reader._close(0)
+                for r in reader.rows:
+                    r["children"], r["inner"] = sorted(r["children"]), sorted(r["inner"])
+                if reader.rows:
+                    pieces = [{"text": t, "aside": aside, "item": item} for t, aside, item in reader.pieces]
+                    yield pd.DataFrame({id_col: [page], "elements": [reader.rows], "pieces": [pieces]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, {NODE_SCHEMA}")
+    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, elements array<{ELEMENT}>, pieces array<{PIECE}>")
 
 
-def html_unescape(col: Column) -> Column:
-    """All HTML entities resolved."""
+def nodes_of(parsed: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``(id, node, end, parent, depth, tag, attrs, children, inner, aside, roled, above, lines, loud, own)``, a row for each element.
+
+    Elements are numbered in document order; those inside one have numbers up to its ``end``. children and inner: the
+    tags right below and anywhere below; lines: the pieces of text inside (loud: those not in nav or footer; own, for
+    list items: those not in a nested list). aside and roled: it stands inside nav or footer, or inside an element with a
+    role of site furniture. above: the nearest elements around it, at most CLIMB, none from main or body on. The last three are cut out of the page's pieces only where they are used.
+    """
+    e = F.col("e")
+    inside = F.slice("pieces", e["low"] + 1, e["high"] - e["low"])
+    texts = lambda pieces: F.transform(pieces, lambda p: p["text"])
+    rows = parsed.select(id_col, "pieces", F.explode("elements").alias("e"))
+    return rows.select(
+        id_col, *[e[c].alias(c) for c in ("node", "end", "parent", "depth", "tag", "attrs", "children", "inner", "aside", "roled", "above")], texts(inside).alias("lines"),
+        texts(F.filter(inside, lambda p: ~p["aside"])).alias("loud"),
+        F.when(e["tag"] == "li", texts(F.filter(inside, lambda p: p["item"] == e["node"]))).otherwise(F.array().cast("array<string>")).alias("own"),
+    )
 
-    @F.pandas_udf("string")
-    def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else html.unescape(t))
 
-    return udf(col)
+def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The element rows of pages: ``nodes_of(parse_pages(pages))``."""
+    return nodes_of(parse_pages(pages, id_col, html_col), id_col)
 
 
 def page_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, text)``: a page's visible text, a line for each piece."""
-    roots = page_nodes(pages, id_col, html_col).where("parent = -1")
-    listed = F.array_sort(F.collect_list(F.struct("node", "lines")))
-    return roots.groupBy(id_col).agg(F.array_join(F.flatten(F.transform(listed, lambda x: x["lines"])), "\n").alias("text"))
+    parsed = parse_pages(pages, id_col, html_col)
+    return parsed.select(id_col, F.array_join(F.transform("pieces", lambda p: p["text"]), "\n").alias("text"))
 
 
 def attr(name: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from loomframe.operators.extract import page_links, page_tokens
-from loomframe.sources.html import page_nodes
+from loomframe.sources.html import nodes_of, parse_pages
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -19,10 +19,11 @@ def stream_pages(spark: SparkSession, path: str, out: str, checkpoint: str, file
     pages = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        nodes = page_nodes(batch).persist()
+        parsed = parse_pages(batch).persist()
+        nodes = nodes_of(parsed)
         links = page_links(nodes, batch).select("page_id", "node", "url", "host", "path", "text", "aside")
         links.write.mode("overwrite").parquet(f"{out}/links/batch={number}")
         page_tokens(nodes).write.mode("overwrite").parquet(f"{out}/tokens/batch={number}")
-        nodes.unpersist()
+        parsed.unpersist()
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

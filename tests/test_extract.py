@@ -43,7 +43,7 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def nodes(pages):
-    return ht.page_nodes(pages).cache()
+    return ht.nodes_of(ht.parse_pages(pages).cache())
 
 
 def test_nodes_nest(nodes):
@@ -127,8 +127,13 @@ def test_roster(spark):
     ]
 
 
-def test_long_pages_are_read_to_their_end():
-    from loomframe.sources.html import _nodes_of
-
-    rows = _nodes_of("<p>" + "word " * 900_000 + "</p><a href='/last'>last</a>")
+def test_long_pages_are_read_to_their_end(spark):
+    page = "<p>" + "word " * 900_000 + "</p><a href='/last'>last</a>"
+    rows = ht.page_nodes(spark.createDataFrame([(1, page)], "page_id int, html string")).orderBy("node").collect()
     assert [r["tag"] for r in rows] == ["p", "a"] and rows[1]["lines"] == ["last"]
+
+
+def test_unclosed_elements_cost_no_more(spark):
+    page = "".join(f"<b>x{i}" for i in range(20_000))
+    got = ht.page_nodes(spark.createDataFrame([(1, page)], "page_id int, html string")).where("tag = 'b'")
+    assert got.count() == 20_000 and got.where("node = 0").first()["lines"][-1] == "x19999"

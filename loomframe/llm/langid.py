@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 5
 EVIDENCE_WORDS = 20
 CACHE_BYTES = 32 << 20
+DENSE_BYTES = 64 << 20
 
 
 def words_of(text: str) -> Counter:
@@ -31,11 +31,6 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def key_of(gram: str) -> int:
-    """The gram's xxhash64 as Spark has it, unsigned."""
-    return xxhash.xxh64_intdigest(gram.encode(), 42)
-
-
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
@@ -52,48 +47,58 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams, in sparse rows: a gram's hash, and the languages that have it.
+    """Log frequencies of words and n-grams, in sparse rows: a gram, and the languages that have it.
 
     What a language lacks costs the same in all languages, a tenth of one occurrence in the language with most to learn
     from: a floor of its own would favour a language for having been learned from little.
     """
 
     def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
-        """counts: (lang, n, key, c), key being ``key_of`` the gram as a signed number; n is 0 for whole words."""
+        """counts: (lang, n, gram, c); n is 0 for whole words."""
         self.langs = langs
-        self.keys: list[np.ndarray] = []  # sorted, by order n
-        self.first: list[np.ndarray] = []  # where each key's entries begin
+        self.index: list[dict[str, int]] = []  # the row of each gram, by order n
+        self.first: list[np.ndarray] = []  # where each row's entries begin
         self.at: list[np.ndarray] = []  # an entry's language
         self.logs: list[np.ndarray] = []
         self.floor: list[float] = []
         number = {lang: i for i, lang in enumerate(langs)}
         for n in range(MAX_GRAM + 1):
             own = counts[counts["n"] == n]
-            key = own["key"].to_numpy(np.int64).view(np.uint64)
+            codes, grams = pd.factorize(own["gram"])
             at = np.array([number[x] for x in own["lang"]], np.int64)
             total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
-            order = np.lexsort((at, key))
-            key, at = key[order], at[order]
-            keys, first = np.unique(key, return_index=True)
-            self.keys.append(keys)
-            self.first.append(np.append(first, len(key)).astype(np.int64))
-            self.at.append(at.astype(np.int32))
-            self.logs.append(np.log10(own["c"].to_numpy(np.float64)[order] / total[at]).astype(np.float32) if len(at) else np.zeros(0, np.float32))
+            order = np.lexsort((at, codes))
+            self.index.append({g: i for i, g in enumerate(grams)})
+            self.first.append(np.searchsorted(codes[order], np.arange(len(grams) + 1)))
+            self.at.append(at[order].astype(np.int32))
+            self.logs.append(np.log10(own["c"].to_numpy(np.float64)[order] / total[at[order]]).astype(np.float32) if len(at) else np.zeros(0, np.float32))
             self.floor.append(float(np.log10(0.1 / total.max(initial=1))))
+        self._start()
+
+    def _start(self) -> None:
         self.cache: dict[str, np.ndarray | None] = {}
-        self.cached = max(1000, CACHE_BYTES // (8 * max(1, len(langs))))
+        self.cached = max(1000, CACHE_BYTES // (8 * max(1, len(self.langs))))
+        self.dense: list[np.ndarray] | None = None
+        self.small = sum(map(len, self.index)) * len(self.langs) * 4 <= DENSE_BYTES
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "dense")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
 
-    def rows(self, n: int, grams: list[str]) -> list[int]:
-        """Which rows of order n the grams have; those without are left out."""
-        keys = self.keys[n]
-        if not len(keys):
-            return []
-        wanted = np.array([key_of(g) for g in grams], np.uint64)
-        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return found[keys[found] == wanted].tolist()
+    def _filled(self, n: int) -> np.ndarray:
+        full = np.full((len(self.index[n]), len(self.langs)), self.floor[n], np.float32)
+        full[np.repeat(np.arange(len(full)), np.diff(self.first[n])), self.at[n]] = self.logs[n]
+        return full
 
     def log_of(self, n: int, rows: list[int]) -> np.ndarray:
-        """The mean log frequency of rows of order n in every language."""
+        """The mean log frequency of rows of order n in every language; read from a dense table where that is small."""
+        if self.small:
+            if self.dense is None:
+                self.dense = [self._filled(k) for k in range(MAX_GRAM + 1)]
+            return self.dense[n][rows].mean(axis=0)
         out = np.zeros(len(self.langs))
         for r in rows:
             span = slice(self.first[n][r], self.first[n][r + 1])
@@ -101,12 +106,14 @@ class LanguageModel:
         return out / max(1, len(rows)) + self.floor[n]
 
     def _word(self, word: str) -> np.ndarray | None:
-        if known := self.rows(0, [word]):
-            return self.log_of(0, known)
+        i = self.index[0].get(word)
+        if i is not None:
+            return self.log_of(0, [i])
         for n in range(MAX_GRAM, 0, -1):
-            grams = [g for g in grams_of(word, n) if g != " "]  # a word's edge alone says nothing
-            if self.rows(n, grams):
-                return self.log_of(n, self.rows(n, grams_of(word, n)))
+            own = self.index[n]
+            grams = [g for g in grams_of(word, n) if g in own]
+            if grams and (n > 1 or set(grams) - {" "}):  # a word's edge alone says nothing
+                return self.log_of(n, [own[g] for g in grams])
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -144,13 +151,13 @@ def fit_language_model(
     lang_col: str = "lang",
     rows_per_lang: int = 2000,
     max_rows: int = 100_000,
-    max_entries: int = 4_000_000,
+    max_entries: int = 1_500_000,
 ) -> LanguageModel:
     """Fit on about ``rows_per_lang`` learnable labelled rows of each language, chosen by a hash of their ids.
 
     Bounds: a sample of at most about ``max_rows`` rows over all languages; every word and n-gram of it is kept. Should that
     make more than ``max_entries`` (word or n-gram, language) pairs, the sample is halved until it does not, so that what
-    is broadcast, 24 bytes an entry, has a bound. Rows without text, label or id are not learned from.
+    is broadcast, some 100 bytes an entry, has a bound. Rows without text, label or id are not learned from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         is_learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -162,7 +169,7 @@ def fit_language_model(
     while True:
         release(counts)
         sample = rows.join(sizes, "lang").where(chance < wanted / F.col("n")).select("lang", "text")
-        counted = sample.mapInPandas(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", F.xxhash64("gram").alias("key"))
+        counted = sample.mapInPandas(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram")
         counts = materialize(counted.agg(F.sum("c").alias("c")), "language-counts")
         if counts.count() <= max_entries:
             break

@@ -96,8 +96,7 @@ def test_language_id_learns_no_held_out_rows(some):
 
 
 def language_counts(rows):
-    counts = pd.DataFrame(rows, columns=["lang", "n", "gram", "c"])
-    return counts.assign(key=[k - (k >> 63 << 64) for k in map(li.key_of, counts["gram"])])
+    return pd.DataFrame(rows, columns=["lang", "n", "gram", "c"])
 
 
 def test_backoff_of_unseen_words():
@@ -146,6 +145,14 @@ def test_language_id_against_plain_dictionaries(some):
     assert [got[r["doc_id"]] for r in lettered] == want
 
 
+def test_sparse_rows_are_the_dense_ones():
+    counts = language_counts([("aa", 2, "xq", 3), ("bb", 2, "qa", 2), ("aa", 2, "qa", 7), ("aa", 0, "foo", 1)])
+    model = li.LanguageModel(["aa", "bb"], counts, {("aa", 2): 10, ("bb", 2): 2, ("aa", 0): 1})
+    dense = model.log_of(2, [0, 1])
+    model.small = False
+    assert [round(float(x), 5) for x in dense] == [round(float(x), 5) for x in model.log_of(2, [0, 1])]
+
+
 def test_many_labels_make_no_large_plan(spark):
     frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("lang"), F.col("id").cast("string")).alias("lang"), F.lit("some words here").alias("text"))
     assert len(li.fit_language_model(frame, max_rows=200).langs) < 600
@@ -537,7 +544,7 @@ def test_floor_does_not_depend_on_the_language():
     counts = language_counts([("big", 0, "foo", 90), ("big", 0, "bar", 9910), ("mid", 0, "baz", 10), ("tiny", 0, "qux", 2)])
     model = li.LanguageModel(["big", "mid", "tiny"], counts, {("big", 0): 10_000, ("mid", 0): 100, ("tiny", 0): 2})
     assert model.predict("foo baz baz baz foo foo foo foo")[0] == "big"
-    log = lambda w: model.log_of(0, model.rows(0, [w]))
+    log = lambda w: model.log_of(0, [model.index[0][w]])
     assert len({round(float(log(w)[i]), 6) for w, i in (("foo", 1), ("foo", 2), ("baz", 0), ("baz", 2), ("qux", 0))}) == 1
 
 

@@ -86,13 +86,17 @@ def fold(col: Column) -> Column:
 def _expanded(t: Column) -> Column:
     """Every character that decomposes into several, decomposed; the others as they are."""
     several = _foldings()[2]
-    known, jamo = F.from_json(F.lit(json.dumps(several)), "map<string,string>"), lambda first, n: F.lit([chr(first + i) for i in range(n)])
+    known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    leads, vowels, tails = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def syllable(place: Column) -> Column:
+        at = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
+        tail = F.when(place % 28 > 0, at(tails, place % 28 - 1)).otherwise("")
+        return F.concat(at(leads, F.floor(place / 588)), at(vowels, F.floor(place % 588 / 28)), tail)
 
     def letter(c: Column) -> Column:
         place = F.ascii(c) - 0xAC00
-        tail = F.when(place % 28 > 0, F.get(jamo(0x11A7, 28), (place % 28).cast("int"))).otherwise("")
-        syllable = F.concat(F.get(jamo(0x1100, 19), F.floor(place / 588).cast("int")), F.get(jamo(0x1161, 21), F.floor(place % 588 / 28).cast("int")), tail)
-        return F.when(F.regexp_like(c, F.lit("[\uac00-\ud7a3]")), syllable).when(F.regexp_like(c, F.lit(_char_class(several))), known[c]).otherwise(c)
+        return F.when(place.between(0, 11171), let(place, syllable)).otherwise(F.coalesce(known[c], c))
 
     return F.array_join(F.transform(F.split(t, ""), letter), "")
 
@@ -203,8 +207,8 @@ def norm_unit(col: Column) -> Column:
 
 
 @cache
-def _entities() -> tuple[str, list[int], str]:
-    """Named references and their texts as JSON, the lengths of the names that need no semicolon, and what odd code points stand for."""
+def _entities() -> tuple[str, str, str]:
+    """Named references and their texts as JSON, a pattern of the names that need no semicolon, and what odd code points stand for."""
     from html.entities import html5
 
     odd = {n: chr(n) for n in range(0x80, 0xA0)}
@@ -213,12 +217,13 @@ def _entities() -> tuple[str, list[int], str]:
             odd[n] = bytes([n]).decode("cp1252")
         except UnicodeDecodeError:
             pass
-    return json.dumps(html5), sorted({len(k) for k in html5 if not k.endswith(";")}, reverse=True), json.dumps({0: "\ufffd", 0x0D: "\r", **odd})
+    bare = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return json.dumps(html5), "^(?:" + "|".join(bare) + ")", json.dumps({0: "\ufffd", 0x0D: "\r", **odd})
 
 
 def unescape(col: Column) -> Column:
     """All HTML character references resolved, named ones with or without their semicolon, and numeric ones, as browsers do."""
-    names, lengths, odd = _entities()
+    names, bare, odd = _entities()
     known, odd_points = F.from_json(F.lit(names), "map<string,string>"), F.from_json(F.lit(odd), "map<string,string>")
 
     def char(code: Column) -> Column:
@@ -228,13 +233,14 @@ def unescape(col: Column) -> Column:
         return F.coalesce(odd_points[code.cast("string")], F.when(outside, "\ufffd").when(silent, "").otherwise(spelled))
 
     def reference(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
         digits = F.regexp_extract(piece, r"^#[xX]?([0-9a-fA-F]+)", 1)
         code = F.when(F.regexp_like(piece, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
-        name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
-        shorter = [F.when(F.length(name) > n, F.concat(known[F.left(name, F.lit(n))], F.substring(piece, n + 1, 1 << 30))) for n in lengths]
-        named = F.coalesce(F.concat(known[name], F.substring(piece, F.length(name) + 1, F.lit(1 << 30))), *shorter, F.concat(F.lit("&"), piece))
-        return F.when(number != "", F.concat(char(code), F.substring(piece, F.length(number) + 1, F.lit(1 << 30)))).otherwise(named)
+        number = F.concat(let(code, char), F.regexp_replace(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", ""))
+        after = lambda name: F.concat(known[name], F.substring(piece, F.length(name) + 1, F.lit(1 << 30)))
+        named = F.coalesce(
+            let(F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0), after), let(F.regexp_extract(piece, bare, 0), after), F.concat(F.lit("&"), piece)
+        )
+        return F.when(F.regexp_like(piece, F.lit("^#(?:[0-9]|[xX][0-9a-fA-F])")), number).otherwise(named)
 
     def resolved(t: Column) -> Column:
         pieces = F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(reference(p)))

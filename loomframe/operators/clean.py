@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape
+from loomframe.session import written
 from loomframe.operators.resolve import few, fix_shared_emails, merge_duplicates, repair_group
 
 # What the clean-up takes for junk, a label, a code, a title or staff.
@@ -209,7 +210,7 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
 
     units: (ord, name, college), a few thousand rows at most; label_college: (label, group).
     """
-    merged = merge_duplicates(canonicalize(records, units))
+    merged = written(merge_duplicates(written(canonicalize(records, units), "canonical")), "one-a-person")
     merged = merged.withColumns({c: squash(unescape(F.col(c))) for c in ("department", "college", "location", "lab_name")})
     plain = F.transform("affiliations", lambda a: F.struct(squash(unescape(a["college"])).alias("college"), squash(unescape(a["department"])).alias("department")))
     merged = merged.withColumn("affiliations", plain)
@@ -229,6 +230,7 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     kept = F.filter("affiliations", lambda a: (a["college"] != "") | (a["department"] != ""))
     blanked = F.transform(kept, lambda a: F.struct(a["college"].alias("college"), F.when(whole(a["department"]), "").otherwise(a["department"]).alias("department")))
     repaired = repaired.withColumns({"department": department, "affiliations": F.array_distinct(blanked)})
+    repaired = written(repaired, "repaired")
     names = units.select(F.explode(F.array(fold(F.col("name")), norm_unit(F.col("name")), fold(F.col("college")), F.regexp_replace(fold(F.col("name")), r"\s+department$", ""))).alias("n"))
     unit_names = F.lit(few(names.distinct(), 20_000) or [""])
     own_labels = F.concat(F.array(fold(F.col("department")), fold(F.col("college"))), F.transform("affiliations", lambda a: fold(a["department"])), F.transform("affiliations", lambda a: fold(a["college"])))
@@ -240,4 +242,4 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     })
     person = ~is_not_a_person(F.col("name"), F.size("affiliations"), F.col("title"), F.col("email"))
     idle_staff = is_staff(F.col("title")) & (F.size("research_areas") == 0) & (F.col("google_scholar") == "")
-    return fix_shared_emails(cleaned.where(person & ~idle_staff))
+    return fix_shared_emails(written(cleaned.where(person & ~idle_staff), "cleaned"))

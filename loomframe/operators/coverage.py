@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.operators.resolve import explode_membership
+
 
 def count_where(flag: Column) -> Column:
     return F.count_if(F.coalesce(flag, F.lit(False)))
@@ -24,6 +26,53 @@ def coverage_by(units: DataFrame, members: DataFrame, on: str, flags: dict[str,
     return joined.select(*units.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("members", *flags)])
 
 
+def members_of_units(records: DataFrame, department: str = "department", affiliations: str = "affiliations") -> DataFrame:
+    """Records by each different unit that they name, as their department or in an affiliation, as ``unit``."""
+    return explode_membership(records, department, F.transform(affiliations, lambda a: a["department"]))
+
+
+def coverage_by_group(units: DataFrame, records: DataFrame, group: str = "college", status: str = "status", order: str = "ord") -> DataFrame:
+    """``(group, ord, departments, records, departments_ok)``: the units of each group, those that are ok, and the records of the group itself."""
+    own = units.groupBy(group).agg(F.min(order).alias("ord"), F.count(F.lit(1)).alias("departments"), count_where(F.col(status) == "ok").alias("departments_ok"))
+    counted = records.groupBy(group).agg(F.count(F.lit(1)).alias("records"))
+    return own.join(counted, group, "left").select(group, "ord", "departments", F.coalesce("records", F.lit(0)).alias("records"), "departments_ok")
+
+
+def record_flags() -> dict[str, Column]:
+    """What a report counts of records."""
+    return {
+        "with_email": F.col("email") != "", "with_scholar": F.col("google_scholar") != "", "with_research": F.size("research_areas") > 0,
+        "with_teaching": F.size("teaching") > 0,
+    }
+
+
+def coverage_document(units: DataFrame, records: DataFrame, students: DataFrame, facts: dict[str, str], errors: DataFrame | None = None, max_units: int = 100_000, max_errors: int = 300) -> DataFrame:
+    """One row, the report as nested columns: facts, status_counts, colleges, departments, totals, errors.
+
+    units: (ord, college, department, site, status, faculty_page, faculty_listed, students_found, ..), tens of thousands at
+    most (more are refused: the document is one value); errors: (url, error), of which the first ``max_errors`` are kept.
+    """
+    n = units.count()
+    if n > max_units:
+        raise ValueError(f"{n} units are too many for one document")
+    flags = record_flags()
+    per_unit = coverage_by(units.withColumnRenamed("department", "unit"), members_of_units(records), "unit", flags)
+    in_turn = lambda cols: F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), F.struct(*cols).alias("r")))), lambda x: x["r"])
+    rows = [F.col("unit").alias("department"), F.col("members").alias("faculty_in_database"), *[c for c in per_unit.columns if c not in ("ord", "unit", "members")]]
+    departments = per_unit.agg(in_turn(rows).alias("departments"))
+    colleges = coverage_by_group(units, records).agg(in_turn([F.col("college").alias("name"), "departments", F.col("records").alias("faculty"), "departments_ok"]).alias("colleges"))
+    counts = status_counts(units).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
+    whole = totals(records, {**flags, "with_students": F.size("current_students") > 0, "with_college": F.col("college") != ""})
+    listed = students.agg(F.count(F.lit(1)).alias("n_students"))
+    total = whole.crossJoin(listed).select(
+        F.struct(F.col("members").alias("faculty"), F.col("n_students").alias("students"), *[c for c in whole.columns if c != "members"]).alias("totals")
+    )
+    out = counts.crossJoin(colleges).crossJoin(departments).crossJoin(total)
+    if errors is not None:
+        out = out.crossJoin(errors.limit(max_errors).agg(F.collect_list(F.struct("url", F.left("error", F.lit(200)).alias("error"))).alias("errors")))
+    return out.select(*[F.lit(v).alias(k) for k, v in facts.items()], "*")
+
+
 def totals(members: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return members.agg(F.count(F.lit(1)).alias("members"), *[count_where(f).alias(n) for n, f in flags.items()])
 

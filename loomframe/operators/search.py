@@ -44,8 +44,8 @@ def matches_query(blob: Column, query: str) -> Column:
     return reduce(Column.__and__, tests, F.lit(True))
 
 
-def enrich(records: DataFrame) -> DataFrame:
-    """Records plus what search needs: colleges, depts, blob, topics, initials and rich (0 to 4)."""
+def enrich(records: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """Records plus what search needs: colleges, depts, blob, topics (a bit for each pattern, TOPICS' by default), initials and rich (0 to 4)."""
     fallback = F.array(F.struct("college", "department"))
     plain = F.transform("affiliations", lambda a: F.struct(a["college"].alias("college"), a["department"].alias("department")))
     affs = F.when(F.size("affiliations") > 0, plain).otherwise(fallback)
@@ -58,7 +58,7 @@ def enrich(records: DataFrame) -> DataFrame:
     ])
     with_blob = records.withColumns({"colleges": listed("college"), "depts": listed("department"), "blob": blob})
     return with_blob.withColumns({
-        "topics": topic_mask(F.col("blob"), list(TOPICS.values())),
+        "topics": topic_mask(F.col("blob"), patterns or list(TOPICS.values())),
         "initials": initials(F.col("name")),
         "rich": richness([
             present(F.col("email")).isNotNull(), F.size("research_areas") > 0, present(F.col("google_scholar")).isNotNull(), F.size("teaching") > 0
@@ -68,11 +68,12 @@ def enrich(records: DataFrame) -> DataFrame:
 
 def search(
     enriched: DataFrame, query: str = "", college: str = "", department: str = "", topic: int = -1,
-    only: tuple[str, ...] = (), limit: int | None = PAGE,
+    only: tuple[str, ...] = (), limit: int | None = PAGE, page: int = 1, patterns: list[str] | None = None,
 ) -> DataFrame:
     """All conditions together; browsing (no query) puts full records first, a query keeps the published order ``ord``.
 
-    only: of email, scholar, students and research.
+    only: of email, scholar, students and research. topic: the number of a pattern, of which only that one is tried, and only
+    on records that meet the other conditions. ``page`` counts from 1.
     """
     flags = {
         "email": present(F.col("email")).isNotNull(), "scholar": present(F.col("google_scholar")).isNotNull(),
@@ -83,11 +84,12 @@ def search(
         tests.append(F.array_contains("colleges", college))
     if department:
         tests.append(F.array_contains("depts", department))
+    tests.append(matches_query(F.col("blob"), query))
     if topic >= 0:
-        tests.append(F.col("topics").bitwiseAND(1 << topic) != 0)
-    found = enriched.where(reduce(Column.__and__, tests, matches_query(F.col("blob"), query)))
+        tests.append(F.regexp_like("blob", F.lit((patterns or list(TOPICS.values()))[topic])))
+    found = enriched.where(reduce(Column.__and__, tests))
     ordered = found.orderBy("ord") if query else found.orderBy(F.desc("rich"), F.collate("name", "UNICODE"), "id")
-    return ordered.limit(limit) if limit else ordered
+    return ordered.offset((page - 1) * limit).limit(limit) if limit else ordered
 
 
 def lookup(enriched: DataFrame, record_id: str) -> DataFrame:

@@ -51,3 +51,8 @@ def csv_text(lines: DataFrame, header: str, path: str) -> None:
     """
     head = lines.sparkSession.createDataFrame([(-1, header)], "ord long, line string")
     head.union(lines.select(F.col("ord").cast("long"), "line")).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def coverage_json(document: DataFrame, path: str) -> None:
+    """The one row of ``coverage_document`` as a JSON file."""
+    document.select(F.to_json(F.struct(*document.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)

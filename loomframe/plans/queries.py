@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from loomframe.operators import ordered as od
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
 from loomframe.plans import records as rc
+from loomframe.session import shared_dir, written
 from loomframe.sources import html as ht
+from loomframe.sources import sinks as sk
 from loomframe.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,21 +56,34 @@ def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("blob", se.search_blob([tx.present(F.col(c)) for c in ("text", "lang", "source")]))
 
 
+_RECORD_BLOB_SQL = """lower(concat_ws(' • ', nullif(source, ''), nullif(lang, ''), nullif(source, ''), nullif(lang, ''), nullif(text, ''),
+  CASE WHEN n_chars > 1000 THEN 'long' END, CASE WHEN quality = 1 THEN 'q@ex.org' END))"""
+
+
+def _document_records(spark, sf_dir) -> DataFrame:
+    """Documents in the shape of records: language and source as college and department, the text as a research area."""
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    d = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    none, text = F.array().cast("array<string>"), lambda c, v: F.when(c, v).otherwise("")
+    return d.select(
+        F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("lang").alias("title"), F.col("lang").alias("college"),
+        F.col("source").alias("department"), F.array(F.struct(F.col("lang").alias("college"), F.col("source").alias("department"))).alias("affiliations"),
+        F.array("text").alias("research_areas"), F.when(F.col("n_chars") > 1000, F.array(F.lit("long"))).otherwise(none).alias("teaching"), none.alias("extension"),
+        none.alias("roles"), F.lit("").alias("lab_name"), F.lit("").alias("research_summary"), F.array().cast("array<struct<name:string,program:string>>").alias("current_students"),
+        text(F.col("quality") == 1, "q@ex.org").alias("email"), text(F.col("toxic") == 0, "s").alias("google_scholar"), F.lit("2026").alias("verified_at"),
+    )
+
+
 @query(f"""
-WITH d AS (SELECT doc_id, lang, source, {_BLOB_SQL} AS blob, ({_TOPIC_SQL})::INTEGER AS topics, n_chars FROM documents),
-l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-e AS (SELECT d.*, (coalesce(quality = 1, false)::INT + coalesce(toxic = 0, false)::INT + (n_chars > 1000)::INT + (lang = 'en')::INT)::INTEGER AS rich
-  FROM d LEFT JOIN l USING (doc_id))
-SELECT doc_id, source, topics, rich FROM e WHERE lang = 'en' AND (topics & 4) <> 0 AND contains(blob, 'the') AND contains(blob, 'src')
-ORDER BY rich DESC, doc_id LIMIT 48""")
+WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT *, {_RECORD_BLOB_SQL} AS blob, coalesce(quality = 1, false)::INT + coalesce(text <> '', false)::INT + coalesce(toxic = 0, false)::INT + (n_chars > 1000)::INT AS rich
+  FROM documents LEFT JOIN l USING (doc_id))
+SELECT doc_id, source, ({" + ".join(f"CASE WHEN regexp_matches(blob, '{w}') THEN {1 << i} ELSE 0 END" for i, w in enumerate(WORD_TOPICS))})::INTEGER AS topics, rich::INTEGER AS rich
+FROM d WHERE lang = 'en' AND regexp_matches(blob, '{WORD_TOPICS[2]}') AND contains(blob, 'the') AND contains(blob, 'src') ORDER BY doc_id LIMIT 48""")
 def faceted_search(spark, sf_dir):
-    """Conjunctive filter by facet, topic bit and words; fullest rows first; one page."""
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = _blobs(spark, sf_dir).withColumn("topics", se.topic_mask(F.col("blob"), WORD_TOPICS))
-    docs = docs.where((F.col("lang") == "en") & (F.col("topics").bitwiseAND(4) != 0) & se.matches_query(F.col("blob"), "THE src"))
-    docs = docs.select("doc_id", "source", "topics", "n_chars", "lang").join(labels, "doc_id", "left")
-    flags = [F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") > 1000, F.col("lang") == "en"]
-    return docs.select("doc_id", "source", "topics", se.richness(flags).alias("rich")).orderBy(F.desc("rich"), "doc_id").limit(se.PAGE)
+    """Conjunctive filter by facet, words and topic; the first page in published order."""
+    found = se.search(se.enrich(_document_records(spark, sf_dir), WORD_TOPICS), query="THE src", college="en", topic=2, patterns=WORD_TOPICS)
+    return found.select(F.col("ord").alias("doc_id"), F.col("name").alias("source"), "topics", "rich")
 
 
 @query(f"SELECT doc_id, ({_TOPIC_SQL})::INTEGER AS topics, bit_count(({_TOPIC_SQL})::INTEGER)::INTEGER AS n_topics FROM documents")
@@ -141,10 +157,20 @@ def url_prefix_groups(spark, sf_dir):
 _EMAIL_SQL = r"(?:^|[^A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,6}[A-Za-z]{2,24})"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_transform(e, lambda x: lower(x)), ' ') AS emails, len(e)::BIGINT AS n
-FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL_SQL}', 1) AS e FROM documents) WHERE len(e) > 0""")
+_HIDDEN_SQL = (
+    r"(?i)(?:^|[^A-Za-z0-9._%+\-])([A-Za-z0-9._%+\-]{1,64})\s{0,3}(?:\[at\]|\(at\)|\{at\}|\bat\b)\s{0,3}"
+    r"((?:[A-Za-z0-9\-]{1,63}\s{0,3}(?:\[dot\]|\(dot\)|\.)\s{0,3}){1,6}[A-Za-z]{2,24})"
+)
+
+
+@query(f"""WITH e AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_EMAIL_SQL}', 1), lambda x: lower(x)) AS p,
+  list_transform(list_zip(regexp_extract_all(text, '{_HIDDEN_SQL}', 1), regexp_extract_all(text, '{_HIDDEN_SQL}', 2)), lambda x: lower(x[1] || '@' ||
+    replace(regexp_replace(x[2], '(?i)\\s*(\\[dot\\]|\\(dot\\))\\s*', '.', 'g'), ' ', ''))) AS h FROM documents),
+r AS (SELECT doc_id, unnest(list_concat(p, h)) AS e, generate_subscripts(list_concat(p, h), 1) AS i FROM e),
+f AS (SELECT doc_id, e, min(i) AS i FROM r GROUP BY doc_id, e)
+SELECT doc_id, string_agg(e, ' ' ORDER BY i) AS emails, count(*)::BIGINT AS n FROM f GROUP BY doc_id""")
 def email_extract(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(em.EMAIL), F.lit(0)), F.lower).alias("e"))
+    d = read(spark, sf_dir, "documents").select("doc_id", em.find_emails(F.col("text")).alias("e"))
     return d.where(F.size("e") > 0).select("doc_id", F.array_join("e", " ").alias("emails"), _long(F.size("e")).alias("n"))
 
 
@@ -191,22 +217,28 @@ def person_clusters(spark, sf_dir):
     return _part_people(spark, sf_dir).select("ord", "name", "cluster")
 
 
-@query(_CLUSTER_SQL + """SELECT name, cluster, count(*)::BIGINT AS n, arg_min(title, struct_pack(a := -rich, b := ord)) AS title,
-  coalesce(arg_min(nullif(email, ''), struct_pack(a := -rich, b := ord)) FILTER (email <> ''), '') AS email FROM c GROUP BY name, cluster""")
+@query(_CLUSTER_SQL.replace("p_size AS rich", "CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS rich") + """, o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rich DESC, ord) AS k FROM c)
+SELECT arg_min(name, k) AS name, cluster, count(*)::BIGINT AS n, arg_min(title, k) AS title, min(ord) FILTER (k = k0) AS ord, arg_min(brand, k) AS college, arg_min(title, k) AS department
+FROM (SELECT o.*, p_brand AS brand, min(k) OVER (PARTITION BY name, cluster) AS k0 FROM o JOIN part ON p_partkey = ord) GROUP BY name, cluster""")
 def merge_duplicates(spark, sf_dir):
-    order = F.col("cluster_rank")
-    return _part_people(spark, sf_dir).groupBy("name", "cluster").agg(
-        F.count(F.lit(1)).alias("n"), od.first_present("title", order).alias("title"), od.first_present("email", order).alias("email")
-    )
+    none = F.array().cast("array<string>")
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.lower("p_brand")).alias("email"),
+        F.col("p_type").alias("title"), F.lit("").alias("profile_url"), F.array("p_type").alias("research_areas"), none.alias("teaching"), F.lit("").alias("college"), F.lit("").alias("department"),
+        F.array(F.struct(F.col("p_brand").alias("college"), F.col("p_type").alias("department"), F.lit(False).alias("shared"))).alias("affiliations"),
+    )
+    merged = rs.merge_duplicates(p)
+    return merged.select("name", F.col("email").alias("cluster"), F.col("cluster_size").alias("n"), "title", "ord", "college", "department")
 
 
-@query("""WITH k AS (SELECT p_brand AS key, count(DISTINCT p_name)::BIGINT AS n_who FROM part GROUP BY p_brand HAVING count(DISTINCT p_name) >= 60)
-SELECT p_partkey, CASE WHEN k.key IS NULL OR p_size > 25 THEN p_brand ELSE '' END AS email FROM part LEFT JOIN k ON p_brand = k.key""")
+@query("""WITH p AS (SELECT p_partkey, lower(p_brand) || '@ex.org' AS email, string_split(lower(strip_accents(p_name)), ' ') AS t FROM part),
+k AS (SELECT email FROM p GROUP BY email HAVING count(DISTINCT t[len(t)] || '|' || t[1][1]) >= 2),
+m AS (SELECT *, regexp_replace(split_part(email, '@', 1), '[^a-z]', '', 'g') AS local, regexp_replace(t[len(t)], '[^a-z]', '', 'g') AS last, regexp_replace(t[1], '[^a-z]', '', 'g') AS first FROM p)
+SELECT p_partkey, CASE WHEN email NOT IN (FROM k) OR (len(last) >= 3 AND contains(local, last)) OR (len(first) >= 3 AND contains(local, first))
+  OR (first <> '' AND last <> '' AND starts_with(local, first[1] || last[1:3])) THEN email ELSE '' END AS email FROM m""")
 def shared_key_scrub(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    shared = rs.shared_keys(p, F.col("p_brand"), F.col("p_name"), 60)
-    kept = F.when(F.col("key").isNull() | (F.col("p_size") > 25), F.col("p_brand")).otherwise("")
-    return p.join(shared, p["p_brand"] == shared["key"], "left").select("p_partkey", kept.alias("email"))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.concat(F.lower("p_brand"), F.lit("@ex.org")).alias("email"))
+    return rs.fix_shared_emails(p).select("p_partkey", "email")
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
@@ -214,14 +246,10 @@ f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM w WHERE w <> '' AND re
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
 SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM r WHERE k <= 15 GROUP BY doc_id""")
 def ordered_fold_distinct(spark, sf_dir):
-    """First spellings of a text's words, by rows: a long text has too many words for comparing all pairs in one array."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).where(F.regexp_like("w", F.lit("^[A-Za-z]+$")))
-    first = od.keep_first(d.withColumn("k", F.lower("w")), ["doc_id", "k"], ["i"])
-    return (
-        od.top_rows(first, ["doc_id"], ["i"], 15)
-        .groupBy("doc_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("words"))
-    )
+    """First spellings of a text's words."""
+    words = F.filter(F.split("text", " "), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]+$")))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(tx.fold_distinct(words), 1, 15), " ").alias("words"))
+    return d.where("words <> ''")
 
 
 @query(f"""SELECT trim(regexp_replace({_ACCENT_SQL.format("regexp_replace(p_type, '^(the )?department of ', '', 'i')")}, '[^a-z0-9]+', ' ', 'g')) AS key,
@@ -244,14 +272,20 @@ def college_repair(spark, sf_dir):
     return rs.repair_group(n, label, exact, static, r.select(F.col("r_name").alias("group"))).select("n_nationkey", "n_name", "group")
 
 
-@query("""SELECT c_custkey AS custkey, c_name AS name, 'roster' AS source FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
-UNION ALL SELECT o_custkey, arg_min(c_name, o_orderkey), 'orders' FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey""")
+@query("""WITH o AS (SELECT DISTINCT o_custkey FROM orders)
+SELECT c_name AS name, c_mktsegment AS department, 'Lecturer' AS title, CASE WHEN o_custkey IS NULL THEN '' ELSE c_mktsegment END AS cat_dept,
+  CASE WHEN o_custkey IS NULL THEN 'College of ' || c_mktsegment ELSE '' END AS college FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def gap_fill_anti(spark, sf_dir):
-    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    seen = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    missing = c.join(seen, c["c_custkey"] == seen["o_custkey"], "left_anti").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.lit("roster").alias("source"))
-    found = c.join(seen, c["c_custkey"] == seen["o_custkey"]).select("c_custkey", "c_name", F.lit("orders"))
-    return missing.union(found)
+    """Customers with orders as records, all customers as the roster: the others get records, those there a title."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").select("o_custkey").distinct()
+    none = F.expr("cast(array() as array<struct<college:string,department:string,shared:boolean>>)")
+    records = c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select(
+        F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("department"), F.lit("").alias("college"), F.lit("").alias("title"),
+        F.lit("").alias("cat_dept"), none.alias("affiliations"),
+    )
+    roster = c.select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), F.lit("Lecturer").alias("title"), F.col("c_mktsegment").alias("department"))
+    segments = c.select("c_mktsegment").distinct().select(tx.norm_unit(F.col("c_mktsegment")).alias("unit_key"), F.concat(F.lit("College of "), "c_mktsegment").alias("college"))
+    return rs.fill_from_roster(records, roster, segments).select("name", "department", "title", "cat_dept", "college")
 
 
 @query("""WITH j AS (SELECT c_custkey, s_suppkey, count(s_suppkey) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey)
@@ -285,15 +319,15 @@ def coverage_by_unit(spark, sf_dir):
     return cv.coverage_by(units, read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "unit"), "unit", _customer_flags())
 
 
-@query(f"""SELECT r_name AS "group", min(n_nationkey) AS first_unit, count(DISTINCT n_nationkey)::BIGINT AS units, count(c_custkey)::BIGINT AS members
-FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name""")
+@query("""SELECT r_name AS college, min(n_nationkey) AS ord, count(*)::BIGINT AS departments,
+  (SELECT count(*) FROM customer JOIN nation n ON c_nationkey = n.n_nationkey WHERE n.n_regionkey = r_regionkey)::BIGINT AS records,
+  count(*) FILTER (n_nationkey % 3 = 0)::BIGINT AS departments_ok FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey""")
 def coverage_by_group(spark, sf_dir):
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    c = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("members"))
-    units = n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"])
-    return units.groupBy(F.col("r_name").alias("group")).agg(
-        F.min("n_nationkey").alias("first_unit"), F.countDistinct("n_nationkey").alias("units"), F.coalesce(F.sum("members"), F.lit(0)).alias("members")
-    )
+    named = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    units = named.select(F.col("n_nationkey").alias("ord"), F.col("r_name").alias("college"), F.when(F.col("n_nationkey") % 3 == 0, "ok").otherwise("partial").alias("status"))
+    records = read(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("college"))
+    return cv.coverage_by_group(units, records)
 
 
 @query(f"SELECT count(*)::BIGINT AS members, {_FLAGS_SQL} FROM customer")
@@ -318,11 +352,12 @@ def uid_hash(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", tx.uid(F.col("c_custkey"), F.col("c_name")).alias("id"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.,;|\n]+'))) AS part FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\([^)]*\)', ' ', 'g'), '\bamp;', '&', 'g') AS t FROM documents),
+w AS (SELECT doc_id, trim(regexp_replace(replace(unnest(regexp_split_to_array(t, '\s*(?:&|/|;|\band\b|\+|,)\s*')), chr(160), ' '), '[\s\x{0B}]+', ' ', 'g')) AS part FROM t)
 SELECT doc_id, count(*)::BIGINT AS parts, sum(len(part))::BIGINT AS chars FROM w WHERE len(part) > 1 GROUP BY doc_id""")
 def split_explode(spark, sf_dir):
-    w = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[.,;|\n]+")).alias("p")).select("doc_id", F.trim("p").alias("p"))
-    return w.where(F.length("p") > 1).groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("p")).alias("chars"))
+    w = read(spark, sf_dir, "documents").select("doc_id", F.explode(tx.split_advisors(F.col("text"))).alias("p"))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("p")).alias("chars"))
 
 
 @query(f"""SELECT event_id, CASE WHEN regexp_matches(t, 'ph|doctor') THEN 'PhD' WHEN regexp_matches(t, '^m\\.?s|master') THEN 'MS'
@@ -352,18 +387,31 @@ def csv_render(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", tx.to_csv_line(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("line"))
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS again FROM events""")
+@query("""SELECT row_number() OVER (ORDER BY t[len(t)], n_name, n_nationkey::VARCHAR) - 1 AS ord, n_nationkey::VARCHAR AS id, n_name AS name, '[' || n_regionkey || ']' AS roles
+FROM (SELECT *, string_split(lower(n_name), ' ') AS t FROM nation)""")
 def json_roundtrip(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))
-    return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("again"))
-
-
-@query("""SELECT count(*)::BIGINT AS records, count(DISTINCT doc_id)::BIGINT AS ids, count(*) FILTER (n_chars > 100)::BIGINT AS enriched,
-  (count(*) = count(DISTINCT doc_id)) AS ok FROM documents""")
+    """Records published as one JSON document and read again, in published order."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.array(F.col("n_regionkey").cast("string")).alias("roles"))
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    sk.json_document(n, {"total": "25"}, path)
+    back = tb.read_published(spark, path, schema="id string, name string, roles array<string>")
+    return back.withColumn("roles", F.concat(F.lit("["), F.array_join("roles", ","), F.lit("]")))
+
+
+@query("""WITH r AS (SELECT count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS ids, count(*) FILTER (lang <> '' AND (text <> '' OR source = 'x'))::BIGINT AS enriched FROM documents),
+u AS (SELECT count(*) FILTER (n_nationkey % 5 <> 0)::BIGINT AS sites, count(*) FILTER (n_nationkey % 2 = 0)::BIGINT AS oks FROM nation)
+SELECT 'records' AS gate, n AS value, 3000::BIGINT AS least, n >= 3000 AS ok FROM r UNION ALL SELECT 'units_with_site', sites, 10, sites >= 10 FROM u
+UNION ALL SELECT 'units_ok', oks, 25, oks >= 25 FROM u UNION ALL SELECT 'enriched', enriched, 300, enriched >= 300 FROM r
+UNION ALL SELECT 'unique_ids', ids, n, ids = n FROM r UNION ALL SELECT 'declared', n, 7, n = 7 FROM r""")
 def quality_gate(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    row = d.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("doc_id").alias("ids"), cv.count_where(F.col("n_chars") > 100).alias("enriched"))
-    return row.withColumn("ok", F.col("records") == F.col("ids"))
+    none = F.array().cast("array<string>")
+    d = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("profile_url"), F.when(F.col("text") != "", F.array("text")).otherwise(none).alias("research_areas"),
+        F.when(F.col("source") == "x", "y").otherwise("").alias("email"),
+    )
+    n = F.col("n_nationkey")
+    units = read(spark, sf_dir, "nation").select(F.when(n % 5 != 0, "https://x").otherwise("").alias("site"), F.when(n % 2 == 0, "ok").otherwise("partial").alias("status"))
+    return cv.quality_gate(d, units, declared=7, least={"units_with_site": 10})
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked,
@@ -385,25 +433,55 @@ def look_ahead(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", answered.alias("answered"))
 
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 48 OFFSET 48")
+@query("""SELECT p_partkey, p_name FROM part ORDER BY (p_size > 25)::INT DESC, p_name, p_partkey::VARCHAR LIMIT 48 OFFSET 48""")
 def second_page(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_name").orderBy("c_name", "c_custkey").offset(48).limit(48)
+    """Browsing: full records first, then by name; the second page."""
+    return se.search(_part_records(spark, sf_dir), page=2).select(F.col("ord").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
+def _part_records(spark, sf_dir) -> DataFrame:
+    none, empty = F.array().cast("array<string>"), F.lit("")
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), empty.alias("title"), F.col("p_brand").alias("college"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(empty).alias("department"), F.expr("cast(array() as array<struct<college:string,department:string>>)").alias("affiliations"),
+        F.array("p_brand", "p_type", "p_name", "p_brand").alias("research_areas"), none.alias("teaching"), none.alias("extension"), none.alias("roles"), empty.alias("lab_name"),
+        empty.alias("research_summary"), F.array().cast("array<struct<name:string,program:string>>").alias("current_students"),
+        F.when(F.col("p_size") > 25, "e@ex.org").otherwise(empty).alias("email"), empty.alias("google_scholar"), F.lit("2026").alias("verified_at"), empty.alias("lab_url"), empty.alias("profile_url"),
+    )
+    return se.enrich(p)
+
+
+@query("""SELECT '7' AS id, p_name AS name, 'Faculty' AS title, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS place, p_brand || '|' || p_type || '|' || p_name AS tags
+FROM part WHERE p_partkey = 7""")
+def result_card(spark, sf_dir):
+    """One record looked up, as a card with its fall-backs."""
+    return se.card(se.lookup(_part_records(spark, sf_dir), "7")).withColumn("tags", F.array_join("tags", "|"))
 
 
-@query("""SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), 'Faculty') AS title, c_acctbal > 0 AS rich FROM customer WHERE c_custkey = 7""")
+@query("""SELECT count(*)::BIGINT AS records, '2026' AS updated, count(DISTINCT p_brand)::BIGINT AS colleges, count(DISTINCT p_type) FILTER (p_size % 2 = 0)::BIGINT AS departments FROM part""")
+def search_kpis(spark, sf_dir):
+    return se.kpis(_part_records(spark, sf_dir)).select("records", "updated", "colleges", "departments")
+
+
+@query("""SELECT p_partkey AS ord, '"' || p_name || '","","' || p_brand || '","' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END || '","' || CASE WHEN p_size > 25 THEN 'e@ex.org' ELSE '' END
+  || '","' || p_brand || '; ' || p_type || '; ' || p_name || '; ' || p_brand || '","","","","","",""' AS line FROM part""")
+def csv_export(spark, sf_dir):
+    return se.csv_rows(_part_records(spark, sf_dir))[1]
+
+
+@query("""SELECT doc_id::VARCHAR AS id, source AS name, lang AS title FROM documents WHERE doc_id = 7""")
 def point_lookup(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey = 7").limit(1)
-    return c.select("c_custkey", F.coalesce(tx.present(F.col("c_mktsegment")), F.lit("Faculty")).alias("title"), (F.col("c_acctbal") > 0).alias("rich"))
+    return se.lookup(_document_records(spark, sf_dir), "7").select("id", "name", "title")
 
 
-@query("""SELECT o_custkey, array_to_string(list_distinct(list(o_orderstatus ORDER BY o_orderkey)), '') IS NOT NULL AS any,
-  count(DISTINCT o_orderstatus)::BIGINT AS n, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := -o_orderkey)) AS largest FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, max(o_totalprice) AS price, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := -o_orderkey)) AS largest FROM orders GROUP BY o_custkey""")
 def best_of_group(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    return o.groupBy("o_custkey").agg(
-        F.lit(True).alias("any"), F.countDistinct("o_orderstatus").alias("n"),
-        F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("largest"),
-    )
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("largest"))
+    return od.keep_last(o, ["o_custkey"], ["price", -F.col("largest")])
+
+
+def _nodes(pages: DataFrame) -> DataFrame:
+    return ht.nodes_of(written(ht.parse_pages(pages), "parsed-pages"))
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<a '))::BIGINT) AS anchors FROM pages WHERE regexp_matches(html, '<a ')")
@@ -415,12 +493,12 @@ def page_links(spark, sf_dir):
 
 @query()
 def page_tokens(spark, sf_dir):
-    return ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")).cache()).drop("cells")
+    return ex.page_tokens(_nodes(read(spark, sf_dir, "pages"))).drop("cells")
 
 
 @query()
 def page_sections(spark, sf_dir):
-    found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(read(spark, sf_dir, "pages")).cache())))
+    found = ex.section_lines(ex.page_sections(ex.page_tokens(_nodes(read(spark, sf_dir, "pages")))))
     return found.select("page_id", "sec", "title", "level", F.size("lines").alias("n_lines"))
 
 
@@ -432,7 +510,7 @@ def page_text(spark, sf_dir):
 @query()
 def page_profiles(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    return ex.parse_profiles(ht.page_nodes(pages).cache(), pages, "example.net").drop("profile_students")
+    return ex.parse_profiles(_nodes(pages), pages, "example.net").drop("profile_students")
 
 
 @query()
@@ -444,7 +522,7 @@ def link_categories(spark, sf_dir):
 @query()
 def listing_people(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    return ex.listing_people(ht.page_nodes(pages).cache(), pages, "example.net")
+    return ex.listing_people(_nodes(pages), pages, "example.net")
 
 
 def golden(name: str, f, rows: dict) -> None:
@@ -469,8 +547,11 @@ golden("strip_dept", tx.strip_dept, {"Department of Soil &amp; Water": "Soil and
 golden("norm_unit", tx.norm_unit, {"School of Soil & Water": "soil and water", "Dept. of Law": "law", "College of the Arts": "arts"})
 golden("split_advisors", lambda c: F.array_join(tx.split_advisors(c), "|"), {"Ash & Birch (Temp), Cedar": "Ash|Birch|Cedar", "Ash and Birch": "Ash|Birch", "A; Birch": "Birch", "": ""})
 golden("slug_phrase", tx.slug_to_phrase, {"soil-and_water": "Soil and Water", "of-mice": "Of Mice", "GIS": "Gis"})
-golden("clean_title", cl.clean_title, {"Affiliations Professor | ": "Professor", "Dean's Office": "", "Lecturer, ": "Lecturer", "Graduate Faculty Status": "", ": x": "x"})
-golden("staff_filter", cl.is_staff, {"Office Manager": True, "Professor and Office Manager": False, "": False, "Accountant": True, "Lecturer": False})
+golden("clean_title", cl.clean_title, {"Affiliations Professor | ": "Professor", "Dean's Office": "", "Lecturer, ": "Lecturer", "Graduate Faculty Status": "", ": x": "x", "Ma&icirc;tre &ndash; x": "Maître – x", "Professor &amp; Chair": "Professor & Chair"})
+golden("staff_filter", cl.is_staff, {
+    "Office Manager": True, "Professor and Office Manager": False, "": False, "Accountant": True, "Lecturer": False, "Director of Finance": True, "IT Director": True,
+    "Budget Officer": True, "Payroll Lead": True, "Buyer": True, "Executive Director": True, "Specialist": False, "Communications Lead": False, "Intern": False,
+})
 golden("noise_filter", cl.is_noise_text, {"Read more": True, "PhD, MS": True, "Soil carbon": False, "": True, "***": True})
 golden("student_filter", cl.student_name_ok, {"Ann Lee": True, "Thesis Forms": False, "Dr. Ann Lee": False, "Rinker Hall": False, "Welcome Ann": False})
 golden("person_filter", lambda c: ~cl.is_not_a_person(c, F.lit(0), F.lit(""), F.lit("")), {"Ann Lee": True, "Career Services": False, "Jane Lab": False})
@@ -478,7 +559,8 @@ golden("student_lines", lambda c: F.coalesce(F.concat_ws("|", ex.student_line(c)
     "Jane Doe (PhD)": "Jane Doe|PhD", "Doe, Jane - MS": "Jane Doe|MS", "Bob Roe - MS": "Bob Roe|MS", "see the list": "",
 })
 golden("url_join", lambda c: ur.canon_url(c, F.lit("https://ex.org/a/b/c?x=1")), {
-    "/x": "https://ex.org/x", "../z": "https://ex.org/a/z", "?page=2": "https://ex.org/a/b/c?page=2", "d#f": "https://ex.org/a/b/d", "//q.org/y": "https://q.org/y", "mailto:a@b.c": "",
+    "/x": "https://ex.org/x", "../z": "https://ex.org/a/z", "?page=2": "https://ex.org/a/b/c?page=2", "d#f": "https://ex.org/a/b/d", "//q.org/y": "https://q.org/y", "mailto:a@b.c": "", "../../z": "https://ex.org/z",
+    "/a/../b": "https://ex.org/b", "./../q": "https://ex.org/a/q", "x/../y": "https://ex.org/a/b/y", "../../../z": "https://ex.org/z", "..": "https://ex.org/a/",
 })
 golden("scholar_url", ur.canon_scholar, {
     "https://scholar.google.com/citations?hl=en&user=ab": "https://scholar.google.com/citations?user=ab", "https://scholar.google.com/x?y=1": "https://scholar.google.com/x?y=1",
@@ -497,7 +579,8 @@ golden("teaching_rules", lambda c: F.array_join(cl.clean_teaching(F.split(c, "_"
 golden("area_split", lambda c: F.array_join(ex.split_areas(F.split(c, "_"))[0], "|"), {
     "Research interests: soil; water_Publications 2020_Soil": "soil|water", "more_a b c • d e f": "a b c|d e f", "x": "",
 })
-golden("unescape_html", tx.unescape, {"a &amp; b": "a & b", "&eacute;t&eacute;": "été", "plain": "plain"})
+golden("fold_chars", tx.fold, {"й ё ά ½ Ａ": "и е α 1⁄2 a", "ﬁn Ⅻ": "fin xii", "Péñà ø ß": "pena ø ß", "각": "\u1100\u1161\u11a8", "": ""})
+golden("unescape_html", tx.unescape, {"&eacute x &#233; &#xE9;": "é x é é", "&nosuch; & &#128;": "&nosuch; & €", "a &amp; b": "a & b", "&eacute;t&eacute;": "été", "plain": "plain"})
 golden("progress", lambda c: cv.progress_percent(F.split(c, " ")[0], F.split(c, " ")[1].cast("int"), F.split(c, " ")[2].cast("int")).cast("string"), {
     "units 0 4": "1.0", "departments 1 2": "12.5", "profiles 1 2": "56.0", "done 1 1": "100.0",
 })

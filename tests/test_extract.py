@@ -1,44 +1,15 @@
-"""Micro-pages, one for each table function."""
+"""The page reader; what is made of its rows is tested by the queries over made-up pages."""
 
 import pytest
 
-from loomframe.operators import extract as ex
+from loomframe.plans import fixtures as fx
 from loomframe.sources import html as ht
 
-DOMAIN = "ex.org"
-
-PROFILE = """<html><head><title>Jane Q. Doe - Soil Unit</title></head><body><nav><a href="/x">Menu</a></nav><main><h1>Jane Q. Doe, PhD</h1>
-<p>Associate Professor of Soil Science</p><p><strong>Research Interests:</strong></p><ul><li>Soil carbon; wetland soils</li><li>Remote sensing</li></ul>
-<h2>Teaching</h2><p>SWS 4244 Wetlands</p><h2>Graduate Students</h2><ul><li>Ann Lee (PhD)</li><li>Bob Roe - MS</li></ul><p>Extension focus: nutrient management</p>
-<p>Write to jdoe [at] ex [dot] org</p><a href="https://scholar.google.com/citations?hl=en&user=abc">Scholar</a><a href="https://lab.ex.org/doe">Doe Lab</a>
-</main><footer>webmaster@ex.org</footer></body></html>"""
-EMPTY_MAIN = """<html><body><main></main><div><h1>Ian Poe</h1><p>Lecturer in Ecology</p><a href="mailto:ipoe@ex.org">mail</a></div></body></html>"""
-LINKED = """<html><body><main>%s<div><a href="/news/ann-lee">Ann Lee</a></div><a href="/other/place/mary-stray">Mary Stray</a></main></body></html>""" % "".join(
-    f'<div class="card"><a href="/people/{n.lower().replace(" ", "-")}"><img alt="Photo of {n}"></a><h3><a href="/people/{n.lower().replace(" ", "-")}">{n}</a></h3>'
-    f"<p>Professor of Botany</p><p>{n.split()[0].lower()}@ex.org</p></div>"
-    for n in ("Ada Byron", "Carl Gauss", "Emmy Noether", "Max Born")
-)
-VCARDS = "<html><body>%s</body></html>" % "".join(
-    f'<div class="vcard faculty soil-physics emeritus"><span class="fn">{n}</span><p>Professor</p><a href="/p/{i}">Profile</a></div>'
-    for i, n in enumerate(("Ada Byron", "Carl Gauss", "Emmy Noether", "Max Born", "Lise Meitner"))
-) + '<div class="vcard staff"><span class="fn">Sam Clerk</span></div>'
-TABLE = """<html><body><table><tr><th>Name</th><th>Title</th><th>E-mail</th><th>Area</th><th>Research</th></tr>
-<tr><td>Doe, Jane</td><td>Professor</td><td>jane@ex.org</td><td>old</td><td>Soil; Water</td></tr><tr><td>not a person here 7</td><td></td><td></td><td></td><td></td></tr></table></body></html>"""
-STUDENTS = """<html><body><h2>Doctoral students</h2><table><tr><th>Student</th><th>Advisor</th><th>Chair</th><th>Topic</th></tr>
-<tr><td>Ann Lee</td><td>Doe</td><td>Roe</td><td>Peat</td></tr></table></body></html>"""
-STUDENT_LIST = """<html><body><main><h2>PhD</h2><p>Ann Lee</p><p>Advisor: Jane Doe</p><p>Bob Roe - Advisor: Smith</p><h2>Masters</h2><p>Cid Fox</p></main></body></html>"""
-PAGED = """<html><body><a rel="next" href="?page=2">Next</a><a href="/people?page=3">3</a><a href="https://other.org/people?page=4">4</a><a href="/people#top">1</a></body></html>"""
-UNITS = """<html><body><div id="content"><h2>College of Soil</h2><ul><li><a href="/u/a">Unit A</a></li><li><a href="/u/a2">Unit A</a></li></ul>
-<h2>Other</h2><ul><li><a href="/u/b">Unit B</a></li></ul></div></body></html>"""
-
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(n, f"https://ex.org/{n}", h) for n, h in {
-        "profile": PROFILE, "empty": EMPTY_MAIN, "linked": LINKED, "vcards": VCARDS, "table": TABLE, "students": STUDENTS, "list": STUDENT_LIST,
-        "people": PAGED, "units": UNITS,
-    }.items()] + [("null", "https://ex.org/null", None), ("blank", "https://ex.org/blank", "")]
-    return spark.createDataFrame(rows, "page_id string, url string, html string")
+    blank = spark.createDataFrame([("null", "https://ex.org/null", None), ("blank", "https://ex.org/blank", "")], "page_id string, url string, html string")
+    return fx.pages(spark).union(blank)
 
 
 @pytest.fixture(scope="module")
@@ -53,80 +24,6 @@ def test_nodes_nest(nodes):
     assert not nodes.where("page_id in ('null', 'blank')").count()
 
 
-def test_tokens(nodes):
-    rows = ex.page_tokens(nodes).where("page_id = 'profile'").orderBy("tok").collect()
-    assert [(r["kind"], r["level"], r["text"]) for r in rows[:5]] == [
-        ("h", 1, "Jane Q. Doe, PhD"), ("p", 0, "Associate Professor of Soil Science"), ("h", 6, "Research Interests"),
-        ("li", 0, "Soil carbon; wetland soils"), ("li", 0, "Remote sensing"),
-    ]
-    assert "webmaster" not in " ".join(r["text"] for r in rows)
-
-
-def test_profile(nodes, pages):
-    found = {r["page_id"]: r for r in ex.parse_profiles(nodes.where("page_id in ('profile', 'empty')"), pages.where("page_id in ('profile', 'empty')"), DOMAIN).collect()}
-    p = found["profile"]
-    assert (p["name"], p["title"], p["email"]) == ("Jane Q. Doe", "Associate Professor of Soil Science", "jdoe@ex.org")
-    assert p["research_areas"] == ["Soil carbon", "wetland soils", "Remote sensing"]
-    assert p["teaching"] == ["SWS 4244 Wetlands"]
-    assert p["extension"] == ["nutrient management"]
-    assert [(s["name"], s["program"]) for s in p["profile_students"]] == [("Ann Lee", "PhD"), ("Bob Roe", "MS")]
-    assert p["google_scholar"] == "https://scholar.google.com/citations?user=abc"
-    assert (p["lab_url"], p["lab_name"]) == ("https://lab.ex.org/doe", "Doe Lab")
-    assert (found["empty"]["name"], found["empty"]["email"]) == ("Ian Poe", "ipoe@ex.org")
-
-
-def test_linked_people(nodes, pages):
-    rows = ex.linked_people(nodes, pages, DOMAIN).where("page_id = 'linked'").orderBy("ord").collect()
-    # Two levels are cut from a path, so /news/ann-lee is in the same group as the others; /other/place/mary-stray is alone.
-    assert [r["name"] for r in rows] == ["Ada Byron", "Carl Gauss", "Emmy Noether", "Max Born", "Ann Lee"]
-    assert rows[0]["profile_url"] == "https://ex.org/people/ada-byron"
-    assert rows[0]["title"] == "Professor of Botany" and rows[0]["email"] == "ada@ex.org"
-
-
-def test_vcards(nodes, pages):
-    rows = ex.vcard_people(nodes, pages, DOMAIN).where("page_id = 'vcards'").orderBy("ord").collect()
-    assert [r["name"] for r in rows] == ["Ada Byron", "Carl Gauss", "Emmy Noether", "Max Born", "Lise Meitner"]
-    assert rows[0]["roles"] == ["Emeritus"] and rows[0]["specialty"] == ["Soil Physics"]
-    assert rows[0]["profile_url"] == "https://ex.org/p/0"
-
-
-def test_listing_choice(nodes, pages):
-    keep = "page_id in ('linked', 'vcards')"
-    rows = ex.listing_people(nodes.where(keep), pages.where(keep), DOMAIN).groupBy("page_id", "method").count().collect()
-    assert {(r["page_id"], r["method"]): r["count"] for r in rows} == {("linked", "links"): 5, ("vcards", "vcards"): 5}
-
-
-def test_table_last_header_wins(nodes):
-    (r,) = ex.table_people(nodes).where("page_id = 'table'").collect()
-    assert (r["name"], r["title"], r["email"], r["specialty"]) == ("Jane Doe", "Professor", "jane@ex.org", ["Soil", "Water"])
-
-
-def test_students(nodes):
-    rows = ex.page_students(nodes, ex.page_tokens(nodes)).where("page_id in ('students', 'list')").orderBy("page_id", "ord").collect()
-    assert [(r["page_id"], r["name"], r["program"], r["advisor_raw"]) for r in rows] == [
-        ("list", "Ann Lee", "PhD", "Jane Doe"), ("list", "Bob Roe", "PhD", "Smith"), ("list", "Cid Fox", "MS", ""), ("students", "Ann Lee", "PhD", "Doe"),
-    ]
-
-
-def test_next_pages(nodes, pages):
-    rows = ex.next_pages(ex.page_links(nodes, pages)).where("page_id = 'people'").orderBy("ord").collect()
-    assert [r["url"] for r in rows] == ["https://ex.org/people?page=2", "https://ex.org/people?page=3"]
-
-
-def test_units(nodes, pages):
-    rows = ex.catalogue_units(nodes, pages, "^College of").collect()
-    assert [(r["college"], r["name"], r["url"]) for r in rows] == [("College of Soil", "Unit A", "https://ex.org/u/a")]
-
-
-def test_roster(spark):
-    text = ["Doe, Jane", "Associate Professor", "Soil Science", "Roe, Rick", "Professor", "Poe, Ian", "Lecturer", "Botany", "end"]
-    lines = spark.createDataFrame([("r", i, t) for i, t in enumerate(text)], "page_id string, pos int, line string")
-    rows = ex.catalogue_roster(lines).orderBy("pos").collect()
-    assert [(r["name"], r["title"], r["department"]) for r in rows] == [
-        ("Jane Doe", "Associate Professor", "Soil Science"), ("Rick Roe", "Professor", ""), ("Ian Poe", "Lecturer", "Botany"),
-    ]
-
-
 def test_long_pages_are_read_to_their_end(spark):
     page = "<p>" + "word " * 900_000 + "</p><a href='/last'>last</a>"
     rows = ht.page_nodes(spark.createDataFrame([(1, page)], "page_id int, html string")).orderBy("node").collect()

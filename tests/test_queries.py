@@ -1,11 +1,13 @@
 """Every query with SQL gives what the SQL gives, at the smallest scale."""
 
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

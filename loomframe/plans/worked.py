@@ -41,7 +41,7 @@ def worked(columns: str, rows: list[tuple]):
 
         QUERIES[f.__name__] = run
         values = ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows)
-        ORACLES[f.__name__] = f"SELECT * FROM (VALUES {values}) t({', '.join(columns.split())})"
+        ORACLES[f.__name__] = f"SELECT * FROM (VALUES {values}) t({', '.join(f'"{c}"' for c in columns.split())})"
         return f
 
     return add

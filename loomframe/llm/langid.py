@@ -18,7 +18,8 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 5
 EVIDENCE_WORDS = 20
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 40 << 20
+CACHED_WORD = 240  # bytes of a cached word besides its numbers
 DENSE_BYTES = 64 << 20
 
 
@@ -77,7 +78,7 @@ class LanguageModel:
 
     def _start(self) -> None:
         self.cache: dict[str, np.ndarray | None] = {}
-        self.cached = max(1000, CACHE_BYTES // (8 * max(1, len(self.langs))))
+        self.cached = max(1000, CACHE_BYTES // (CACHED_WORD + 8 * len(self.langs)))
         self.dense: list[np.ndarray] | None = None
         self.small = sum(map(len, self.index)) * len(self.langs) * 4 <= DENSE_BYTES
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import is_held_out, is_learnable, materialize, table, text_or_empty
+from loomframe.llm.common import is_held_out, is_learnable, materialize, release, shared_dir, table, text_or_empty
 
 THRESHOLD = 0.7
-_STEP = re.compile(r"^(\s*)(If|Else) \(feature (\d+) (<=|>) (\S+)\)$")
-_LEAF = re.compile(r"^\s*Predict:")
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -56,22 +54,39 @@ def rule_holds(rule: tuple, stats: dict[str, Column]) -> Column:
     return reduce(Column.__and__, tests)
 
 
-def tree_rules(debug: str, names: list[str]) -> set[tuple]:
-    """Every path from a root to a node as a conjunction, at most one test a statistic and direction."""
-    rules, path = set(), []
-    for line in debug.splitlines():
-        if step := _STEP.match(line):
-            depth = len(step[1])
-            path = [p for p in path if p[0] < depth] + [(depth, names[int(step[3])], step[4], float(step[5]))]
+def tree_rules(nodes: list[tuple], names: list[str]) -> set[tuple]:
+    """Every path from a root to a node as a conjunction, at most one test a statistic and direction.
+
+    nodes: (tree, node, left child, right child, feature, bound) of each tree's nodes; a leaf's children are -1.
+    """
+    by = {(tree, node): rest for tree, node, *rest in nodes}
+    rules, open_paths = set(), [(tree, 0, ()) for tree in {t for t, _ in by}]
+    while open_paths:
+        tree, node, path = open_paths.pop()
+        left, right, feature, bound = by[tree, node]
+        if left < 0:
+            continue
+        for child, sign in ((left, "<="), (right, ">")):
+            longer = (*path, (names[feature], sign, bound))
             tightest: dict[tuple, float] = {}
-            for _, name, sign, bound in path:
-                tightest[name, sign] = (min if sign == "<=" else max)(bound, tightest.get((name, sign), bound))
+            for name, side, b in longer:
+                tightest[name, side] = (min if side == "<=" else max)(b, tightest.get((name, side), b))
             rules.add(tuple(sorted((n, s, b) for (n, s), b in tightest.items())))
-        elif not _LEAF.match(line):
-            path = []
+            open_paths.append((tree, child, longer))
     return rules
 
 
+def forest_nodes(forest: RandomForestClassificationModel, spark: SparkSession) -> list[tuple]:
+    """A forest's nodes as (tree, node, left child, right child, feature, bound), from the table that it is saved as: a few hundred rows."""
+    path = f"{shared_dir(spark)}/quality-forest-{uuid.uuid4().hex}"
+    forest.write().save(path)
+    n = "nodeData"
+    saved = spark.read.parquet(f"{path}/data").select(
+        "treeID", f"{n}.id", f"{n}.leftChild", f"{n}.rightChild", f"{n}.split.featureIndex", F.get(f"{n}.split.leftCategoriesOrThreshold", F.lit(0))
+    )
+    return [tuple(r) for r in saved.collect()]
+
+
 def fit_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -111,12 +126,13 @@ def fit_rules(
         labelCol="y", numTrees=n_trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", minInstancesPerNode=20
     ).fit(features)
     own = {name: F.col(name) for name in names}
-    rules = sorted(tree_rules(forest.toDebugString, names))
+    rules = sorted(tree_rules(forest_nodes(forest, docs.sparkSession), names))
     if not rules:
         return RuleModel(bias=0.0)
     held = train.select("y", array_to_vector(F.array(*[rule_holds(r, own).cast("double") for r in rules])).alias("features"))
     held = materialize(held, "quality-rules")
     fit = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(held)
+    release(train, held)
     return RuleModel(fit.intercept, {r: float(w) for r, w in zip(rules, fit.coefficients.toArray()) if w})
 
 
@@ -127,8 +143,8 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", thr
     """
     rest = docs.drop("quality_score", "quality_predicted")
     stats = statistics(F.col(text_col))
-    described = rest.withColumn("__s", F.struct(*[c.alias(n) for n, c in stats.items()]))
-    scored = described.withColumn("quality_score", model.score({n: F.col("__s")[n] for n in stats}))
+    described = rest.withColumn("__loomframe_stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
+    scored = described.withColumn("quality_score", model.score({n: F.col("__loomframe_stats")[n] for n in stats}))
     predicted = (F.col("quality_score") >= threshold).cast("int").alias("quality_predicted")
     return scored.select(*rest.columns, "quality_score", predicted)
 

@@ -1,4 +1,8 @@
-"""Token counts by section: one encoding of the whole document, attributed through byte and character offsets."""
+"""Token counts by section: one encoding of the whole document, attributed through its tokens' spans.
+
+A token of a byte-level vocabulary may end inside a character, so spans are kept in bytes for the join, and characters are what
+sections are returned in.
+"""
 
 from __future__ import annotations
 
@@ -54,7 +58,8 @@ def section_tokens(
 ) -> Column:
     """array<struct<start, stop, tokens, crossing>> for an array of consecutive sections of one document.
 
-    The document is the sections joined; start and stop are its characters (code points). The vocabulary file is read once
+    The document is the sections joined; start and stop are its characters (code points), crossing the tokens that have bytes in
+    several sections, counted where they are counted. Sections may be empty; an empty one has no tokens. The vocabulary file is read once
     by the driver and broadcast; a file above MAX_VOCABULARY_BYTES is refused.
     """
     raw = spark.read.format("binaryFile").load(ranks_path if "://" in ranks_path else f"file://{ranks_path}").first()

@@ -189,8 +189,8 @@ def test_quality(spark, docs, some):
 
 
 def test_rules_of_a_tree():
-    debug = "Tree 0\n  If (feature 0 <= 1.5)\n   If (feature 0 <= 0.5)\n    Predict: 0.0\n   Else (feature 0 > 0.5)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
-    assert qu.tree_rules(debug, ["a"]) == {(("a", "<=", 1.5),), (("a", "<=", 0.5),), (("a", "<=", 1.5), ("a", ">", 0.5)), (("a", ">", 1.5),)}
+    nodes = [(0, 0, 1, 4, 0, 1.5), (0, 1, 2, 3, 0, 0.5), (0, 2, -1, -1, -1, None), (0, 3, -1, -1, -1, None), (0, 4, -1, -1, -1, None), (1, 0, -1, -1, -1, None)]
+    assert qu.tree_rules(nodes, ["a"]) == {(("a", "<=", 1.5),), (("a", "<=", 0.5),), (("a", "<=", 1.5), ("a", ">", 0.5)), (("a", ">", 1.5),)}
 
 
 def brute_contamination(rows, items, window=13):

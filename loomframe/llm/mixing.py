@@ -38,15 +38,30 @@ class DomainModel:
     vocabulary: list[str]
     word_weights: list[list[float]]  # by domain, by word
 
-    def posteriors(self, words: Column, stats: list[Column]) -> list[Column]:
-        held = held_words(words, self.vocabulary)
-        logits = []
-        for k, bias in enumerate(self.biases):
-            total = _summed(held, bias, F.lit(self.word_weights[k])) if self.vocabulary else F.lit(bias)
-            logits.append(reduce(Column.__add__, [s * F.lit(w) for s, w in zip(stats, self.stat_weights[k])], total))
-        top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-        odds = [F.exp(x - top) for x in logits]
-        return [o / reduce(Column.__add__, odds) for o in odds]
+    def posteriors(self, words: Column, stats: Column) -> Column:
+        """array<double>, a probability for each domain; the words are looked up once for all of them."""
+
+        def logits(x: Column) -> Column:
+            each = zip(self.biases, self.stat_weights, self.word_weights)
+            return F.array(*[_dot(x["stats"], sw) + _summed(x["held"], bias, _literal(ww, "array<double>")) if ww else _dot(x["stats"], sw) + F.lit(bias) for bias, sw, ww in each])
+
+        def shares(odds: Column) -> Column:
+            return let(F.aggregate(odds, F.lit(0.0), lambda a, o: a + o), lambda total: F.transform(odds, lambda o: o / total))
+
+        def softmax(x: Column) -> Column:
+            return let(let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))), shares)
+
+        given = F.struct(held_words(words, self.vocabulary).alias("held"), stats.alias("stats"))
+        return let(let(given, logits), softmax)
+
+
+def _dot(stats: Column, weights: list[float]) -> Column:
+    return reduce(Column.__add__, [F.get(stats, F.lit(j)) * F.lit(w) for j, w in enumerate(weights)])
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A long array as one literal instead of one for each of its elements."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def held_words(words: Column, vocabulary: list[str]) -> Column:
@@ -57,10 +72,11 @@ def held_words(words: Column, vocabulary: list[str]) -> Column:
     table: list[list[int]] = [[] for _ in range(n)]
     for i, w in enumerate(vocabulary):
         table[xxhash.xxh64_intdigest(w.encode(), 42) % n].append(i + 1)
-    rows = F.from_json(F.lit(json.dumps(table)), "array<array<int>>")
-    spelled = F.lit(vocabulary)
-    bucket = lambda w: F.get(rows, F.xxhash64(w).bitwiseAND(F.lit(n - 1)).cast("int"))
-    return F.flatten(F.transform(words, lambda w: F.filter(bucket(w), lambda i: F.element_at(spelled, i) == w)))
+    rows, spelled = _literal(table, "array<array<int>>"), _literal(vocabulary, "array<string>")
+    taken = F.lit("".join("1" if row else "0" for row in table)).cast("binary")
+    bucket = lambda w: F.xxhash64(w).bitwiseAND(F.lit(n - 1)).cast("int")
+    likely = F.filter(words, lambda w: F.substring(taken, bucket(w) + 1, F.lit(1)) == F.lit(b"1"))
+    return F.flatten(F.transform(likely, lambda w: F.filter(F.get(rows, bucket(w)), lambda i: F.element_at(spelled, i) == w)))
 
 
 def _summed(held: Column, start: float, gain: Column) -> Column:
@@ -194,10 +210,9 @@ def _rated(
     model = fit_domains(docs, labels, domains, id_col, text_col)
     spread = described(docs, text_col)
     names = model.domains if model else []
-    ps = model.posteriors(F.col(WORDS), [F.col(STATS)[j] for j in range(N_STATS)]) if model else []
     kept = [c for c in docs.columns if keep_text or c != text_col]
     dice = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_or_empty(F.col(text_col))), F.lit(1 << 30)) / float(1 << 30)
-    given = spread.withColumn(P, F.array(*ps)) if ps else spread
+    given = spread.withColumn(P, model.posteriors(F.col(WORDS), F.col(STATS))) if model else spread
     scored = materialize(given.select(*kept, TOKENS, dice.alias(DICE), *[F.col(P)[k].alias(f"{P}{k}") for k in range(len(names))]), "mixing-scored")
     own = [F.col(f"{P}{k}") for k in range(len(names))]
     steps, gap = [], 0.0

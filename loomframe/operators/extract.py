@@ -616,7 +616,8 @@ def profile_score(fields: list[Column]) -> Column:
 
 def parse_profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id", hint: str | None = None) -> DataFrame:
     """One row a profile page, strictly read, or loosely where that finds more and the strict reading scores below 3."""
-    both = [_profiles(nodes, pages, domain, page, mode, hint).withColumn("mode", F.lit(i)) for i, mode in enumerate(("strict", "loose"))]
+    links = written(page_links(nodes, pages, page).where("not aside and url <> ''"), "profile-links")
+    both = [_profiles(nodes, pages, links, domain, page, mode, hint).withColumn("mode", F.lit(i)) for i, mode in enumerate(("strict", "loose"))]
     every = both[0].union(both[1])
     order = F.struct(F.when((F.col("mode") == 0) & (F.col("score") >= 3), 100).otherwise(F.col("score")), -F.col("mode"))
     others = [c for c in every.columns if c != page]
@@ -624,15 +625,15 @@ def parse_profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str =
     return best.select(page, *[F.col("r")[c].alias(c) for c in others if c != "mode"])
 
 
-def _profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str, mode: str, hint: str | None) -> DataFrame:
-    tokens = page_tokens(nodes, page, mode)
+def _profiles(nodes: DataFrame, pages: DataFrame, links: DataFrame, domain: str, page: str, mode: str, hint: str | None) -> DataFrame:
+    tokens = written(page_tokens(nodes, page, mode), "profile-tokens")
     titles = nodes.where("tag = 'title'").groupBy(page).agg(F.min_by(text_of(), "node").alias("__title"))
     headed = tokens.where((F.col("kind") == "h") & F.col("level").between(1, 3)).where(tx.looks_like_name(F.col("text"))).groupBy(page).agg(F.min_by("text", "tok").alias("__h"))
     segment = F.get(F.split("__title", r"\s+[-|–—]\s+"), F.lit(0))
     given = F.col(hint) if hint else F.lit("")
     base = pages.select(page, "url", given.alias("__hint")).join(headed, page, "left").join(titles, page, "left")
     name = F.coalesce(F.nullif(tx.display_name(F.col("__h")), F.lit("")), F.when(tx.looks_like_name(segment), tx.display_name(segment)), F.nullif(tx.display_name(F.col("__hint")), F.lit("")))
-    base = base.withColumn("name", name).where("name is not null").select(page, "url", "name")
+    base = written(base.withColumn("name", name).where("name is not null").select(page, "url", "name"), "profile-names")
 
     lines = tokens.where(F.col("kind").isin("p", "li", "h")).join(base.select(page, "name"), page)
     spot = F.contains(tx.fold(F.col("text")), tx.fold(F.substring_index("name", " ", -1))) & (F.length("text") < 80)
@@ -652,6 +653,7 @@ def _profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str, mode:
     areas, summary = split_areas(F.col("research"))
     capped = lambda c, n, top: F.slice(tx.fold_distinct(F.filter(c, lambda l: F.length(l).between(3, n))), 1, top)
     students = F.slice(F.filter(F.transform("students", student_line), lambda s: s.isNotNull()), 1, 60)
+    wide = written(wide, "profile-sections")
     fields = wide.select(page, areas.alias("research_areas"), summary.alias("research_summary"), capped("teaching", 200, 20).alias("teaching"), capped("extension", 240, 15).alias("extension"), students.alias("profile_students"))
 
     mail = nodes.where((F.col("tag") == "a") & F.startswith(attr("href"), F.lit("mailto:")) & ((F.size("loud") > 0) | (F.size("lines") == 0)))
@@ -666,7 +668,6 @@ def _profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str, mode:
     email = F.when(picked != "", picked).when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise("")
     mails = base.select(page, "name").join(text, page, "left").join(side, page, "left").join(mailed, page, "left").withColumn("emails", found).select(page, email.alias("email"))
 
-    links = page_links(nodes, pages, page).where("not aside and url <> ''")
     t, host = F.col("text"), F.col("host")
     own_path = F.regexp_replace("path", "/$", "") == F.regexp_replace(ur.url_part(F.col("base"), "path"), "/$", "")
     lab = like(t, r"(?i)\b(lab|laboratory|research group|group)\b") & ~like(host, "scholar|google|linkedin|twitter|facebook|researchgate") & ~own_path

@@ -190,7 +190,7 @@ def worked_next_pages(spark):
 ])
 def worked_students(spark):
     nodes, _ = _nodes(spark, "students", "list")
-    return ex.page_students(nodes, ex.page_tokens(nodes))
+    return ex.page_students(nodes, written(ex.page_tokens(nodes), "tokens"))
 
 
 @worked("college name url", [

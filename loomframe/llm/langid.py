@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 5
 EVIDENCE_WORDS = 20
-CACHE_BYTES = 40 << 20
-CACHED_WORD = 240  # bytes of a cached word besides its numbers
-DENSE_BYTES = 64 << 20
+CACHE_BYTES = 24 << 20
+CACHED_WORD = 170  # bytes of a word in the table besides its numbers
+TEXTS_AT_ONCE = 500
 
 
 def words_of(text: str) -> Counter:
@@ -47,103 +48,126 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"lang": lang, "n": n, "gram": list(grams), "c": list(grams.values())})
 
 
+def key_of(gram: str) -> int:
+    """The xxhash64 that stands for a gram."""
+    return xxhash.xxh64_intdigest(gram.encode())
+
+
 class LanguageModel:
-    """Log frequencies of words and n-grams, in sparse rows: a gram, and the languages that have it.
+    """Log frequencies of words and n-grams, in sparse rows: a gram's hash, and the languages that have it.
 
     What a language lacks costs the same in all languages, a tenth of one occurrence in the language with most to learn
-    from: a floor of its own would favour a language for having been learned from little.
+    from: a floor of its own would favour a language for having been learned from little. Arrays of some 24 bytes an entry
+    hold all of it; the words met last are kept with their scores in a table of bounded size.
     """
 
     def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
         """counts: (lang, n, gram, c); n is 0 for whole words."""
         self.langs = langs
-        self.index: list[dict[str, int]] = []  # the row of each gram, by order n
-        self.first: list[np.ndarray] = []  # where each row's entries begin
+        self.keys: list[np.ndarray] = []  # sorted hashes, by order n
+        self.first: list[np.ndarray] = []  # where each key's entries begin
         self.at: list[np.ndarray] = []  # an entry's language
-        self.logs: list[np.ndarray] = []
+        self.gain: list[np.ndarray] = []  # an entry's log frequency above the floor
         self.floor: list[float] = []
         number = {lang: i for i, lang in enumerate(langs)}
         for n in range(MAX_GRAM + 1):
             own = counts[counts["n"] == n]
-            codes, grams = pd.factorize(own["gram"])
-            at = np.array([number[x] for x in own["lang"]], np.int64)
+            key = np.fromiter(map(key_of, own["gram"]), np.uint64, len(own))
+            at = np.fromiter(map(number.get, own["lang"]), np.int32, len(own))
             total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
-            order = np.lexsort((at, codes))
-            self.index.append({g: i for i, g in enumerate(grams)})
-            self.first.append(np.searchsorted(codes[order], np.arange(len(grams) + 1)))
-            self.at.append(at[order].astype(np.int32))
-            self.logs.append(np.log10(own["c"].to_numpy(np.float64)[order] / total[at[order]]).astype(np.float32) if len(at) else np.zeros(0, np.float32))
-            self.floor.append(float(np.log10(0.1 / total.max(initial=1))))
+            floor = float(np.log10(0.1 / total.max(initial=1)))
+            order = np.lexsort((at, key))
+            keys, first = np.unique(key[order], return_index=True)
+            self.keys.append(keys)
+            self.first.append(np.append(first, len(key)))
+            self.at.append(at[order])
+            self.gain.append((np.log10(own["c"].to_numpy(np.float64)[order] / total[at[order]]) - floor).astype(np.float32))
+            self.floor.append(floor)
         self._start()
 
     def _start(self) -> None:
-        self.cache: dict[str, np.ndarray | None] = {}
-        self.cached = max(1000, CACHE_BYTES // (CACHED_WORD + 8 * len(self.langs)))
-        self.dense: list[np.ndarray] | None = None
-        self.small = sum(map(len, self.index)) * len(self.langs) * 4 <= DENSE_BYTES
+        most = max(1000, CACHE_BYTES // (CACHED_WORD + 4 * len(self.langs)))
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((most, len(self.langs)), np.float32)
+        self.known = np.zeros(most, bool)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "scores", "known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._start()
 
-    def _filled(self, n: int) -> np.ndarray:
-        full = np.full((len(self.index[n]), len(self.langs)), self.floor[n], np.float32)
-        full[np.repeat(np.arange(len(full)), np.diff(self.first[n])), self.at[n]] = self.logs[n]
-        return full
-
-    def log_of(self, n: int, rows: list[int]) -> np.ndarray:
-        """The mean log frequency of rows of order n in every language; read from a dense table where that is small."""
-        if self.small:
-            if self.dense is None:
-                self.dense = [self._filled(k) for k in range(MAX_GRAM + 1)]
-            return self.dense[n][rows].mean(axis=0)
-        out = np.zeros(len(self.langs))
-        for r in rows:
-            span = slice(self.first[n][r], self.first[n][r + 1])
-            out[self.at[n][span]] += self.logs[n][span] - self.floor[n]
-        return out / max(1, len(rows)) + self.floor[n]
-
-    def _word(self, word: str) -> np.ndarray | None:
-        i = self.index[0].get(word)
-        if i is not None:
-            return self.log_of(0, [i])
-        for n in range(MAX_GRAM, 0, -1):
-            own = self.index[n]
-            grams = [g for g in grams_of(word, n) if g in own]
-            if grams and (n > 1 or set(grams) - {" "}):  # a word's edge alone says nothing
-                return self.log_of(n, [own[g] for g in grams])
-        return None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.judge(text)[:2]
-
-    def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, known): known is whether any word or n-gram of the text was learned in any language."""
-        words = words_of(text) if text else {}
-        vectors, weights = [], []
-        for w, c in words.items():
-            if w in self.cache:
-                v = self.cache[w]
-            else:
-                if len(self.cache) >= self.cached:
-                    self.cache.clear()
-                v = self.cache[w] = self._word(w)
-            if v is not None:
-                vectors.append(v)
-                weights.append(c)
+    def means(self, n: int, grams: list[str], owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``size`` owners, the mean score of those of its grams that any language has, and whether there is one
+        that is more than a word's edge. owner: the owner of each gram."""
+        wanted = np.fromiter(map(key_of, grams), np.uint64, len(grams))
+        keys = self.keys[n]
+        row = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        hit = keys[row] == wanted if len(keys) else np.zeros(len(grams), bool)
+        row, mine = row[hit], owner[hit]
+        edge = np.fromiter((g == " " for g in grams), bool, len(grams))[hit]
+        sums = np.zeros((size, len(self.langs)))
+        spread = self.first[n][row + 1] - self.first[n][row]
+        entry = np.repeat(self.first[n][row] - np.concatenate([[0], np.cumsum(spread)[:-1]]), spread) + np.arange(spread.sum()) if len(row) else np.zeros(0, int)
+        np.add.at(sums, (np.repeat(mine, spread), self.at[n][entry]), self.gain[n][entry])
+        count = np.bincount(mine, minlength=size)
+        return sums / np.maximum(1, count)[:, None] + self.floor[n], np.bincount(mine, ~edge, minlength=size) > 0
+
+    def _meet(self, words: list[str]) -> None:
+        """Score words that are not in the table: whole, else by the longest n-grams that any language has."""
+        first = len(self.rows)
+        self.rows.update(zip(words, range(first, first + len(words))))
+        left = np.arange(len(words))
+        for n in (0, *range(MAX_GRAM, 0, -1)):
+            grams = [[words[i]] if n == 0 else grams_of(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            mean, known = self.means(n, [g for own in grams for g in own], owner, len(left))
+            self.scores[first + left[known]] = mean[known]
+            self.known[first + left[known]] = True
+            left = left[~known]
+            if not len(left):
+                break
+        self.known[first + left] = False
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        return [j for i in range(0, len(texts), TEXTS_AT_ONCE) for j in self._judge_some(texts[i : i + TEXTS_AT_ONCE])]
+
+    def _judge_some(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        counted = [words_of(t) if t else {} for t in texts]
+        fresh = list(dict.fromkeys(w for words in counted for w in words if w not in self.rows))
+        if len(self.rows) + len(fresh) > len(self.scores):
+            self.rows = {}
+            if len(set().union(*counted)) > len(self.scores):
+                if len(texts) > 1:
+                    return [j for half in (texts[: len(texts) // 2], texts[len(texts) // 2 :]) for j in self._judge_some(half)]
+                self.scores, self.known = np.zeros((len(counted[0]), len(self.langs)), np.float32), np.zeros(len(counted[0]), bool)
+            fresh = list(dict.fromkeys(w for words in counted for w in words))
+        for i in range(0, len(fresh), 5000):
+            self._meet(fresh[i : i + 5000])
+        return [self._judged(words) for words in counted]
+
+    def _judged(self, words: Counter) -> tuple[str, float, bool]:
         if not self.langs or not any(ch.isalpha() for w in words for ch in w):
             return UNDETERMINED, 0.0, False
-        if not vectors:  # letters of no language learned: all are as likely
+        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        weight = np.fromiter(words.values(), np.float64, len(words))
+        told = self.known[row]
+        if not told.any():  # letters of no language learned: all are as likely
             return self.langs[0], 1.0 / len(self.langs), False
-        weight = np.array(weights, np.float64)
-        mean = weight @ np.array(vectors) / weight.sum()
+        weight = weight[told]
+        mean = weight @ self.scores[row[told]] / weight.sum()
         odds = np.exp((mean - mean.max()) * math.log(10) * min(EVIDENCE_WORDS, weight.sum()))
         best = int(np.argmax(mean))
         return self.langs[best], float(odds[best] / odds.sum()), True
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, known): known is whether any word or n-gram of the text was learned in any language."""
+        return self.judge_all([text])[0]
+
 
 def fit_language_model(
     docs: DataFrame,
@@ -158,7 +182,7 @@ def fit_language_model(
 
     Bounds: a sample of at most about ``max_rows`` rows over all languages; every word and n-gram of it is kept. Should that
     make more than ``max_entries`` (word or n-gram, language) pairs, the sample is halved until it does not, so that what
-    is broadcast, some 100 bytes an entry, has a bound. Rows without text, label or id are not learned from.
+    is broadcast, some 24 bytes an entry, has a bound. Rows without text, label or id are not learned from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         is_learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -187,7 +211,7 @@ def predict_language(spark: SparkSession, model: LanguageModel, text: Column) ->
     @F.pandas_udf("lang string, score double, known boolean")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang", "score", "known"])
+            yield pd.DataFrame(shared.value.judge_all(texts.tolist()), columns=["lang", "score", "known"])
 
     return udf(text.cast("string"))
 

@@ -145,12 +145,13 @@ def test_language_id_against_plain_dictionaries(some):
     assert [got[r["doc_id"]] for r in lettered] == want
 
 
-def test_sparse_rows_are_the_dense_ones():
-    counts = language_counts([("aa", 2, "xq", 3), ("bb", 2, "qa", 2), ("aa", 2, "qa", 7), ("aa", 0, "foo", 1)])
-    model = li.LanguageModel(["aa", "bb"], counts, {("aa", 2): 10, ("bb", 2): 2, ("aa", 0): 1})
-    dense = model.log_of(2, [0, 1])
-    model.small = False
-    assert [round(float(x), 5) for x in dense] == [round(float(x), 5) for x in model.log_of(2, [0, 1])]
+def test_a_full_table_changes_nothing(some):
+    counts = language_counts([("aa", 0, "foo", 5), ("bb", 0, "bar", 5), ("aa", 2, "xq", 3), ("bb", 1, "z", 2), ("bb", 3, "abc", 4)])
+    totals = {("aa", 0): 5, ("bb", 0): 5, ("aa", 2): 3, ("bb", 1): 2, ("bb", 3): 4}
+    texts = ["foo abcd xqz", None, "bar bar q", " ".join(f"{a}{b}zx" for a in "abcdefghijkl" for b in "mnopqrstuv"), "12", "zz foo", "qqq"]
+    large, small = (li.LanguageModel(["aa", "bb"], counts, totals) for _ in range(2))
+    small.scores, small.known = small.scores[:3], small.known[:3]
+    assert large.judge_all(texts) == [j for t in texts for j in small.judge_all([t])] == small.judge_all(texts)
 
 
 def test_many_labels_make_no_large_plan(spark):
@@ -544,7 +545,9 @@ def test_floor_does_not_depend_on_the_language():
     counts = language_counts([("big", 0, "foo", 90), ("big", 0, "bar", 9910), ("mid", 0, "baz", 10), ("tiny", 0, "qux", 2)])
     model = li.LanguageModel(["big", "mid", "tiny"], counts, {("big", 0): 10_000, ("mid", 0): 100, ("tiny", 0): 2})
     assert model.predict("foo baz baz baz foo foo foo foo")[0] == "big"
-    log = lambda w: model.log_of(0, [model.index[0][w]])
+    import numpy as np
+
+    log = lambda w: model.means(0, [w], np.zeros(1, int), 1)[0][0]
     assert len({round(float(log(w)[i]), 6) for w, i in (("foo", 1), ("foo", 2), ("baz", 0), ("baz", 2), ("qux", 0))}) == 1
 
 

@@ -136,7 +136,7 @@ def fit_domains(
     number = F.lit(0)
     for k, d in enumerate(names):
         number = F.when(F.col("domain") == d, F.lit(k)).otherwise(number)
-    present = F.lit([0.0] * 0).cast("array<double>")
+    present = F.array().cast("array<double>")
     if vocabulary:
         present = let(
             held_words(F.col(WORDS), vocabulary),

@@ -49,8 +49,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def key_of(gram: str) -> int:
-    """The xxhash64 that stands for a gram."""
-    return xxhash.xxh64_intdigest(gram.encode())
+    """The xxhash64 that stands for a gram, as Spark has it, but unsigned."""
+    return xxhash.xxh64_intdigest(gram.encode(), 42)
 
 
 class LanguageModel:
@@ -62,7 +62,7 @@ class LanguageModel:
     """
 
     def __init__(self, langs: list[str], counts: pd.DataFrame, totals: dict[tuple[str, int], int]):
-        """counts: (lang, n, gram, c); n is 0 for whole words."""
+        """counts: (lang, n, key, c), key being ``key_of`` the gram as a signed number; n is 0 for whole words."""
         self.langs = langs
         self.keys: list[np.ndarray] = []  # sorted hashes, by order n
         self.first: list[np.ndarray] = []  # where each key's entries begin
@@ -72,7 +72,7 @@ class LanguageModel:
         number = {lang: i for i, lang in enumerate(langs)}
         for n in range(MAX_GRAM + 1):
             own = counts[counts["n"] == n]
-            key = np.fromiter(map(key_of, own["gram"]), np.uint64, len(own))
+            key = own["key"].to_numpy(np.int64).view(np.uint64)
             at = np.fromiter(map(number.get, own["lang"]), np.int32, len(own))
             total = np.array([max(1, totals.get((lang, n), 0)) for lang in langs], np.float64)
             floor = float(np.log10(0.1 / total.max(initial=1)))
@@ -199,7 +199,7 @@ def fit_language_model(
         if counts.count() <= max_entries:
             break
         wanted /= 2
-    kept = counts.toArrow().to_pandas()
+    kept = counts.select("lang", "n", F.xxhash64("gram").alias("key"), "c").toArrow().to_pandas()  # no texts reach the driver
     release(counts, sizes)
     return LanguageModel(sorted(kept["lang"].unique()), kept, kept.groupby(["lang", "n"])["c"].sum().to_dict())
 

@@ -18,7 +18,7 @@ from loomframe.operators import ordered as od
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
 from loomframe.plans import records as rc
-from loomframe.session import shared_dir, written
+from loomframe.session import shared_dir
 from loomframe.sources import html as ht
 from loomframe.sources import sinks as sk
 from loomframe.sources import tables as tb
@@ -481,13 +481,13 @@ def best_of_group(spark, sf_dir):
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
-    return ht.nodes_of(written(ht.parse_pages(pages), "parsed-pages"))
+    return ht.nodes_of(ht.parse_pages(pages).persist())
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<a '))::BIGINT) AS anchors FROM pages WHERE regexp_matches(html, '<a ')")
 def page_links(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    links = ex.page_links(ht.page_nodes(pages), pages)
+    links = ex.page_links(_nodes(pages), pages)
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
@@ -516,7 +516,7 @@ def page_profiles(spark, sf_dir):
 @query()
 def link_categories(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    return ex.categorize_links(ex.page_links(ht.page_nodes(pages), pages), "example.net")
+    return ex.categorize_links(ex.page_links(_nodes(pages), pages), "example.net")
 
 
 @query()

@@ -28,6 +28,7 @@ ELEMENT = (
 WALLS = {"body", "main", "html"}
 CHROME_ROLES = {"navigation", "contentinfo", "banner"}
 CLIMB = 5
+ELEMENTS_A_FRAME = 20_000
 PIECE = "struct<text:string,aside:boolean,item:int>"
 _SPACE = re.compile(r"\s+")
 
@@ -115,6 +116,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            ids, elements, pieces, ready = [], [], [], 0
             for page, text in zip(pdf[id_col], pdf[html_col]):
                 reader = _Reader()
                 reader.feed(text or "")
@@ -123,8 +125,15 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 for r in reader.rows:
                     r["children"], r["inner"] = sorted(r["children"]), sorted(r["inner"])
                 if reader.rows:
-                    pieces = [{"text": t, "aside": aside, "item": item} for t, aside, item in reader.pieces]
-                    yield pd.DataFrame({id_col: [page], "elements": [reader.rows], "pieces": [pieces]})
+                    ids.append(page)
+                    elements.append(reader.rows)
+                    pieces.append([{"text": t, "aside": aside, "item": item} for t, aside, item in reader.pieces])
+                    ready += len(reader.rows)
+                if ready >= ELEMENTS_A_FRAME:
+                    yield pd.DataFrame({id_col: ids, "elements": elements, "pieces": pieces})
+                    ids, elements, pieces, ready = [], [], [], 0
+            if ids:
+                yield pd.DataFrame({id_col: ids, "elements": elements, "pieces": pieces})
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, elements array<{ELEMENT}>, pieces array<{PIECE}>")

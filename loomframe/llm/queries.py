@@ -12,6 +12,7 @@ from loomframe.llm.simhash import op8_simhash
 from loomframe.llm.substrings import op10_suffix_dedup
 from loomframe.llm.token_counts import op3_token_counts
 from loomframe.llm.topk import OP7_SQL, op7_topk
+from loomframe.llm.toxicity import op11_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_toxicity": op11_toxicity,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomframe.llm.decontamination import op6_decontamination
 from loomframe.llm.langid import op4_language_id
+from loomframe.llm.lexical import OP12_SQL, op12_lexical
 from loomframe.llm.mixing import op1_mixing
 from loomframe.llm.quality import op5_quality
 from loomframe.llm.secret_scan import OP2_SQL, op2_secrets
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_toxicity": op11_toxicity,
+    "op12_lexical": op12_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op2_secrets": OP2_SQL,
     "op7_topk": OP7_SQL,
+    "op12_lexical": OP12_SQL,
 }

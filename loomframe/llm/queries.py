@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomframe.llm.conversations import op13_conversations
 from loomframe.llm.decontamination import op6_decontamination
 from loomframe.llm.langid import op4_language_id
 from loomframe.llm.lexical import OP12_SQL, op12_lexical
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_toxicity": op11_toxicity,
     "op12_lexical": op12_lexical,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {

@@ -17,6 +17,7 @@ from loomframe.operators import extract as ex
 from loomframe.operators import ordered as od
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
+from loomframe.operators import upsert as up
 from loomframe.plans import records as rc
 from loomframe.session import shared_dir
 from loomframe.sources import html as ht
@@ -480,6 +481,25 @@ def best_of_group(spark, sf_dir):
     return od.keep_last(o, ["o_custkey"], ["price", -F.col("largest")])
 
 
+@query("""
+WITH RECURSIVE s AS (
+  SELECT event_id AS ord, user_id AS key, CASE WHEN event_type = 'signup' THEN json_extract_string(props, '$.k') END AS url FROM events
+), f AS (
+  SELECT url, min(ord) AS first FROM s WHERE url IS NOT NULL GROUP BY url
+), p AS (
+  SELECT ord, key, CASE WHEN ord > first THEN first ELSE coalesce(lag(ord) OVER (PARTITION BY key ORDER BY ord), ord) END AS parent FROM s LEFT JOIN f USING (url)
+), r AS (
+  SELECT ord, parent AS up FROM p UNION ALL SELECT r.ord, p.parent FROM r JOIN p ON r.up = p.ord WHERE p.parent <> p.ord
+)
+SELECT ord AS event_id, min(up) AS first_event FROM r GROUP BY ord""")
+def record_upsert(spark, sf_dir):
+    """Events as sightings of users, known by their number or by the token of a signup: the event that each one's record began with."""
+    e = read(spark, sf_dir, "events")
+    url = F.when(F.col("event_type") == "signup", F.get_json_object("props", "$.k"))
+    placed = up.upsert_groups(e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("key"), url.alias("url")))
+    return placed.select(F.col("ord").alias("event_id"), F.col("ord_of").alias("first_event"))
+
+
 def _nodes(pages: DataFrame) -> DataFrame:
     return ht.nodes_of(ht.parse_pages(pages).persist())
 

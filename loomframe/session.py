@@ -40,4 +40,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: what is read more than once is worked out once, and plans stay small."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing still to run reads; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import arrow_rows, materialize, release, table
+from loomframe.llm.common import arrow_rows, materialize, materialize_lean, release, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,9 +27,13 @@ def terms_of(text: Column) -> Column:
 
 
 def _item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, item_id, term): the distinct terms of each item; rows of one id are one item, a null id is an id."""
-    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("item")
-    return items.select(key, F.col(id_col).alias("item_id"), F.explode(terms_of(F.col(text_col))).alias("term")).distinct()
+    """(item, item_id, term), written: the number, the id and terms of each item; rows of one id are one item, a null id is an id."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    names = materialize(items.select(key.alias("key"), F.col(id_col).alias("item_id")).distinct().withColumn("item", F.monotonically_increasing_id()), "lexical-names")
+    terms = items.select(key.alias("key"), F.explode(terms_of(F.col(text_col))).alias("term")).distinct()
+    asked = materialize(terms.join(names, "key").select("item", "item_id", "term"), "lexical-items")
+    release(names)
+    return asked
 
 
 def _list_rows(numbers: dict[bytes, int], id_type: pa.DataType, wholes: bool):
@@ -84,7 +88,7 @@ def term_postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str)
         rows = numbered.mapInArrow(_list_rows(numbers, arrow_type, turn == 0), kind)
         spread = rows.repartition("term", F.pmod(F.xxhash64("row"), F.lit(FRAGMENTS))).sortWithinPartitions("term")
         with arrow_rows(spark, 500):
-            lists.append(materialize(spread, "lexical-postings"))
+            lists.append(materialize_lean(spread, "lexical-postings"))
     known = materialize(_all_of(names), "lexical-terms")
     if turns > 1:
         whole = materialize(_all_of(lists), "lexical-postings")
@@ -100,11 +104,14 @@ def _all_of(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "row"))
+    return scores.withColumn("place", place).where(F.col("place") <= k)
+
+
 def _kth(scores: DataFrame, k: int, name: str) -> DataFrame:
     """(item, name): the k-th highest score of each item, 0 where it has fewer."""
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))
-    top = scores.withColumn("place", place).where(F.col("place") <= k)
-    return top.groupBy("item").agg(F.max(F.when(F.col("place") == k, F.col("score")).otherwise(0)).alias(name))
+    return _best(scores, k).groupBy("item").agg(F.max(F.when(F.col("place") == k, F.col("score")).otherwise(0)).alias(name))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -118,13 +125,15 @@ def rank_documents(
     """The ``k`` documents of highest score above 0 for each item: (item_id, rank, doc_id, score), exactly.
 
     Score: for each distinct term of the item, its weight by rarity times its saturated frequency in the document, in integers.
-    TPUT: (1) the k greatest postings of each term's list give lower bounds, the k-th of an item being t; (2) of all lists,
-    postings of at least t / (number of the item's terms) are fetched: a document without one cannot reach t; bounds from
-    what is fetched, what is missing being below that threshold, leave few candidates; (3) their exact scores are looked up.
+    TPUT: (1) the k greatest postings of each term's list give lower bounds; the k best by these are looked up, and their k-th
+    score is t; (2) of all lists of an item, postings above one threshold are fetched, the greatest at which a document
+    without any cannot reach t; the k best by these are looked up, which raises t; what is missing is at most that
+    threshold, and at most its list's greatest posting, so documents that cannot reach t are dropped; (3) the exact scores
+    of the others are looked up.
     Equal scores go by ascending id (null first), then by the row read first. Null texts and items without terms have no terms; items that
     nothing matches have no rows. Rows that repeat an id are documents of their own.
     """
-    asked = materialize(_item_terms(items, item_col, item_text_col), "lexical-items")
+    asked = _item_terms(items, item_col, item_text_col)
     terms = materialize(asked.select("term").distinct(), "lexical-asked")
     postings, known = term_postings(docs, terms, id_col, text_col)
     whole, lists = postings.where(F.col("term") == WHOLE), postings.where(F.col("term") != WHOLE).drop("doc_id")
@@ -139,35 +148,47 @@ def rank_documents(
     saturated = F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)")
     valued = lambda bars: lists.join(_sized(bars), "term").withColumn("m", norm).withColumn("v", F.col("w") * saturated)
 
-    # 1: heads of the lists
+    asks = of_items.select("item", "term")
+
+    def scores_of(pairs: DataFrame) -> DataFrame:
+        """(item, row, score): exact scores, looked up by term and document; pairs: a written table of (item, row)."""
+        near = valued(weights).select("term", "row", "v").join(_sized(pairs.select("row").distinct()), "row", "left_semi")
+        return pairs.join(_sized(asks), "item").join(near, ["term", "row"]).groupBy("item", "row").agg(F.sum("v").alias("score"))
+
+    # 1: heads of the lists; the k documents of an item that they say most of are looked up, and the k-th gives t
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("v"), "row"))
     heads = valued(weights).select("term", "row", "v").withColumn("place", place).where(F.col("place") <= k)
-    heads = heads.join(_sized(of_items.select("item", "term")), "term")
-    first = _kth(heads.groupBy("item", "row").agg(F.sum("v").alias("score")), k, "t")
-    bars = of_items.join(of_items.groupBy("item").agg(F.count(F.lit(1)).alias("lists")), "item").join(first, "item")
-    bars = materialize(bars, "lexical-bars")  # a posting is fetched for an item if v * lists >= t
-
-    # 2: all postings above the uniform threshold, and bounds
-    lowest = materialize(bars.groupBy("term").agg(F.first("w").alias("w"), F.min(F.expr("(t + lists - 1) div lists")).alias("bar")), "lexical-lowest")
-    likely = valued(lowest).where(F.col("v") >= F.col("bar")).select("term", "row", "v")
-    fetched = likely.join(_sized(bars.drop("w")), "term").where(F.col("v") * F.col("lists") >= F.col("t"))
-    summed = fetched.groupBy("item", "row").agg(F.sum("v").alias("score"), F.count(F.lit(1)).alias("seen"), F.first("lists").alias("lists"), F.first("t").alias("t"))
-    summed = materialize(summed, "lexical-bounds")
-    second = materialize(_kth(summed, k, "t2"), "lexical-thresholds")
-    missing = F.expr("(lists - seen) * greatest(0, (t - 1) div lists)")
-    likely = summed.join(_sized(second), "item").where(F.col("score") + missing >= F.col("t2"))
-    candidates = materialize(likely.select("item", "row"), "lexical-candidates")
+    heads = materialize(heads.join(_sized(asks), "term"), "lexical-heads")
+    best = materialize(_best(heads.groupBy("item", "row").agg(F.sum("v").alias("score")), k).select("item", "row"), "lexical-best")
+    first = _kth(scores_of(best), k, "t")
+    tops = heads.where("place = 1").groupBy("term").agg(F.max("v").alias("top"))
+    held = of_items.join(first, "item").join(tops.withColumnRenamed("term", "of"), F.col("term") == F.col("of")).drop("of")
+    # The uniform threshold: the greatest T at which postings of at most T, or their list's top if that is less, stay below t.
+    by_top = Window.partitionBy("item").orderBy("top", "term")
+    below, left = F.coalesce(F.sum("top").over(by_top.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.count(F.lit(1)).over(by_top.rowsBetween(0, Window.unboundedFollowing))
+    levels = held.select("item", F.greatest(F.lit(0), F.floor((F.col("t") - 1 - below) / left)).cast("long").alias("level")).groupBy("item").agg(F.max("level").alias("level"))
+    bars = materialize(held.join(levels, "item").withColumn("cap", F.least("top", "level")), "lexical-bars")
+
+    # 2: all postings above the threshold, brought together by document, where they are summed for each item; bounds
+    lowest = materialize(bars.where("top > level").groupBy("term").agg(F.first("w").alias("w"), F.min("level").alias("lowest")), "lexical-lowest")
+    likely = valued(lowest).where(F.col("v") > F.col("lowest")).select("term", "row", "v").repartition("row")
+    fetched = likely.join(_sized(bars.select("item", "term", "level", "cap")), "term").where(F.col("v") > F.col("level"))
+    summed = fetched.groupBy("item", "row").agg(F.sum("v").alias("score"), F.sum("cap").alias("known"))
+    better = materialize_lean(_best(summed, k).select("item", "row"), "lexical-better")
+    second = _kth(scores_of(better), k, "t2").join(bars.groupBy("item").agg(F.sum("cap").alias("caps"), F.max("t").alias("t")), "item")
+    second = materialize(second.select("item", (F.greatest("t", "t2") - F.col("caps")).alias("least")), "lexical-thresholds")
+    bounded = summed.join(_sized(second), "item").where(F.col("score") - F.col("known") >= F.col("least"))
+    candidates = materialize_lean(bounded.select("item", "row"), "lexical-candidates")
 
     # 3: exact scores of the candidates
-    looked_up = valued(weights).select("term", "row", "v").join(_sized(candidates), "row").join(_sized(of_items.select("item", "term")), ["item", "term"])
-    exact = looked_up.groupBy("item", "row").agg(F.sum("v").alias("score"))
+    exact = scores_of(candidates)
     own = whole.select("row", "doc_id").join(_sized(candidates.select("row").distinct()), "row")
     exact = exact.join(own, "row")
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "row"))
     top = exact.withColumn("rank", place).where(F.col("rank") <= k)
     named = asked.select("item", "item_id").distinct()
-    found = materialize(top.join(named, "item").select("item_id", "rank", "doc_id", "score"), "lexical-found")
-    release(asked, terms, postings, known, weights, of_items, bars, lowest, summed, second, candidates)
+    found = materialize_lean(top.join(named, "item").select("item_id", "rank", "doc_id", "score"), "lexical-found")
+    release(asked, terms, postings, known, weights, of_items, heads, best, bars, lowest, better, second, candidates)
     return found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.text import dept_key, fold, fold_distinct, has_course_code, let, name_tokens, norm_unit, squash, strip, strip_dept, unescape
 from loomframe.session import written
-from loomframe.operators.resolve import few, fix_shared_emails, merge_duplicates, repair_group
+from loomframe.operators.resolve import fix_shared_emails, merge_duplicates, repair_group
 
 # What the clean-up takes for junk, a label, a code, a title or staff.
 LABEL_JUNK = (
@@ -108,10 +108,26 @@ def student_name_ok(col: Column) -> Column:
     return let(squash(col), lambda n: reduce(lambda ok, p: ok & ~like(n, p), bad, n != ""))
 
 
+def _trimmed(areas: Column) -> Column:
+    return F.transform(areas, lambda a: strip(squash(unescape(a)), _EDGE))
+
+
+def named_as_units(records: DataFrame, areas: Column, names: DataFrame) -> DataFrame:
+    """Adds ``unit_names``: those of a record's areas, folded, that are among ``names(n)``. A join, so neither has a bound.
+
+    records: with a unique ``ord``.
+    """
+    keys = F.array_distinct(F.transform(_trimmed(areas), fold))
+    found = records.select("ord", F.explode(keys).alias("n")).join(names.where("n <> ''").distinct(), "n").groupBy("ord").agg(F.collect_list("n").alias("unit_names"))
+    none = F.array().cast("array<string>")
+    return records.join(found, "ord", "left").withColumn("unit_names", F.coalesce("unit_names", none))
+
+
 def clean_areas(areas: Column, name: Column, own_labels: Column, unit_names: Column) -> Column:
     """Research areas without contact data, labels, degrees, codes, ranks, own name and unit names; first spelling of each.
 
-    own_labels: the record's departments and colleges; unit_names: all of them, both folded.
+    own_labels: the record's departments and colleges; unit_names: those of all units, or as many of them as the areas
+    name (see ``named_as_units``), both folded.
     """
     own = F.array_union(F.filter(name_tokens(name), lambda t: F.length(t) > 1), F.lit(["dr", "prof"]))
 
@@ -130,8 +146,7 @@ def clean_areas(areas: Column, name: Column, own_labels: Column, unit_names: Col
             | F.array_contains(unit_names, f) | like(a, _DEGREE_LINE) | (like(f, _RANK) & (F.size(F.split(f, r"\s+")) <= 5)) | like(f, _FURNITURE)
         )
 
-    trimmed = F.transform(areas, lambda a: strip(squash(unescape(a)), _EDGE))
-    return fold_distinct(F.filter(trimmed, good))
+    return fold_distinct(F.filter(_trimmed(areas), good))
 
 
 def clean_teaching(teaching: Column, extra: Column) -> Column:
@@ -208,7 +223,7 @@ def canonicalize(records: DataFrame, units: DataFrame) -> DataFrame:
 def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) -> DataFrame:
     """The clean-up chain, in its order: names of departments, duplicates, texts, colleges, labels, lists, people, e-mails.
 
-    units: (ord, name, college), a few thousand rows at most; label_college: (label, group).
+    units: (ord, name, college); label_college: (label, group).
     """
     merged = written(merge_duplicates(written(canonicalize(records, units), "canonical")), "one-a-person")
     merged = merged.withColumns({c: squash(unescape(F.col(c))) for c in ("department", "college", "location", "lab_name")})
@@ -232,14 +247,14 @@ def finalize(records: DataFrame, units: DataFrame, label_college: DataFrame) ->
     repaired = repaired.withColumns({"department": department, "affiliations": F.array_distinct(blanked)})
     repaired = written(repaired, "repaired")
     names = units.select(F.explode(F.array(fold(F.col("name")), norm_unit(F.col("name")), fold(F.col("college")), F.regexp_replace(fold(F.col("name")), r"\s+department$", ""))).alias("n"))
-    unit_names = F.lit(few(names.distinct(), 20_000) or [""])
     own_labels = F.concat(F.array(fold(F.col("department")), fold(F.col("college"))), F.transform("affiliations", lambda a: fold(a["department"])), F.transform("affiliations", lambda a: fold(a["college"])))
     courses = F.transform(F.filter("research_areas", has_course_code), lambda a: F.regexp_replace(a, r"(?iu)^teaching[:\s]+", ""))
     plain = F.filter("research_areas", lambda a: ~has_course_code(a))
-    cleaned = repaired.withColumns({
-        "research_areas": clean_areas(plain, F.col("name"), own_labels, unit_names), "teaching": clean_teaching(F.col("teaching"), courses),
+    known = written(named_as_units(repaired, plain, names), "areas-of-units")
+    cleaned = known.withColumns({
+        "research_areas": clean_areas(plain, F.col("name"), own_labels, F.col("unit_names")), "teaching": clean_teaching(F.col("teaching"), courses),
         "extension": clean_extension(F.col("extension")), "roles": F.filter(F.transform("roles", lambda r: squash(unescape(r))), lambda r: r != ""),
-    })
+    }).drop("unit_names")
     person = ~is_not_a_person(F.col("name"), F.size("affiliations"), F.col("title"), F.col("email"))
     idle_staff = is_staff(F.col("title")) & (F.size("research_areas") == 0) & (F.col("google_scholar") == "")
     return fix_shared_emails(written(cleaned.where(person & ~idle_staff), "cleaned"))

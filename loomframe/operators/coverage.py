@@ -38,6 +38,21 @@ def coverage_by_group(units: DataFrame, records: DataFrame, group: str = "colleg
     return own.join(counted, group, "left").select(group, "ord", "departments", F.coalesce("records", F.lit(0)).alias("records"), "departments_ok")
 
 
+def coverage_levels(records: DataFrame, flags: dict[str, Column], department: str = "department", college: str = "college", affiliations: str = "affiliations") -> DataFrame:
+    """``(level, name, members, ..flags)`` of units, colleges and the whole, in one pass and one shuffle.
+
+    The levels count by different rules: a unit counts the records that name it as department or in an affiliation, a
+    college those whose own it is, the level ``all`` every record (name: empty). So each record is spread to what it counts for, which are
+    the grouping sets of these rules, and partial sums of a row a name are all that moves. Blank names have no row; what
+    has no members has none either (see ``coverage_by`` for a report with all units).
+    """
+    units = F.array_distinct(F.concat(F.array(F.col(department)), F.coalesce(F.transform(affiliations, lambda a: a["department"]), F.array().cast("array<string>"))))
+    of = lambda level, names: F.transform(F.filter(names, lambda u: u.isNotNull() & (u != "")), lambda u: F.struct(F.lit(level).alias("level"), u.alias("name")))
+    sets = F.concat(of("unit", units), of("college", F.array(F.col(college))), F.array(F.struct(F.lit("all").alias("level"), F.lit("").alias("name"))))
+    spread = records.select(*[F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()], F.explode(sets).alias("set"))
+    return spread.groupBy("set.level", "set.name").agg(F.count(F.lit(1)).alias("members"), *[F.count_if(F.col(n)).alias(n) for n in flags])
+
+
 def record_flags() -> dict[str, Column]:
     """What a report counts of records."""
     return {

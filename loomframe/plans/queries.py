@@ -19,9 +19,11 @@ from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
 from loomframe.operators import upsert as up
 from loomframe.plans import records as rc
-from loomframe.session import shared_dir
+from loomframe.session import shared_dir, written
 from loomframe.sources import html as ht
 from loomframe.sources import sinks as sk
+from loomframe.sources import store as st
+from loomframe.sources import table_functions as tf
 from loomframe.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -500,6 +502,97 @@ def record_upsert(spark, sf_dir):
     return placed.select(F.col("ord").alias("event_id"), F.col("ord_of").alias("first_event"))
 
 
+_LEVELS_SQL = "count(*)::BIGINT AS members, (count(*) FILTER (c_acctbal > 0))::BIGINT AS solvent, (count(*) FILTER (c_mktsegment = 'BUILDING'))::BIGINT AS building"
+
+
+@query(f"""WITH c AS (
+  SELECT *, n.n_name AS unit, r_name AS college, o.n_name AS other FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n.n_regionkey = r_regionkey
+  JOIN nation o ON o.n_nationkey = CASE WHEN c_custkey % 4 = 0 THEN (c_nationkey + 5) % 25 ELSE c_nationkey END
+), u AS (SELECT unit AS name, c_acctbal, c_mktsegment FROM c UNION ALL SELECT other, c_acctbal, c_mktsegment FROM c WHERE other <> unit)
+SELECT 'unit' AS level, name, {_LEVELS_SQL} FROM u GROUP BY name
+UNION ALL SELECT 'college', college, {_LEVELS_SQL} FROM c GROUP BY college
+UNION ALL SELECT 'all', '', {_LEVELS_SQL} FROM c""")
+def coverage_levels(spark, sf_dir):
+    """Customers of nations (one in four of a second one as well) as records: coverage of units, colleges and all at once."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    named = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.col("n_name").alias("department"), F.col("r_name").alias("college"))
+    other = n.select(F.col("n_nationkey").alias("other"), F.struct(F.lit("").alias("college"), F.col("n_name").alias("department")).alias("a"))
+    c = read(spark, sf_dir, "customer").withColumn("other", F.when(F.col("c_custkey") % 4 == 0, (F.col("c_nationkey") + 5) % 25).otherwise(F.col("c_nationkey")))
+    records = c.join(named, F.col("c_nationkey") == F.col("n_nationkey")).join(other, "other").withColumn("affiliations", F.array("a"))
+    return cv.coverage_levels(records, {"solvent": F.col("c_acctbal") > 0, "building": F.col("c_mktsegment") == "BUILDING"})
+
+
+@query("""WITH l AS (SELECT DISTINCT lower(substr(c_name, 10 + (c_custkey % 5)::INT, 2 + (c_custkey % 7)::INT)) AS label FROM customer)
+SELECT label, min(p_name) AS "group" FROM l JOIN (SELECT DISTINCT p_name FROM part UNION SELECT s_name FROM supplier) g ON contains(lower(p_name), label) WHERE label <> '' GROUP BY label""")
+def label_containment(spark, sf_dir):
+    """Pieces of customers' names as labels, names of parts and suppliers as groups: the first group that contains each label."""
+    c = read(spark, sf_dir, "customer")
+    label = F.lower(F.substring("c_name", 10 + (F.col("c_custkey") % 5).cast("int"), 2 + (F.col("c_custkey") % 7).cast("int")))
+    groups = read(spark, sf_dir, "part").select(F.col("p_name").alias("group")).union(read(spark, sf_dir, "supplier").select("s_name"))
+    return rs.first_containing(c.select(label.alias("label")), groups)
+
+
+@query("""WITH o AS (SELECT *, c_nationkey AS u FROM orders JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT n_nationkey AS unit_id, CASE WHEN n_nationkey % 5 = 1 THEN 'unreachable' WHEN n_nationkey % 5 = 2 THEN 'error' ELSE 'ok' END AS status, o_orderkey AS person
+  FROM nation LEFT JOIN o ON u = n_nationkey AND (n_nationkey % 5 NOT IN (1, 2) OR n_nationkey % 5 = 2 AND o_orderkey % 3 = 0)),
+b AS (SELECT n_nationkey AS unit_id, CASE WHEN n_nationkey IN (1, 6, 2) THEN 'ok' ELSE 'error' END AS status, o_orderkey AS person
+  FROM nation LEFT JOIN o ON u = n_nationkey AND (n_nationkey IN (1, 2) OR n_nationkey NOT IN (1, 6, 2) AND o_orderkey % (CASE WHEN n_nationkey = 7 THEN 2 ELSE 6 END) = 0) WHERE n_nationkey % 5 IN (1, 2)),
+t AS (SELECT unit_id FROM b GROUP BY unit_id HAVING max(status) = 'ok' OR count(person) > (SELECT count(person) FROM a WHERE a.unit_id = b.unit_id))
+SELECT unit_id, max(status) AS status, count(person)::BIGINT AS people, coalesce(sum(person), 0)::BIGINT AS keys FROM (
+  SELECT * FROM a WHERE unit_id NOT IN (SELECT unit_id FROM t) UNION ALL SELECT * FROM b WHERE unit_id IN (SELECT unit_id FROM t)) GROUP BY unit_id""")
+def unit_retry(spark, sf_dir):
+    """Nations as units, their orders as people: a first run in which two in five fail, a second one of those, merged by rewriting the units that gained."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"))
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = written(o.select(F.col("c_nationkey").alias("unit_id"), F.col("o_orderkey").alias("person")), "retry-people")
+    u, key, turn = F.col("unit_id"), F.col("person"), F.col("unit_id") % 5
+    status = F.when(turn == 1, "unreachable").when(turn == 2, "error").otherwise("ok")
+    first = st.unit_results(n.withColumn("status", status), o.where(~turn.isin(1, 2) | (turn == 2) & (key % 3 == 0)))
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    st.write_results(first, path)
+    failed = st.failed_units(st.read_results(spark, path, first.schema))
+    mended = u.isin(1, 2, 6)
+    few = u.isin(1, 2) | ~mended & (key % F.when(u == 7, 2).otherwise(6) == 0)
+    again = st.unit_results(failed.withColumn("status", F.when(mended, "ok").otherwise("error")), o.join(failed, "unit_id").where(few))
+    whole = st.rerun_units(again, path)
+    return whole.groupBy("unit_id").agg(F.max("status").alias("status"), F.count("person").alias("people"), F.coalesce(F.sum("person"), F.lit(0)).alias("keys"))
+
+
+@query("""SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 10 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS newer,
+  2::BIGINT AS versions, (SELECT count(*) FROM customer)::BIGINT AS rows_then, (SELECT count(*) FROM customer WHERE c_custkey % 97 <> 0)::BIGINT AS rows_now FROM customer""")
+def snapshot_versions(spark, sf_dir):
+    """Customers published, changed, published again (and once more, unchanged: no version); the first version read beside the newest."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    then = st.publish(c, root, {"source": "customer"})
+    changed = c.where("c_custkey % 97 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 0, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal")))
+    now = st.publish(changed, root)
+    st.publish(changed.repartition(3, "c_custkey"), root)
+    newest = st.read_snapshot(spark, root).withColumnRenamed("c_acctbal", "newer")
+    told = [F.lit(st.load_meta(spark, root)["version"]).alias("versions"), F.lit(then["rows"]).alias("rows_then"), F.lit(now["rows"]).alias("rows_now")]
+    return st.read_snapshot(spark, root, revision=then["revision"]).join(newest, "c_custkey", "left").select("c_custkey", "c_acctbal", "newer", *told)
+
+
+@query(r"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INTEGER AS place, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
+  trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS text, true AS aside
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a [^>]*>[^<]*</a>'), 1) AS i FROM pages)""")
+def sql_page_links(spark, sf_dir):
+    """Anchors of all pages by the table function html_links, called from SQL."""
+    tf.register_table_functions(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("loomframe_pages")
+    place = "cast(row_number() OVER (PARTITION BY page_id ORDER BY node) AS int) AS place"
+    return spark.sql(f"SELECT page_id, {place}, href, text, aside FROM loomframe_pages, LATERAL html_links(html)")
+
+
+@query("""WITH h AS (SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, len(regexp_extract_all(html, '<li>')) AS items FROM pages)
+SELECT page_id, replace(replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading, items::BIGINT AS items FROM h""")
+def sql_page_blocks(spark, sf_dir):
+    """The heading of each page, and how many list items it has, by the table function html_blocks."""
+    tf.register_table_functions(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("loomframe_pages")
+    return spark.sql("SELECT page_id, max(CASE WHEN tag = 'h1' THEN text END) AS heading, count_if(tag = 'li') AS items FROM loomframe_pages, LATERAL html_blocks(html) GROUP BY page_id")
+
+
 def _nodes(pages: DataFrame) -> DataFrame:
     return ht.nodes_of(ht.parse_pages(pages).persist())
 

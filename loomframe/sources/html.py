@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -107,6 +108,25 @@ class _Reader(HTMLParser):
             self.pieces.append((text, any(self.names[t] for t in ASIDE), self.items[-1] if self.items else -1))
 
 
+@dataclass
+class Page:
+    """Elements of a page in document order (see ``nodes_of``), and its pieces of text: (text, in nav or footer, list item)."""
+
+    rows: list[dict]
+    pieces: list[tuple[str, bool, int]]
+
+
+def read_page(html: str | None) -> Page:
+    """One page, read to its end; a null page has no elements."""
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    reader._close(0)
+    for r in reader.rows:
+        r["children"], r["inner"] = sorted(r["children"]), sorted(r["inner"])
+    return Page(reader.rows, reader.pieces)
+
+
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, elements, pieces)``, a row for each page: its elements in document order and its pieces of text.
 
@@ -118,17 +138,12 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         for pdf in batches:
             ids, elements, pieces, ready = [], [], [], 0
             for page, text in zip(pdf[id_col], pdf[html_col]):
-                reader = _Reader()
-                reader.feed(text or "")
-                reader.close()
-                reader._close(0)
-                for r in reader.rows:
-                    r["children"], r["inner"] = sorted(r["children"]), sorted(r["inner"])
-                if reader.rows:
+                found = read_page(text)
+                if found.rows:
                     ids.append(page)
-                    elements.append(reader.rows)
-                    pieces.append([{"text": t, "aside": aside, "item": item} for t, aside, item in reader.pieces])
-                    ready += len(reader.rows)
+                    elements.append(found.rows)
+                    pieces.append([{"text": t, "aside": aside, "item": item} for t, aside, item in found.pieces])
+                    ready += len(found.rows)
                 if ready >= ELEMENTS_A_FRAME:
                     yield pd.DataFrame({id_col: ids, "elements": elements, "pieces": pieces})
                     ids, elements, pieces, ready = [], [], [], 0

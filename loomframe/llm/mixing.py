@@ -20,7 +20,6 @@ from loomframe.llm.common import is_learnable, materialize, release, table, text
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "good": "quality = 1"}
 WEIGHTS = {"toxic": 0.02, "low": 0.08, "good": 0.90}
 N_STATS = 5
-MOST_COPIES = 4.0
 PROFILE_BINS = 4096
 # Private columns, so that those of users stay.
 EVERY, WORDS, STATS, TOKENS, DICE, RATE, COPIES, GAP, P = (
@@ -123,6 +122,7 @@ def fit_domains(
     sizes = {r["domain"]: r["count"] for r in train.groupBy("domain").count().collect()}
     names = [d for d in domains if d in sizes]
     if len(names) < 2:
+        release(train)
         return DomainModel(names, [0.0], [[0.0] * N_STATS], [], [[]]) if names else None
     n = sum(sizes.values())
     with_word = [F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(names)]
@@ -152,60 +152,63 @@ def fit_domains(
     )
 
 
-def rate_expr(posteriors: list[Column], steps: list[list[float]], most: float = MOST_COPIES) -> Column:
-    """The rate after these gradient steps, from 1, projected to between 0 and ``most`` after each."""
-    rate = F.lit(1.0)
-    for step in steps:
-        moved = rate - reduce(Column.__add__, [p * F.lit(c) for p, c in zip(posteriors, step)])
-        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), moved))
-    return rate
+def rate_expr(posteriors: list[Column], moved: list[float], most: float | None = None) -> Column:
+    """The rate after moving by so much along each domain's gradient, from 1, projected to 0 or more (and to ``most``, if that is asked for)."""
+    rate = F.lit(1.0) - reduce(Column.__add__, [p * F.lit(float(c)) for p, c in zip(posteriors, moved)], F.lit(0.0))
+    return F.greatest(F.lit(0.0), rate if most is None else F.least(F.lit(float(most)), rate))
 
 
 def fit_rates(
-    profile: DataFrame, n_domains: int, goals: list[float], tolerance: float = 1e-4, max_steps: int = 25, most: float = MOST_COPIES
-) -> tuple[list[list[float]], float]:
-    """Steps of projected gradient descent on the squared distance of expected domain tokens from ``goals`` (tokens), and the gap left.
-
-    profile: ``(p0.., tokens)``, the token mass of each posterior. A document's rate depends on its posterior alone, so it
-    stays a column expression of the steps so far; each step costs one pass over the profile, which sums a number for each
-    domain and pair of domains. The gradient is scaled by the inverse Gram matrix of the posteriors of documents whose
-    rate is inside its bounds, which makes a few steps enough; a step that does not lessen the distance is halved.
+    profile: DataFrame, n_domains: int, goals: list[float], tolerance: float = 1e-4, max_steps: int = 40, most: float | None = None, ridge: float = 1e-6
+) -> tuple[list[float], float]:
+    """How far to move along each domain's gradient, so that the expected domain tokens are nearest ``goals`` (tokens) in least squares, and the gap left.
+
+    profile: ``(p0.., tokens)``, the token mass of each posterior. The gradient of a document's rate is its posteriors times
+    how far each domain is off, so the steps of a document add up to its posteriors times one vector, the same for all, and
+    the projection is applied to their sum (projected gradient with lazy projection). A rate is then a column
+    expression of the posteriors, however many steps there were. Each step costs one pass over the profile, which sums a
+    number for each domain and pair of domains, and is scaled by the inverse Gram matrix of the posteriors of documents whose
+    rate is inside its bounds; one that goes too far is quartered. ``ridge`` weighs the distance of rates from 1 against that
+    of the domains: where goals are out of reach, it keeps rates finite.
 
     The gap is the largest distance of a domain from its goal as a share of all tokens: above ``tolerance`` the goals
-    cannot be met between rates 0 and ``most``, or not in ``max_steps``; the steps that came nearest are returned. Without
-    tokens there are no steps and no gap.
+    cannot be met by rates that are not negative (nor above ``most``), or not in ``max_steps``. Without tokens there are no
+    steps and no gap.
     """
     ps = [F.col(f"p{k}") for k in range(n_domains)]
     pairs = [(i, j) for i in range(n_domains) for j in range(i, n_domains)]
     total = float(profile.agg(F.sum("tokens")).first()[0] or 0)
-    steps: list[list[float]] = []
-    best, nearest = float("inf"), []
+    moved, step, lowest, gap = np.zeros(n_domains), np.zeros(n_domains), float("inf"), 0.0
+    goal = np.array(goals) / total if total else np.zeros(n_domains)
     for _ in range(max_steps if total else 0):
-        rated = profile.withColumn("rate", rate_expr(ps, steps, most))
-        mass, live = F.col("tokens") / total, (F.col("rate") > 0) & (F.col("rate") < most)
+        tried = moved + step
+        mass, reach = F.col("tokens") / total, F.lit(1.0) - reduce(Column.__add__, [p * F.lit(float(c)) for p, c in zip(ps, tried)])
+        rated = profile.withColumns({"rate": rate_expr(ps, tried.tolist(), most), "mass": mass, "reach": reach})
+        live = F.col("rate") == F.col("reach")
         got = rated.agg(
-            *[F.sum(p * mass * F.col("rate")) for p in ps], *[F.sum(F.when(live, ps[i] * ps[j] * mass).otherwise(0.0)) for i, j in pairs]
-        ).first()
-        residual = np.array([got[k] - goals[k] / total for k in range(n_domains)])
-        distance = float(np.abs(residual).max())
-        if distance < best:
-            best, nearest = distance, [list(s) for s in steps]
-        elif steps:
-            steps[-1] = [x / 2 for x in steps[-1]]
+            F.sum(F.col("mass") * F.col("rate") * (F.col("reach") - F.col("rate") / 2)),
+            *[F.sum(p * F.col("mass") * F.col("rate")) for p in ps], *[F.sum(F.when(live, ps[i] * ps[j] * F.col("mass")).otherwise(0.0)) for i, j in pairs],
+        ).first()
+        height = got[0] + float(goal @ tried) + ridge / 2 * float(tried @ tried)  # of the convex function that the steps go down
+        if height > lowest + 1e-15:
+            step = step / 4
             continue
-        if distance <= tolerance:
+        moved, lowest = tried, height
+        missed = np.array(got[1 : 1 + n_domains]) - goal
+        gap, slope = float(np.abs(missed).max()), missed - ridge * moved
+        if gap <= tolerance or float(np.abs(slope).max()) <= 1e-3 * tolerance:
             break
-        gram = np.zeros((n_domains, n_domains))
-        for value, (i, j) in zip(got[n_domains:], pairs):
-            gram[i, j] = gram[j, i] = value
-        ridge = 1e-9 * max(1e-9, float(np.trace(gram)))
-        steps.append([float(x) for x in np.linalg.solve(gram + ridge * np.eye(n_domains), residual)])
-    return nearest, best if total else 0.0
+        gram = ridge * np.eye(n_domains)
+        for value, (i, j) in zip(got[1 + n_domains :], pairs):
+            gram[i, j] = gram[j, i] = value + (ridge if i == j else 0.0)
+        step = np.linalg.solve(gram, slope)
+    return moved.tolist(), gap
 
 
 def _rated(
-    docs: DataFrame, labels: DataFrame, domains: dict[str, str], weights: dict[str, float], full: str, id_col: str, text_col: str, keep_text: bool
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, domains: dict[str, str], weights: dict[str, float], full: str | None, most: float | None, max_steps: int,
+    id_col: str, text_col: str, keep_text: bool,
+) -> DataFrame:
     """``docs`` with TOKENS, RATE, COPIES, GAP and a posterior P + domain for each domain, all under private names."""
     model = fit_domains(docs, labels, domains, id_col, text_col)
     spread = described(docs, text_col)
@@ -215,7 +218,7 @@ def _rated(
     given = spread.withColumn(P, model.posteriors(F.col(WORDS), F.col(STATS))) if model else spread
     scored = materialize(given.select(*kept, TOKENS, dice.alias(DICE), *[F.col(P)[k].alias(f"{P}{k}") for k in range(len(names))]), "mixing-scored")
     own = [F.col(f"{P}{k}") for k in range(len(names))]
-    steps, gap = [], 0.0
+    moved, gap = [0.0] * len(names), 0.0
     if names:
         # Posteriors that agree to 1/PROFILE_BINS are one row of the profile, at the mean of their tokens' posteriors.
         mass = F.sum(TOKENS)
@@ -223,12 +226,17 @@ def _rated(
         cells = [F.floor(p * PROFILE_BINS).alias(f"cell{k}") for k, p in enumerate(own)]
         profile = materialize(scored.groupBy(*cells).agg(mass.alias("tokens"), *means), "mixing-profile")
         have = profile.agg(*[F.coalesce(F.sum(F.col(f"p{k}") * F.col("tokens")), F.lit(0.0)) for k in range(len(names))]).first()
-        wanted = sum(weights[d] for d in names)
-        total = have[names.index(full)] * wanted / weights[full] if full in names else sum(have)
-        goals = [min(total * weights[d] / wanted, have[k]) for k, d in enumerate(names)]
-        steps, gap = fit_rates(profile, len(names), goals)
+        shares = [weights[d] / (sum(weights[d] for d in names) or 1.0) for d in names]
+        if full in names and shares[names.index(full)] > 0:
+            total = have[names.index(full)] / shares[names.index(full)]
+        else:
+            total = min([h / w for h, w in zip(have, shares) if w > 0], default=0.0)
+        moved, _ = fit_rates(profile, len(names), [total * w for w in shares], max_steps=max_steps, most=most)
+        mass = F.col("tokens") * rate_expr([F.col(f"p{k}") for k in range(len(names))], moved, most)
+        got = profile.agg(*[F.coalesce(F.sum(F.col(f"p{k}") * mass), F.lit(0.0)) for k in range(len(names))]).first()
+        gap = max(abs(g / sum(got) - w) for g, w in zip(got, shares)) if sum(got) > 0 else 0.0
         release(profile)
-    rated = scored.withColumns({RATE: rate_expr(own, steps), GAP: F.lit(gap)})
+    rated = scored.withColumns({RATE: rate_expr(own, moved, most), GAP: F.lit(float(gap))})
     rated = rated.withColumn(COPIES, F.floor(F.col(RATE) + F.col(DICE)).cast("int"))
     posterior = [(own[names.index(d)] if d in names else F.lit(0.0)).alias(f"{P}_{d}") for d in domains]
     return rated.select(*kept, TOKENS, RATE, COPIES, GAP, *posterior)
@@ -239,24 +247,27 @@ def mix(
     labels: DataFrame,
     domains: dict[str, str] | None = None,
     weights: dict[str, float] | None = None,
-    full: str = "good",
+    full: str | None = "good",
+    most: float | None = None,
+    max_steps: int = 40,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` plus ``tokens``, ``p_<domain>``, ``rate``, ``copies`` and ``gap``.
 
-    The expected tokens of each domain, posterior times tokens times rate, are brought to the weights' shares of a total
-    at which domain ``full`` keeps the tokens that it has. A domain with fewer tokens than its share keeps them all instead:
-    none is blown up by repetition, and no rate is above MOST_COPIES. ``copies`` rounds the rate up or down by a hash of the
-    id and text, so that its mean is the rate. ``gap``, the same in all rows, is the largest share of all tokens by which a
-    domain misses its goal. Null and empty texts have no tokens and rates by their posterior. Without labels
-    every rate is 1. A domain that no label names has no posterior; if it is ``full``, the total is that of the input.
+    The expected tokens of each domain, posterior times tokens times rate, are brought to the weights' shares of a total:
+    that at which domain ``full`` keeps the tokens that it has, or, if ``full`` is None or has no share, the largest at
+    which no domain needs more tokens than it has. Rates are not negative, and not above ``most`` if that is given.
+    ``copies`` rounds the rate up or down by a hash of the id and text, so that its mean is the rate. ``gap``, the same in all rows, is
+    the largest distance of a domain's share of the mixed tokens from its weight: near 0, or the weights cannot be met.
+    Null and empty texts have no tokens and rates by their posterior. Without labels
+    every rate is 1. A domain that no label names has no posterior, and the others share its weight.
     Only column expressions run here. Columns of the added names are replaced.
     """
     domains, weights = domains or DOMAINS, weights or WEIGHTS
     rest = docs.drop("tokens", "rate", "copies", "gap", *[f"p_{d}" for d in domains])
-    rated = _rated(rest, labels, domains, weights, full, id_col, text_col, keep_text)
+    rated = _rated(rest, labels, domains, weights, full, most, max_steps, id_col, text_col, keep_text)
     kept = [c for c in rest.columns if keep_text or c != text_col]
     given = [F.col(f"{P}_{d}").alias(f"p_{d}") for d in domains]
     return rated.select(
@@ -266,10 +277,10 @@ def mix(
 
 def mixed_documents(
     docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, weights: dict[str, float] | None = None,
-    full: str = "good", id_col: str = "doc_id", text_col: str = "text",
+    full: str | None = "good", most: float | None = None, max_steps: int = 40, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with every row repeated ``copies`` times (see ``mix``), so that expected domain shares are the weights; all columns stay as they are."""
-    rated = _rated(docs, labels, domains or DOMAINS, weights or WEIGHTS, full, id_col, text_col, True)
+    rated = _rated(docs, labels, domains or DOMAINS, weights or WEIGHTS, full, most, max_steps, id_col, text_col, True)
     repeated = rated.where(F.col(COPIES) > 0).withColumn(DICE, F.explode(F.sequence(F.lit(1), F.col(COPIES))))
     return repeated.select(*docs.columns)
 

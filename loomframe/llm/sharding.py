@@ -16,7 +16,7 @@ HASH_BITS = 27
 ROW_BITS = 16
 TIE_BITS = HASH_BITS + ROW_BITS
 KEY_BITS = DIM_BITS + TIE_BITS
-STEP_BITS = 12
+STEP_BITS = 16
 SLOT_BUCKET_ROWS = 4096
 MAX_DEPTH = 60
 ROW = "__loomframe_row"

@@ -51,14 +51,6 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(one + none), "".join(plain), several
 
 
-def _char_class(chars) -> str:
-    """A regex class of these characters, neighbours as ranges."""
-    codes = sorted(map(ord, chars))
-    starts = [c for c, before in zip(codes, [None, *codes]) if before is None or c != before + 1]
-    ends = [c for c, after in zip(codes, [*codes[1:], None]) if after is None or c != after - 1]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once, however often ``use`` mentions it: a lambda over a one-element array.
 
@@ -72,33 +64,60 @@ def present(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+#: What characters that decompose into several become at first, to be told by; no text needs it.
+_GROWS = "\uffff"
+
+
 def fold(col: Column) -> Column:
-    """Lower-cased compatibility decomposition without combining marks."""
+    """Lower-cased compatibility decomposition without combining marks, in a time linear in the text."""
 
     def folded(t: Column) -> Column:
-        translated, plain, several = _foldings()
-        grown = F.regexp_like(t, F.lit(f"{_char_class(several)}|[\uac00-\ud7a3]"))
-        return F.lower(F.translate(F.when(grown, _expanded(t)).otherwise(t), translated, plain))
+        one, plain, several = _foldings()
+        none = one[len(plain) :]
+        growing = "".join(several) + "".join(map(chr, range(0xAC00, 0xD7A4)))
+        # Characters without a counterpart are dropped by translate, so these come last.
+        told = F.translate(t, one[: len(plain)] + growing + none, plain + _GROWS * len(growing))
+        return let(told, lambda x: F.when(F.contains(x, F.lit(_GROWS)), F.translate(_expanded(t), one, plain)).otherwise(x))
+
+    return let(F.coalesce(col, F.lit("")), lambda t: F.lower(F.when(F.regexp_like(t, F.lit("[^\\x00-\\x7F]")), folded(t)).otherwise(t)))
+
+
+def fold_each(arr: Column) -> Column:
+    """``fold`` of every element (null: empty), all of them at once: joined by a character that they are cleared of, folded, and split again."""
+    cleared = F.transform(arr, lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a")))
+    parts = F.split(fold(F.array_join(cleared, "\u0001")), "\u0001", -1)
+    folded = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\u0002a"), F.lit("\u0001")), F.lit("\u0002b"), F.lit("\u0002")))
+    return F.when(F.size(arr) <= 0, arr.cast("array<string>")).otherwise(folded)
+
 
-    return let(F.coalesce(col, F.lit("")), lambda t: F.when(F.regexp_like(t, F.lit("[^\\x00-\\x7F]")), folded(t)).otherwise(F.lower(t)))
+FEW_GROWING = 24
 
 
 def _expanded(t: Column) -> Column:
-    """Every character that decomposes into several, decomposed; the others as they are."""
+    """Every character that decomposes into several, decomposed; the others as they are.
+
+    Of few different ones, each is replaced in the whole text; a text with many of them (Hangul, say) goes character by character.
+    """
     several = _foldings()[2]
     known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     leads, vowels, tails = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
-    def syllable(place: Column) -> Column:
+    def syllable(c: Column) -> Column:
+        place = F.ascii(c) - 0xAC00
         at = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
         tail = F.when(place % 28 > 0, at(tails, place % 28 - 1)).otherwise("")
         return F.concat(at(leads, F.floor(place / 588)), at(vowels, F.floor(place % 588 / 28)), tail)
 
     def letter(c: Column) -> Column:
-        place = F.ascii(c) - 0xAC00
-        return F.when(place.between(0, 11171), let(place, syllable)).otherwise(F.coalesce(known[c], c))
+        return F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).otherwise(F.coalesce(known[c], c))
 
-    return F.array_join(F.transform(F.split(t, ""), letter), "")
+    def replaced(pairs: Column) -> Column:
+        each = F.aggregate(pairs, t, lambda text, p: F.replace(text, p["c"], p["to"]))
+        return F.when(F.size(pairs) <= FEW_GROWING, each).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
+
+    different = F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), ""))
+    pairs = F.filter(F.transform(different, lambda c: F.struct(c.alias("c"), letter(c).alias("to"))), lambda p: p["c"] != p["to"])
+    return let(pairs, replaced)
 
 
 def squash(col: Column) -> Column:
@@ -285,19 +304,24 @@ def slug_to_phrase(col: Column) -> Column:
     return F.array_join(F.transform(words, cased), " ")
 
 
-def ordered_distinct(arr: Column, key=lambda x: x) -> Column:
-    """Elements whose key has not come before, in order: sorted by key and place, the first of each key, sorted back by place."""
-    keyed = F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+def ordered_distinct(arr: Column, keys: Column | None = None) -> Column:
+    """Elements whose key (of ``keys``, at the same place; the element itself by default) has not come before, in order.
+
+    Sorted by key and place, the first of each key, sorted back by place.
+    """
 
     def once(rows: Column) -> Column:
         first = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
-        return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+        return F.transform(F.sort_array(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+
+    def keyed(ks: Column) -> Column:
+        return F.sort_array(F.transform(arr, lambda x, i: F.struct(F.get(ks, i).alias("k"), i.alias("i"), x.alias("x"))))
 
-    return let(F.array_sort(keyed), once)
+    return let(let(arr if keys is None else keys, keyed), once)
 
 
 def fold_distinct(arr: Column) -> Column:
-    return ordered_distinct(arr, fold)
+    return ordered_distinct(arr, fold_each(arr))
 
 
 def has_course_code(col: Column) -> Column:

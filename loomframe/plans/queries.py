@@ -251,8 +251,8 @@ SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM r WHERE k <= 15 GROUP
 def ordered_fold_distinct(spark, sf_dir):
     """First spellings of a text's words."""
     words = F.filter(F.split("text", " "), lambda w: F.regexp_like(w, F.lit("^[A-Za-z]+$")))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(tx.fold_distinct(words), 1, 15), " ").alias("words"))
-    return d.where("words <> ''")
+    worded = read(spark, sf_dir, "documents").where(F.regexp_like("text", F.lit("(^| )[A-Za-z]+( |$)")))  # not by the result, which would be worked out twice
+    return worded.select("doc_id", F.array_join(F.slice(tx.fold_distinct(words), 1, 15), " ").alias("words"))
 
 
 @query(f"""SELECT trim(regexp_replace({_ACCENT_SQL.format("regexp_replace(p_type, '^(the )?department of ', '', 'i')")}, '[^a-z0-9]+', ' ', 'g')) AS key,

@@ -25,6 +25,7 @@ from loomframe.sources import sinks as sk
 from loomframe.sources import store as st
 from loomframe.sources import table_functions as tf
 from loomframe.sources import tables as tb
+from loomframe.sources import tolerant as tl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -593,6 +594,36 @@ def sql_page_blocks(spark, sf_dir):
     return spark.sql("SELECT page_id, max(CASE WHEN tag = 'h1' THEN text END) AS heading, count_if(tag = 'li') AS items FROM loomframe_pages, LATERAL html_blocks(html) GROUP BY page_id")
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 8 IN (0, 3) THEN json_extract_string(props, '$.k')::BIGINT END AS k,
+  CASE event_id % 8 WHEN 3 THEN '[1,2]' WHEN 6 THEN 'true' END AS more,
+  CASE event_id % 8 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not JSON' WHEN 4 THEN 'nothing' WHEN 5 THEN 'not an object' WHEN 6 THEN 'k is missing' WHEN 7 THEN 'k is not bigint' END AS fault
+FROM events""")
+def tolerant_json(spark, sf_dir):
+    """Properties of events, seven in eight of them damaged or extended: typed field, what else there is, and what is wrong."""
+    props, turn = F.col("props"), F.col("event_id") % 8
+    cut = F.expr("left(props, length(props) - 1)")
+    uneven = (
+        F.when(turn == 1, cut).when(turn == 2, F.concat(props, F.lit('"'))).when(turn == 3, F.concat(cut, F.lit(', "more": [1, 2]}'))).when(turn == 4, None)
+        .when(turn == 5, F.concat(F.lit("["), props, F.lit("]"))).when(turn == 6, F.lit('{"other": true}')).when(turn == 7, F.lit('{"k": "x"}')).otherwise(props)
+    )
+    parsed = tl.parse_tolerant(read(spark, sf_dir, "events").select("event_id", uneven.alias("props")), "props", "k bigint", required=("k",))
+    return parsed.select("event_id", "k", F.coalesce(F.col("others")["more"], F.col("others")["other"]).alias("more"), "fault")
+
+
+@query("""WITH RECURSIVE n AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS a FROM pages),
+l AS (SELECT DISTINCT a[1] AS src, unnest(a[2:]) AS dst FROM n),
+r AS (SELECT DISTINCT src AS start, src AS url, 0 AS round FROM l UNION SELECT start, dst, round + 1 FROM r JOIN l ON url = src WHERE round < 4)
+SELECT start, url, min(round)::INTEGER AS round FROM r GROUP BY start, url""")
+def reachable_links(spark, sf_dir):
+    """From the first link of each navigation list to its other ones, and so on, in four rounds at most; cycles end."""
+    tf.register_table_functions(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("loomframe_pages")
+    found = spark.sql("SELECT page_id, node, substr(href, 2) AS url FROM loomframe_pages, LATERAL html_links(html)")
+    first = found.groupBy("page_id").agg(F.min_by("url", "node").alias("src"), F.min("node").alias("node"))
+    links = written(found.join(first.withColumnRenamed("node", "at"), "page_id").where("node > at").select("src", F.col("url").alias("dst")).distinct(), "page-links")
+    return rc.reachable_pages(links, links.select(F.col("src").alias("url")).distinct(), max_rounds=4)
+
+
 def _nodes(pages: DataFrame) -> DataFrame:
     return ht.nodes_of(ht.parse_pages(pages).persist())
 

@@ -64,3 +64,23 @@ def test_area_rules(spark):
     frame = spark.createDataFrame([(areas, "Ann Lee")], "a array<string>, n string")
     got = frame.select(cl.clean_areas(F.col("a"), F.col("n"), F.lit(["botany"]), F.lit(["chemistry"]))).first()[0]
     assert got == ["Soil carbon", "Wetlands"]
+
+
+def test_fold_grows_in_line_with_the_text(spark):
+    """All kinds of characters against unicodedata; arrays at once give what single elements give, whatever they hold."""
+    import random
+    import unicodedata
+
+    def plain(t):
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+
+    dice = random.Random(2)
+    pool = [chr(c) for c in (*range(32, 0x250), *range(0x1E00, 0x2200), *range(0xAC00, 0xAC40), *range(0xFB00, 0xFB10), 0x1F600, 0xFFFF, 1, 2)]
+    rows = ["", "½", "a½b½é", "한글 test", "Σίσυφος ΣΑΣ", "ﬁne ŒUVRE Ĳ ŉ", *("".join(dice.choices(pool, k=dice.randint(1, 40))) for _ in range(200)), "".join(dice.choices(pool, k=3000))]
+    assert values(spark, tx.fold, rows) == [plain(r) for r in rows]
+    arrays = [[], ["É", "é", "E", None, "x"], ["½", "1⁄2", ""], ["a\u0001b", "A\u0001B", "\u0002", "\u0002a"], rows[:80]]
+    frame = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, x array<string>")
+    for r in frame.select("i", tx.fold_each(F.col("x")).alias("f"), tx.fold_distinct(F.col("x")).alias("d")).collect():
+        keys = [plain(x or "") for x in arrays[r["i"]]]
+        assert r["f"] == keys
+        assert r["d"] == [x for j, x in enumerate(arrays[r["i"]]) if keys[j] not in keys[:j]]

@@ -635,18 +635,32 @@ def page_links(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
-@query()
+_PLAIN_SQL = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
+_TOKENS_SQL = rf"""WITH a AS (SELECT page_id, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>') AS parts FROM pages),
+e AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM a),
+x AS (SELECT page_id, i, part, {_PLAIN_SQL.format("part")} AS text FROM e),
+k AS (SELECT *, i > 1 AND starts_with(part, '<b>') AND len(text) <= 60 AS bold FROM x WHERE text <> ''),
+t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS tok, CASE WHEN i = 1 OR bold THEN 'h' ELSE 'p' END AS kind,
+  CASE WHEN i = 1 THEN 1 WHEN bold THEN 6 ELSE 0 END::INTEGER AS level, CASE WHEN bold THEN rtrim(text, ': ') ELSE text END AS text FROM k)
+"""
+
+
+@query(_TOKENS_SQL + "SELECT * FROM t")
 def page_tokens(spark, sf_dir):
     return ex.page_tokens(_nodes(read(spark, sf_dir, "pages"))).drop("cells")
 
 
-@query()
+@query(_TOKENS_SQL + """, s AS (SELECT *, sum((kind = 'h')::INT) OVER (PARTITION BY page_id ORDER BY tok)::BIGINT AS sec FROM t),
+n AS (SELECT page_id, sec, coalesce(max(text) FILTER (kind = 'h'), '') AS title, coalesce(max(level) FILTER (kind = 'h'), 0)::INTEGER AS level, count(*) FILTER (kind <> 'h') AS own FROM s GROUP BY page_id, sec)
+SELECT page_id, sec, title, level, CASE WHEN level = 1 THEN sum(own) OVER (PARTITION BY page_id ORDER BY sec DESC) ELSE own END::INTEGER AS n_lines FROM n""")
 def page_sections(spark, sf_dir):
     found = ex.section_lines(ex.page_sections(ex.page_tokens(_nodes(read(spark, sf_dir, "pages")))))
     return found.select("page_id", "sec", "title", "level", F.size("lines").alias("n_lines"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '<(style|script)>.*?</(style|script)>', '<x>', 'gs'), '<[^>]*>') AS parts FROM pages),
+e AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM t), x AS (SELECT page_id, i, {_PLAIN_SQL.format("part")} AS text FROM e)
+SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM x WHERE text <> '' GROUP BY page_id""")
 def page_text(spark, sf_dir):
     return ht.page_text(read(spark, sf_dir, "pages"))
 

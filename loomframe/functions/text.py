@@ -64,7 +64,7 @@ def present(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-#: What characters that decompose into several become at first, to be told by; no text needs it.
+#: What characters that decompose into several become where they are looked for; no text needs it.
 _GROWS = "\uffff"
 
 
@@ -73,11 +73,9 @@ def fold(col: Column) -> Column:
 
     def folded(t: Column) -> Column:
         one, plain, several = _foldings()
-        none = one[len(plain) :]
         growing = "".join(several) + "".join(map(chr, range(0xAC00, 0xD7A4)))
-        # Characters without a counterpart are dropped by translate, so these come last.
-        told = F.translate(t, one[: len(plain)] + growing + none, plain + _GROWS * len(growing))
-        return let(told, lambda x: F.when(F.contains(x, F.lit(_GROWS)), F.translate(_expanded(t), one, plain)).otherwise(x))
+        grows = F.contains(F.translate(t, growing, _GROWS * len(growing)), F.lit(_GROWS))
+        return F.translate(F.when(grows, _expanded(t)).otherwise(t), one, plain)
 
     return let(F.coalesce(col, F.lit("")), lambda t: F.lower(F.when(F.regexp_like(t, F.lit("[^\\x00-\\x7F]")), folded(t)).otherwise(t)))
 
@@ -90,34 +88,25 @@ def fold_each(arr: Column) -> Column:
     return F.when(F.size(arr) <= 0, arr.cast("array<string>")).otherwise(folded)
 
 
-FEW_GROWING = 24
-
-
 def _expanded(t: Column) -> Column:
     """Every character that decomposes into several, decomposed; the others as they are.
 
-    Of few different ones, each is replaced in the whole text; a text with many of them (Hangul, say) goes character by character.
+    Each different one is replaced in the whole text; a text with Hangul, which has many, goes character by character.
     """
     several = _foldings()[2]
     known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     leads, vowels, tails = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
-    def syllable(c: Column) -> Column:
+    def letter(c: Column) -> Column:
         place = F.ascii(c) - 0xAC00
         at = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
         tail = F.when(place % 28 > 0, at(tails, place % 28 - 1)).otherwise("")
-        return F.concat(at(leads, F.floor(place / 588)), at(vowels, F.floor(place % 588 / 28)), tail)
+        syllable = F.concat(at(leads, F.floor(place / 588)), at(vowels, F.floor(place % 588 / 28)), tail)
+        return F.when(place.between(0, 11171), syllable).otherwise(F.coalesce(known[c], c))
 
-    def letter(c: Column) -> Column:
-        return F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).otherwise(F.coalesce(known[c], c))
-
-    def replaced(pairs: Column) -> Column:
-        each = F.aggregate(pairs, t, lambda text, p: F.replace(text, p["c"], p["to"]))
-        return F.when(F.size(pairs) <= FEW_GROWING, each).otherwise(F.array_join(F.transform(F.split(t, ""), letter), ""))
-
-    different = F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), ""))
-    pairs = F.filter(F.transform(different, lambda c: F.struct(c.alias("c"), letter(c).alias("to"))), lambda p: p["c"] != p["to"])
-    return let(pairs, replaced)
+    different = F.filter(F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), "")), lambda c: known[c].isNotNull())
+    each = F.aggregate(different, t, lambda text, c: F.replace(text, c, known[c]))
+    return F.when(F.regexp_like(t, F.lit("[\uac00-\ud7a3]")), F.array_join(F.transform(F.split(t, ""), letter), "")).otherwise(each)
 
 
 def squash(col: Column) -> Column:
@@ -314,14 +303,12 @@ def ordered_distinct(arr: Column, keys: Column | None = None) -> Column:
         first = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
         return F.transform(F.sort_array(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
 
-    def keyed(ks: Column) -> Column:
-        return F.sort_array(F.transform(arr, lambda x, i: F.struct(F.get(ks, i).alias("k"), i.alias("i"), x.alias("x"))))
-
-    return let(let(arr if keys is None else keys, keyed), once)
+    paired = F.zip_with(arr, arr if keys is None else keys, lambda x, k: F.struct(k.alias("k"), x.alias("x")))
+    return let(F.sort_array(F.transform(paired, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["x"].alias("x")))), once)
 
 
 def fold_distinct(arr: Column) -> Column:
-    return ordered_distinct(arr, fold_each(arr))
+    return let(arr, lambda a: ordered_distinct(a, fold_each(a)))
 
 
 def has_course_code(col: Column) -> Column:

@@ -9,8 +9,10 @@ from loomframe.operators import coverage as cv
 from loomframe.operators import ordered as od
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
+from loomframe.plans import crawl as cr
 from loomframe.plans import records as rc
 from loomframe.sources import sinks as sk
+from loomframe.sources import store as st
 from loomframe.sources import tables as tb
 
 PEOPLE = (
@@ -126,3 +128,21 @@ def test_stream(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "in"))
     stream_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/links")).first()["url"] == "https://ex.org/b"
+
+
+def test_publish(spark, records, tmp_path):
+    """What a crawl found, from records to documents, text and snapshot, and the documents read again."""
+    out = str(tmp_path / "site")
+    assert tb.load_meta(spark, f"{out}/meta") is None
+    students = spark.createDataFrame([("a", "Soil", "Cid Fox", "PhD", "Doe & Unknown", 0)], "unit_id string, unit string, name string, program string, advisor_raw string, ord long")
+    units = spark.createDataFrame([(0, "College of Earth", "Soil", "https://ex.org", "ok"), (1, "College of Earth", "Water", "", "no_site")], "ord long, college string, department string, site string, status string")
+    for whole in (True, False):
+        meta = cr.publish_crawl(cr.Crawled(records, rs.resolve_students(students, records), units, units), out, "2026-10-10", {"source": "test"}, whole)
+        assert meta == tb.load_meta(spark, f"{out}/meta") and (meta["faculty"], meta["students"], meta["departments"]) == (4, 1, 2)
+        if whole:
+            assert sorted(r["name"] for r in tb.read_published(spark, f"{out}/faculty").collect()) == ["Ann Lee", "Bob Roe", "Ian Poe", "Jane Doe"]
+    assert spark.read.text(f"{out}/faculty").count() == 4
+    assert st.read_snapshot(spark, f"{out}/snapshots").count() == 4 and st.load_meta(spark, f"{out}/snapshots")["version"] == 1
+    report = spark.read.json(f"{out}/coverage").first()
+    assert report["totals"]["faculty"] == 4 and [d["department"] for d in report["departments"]] == ["Soil", "Water"]
+    assert spark.read.text(f"{out}/csv").count() == 5

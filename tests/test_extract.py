@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomframe.plans import fixtures as fx
+import fixtures as fx
 from loomframe.sources import html as ht
 
 

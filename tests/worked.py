@@ -13,7 +13,7 @@ from loomframe.operators import extract as ex
 from loomframe.operators import resolve as rs
 from loomframe.operators import search as se
 from loomframe.plans import crawl
-from loomframe.plans import fixtures as fx
+import fixtures as fx
 from loomframe.plans import records as rc
 from loomframe.session import written
 from loomframe.sources import html as ht

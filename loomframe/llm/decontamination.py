@@ -250,12 +250,17 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
-    """``docs`` without the contaminated ones; the decision is a matter of the text alone, so it is joined by text."""
+    """``docs`` without the contaminated ones; the decision is a matter of the text alone, so it is joined by text.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together, and columns of any name stay as they are.
+    An empty table of documents gives an empty result; one of items drops nothing.
+    """
     bad = contamination(docs, items, text_col=text_col, **names).where("contaminated").select("h1", "h2").distinct()
     bad = materialize(bad, "contaminated")
-    keyed = docs.withColumns({f"__{c}": k for c, k in zip(("h1", "h2"), text_keys(text_col))})
-    match = (keyed["__h1"] == bad["h1"]) & (keyed["__h2"] == bad["h2"])
-    return keyed.join(bad, match, "left_anti").select(*docs.columns)
+    own = ["__loomframe_h1", "__loomframe_h2"]
+    keyed = docs.withColumns(dict(zip(own, text_keys(text_col))))
+    match = (keyed[own[0]] == bad["h1"]) & (keyed[own[1]] == bad["h2"])
+    return keyed.join(bad, match, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

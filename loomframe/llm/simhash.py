@@ -86,15 +86,18 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     bit of it, so any two of them are within two bits, and each is linked to the smallest. That is exact, emits no pairs of
     a crowd, and has no caps. Links that follow from others are not all listed.
     """
-    found, used, left = [], [], nodes.select("fp")
+    # A small table has few files: spread over all tasks (by number, so that none are joined again) before each row gives dozens of cells.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, used, left = [], [], nodes.select("fp").repartition(tasks, "fp")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE
     for width in GRIDS[:-1]:
         spread = left.select("fp", F.explode(_near_cells(popcount_cell(F.col("fp"), width), width)).alias("cell"))
         cells = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
         cells = materialize(cells, f"cells-{width}")
         found.append(cells.where("n = 2").where(near).select("u", "v"))
-        left = materialize(spread.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct(), "crowd")
-        used += [cells, left]
+        crowd = materialize(spread.join(cells.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct(), "crowd")
+        used += [cells, crowd]
+        left = crowd.repartition(tasks, "fp")
     spread = left.select("fp", F.explode(_near_cells(F.col("fp"), 1)).alias("cell"))
     met = spread.groupBy("cell").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     stars = met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v").where(near)
@@ -126,37 +129,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(components_of(prints, id_col), "fp").select(id_col, "fp", "component_id")
 
 
+KEY, TEXT, ROW = (f"__loomframe_{c}" for c in ("key", "text", "row"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id (nulls last), then smallest text hash.
+    """``docs`` with one document of each component: the one of smallest id (nulls last), then smallest hashes of text and of the whole row.
 
-    Fully repeated rows count as one. All columns stay as they are.
+    Fully repeated rows count as one. All columns stay as they are; columns that no hash can take (maps) do not enter the last of these.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
-    text_hash = F.xxhash64(F.col(text_col))
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    own = {
+        KEY: F.coalesce(F.col(id_col).cast("string"), F.lit("\0")),
+        TEXT: F.xxhash64(F.col(text_col)),
+        ROW: F.xxhash64(*[F.col(f"`{c}`") for c in hashable]),
+    }
     prints = materialize(
-        docs.select(
-            F.col(id_col).alias("id"), key.alias("__key"), text_hash.alias("__hash"), fingerprint(F.col(text_col)).alias("fp")
-        ),
-        "fingerprints",
+        docs.select(F.col(id_col).alias("id"), *[c.alias(name) for name, c in own.items()], fingerprint(F.col(text_col)).alias("fp")), "fingerprints"
     )
     # Few fingerprints stand for many rows: each gives its first row, then each component the first of those.
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__hash"), F.col("__key")))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(TEXT), F.col(KEY), F.col(ROW)))
     heads = materialize(prints.groupBy("fp").agg(first.alias("head")), "heads")
     roots = materialize(connected_components(fingerprint_links(heads.select("fp"))), "roots")
     kept = (
         heads.join(roots, heads["fp"] == roots["node"], "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("head").alias("head"))
-        .select("head.__key", "head.__hash")
+        .select(*[F.col("head")[name].alias(name) for name in own])
     )
     kept = materialize(kept, "kept")
     release(prints, heads, roots)
-    return (
-        docs.withColumns({"__key": key, "__hash": text_hash})
-        .join(kept, ["__key", "__hash"], "left_semi")
-        .dropDuplicates(["__key", "__hash"])
-        .select(*docs.columns)
-    )
+    return docs.withColumns(own).join(kept, list(own), "left_semi").dropDuplicates(list(own)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

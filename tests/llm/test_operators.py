@@ -633,3 +633,15 @@ def test_bounds_spare_products():
     search.visit(pd.DataFrame(pages), 4)
     best = sorted(((-int(xs[5] @ x), i) for i, x in enumerate(xs) if i != 5))[:3]
     assert [(a, b) for a, b, _ in search.found[0]] == best and search.computed <= 256
+
+
+def test_private_names_and_survivors(spark):
+    """Columns of any name stay as they are, and of rows alike in id and text the same one stays whatever the order."""
+    rows = [(1, "a b c d", "mine", "x.y", i) for i in range(5)] + [(2, "a b c d", "mine", "x.y", 9), (None, None, "mine", "x.y", 0)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, __key string, `a.b` string, n int").withColumns({c: F.lit("mine") for c in ("__hash", "__h1", "__h2", "fp", "head", "root")})
+    kept = [si.drop_near_duplicates(d).orderBy(F.col("doc_id").desc_nulls_last()).collect() for d in (own, own.orderBy(F.col("n").desc()).repartition(3))]
+    assert kept[0] == kept[1] and [r["doc_id"] for r in kept[0]] == [1, None] and kept[0][0]["__key"] == kept[0][0]["__hash"] == "mine"
+    items = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    clean = de.drop_contaminated(own, items).collect()
+    assert [(r["doc_id"], r["__h1"], r["__h2"]) for r in clean] == [(None, "mine", "mine")] and clean[0].asDict().keys() == set(own.columns)
+    assert de.drop_contaminated(own, items.limit(0)).count() == len(rows)

@@ -1,5 +1,7 @@
 """Work that grows with the input only: rows that joins make, elements that lambdas compare, plans that drivers hold."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from loomframe.operators import resolve as rs
@@ -35,3 +37,20 @@ def test_resolve_unique_counts_over_all_rows_of_an_id(spark):
     known = spark.createDataFrame([("x", "a", 5), ("y", "b", 6), ("y", None, None), (None, "b", 8)], "unit string, initial string, target long")
     rows = {r["id"]: (r["target"], r["candidates"]) for r in rs.resolve_unique(wanted, known, ["unit"]).collect()}
     assert rows == {1: (6, 2), 2: (6, 1), 3: (None, 0), 4: (None, 0)}
+
+
+def test_combine_clusters_of_many_copies(spark):
+    """3,000 rows of one person: each element's key is worked out once, not once for each other element."""
+    none = F.array().cast("array<string>")
+    unit = F.concat(F.lit("Department of Plot "), (F.col("id") % 700).cast("string"))
+    aff = F.array(F.struct(F.lit("Earth").alias("college"), unit.alias("department"), F.lit(False).alias("shared")))
+    student = F.array(F.struct(F.concat(F.lit("Ann "), (F.col("id") % 900).cast("string")).alias("name"), F.lit("PhD").alias("program")))
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("ord"), F.lit("Jane Doe").alias("name"), F.lit("").alias("email"), F.lit("").alias("profile_url"), F.lit("Earth").alias("college"), unit.alias("department"),
+        none.alias("research_areas"), none.alias("teaching"), aff.alias("affiliations"), student.alias("current_students"),
+    )
+    start = time.monotonic()
+    [r] = rs.merge_duplicates(rows).collect()
+    assert time.monotonic() - start < 40  # 9 million keys took minutes
+    assert [a["department"] for a in r["affiliations"]] == [f"Department of Plot {i}" for i in range(700)]
+    assert [s["name"] for s in r["current_students"]] == [f"Ann {i}" for i in range(900)]

@@ -64,18 +64,24 @@ def present(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-#: What characters that decompose into several become where they are looked for; no text needs it.
-_GROWS = "\uffff"
+@cache
+def _growing() -> str:
+    """A pattern of the characters that decompose into several, as ranges: a plan holds it once for each fold, so it is kept short."""
+    ranges: list[list[int]] = [[0xAC00, 0xD7A3]]
+    for code in sorted(map(ord, _foldings()[2])):
+        if ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
 def fold(col: Column) -> Column:
     """Lower-cased compatibility decomposition without combining marks, in a time linear in the text."""
 
     def folded(t: Column) -> Column:
-        one, plain, several = _foldings()
-        growing = "".join(several) + "".join(map(chr, range(0xAC00, 0xD7A4)))
-        grows = F.contains(F.translate(t, growing, _GROWS * len(growing)), F.lit(_GROWS))
-        return F.translate(F.when(grows, _expanded(t)).otherwise(t), one, plain)
+        one, plain, _ = _foldings()
+        return F.translate(F.when(F.regexp_like(t, F.lit(_growing())), _expanded(t)).otherwise(t), one, plain)
 
     return let(F.coalesce(col, F.lit("")), lambda t: F.lower(F.when(F.regexp_like(t, F.lit("[^\\x00-\\x7F]")), folded(t)).otherwise(t)))
 
@@ -94,19 +100,23 @@ def _expanded(t: Column) -> Column:
     Each different one is replaced in the whole text; a text with Hangul, which has many, goes character by character.
     """
     several = _foldings()[2]
-    known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    # Bound once, as a plan would hold the table wherever it is mentioned.
+    every = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
     leads, vowels, tails = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 
-    def letter(c: Column) -> Column:
+    def letter(c: Column, known: Column) -> Column:
         place = F.ascii(c) - 0xAC00
         at = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
         tail = F.when(place % 28 > 0, at(tails, place % 28 - 1)).otherwise("")
         syllable = F.concat(at(leads, F.floor(place / 588)), at(vowels, F.floor(place % 588 / 28)), tail)
         return F.when(place.between(0, 11171), syllable).otherwise(F.coalesce(known[c], c))
 
-    different = F.filter(F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), "")), lambda c: known[c].isNotNull())
-    each = F.aggregate(different, t, lambda text, c: F.replace(text, c, known[c]))
-    return F.when(F.regexp_like(t, F.lit("[\uac00-\ud7a3]")), F.array_join(F.transform(F.split(t, ""), letter), "")).otherwise(each)
+    def expanded(known: Column) -> Column:
+        different = F.filter(F.array_distinct(F.split(F.regexp_replace(t, "[\\x00-\\x7F]+", ""), "")), lambda c: known[c].isNotNull())
+        each = F.aggregate(different, t, lambda text, c: F.replace(text, c, known[c]))
+        return F.when(F.regexp_like(t, F.lit("[\uac00-\ud7a3]")), F.array_join(F.transform(F.split(t, ""), lambda c: letter(c, known)), "")).otherwise(each)
+
+    return let(every, expanded)
 
 
 def squash(col: Column) -> Column:

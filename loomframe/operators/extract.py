@@ -615,9 +615,15 @@ def profile_score(fields: list[Column]) -> Column:
 
 
 def parse_profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str = "page_id", hint: str | None = None) -> DataFrame:
-    """One row a profile page, strictly read, or loosely where that finds more and the strict reading scores below 3."""
+    """One row a profile page, strictly read, or loosely where that finds more and the strict reading scores below 3.
+
+    Each part of a profile is written as a table, so that no plan holds the expressions of all of them: the driver keeps every
+    plan as text, anew whenever one of its stages ends.
+    """
     links = written(page_links(nodes, pages, page).where("not aside and url <> ''"), "profile-links")
-    both = [_profiles(nodes, pages, links, domain, page, mode, hint).withColumn("mode", F.lit(i)) for i, mode in enumerate(("strict", "loose"))]
+    found, mailed = written(_profile_links_by_kind(links, domain, page), "profile-link-kinds"), written(_mailed(nodes, page), "profile-addresses")
+    titles = written(nodes.where("tag = 'title'").groupBy(page).agg(F.min_by(text_of(), "node").alias("__title")), "profile-page-titles")
+    both = [written(_profiles(nodes, pages, found, mailed, titles, domain, page, mode, hint).withColumn("mode", F.lit(i)), "profiles-read") for i, mode in enumerate(("strict", "loose"))]
     every = both[0].union(both[1])
     order = F.struct(F.when((F.col("mode") == 0) & (F.col("score") >= 3), 100).otherwise(F.col("score")), -F.col("mode"))
     others = [c for c in every.columns if c != page]
@@ -625,9 +631,34 @@ def parse_profiles(nodes: DataFrame, pages: DataFrame, domain: str, page: str =
     return best.select(page, *[F.col("r")[c].alias(c) for c in others if c != "mode"])
 
 
-def _profiles(nodes: DataFrame, pages: DataFrame, links: DataFrame, domain: str, page: str, mode: str, hint: str | None) -> DataFrame:
+LINK_KINDS = ["google_scholar", "orcid", "edis_url", "lab_url", "website"]
+
+
+def _mailed(nodes: DataFrame, page: str) -> DataFrame:
+    """``(page, mailed)``: the addresses of a page's mailto links, in order."""
+    mail = nodes.where((F.col("tag") == "a") & F.startswith(attr("href"), F.lit("mailto:")) & ((F.size("loud") > 0) | (F.size("lines") == 0)))
+    address = F.lower(F.trim(F.replace(F.regexp_extract(attr("href"), r"^mailto:([^?]*)", 1), F.lit("%20"), F.lit(""))))
+    return mail.where(like(address, f"^{em.EMAIL}$")).groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", address.alias("a")))), lambda x: x["a"]).alias("mailed"))
+
+
+def _profile_links_by_kind(links: DataFrame, domain: str, page: str) -> DataFrame:
+    """``(page, google_scholar, orcid, edis_url, lab_url, website, lab_name)``: the first link of each kind."""
+    t, host = F.col("text"), F.col("host")
+    own_path = F.regexp_replace("path", "/$", "") == F.regexp_replace(ur.url_part(F.col("base"), "path"), "/$", "")
+    lab = like(t, r"(?i)\b(lab|laboratory|research group|group)\b") & ~like(host, "scholar|google|linkedin|twitter|facebook|researchgate") & ~own_path
+    edis = (host == f"edis.ifas.{domain}") & (F.contains(F.lower(F.concat("url", t)), F.lit("author")) | like(F.concat("url", t), "(?i)topic_a|publications"))
+    sort = (
+        F.when(F.contains(host, F.lit("scholar.google.")), "google_scholar").when(F.contains(host, F.lit("orcid.org")), "orcid").when(edis, "edis_url")
+        .when(lab, "lab_url").when(like(t, r"(?i)^(personal\s+)?(web ?site|home ?page)\b|\bpersonal (web)?site\b"), "website")
+    )
+    value = F.when(F.col("kind") == "google_scholar", ur.canon_scholar(F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.col("url")))).otherwise(F.col("url"))
+    firsts = links.withColumn("kind", sort).where("kind is not null").groupBy(page, "kind").agg(F.min_by(F.struct(value.alias("v"), F.left("text", F.lit(80)).alias("t")), "node").alias("x"))
+    by_kind = firsts.groupBy(page).pivot("kind", LINK_KINDS).agg(F.first("x"))
+    return by_kind.select(page, *[F.coalesce(F.col(k)["v"], F.lit("")).alias(k) for k in LINK_KINDS], F.coalesce(F.col("lab_url")["t"], F.lit("")).alias("lab_name"))
+
+
+def _profiles(nodes: DataFrame, pages: DataFrame, found_links: DataFrame, mailed: DataFrame, titles: DataFrame, domain: str, page: str, mode: str, hint: str | None) -> DataFrame:
     tokens = written(page_tokens(nodes, page, mode), "profile-tokens")
-    titles = nodes.where("tag = 'title'").groupBy(page).agg(F.min_by(text_of(), "node").alias("__title"))
     headed = tokens.where((F.col("kind") == "h") & F.col("level").between(1, 3)).where(tx.looks_like_name(F.col("text"))).groupBy(page).agg(F.min_by("text", "tok").alias("__h"))
     segment = F.get(F.split("__title", r"\s+[-|–—]\s+"), F.lit(0))
     given = F.col(hint) if hint else F.lit("")
@@ -656,9 +687,6 @@ def _profiles(nodes: DataFrame, pages: DataFrame, links: DataFrame, domain: str,
     wide = written(wide, "profile-sections")
     fields = wide.select(page, areas.alias("research_areas"), summary.alias("research_summary"), capped("teaching", 200, 20).alias("teaching"), capped("extension", 240, 15).alias("extension"), students.alias("profile_students"))
 
-    mail = nodes.where((F.col("tag") == "a") & F.startswith(attr("href"), F.lit("mailto:")) & ((F.size("loud") > 0) | (F.size("lines") == 0)))
-    address = F.lower(F.trim(F.replace(F.regexp_extract(attr("href"), r"^mailto:([^?]*)", 1), F.lit("%20"), F.lit(""))))
-    mailed = mail.where(like(address, f"^{em.EMAIL}$")).groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", address.alias("a")))), lambda x: x["a"]).alias("mailed"))
     roots = nodes.join(content_roots(nodes, page, mode), page)
     text = roots.where("node = root").select(page, F.array_join("loud", " ").alias("loud_text"))
     side = roots.where((F.col("tag") == "aside") | like(attr("class"), "contact|sidebar")).where(~is_chrome(mode)).groupBy(page).agg(F.array_join(F.flatten(F.collect_list("loud")), " ").alias("side_text"))
@@ -668,24 +696,10 @@ def _profiles(nodes: DataFrame, pages: DataFrame, links: DataFrame, domain: str,
     email = F.when(picked != "", picked).when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise("")
     mails = base.select(page, "name").join(text, page, "left").join(side, page, "left").join(mailed, page, "left").withColumn("emails", found).select(page, email.alias("email"))
 
-    t, host = F.col("text"), F.col("host")
-    own_path = F.regexp_replace("path", "/$", "") == F.regexp_replace(ur.url_part(F.col("base"), "path"), "/$", "")
-    lab = like(t, r"(?i)\b(lab|laboratory|research group|group)\b") & ~like(host, "scholar|google|linkedin|twitter|facebook|researchgate") & ~own_path
-    edis = (host == f"edis.ifas.{domain}") & (F.contains(F.lower(F.concat("url", t)), F.lit("author")) | like(F.concat("url", t), "(?i)topic_a|publications"))
-    sort = (
-        F.when(F.contains(host, F.lit("scholar.google.")), "google_scholar").when(F.contains(host, F.lit("orcid.org")), "orcid").when(edis, "edis_url")
-        .when(lab, "lab_url").when(like(t, r"(?i)^(personal\s+)?(web ?site|home ?page)\b|\bpersonal (web)?site\b"), "website")
-    )
-    value = F.when(F.col("kind") == "google_scholar", ur.canon_scholar(F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.col("url")))).otherwise(F.col("url"))
-    firsts = links.withColumn("kind", sort).where("kind is not null").groupBy(page, "kind").agg(F.min_by(F.struct(value.alias("v"), F.left("text", F.lit(80)).alias("t")), "node").alias("x"))
-    kinds = ["google_scholar", "orcid", "edis_url", "lab_url", "website"]
-    by_kind = firsts.groupBy(page).pivot("kind", kinds).agg(F.first("x"))
-    named = by_kind.select(page, *[F.coalesce(F.col(k)["v"], F.lit("")).alias(k) for k in kinds], F.coalesce(F.col("lab_url")["t"], F.lit("")).alias("lab_name"))
-
     out = base
-    for part in (title, fields, mails, named):
+    for part in (written(title, "profile-titles"), written(fields, "profile-fields"), written(mails, "profile-mails"), found_links):
         out = out.join(part, page, "left")
-    texts = ["title", "email", *kinds, "lab_name", "research_summary"]
+    texts = ["title", "email", *LINK_KINDS, "lab_name", "research_summary"]
     out = out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
     out = out.withColumns({c: F.coalesce(c, none) for c in ("research_areas", "teaching", "extension")})
     score = profile_score([*[F.col(c) != "" for c in ("email", "google_scholar", "title", "lab_url", "orcid")], *[F.size(c) > 0 for c in ("research_areas", "teaching", "extension")]])

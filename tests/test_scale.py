@@ -4,7 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from loomframe.functions import text as tx
+from loomframe.operators import extract as ex
 from loomframe.operators import resolve as rs
+from loomframe.session import written
+from loomframe.sources import html as ht
 
 
 def most_rows(frame) -> int:
@@ -54,3 +58,21 @@ def test_combine_clusters_of_many_copies(spark):
     assert time.monotonic() - start < 40  # 9 million keys took minutes
     assert [a["department"] for a in r["affiliations"]] == [f"Department of Plot {i}" for i in range(700)]
     assert [s["name"] for s in r["current_students"]] == [f"Ann {i}" for i in range(900)]
+
+
+def plan_size(frame) -> int:
+    return len(frame._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_fold_is_small_in_plans(spark):
+    folded = spark.createDataFrame([("ﬁ 각 é",)], "x string").select(tx.fold(F.col("x")).alias("x"))
+    assert plan_size(folded) < 35_000  # its tables once, not three times
+    assert folded.first()["x"] == "fi 각 e"
+
+
+def test_profiles_leave_a_small_plan(spark):
+    pages = spark.createDataFrame([(1, "https://u.ex.org/p/1", "<html><body><main><h1>Jane Doe</h1><p>Professor of Soils</p><p>jdoe@ex.org</p></main></body></html>")], "page_id long, url string, html string")
+    found = ex.parse_profiles(ht.nodes_of(written(ht.parse_pages(pages), "test-parsed")), pages, "ex.org")
+    assert plan_size(found) < 50_000  # 750,000 in one plan before: a driver keeps each plan as text
+    [r] = found.collect()
+    assert (r["name"], r["title"], r["email"]) == ("Jane Doe", "Professor of Soils", "jdoe@ex.org")

@@ -546,6 +546,7 @@ def page_students(nodes: DataFrame, tokens: DataFrame, page: str = "page_id") ->
         F.coalesce(F.nullif(tx.program(text("program")), F.lit("")), "group", F.lit("")).alias("program"), text("advisor").alias("advisor_raw"),
         text("research").alias("research"), text("lab").alias("lab"),
     )
+    by_table = written(by_table, "students-of-tables")  # this and the lines are read several times, with large expressions
     rest = tokens.join(by_table.select(page).distinct(), page, "left_anti")
     label = F.regexp_extract("text", ADVISOR, 0)
     is_head = F.col("kind") == "h"
@@ -555,6 +556,7 @@ def page_students(nodes: DataFrame, tokens: DataFrame, page: str = "page_id") ->
     after = tx.squash(F.coalesce(F.get(F.split("text", ADVISOR, 2), F.lit(1)), F.lit("")))
     start = F.col("__st").isNotNull() | is_head
     lined = lined.withColumns({"__no": od.running_count(start, [page], ["tok"]), "__left": left, "__after": after})
+    lined = written(lined.select(page, "tok", "__adv", "__group", "__st", "__no", "__left", "__after"), "student-lines")
     first_adv = lined.where("__adv").groupBy(page, "__no").agg(F.min_by("__after", "tok").alias("advisor"), F.min("tok").alias("adv_tok"))
     listed = lined.where("__st is not null").join(first_adv, [page, "__no"], "left").select(
         page, F.col("tok").alias("ord"), F.col("__st.name").alias("name"), F.coalesce(F.nullif("__st.program", F.lit("")), "__group", F.lit("")).alias("program"),

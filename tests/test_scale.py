@@ -76,3 +76,12 @@ def test_profiles_leave_a_small_plan(spark):
     assert plan_size(found) < 50_000  # 750,000 in one plan before: a driver keeps each plan as text
     [r] = found.collect()
     assert (r["name"], r["title"], r["email"]) == ("Jane Doe", "Professor of Soils", "jdoe@ex.org")
+
+
+def test_students_leave_a_small_plan(spark):
+    html = "<html><body><h2>Doctoral students</h2><table><tr><th>Student</th><th>Advisor</th></tr><tr><td>Ann Lee</td><td>Jane Doe</td></tr></table></body></html>"
+    pages = spark.createDataFrame([(1, "https://u.ex.org/s", html), (2, "https://u.ex.org/t", "<html><body><h2>PhD students</h2><ul><li>Bo Roe (PhD)</li></ul></body></html>")], "page_id long, url string, html string")
+    nodes = ht.nodes_of(written(ht.parse_pages(pages), "test-parsed"))
+    found = ex.page_students(nodes, ex.page_tokens(nodes))
+    assert plan_size(found) < 30_000
+    assert sorted((r["page_id"], r["name"], r["program"], r["advisor_raw"]) for r in found.collect()) == [(1, "Ann Lee", "PhD", "Jane Doe"), (2, "Bo Roe", "PhD", "")]

@@ -91,15 +91,19 @@ def is_chrome(mode: str) -> Column:
     return tags | form | role | header | ((F.col("tag") != "form") & like(_ident(), CHROME_CLASSES))
 
 
-def content_roots(nodes: DataFrame, page: str, mode: str = "strict") -> DataFrame:
-    """``(page, root, root_end)``: main, role main, article, #content, #main or body, the first there is; body alone if loose."""
+def _root_rank(mode: str) -> Column:
     rank = F.when(F.col("tag") == "body", 6)
     if mode == "strict":
         rank = (
             F.when(F.col("tag") == "main", 1).when(attr("role") == "main", 2).when(F.col("tag") == "article", 3)
             .when(attr("id") == "content", 4).when(attr("id") == "main", 5).when(F.col("tag") == "body", 6)
         )
-    ranked = nodes.withColumn("__rank", F.coalesce(rank, F.when(F.col("parent") == -1, 7)))
+    return F.coalesce(rank, F.when(F.col("parent") == -1, 7))
+
+
+def content_roots(nodes: DataFrame, page: str, mode: str = "strict") -> DataFrame:
+    """``(page, root, root_end)``: main, role main, article, #content, #main or body, the first there is; body alone if loose."""
+    ranked = nodes.withColumn("__rank", _root_rank(mode))
     best = F.min(F.struct("__rank", "node", "end")).alias("r")
     return ranked.where("__rank is not null").groupBy(page).agg(best).select(page, F.col("r.node").alias("root"), F.col("r.end").alias("root_end"))
 
@@ -112,31 +116,48 @@ def outside(df: DataFrame, page: str, stop: Column) -> DataFrame:
 
 
 def page_tokens(nodes: DataFrame, page: str = "page_id", mode: str = "strict") -> DataFrame:
-    """``(page, tok, kind, level, text, cells)``: headings (h), list items (li), paragraphs (p) and table rows (row) in order."""
-    inside = nodes.join(content_roots(nodes, page, mode), page).where("node > root and node <= root_end")
-    inside = outside(inside, page, is_chrome(mode)).where(~is_chrome(mode)).withColumn("text", text_of())
-    table_part = F.col("tag").isin("tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "col")
-    heading = like(F.col("tag"), "^h[1-6]$")
-    short = F.length("text") < 90
-    knob = F.col("tag").isin("summary", "dt", "button") | attr("role").isin("tab", "button") | (like(attr("class"), ACCORDION) & short)
-    knob = ~heading & knob & (F.col("text") != "") & short
-    leaf = F.col("tag").isin(TEXT_TAGS) & ~F.arrays_overlap("children", F.lit(BLOCK_TAGS)) & ~F.arrays_overlap("inner", F.lit(["ul", "ol", "li", "table"]))
-    row = F.col("tag") == "tr"
-    item = (F.col("tag") == "li") & ~knob
-    nested = item & F.arrays_overlap("inner", F.lit(["ul", "ol"]))
-    kind = F.when(heading | knob, "h").when(row, "row").when(item, "li").when(leaf, "p")
-    ends_walk = heading | knob | row | leaf | (item & ~nested)
-    flat = outside(inside.withColumns({"kind": kind, "__stop": ends_walk}), page, F.col("__stop")).where(F.col("kind").isNotNull())
-    bold = nodes.where(F.col("tag").isin("strong", "b")).select(page, F.col("parent").alias("node"), F.struct("node", text_of().alias("t")).alias("b"))
-    bold = bold.groupBy(page, "node").agg(F.min("b").alias("b")).select(page, "node", F.col("b.t").alias("bold"))
-    cells = nodes.where(F.col("tag").isin("td", "th")).select(page, F.col("parent").alias("node"), F.struct("node", text_of().alias("t")).alias("c"))
-    cells = cells.groupBy(page, "node").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["t"]).alias("cells"))
-    full = flat.where(~table_part | row).join(bold, [page, "node"], "left").join(cells, [page, "node"], "left")
-    own = F.when(F.col("kind") == "li", tx.squash(F.array_join("own", " "))).when(row, F.array_join(F.array_remove(F.coalesce("cells", F.array().cast("array<string>")), ""), " | "))
-    full = full.withColumn("text", F.coalesce(own, F.col("text"))).where("text <> ''")
+    """``(page, tok, kind, level, text, cells)``: headings (h), list items (li), paragraphs (p) and table rows (row) in order.
+
+    Elements are read once and move once, by page, without those that play no part; text is cut only for those that may show it.
+    """
+    tag, role, text = F.col("tag"), attr("role"), F.col("text")
+    heading = like(tag, "^h[1-6]$")
+    knob_like = ~heading & (tag.isin("summary", "dt", "button") | role.isin("tab", "button") | like(attr("class"), ACCORDION))
+    leaf_like = tag.isin(TEXT_TAGS) & ~F.arrays_overlap("children", F.lit(BLOCK_TAGS)) & ~F.arrays_overlap("inner", F.lit(["ul", "ol", "li", "table"]))
+    strong, cell = tag.isin("strong", "b"), tag.isin("td", "th")
+    shown = F.when(heading | knob_like | leaf_like | strong | cell, text_of())
+    own = F.when(tag == "li", tx.squash(F.array_join("own", " ")))
+    cut = nodes.select(
+        page, "node", "end", "parent", "tag", _root_rank(mode).alias("rank"), is_chrome(mode).alias("chrome"), heading.alias("heading"), knob_like.alias("knob_like"), leaf_like.alias("leaf"),
+        F.arrays_overlap("inner", F.lit(["ul", "ol"])).alias("lists"), strong.alias("strong"), cell.alias("cell"), shown.alias("text"), own.alias("own"),
+    )
+    knob = F.col("knob_like") & (text != "") & (F.length(text) < 90)
+    row, item = tag == "tr", (tag == "li") & ~F.coalesce(knob, F.lit(False))
+    kind = F.when(F.col("heading") | knob, "h").when(row, "row").when(item, "li").when(F.col("leaf"), "p")
+    stops = F.when(F.col("heading") | knob | row | F.col("leaf") | (item & ~F.col("lists")), F.col("end"))
+    parts = cut.withColumns({"kind": kind, "stops": stops}).where("rank is not null or chrome or strong or cell or kind is not null").drop("heading", "knob_like", "leaf", "lists")
+    order = Window.partitionBy(page).orderBy("node")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    root = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "node", "end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.withColumn("root", root).withColumn("inside", (F.col("node") > F.col("root.node")) & (F.col("node") <= F.col("root.end")))
+    beyond = lambda reach: F.col("node") > F.coalesce(F.max(reach).over(before), F.lit(-1))
+    parts = parts.withColumn("inside", F.col("inside") & beyond(F.when(F.col("inside") & F.col("chrome"), F.col("end"))) & ~F.col("chrome"))
+    parts = parts.withColumn("flat", F.col("inside") & beyond(F.when(F.col("inside"), F.col("stops"))) & F.col("kind").isNotNull())
+    table_part = tag.isin("td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "col")
+    # An element counts for itself, and bold text and cells also for what they stand in.
+    of = lambda when, owner, part: F.when(when, F.struct(F.col(owner).alias("owner"), F.lit(part).alias("part")))
+    told = F.array_compact(F.array(of(F.col("flat") & ~table_part, "node", 0), of(F.col("strong"), "parent", 1), of(F.col("cell"), "parent", 2)))
+    parts = parts.select(page, "node", "tag", "kind", "text", "own", F.explode(told).alias("o")).select("*", "o.owner", "o.part")
+    point = F.struct("node", "text")
+    full = parts.groupBy(page, "owner").agg(
+        F.max(F.when(F.col("part") == 0, F.struct("tag", "kind", "text", "own"))).alias("e"), F.min(F.when(F.col("part") == 1, point)).alias("b"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == 2, point))), lambda x: x["text"]).alias("cells"),
+    )
+    full = full.where("e is not null").select(page, F.col("owner").alias("node"), "e.*", F.col("b.text").alias("bold"), F.when(F.size("cells") > 0, F.col("cells")).alias("cells"))
+    in_row = F.when(F.col("kind") == "row", F.array_join(F.array_remove(F.coalesce("cells", F.array().cast("array<string>")), ""), " | "))
+    full = full.withColumn("text", F.coalesce(F.when(F.col("kind") == "li", F.col("own")), in_row, F.col("text"))).where("text <> ''")
     is_bold = (F.col("kind") == "p") & (F.col("bold") == F.col("text")) & (F.length("text") <= 60)
     level = F.when(F.col("kind") != "h", 0).when(heading, F.substring("tag", 2, 1).cast("int")).otherwise(5)
-    order = Window.partitionBy(page).orderBy("node")
     return full.select(
         page, F.row_number().over(order).cast("long").alias("tok"), F.when(is_bold, "h").otherwise(F.col("kind")).alias("kind"),
         F.when(is_bold, 6).otherwise(level).alias("level"), F.when(is_bold, F.regexp_replace("text", "[: ]+$", "")).otherwise(F.col("text")).alias("text"), "cells",

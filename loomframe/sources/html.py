@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,13 @@ ELEMENT = (
     "struct<node:int,end:int,parent:int,depth:int,tag:string,attrs:map<string,string>,children:array<string>,inner:array<string>,"
     "low:int,high:int,aside:boolean,roled:boolean,above:array<int>>"
 )
+ELEMENT_FIELDS = ["node", "end", "parent", "depth", "tag", "attrs", "children", "inner", "low", "high", "aside", "roled", "above"]
 WALLS = {"body", "main", "html"}
 CHROME_ROLES = {"navigation", "contentinfo", "banner"}
 CLIMB = 5
-ELEMENTS_A_FRAME = 20_000
+ELEMENTS_A_FRAME = 5_000
+#: Pages are dealt to tasks of about so many bytes of HTML before they are read: a file that packs many pages is one task otherwise.
+BYTES_A_TASK = 2 << 20
 PIECE = "struct<text:string,aside:boolean,item:int>"
 _SPACE = re.compile(r"\s+")
 
@@ -127,31 +131,60 @@ def read_page(html: str | None) -> Page:
     return Page(reader.rows, reader.pieces)
 
 
+def _offsets(lists: list) -> pa.Array:
+    ends = [0]
+    for x in lists:
+        ends.append(ends[-1] + len(x))
+    return pa.array(ends, pa.int32())
+
+
+def _lists(lists: list, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(lists), pa.array([v for x in lists for v in x], kind))
+
+
+def _structs(fields: dict[str, pa.Array]) -> pa.Array:
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+
+def _arrow_pages(found: list[Page]) -> tuple[pa.Array, pa.Array]:
+    """The columns elements and pieces of ``parse_pages``, a field at a time."""
+    rows, pieces = [r for p in found for r in p.rows], [x for p in found for x in p.pieces]
+    kinds = dict.fromkeys(("node", "end", "parent", "depth", "low", "high"), pa.int32()) | {"tag": pa.string(), "aside": pa.bool_(), "roled": pa.bool_()}
+    plain = {k: pa.array([r[k] for r in rows], kind) for k, kind in kinds.items()}
+    attrs = [r["attrs"] for r in rows]
+    keys, values = (pa.array([v for a in attrs for v in part(a)], pa.string()) for part in (dict.keys, dict.values))
+    plain["attrs"] = pa.MapArray.from_arrays(_offsets(attrs), keys, values)
+    plain |= {k: _lists([r[k] for r in rows], kind) for k, kind in (("children", pa.string()), ("inner", pa.string()), ("above", pa.int32()))}
+    elements = _structs({k: plain[k] for k in ELEMENT_FIELDS})
+    texts = _structs({k: pa.array([x[i] for x in pieces], kind) for i, (k, kind) in enumerate((("text", pa.string()), ("aside", pa.bool_()), ("item", pa.int32())))})
+    return pa.ListArray.from_arrays(_offsets([p.rows for p in found]), elements), pa.ListArray.from_arrays(_offsets([p.pieces for p in found]), texts)
+
+
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, elements, pieces)``, a row for each page: its elements in document order and its pieces of text.
 
     This is what to keep when a page is used more than once; ``nodes_of`` makes rows of it. Null pages and pages without
-    elements give no rows. Pages are read to their end; ``usable_pages`` cuts those that a fetch would have cut.
+    elements give no rows. Pages are read to their end; ``usable_pages`` cuts those that a fetch would have cut. The bytes of
+    all pages are summed first, and the pages dealt to a task for every BYTES_A_TASK of them.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, elements, pieces, ready = [], [], [], 0
-            for page, text in zip(pdf[id_col], pdf[html_col]):
-                found = read_page(text)
-                if found.rows:
-                    ids.append(page)
-                    elements.append(found.rows)
-                    pieces.append([{"text": t, "aside": aside, "item": item} for t, aside, item in found.pieces])
-                    ready += len(found.rows)
-                if ready >= ELEMENTS_A_FRAME:
-                    yield pd.DataFrame({id_col: ids, "elements": elements, "pieces": pieces})
-                    ids, elements, pieces, ready = [], [], [], 0
-            if ids:
-                yield pd.DataFrame({id_col: ids, "elements": elements, "pieces": pieces})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, at, ready = batch.column(0), [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                page = read_page(text.as_py())
+                if page.rows:
+                    at.append(i)
+                    found.append(page)
+                    ready += len(page.rows)
+                if found and (ready >= ELEMENTS_A_FRAME or i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *_arrow_pages(found)], [id_col, "elements", "pieces"])
+                    found, at, ready = [], [], 0
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, elements array<{ELEMENT}>, pieces array<{PIECE}>")
+    total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
+    dealt = pages.select(id_col, html_col).repartition(max(1, math.ceil(total / BYTES_A_TASK)), id_col, html_col)
+    return dealt.mapInArrow(read, f"{id_col} {kind}, elements array<{ELEMENT}>, pieces array<{PIECE}>")
 
 
 def nodes_of(parsed: DataFrame, id_col: str = "page_id") -> DataFrame:

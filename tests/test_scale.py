@@ -78,6 +78,23 @@ def test_profiles_leave_a_small_plan(spark):
     assert (r["name"], r["title"], r["email"]) == ("Jane Doe", "Professor of Soils", "jdoe@ex.org")
 
 
+def test_pages_are_dealt_before_they_are_read(spark):
+    """A file packs many pages into one split; reading them was one task, however many there were."""
+    pages = spark.range(0, 300, 1, 1).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 6000), F.lit("</p>")).alias("html"))
+    parsed = ht.parse_pages(pages)
+    assert parsed.rdd.getNumPartitions() == 5  # nine million bytes
+    assert sorted((r["page_id"], r["n"]) for r in parsed.select("page_id", F.size("elements").alias("n")).collect()) == [(i, 1) for i in range(300)]
+
+
+def test_tokens_read_pages_once(spark):
+    html = "<body><main><h1>Jane</h1><p><b>Focus:</b></p><p>Soils <b>x</b></p><table><tr><td>a</td><td></td><td>b</td></tr></table></main></body>"
+    tokens = ex.page_tokens(ht.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1  # four times before
+    got = [(r["tok"], r["kind"], r["level"], r["text"], r["cells"]) for r in tokens.orderBy("tok").collect()]
+    assert got == [(1, "h", 1, "Jane", None), (2, "h", 6, "Focus", None), (3, "p", 0, "Soils x", None), (4, "row", 0, "a | b", ["a", "", "b"])]
+
+
 def test_students_leave_a_small_plan(spark):
     html = "<html><body><h2>Doctoral students</h2><table><tr><th>Student</th><th>Advisor</th></tr><tr><td>Ann Lee</td><td>Jane Doe</td></tr></table></body></html>"
     pages = spark.createDataFrame([(1, "https://u.ex.org/s", html), (2, "https://u.ex.org/t", "<html><body><h2>PhD students</h2><ul><li>Bo Roe (PhD)</li></ul></body></html>")], "page_id long, url string, html string")

@@ -95,6 +95,13 @@ def test_tokens_read_pages_once(spark):
     assert got == [(1, "h", 1, "Jane", None), (2, "h", 6, "Focus", None), (3, "p", 0, "Soils x", None), (4, "row", 0, "a | b", ["a", "", "b"])]
 
 
+def test_sections_read_pages_once(spark):
+    html = "<body><main><h1>Jane</h1><p>a</p><h2>Focus</h2><p>b</p></main></body>"
+    found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1  # four times before
+    assert sorted((r["title"], r["level"], r["lines"]) for r in found.where("title <> ''").collect()) == [("Focus", 2, ["b"]), ("Jane", 1, ["a", "b"])]
+
+
 def test_students_leave_a_small_plan(spark):
     html = "<html><body><h2>Doctoral students</h2><table><tr><th>Student</th><th>Advisor</th></tr><tr><td>Ann Lee</td><td>Jane Doe</td></tr></table></body></html>"
     pages = spark.createDataFrame([(1, "https://u.ex.org/s", html), (2, "https://u.ex.org/t", "<html><body><h2>PhD students</h2><ul><li>Bo Roe (PhD)</li></ul></body></html>")], "page_id long, url string, html string")

@@ -102,6 +102,14 @@ def test_sections_read_pages_once(spark):
     assert sorted((r["title"], r["level"], r["lines"]) for r in found.where("title <> ''").collect()) == [("Focus", 2, ["b"]), ("Jane", 1, ["a", "b"])]
 
 
+def test_pages_of_null_and_no_html_give_no_elements(spark):
+    """Whole columns of nulls, and pages of several element kinds, through Arrow arrays of a frame."""
+    pages = spark.createDataFrame([(None, "<a href='/x' title>t</a>"), (2, None), (3, ""), (4, "plain")], "page_id long, html string")
+    [r] = ht.parse_pages(pages).collect()
+    assert r["page_id"] is None and r["elements"][0]["attrs"] == {"href": "/x", "title": ""} and r["pieces"][0]["text"] == "t"
+    assert ht.parse_pages(pages.where("page_id > 1")).count() == 0
+
+
 def test_students_leave_a_small_plan(spark):
     html = "<html><body><h2>Doctoral students</h2><table><tr><th>Student</th><th>Advisor</th></tr><tr><td>Ann Lee</td><td>Jane Doe</td></tr></table></body></html>"
     pages = spark.createDataFrame([(1, "https://u.ex.org/s", html), (2, "https://u.ex.org/t", "<html><body><h2>PhD students</h2><ul><li>Bo Roe (PhD)</li></ul></body></html>")], "page_id long, url string, html string")

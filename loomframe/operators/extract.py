@@ -382,14 +382,19 @@ def people_of_cards(cards: DataFrame, domain: str) -> DataFrame:
 
 
 def table_cells(nodes: DataFrame, page: str = "page_id") -> DataFrame:
-    """``(page, table_node, row, col, is_head, text, lines, loud)`` of all tables; rows and columns count from 0."""
+    """``(page, table_node, row, col, is_head, cell, cell_end, text, listed, loud)`` of all tables; rows and columns count from 0.
+
+    listed: a cell's lines with semicolons between them; loud: its text without what stands in nav or footer. Both are null
+    where they are as its text is, so that most cells move their text once and not three times.
+    """
     tables = nodes.where("tag = 'table'").select(page, F.col("node").alias("table_node"), F.col("end").alias("table_end"))
     trs = nodes.where("tag = 'tr'").select(page, F.col("node").alias("tr"))
     rows = within(tables, trs, page, "table_node", "table_end", "tr").groupBy(page, "tr").agg(F.max("table_node").alias("table_node"))
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(page, "table_node").orderBy("tr")) - 1)
     cells = nodes.where(F.col("tag").isin("td", "th")).select(
-        page, F.col("parent").alias("tr"), F.col("node").alias("cell"), F.col("end").alias("cell_end"), (F.col("tag") == "th").alias("is_head"), text_of().alias("text"), "lines", "loud"
-    )
+        page, F.col("parent").alias("tr"), F.col("node").alias("cell"), F.col("end").alias("cell_end"), (F.col("tag") == "th").alias("is_head"), text_of().alias("text"),
+        F.array_join("lines", "; ").alias("listed"), F.array_join("loud", " ").alias("loud"),
+    ).withColumns({c: F.nullif(c, "text") for c in ("listed", "loud")})
     col = F.row_number().over(Window.partitionBy(page, "tr").orderBy("cell")) - 1
     return rows.join(cells, [page, "tr"]).withColumn("col", col).drop("tr")
 
@@ -401,7 +406,7 @@ def mapped_rows(cells: DataFrame, columns: dict[str, str], last_wins: bool, page
     pick = F.max if last_wins else F.min
     at = heads.select(page, "table_node", "col", F.explode(meaning).alias("key")).groupBy(page, "table_node", "key").agg(pick("col").alias("col"))
     body = cells.where("row > 0").join(at, [page, "table_node", "col"])
-    value = lambda k: F.max(F.when(F.col("key") == k, F.struct("text", "lines", "loud", "cell", "cell_end"))).alias(k)
+    value = lambda k: F.max(F.when(F.col("key") == k, F.struct("text", "listed", "loud", "cell", "cell_end"))).alias(k)
     return body.groupBy(page, "table_node", "row").agg(*[value(k) for k in columns]).where("name is not null")
 
 
@@ -409,8 +414,8 @@ def table_people(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     """People of tables; of equal headers the last counts. Their profile is the first absolute link of the name's cell."""
     rows = mapped_rows(table_cells(nodes, page), PERSON_COLUMNS, True, page).where(tx.looks_like_name(F.col("name.text")))
     empty = F.array().cast("array<string>")
-    areas, _ = split_areas(F.when(F.col("research").isNull(), empty).otherwise(F.array(F.array_join("research.lines", "; "))))
-    found = em.find_emails(F.array_join("email.loud", " "))
+    areas, _ = split_areas(F.when(F.col("research").isNull(), empty).otherwise(F.array(F.coalesce("research.listed", "research.text"))))
+    found = em.find_emails(F.coalesce("email.loud", "email.text"))
     text = lambda c: F.coalesce(F.col(c)["text"], F.lit(""))
     people = rows.select(
         page, "table_node", "row", tx.display_name(text("name")).alias("name"), text("title").alias("title"),

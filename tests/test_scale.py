@@ -95,6 +95,18 @@ def test_tokens_read_pages_once(spark):
     assert got == [(1, "h", 1, "Jane", None), (2, "h", 6, "Focus", None), (3, "p", 0, "Soils x", None), (4, "row", 0, "a | b", ["a", "", "b"])]
 
 
+def test_cells_move_their_text_once(spark):
+    html = (
+        "<table><tr><th>Name</th><th>Title</th><th>E-mail</th><th>Research</th></tr><tr><td>Doe, Jane</td><td>Professor</td><td><nav>x@ex.org</nav>jdoe@ex.org</td><td><p>peat</p><p>soil water</p></td></tr>"
+        "<tr><td>Roe, Ann</td><td>Lecturer</td><td>aroe@ex.org</td><td>lakes</td></tr></table>"
+    )
+    nodes = ht.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    cells = {r["text"]: (r["listed"], r["loud"]) for r in ex.table_cells(nodes).collect()}
+    assert cells["lakes"] == (None, None) and cells["peat soil water"] == ("peat; soil water", None) and cells["x@ex.org jdoe@ex.org"][1] == "jdoe@ex.org"
+    people = {r["name"]: (r["email"], r["specialty"]) for r in ex.table_people(nodes).collect()}
+    assert people == {"Jane Doe": ("jdoe@ex.org", ["peat", "soil water"]), "Ann Roe": ("aroe@ex.org", ["lakes"])}
+
+
 def test_sections_read_pages_once(spark):
     html = "<body><main><h1>Jane</h1><p>a</p><h2>Focus</h2><p>b</p></main></body>"
     found = ex.section_lines(ex.page_sections(ex.page_tokens(ht.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))))

@@ -481,26 +481,31 @@ def vcard_cards(nodes: DataFrame, links: DataFrame, names: DataFrame, domain: st
 
 
 def repeated_cards(nodes: DataFrame, links: DataFrame, names: DataFrame, domain: str, page: str = "page_id") -> DataFrame:
-    """Repeated sibling cards: of all parents with five or more like children, most of them named, the one with most."""
+    """Repeated sibling cards: of all parents with five or more like children, most of them named, the one with most.
+
+    Cards are chosen by their first lines and their length; their texts join the chosen ones alone.
+    """
     bad = ["script", "style", "select", "nav", "footer", "head", "table", "thead", "tr"]
-    kids = nodes.where(~F.col("tag").isin("script", "style", "nav", "footer") & ~F.col("aside")).select(page, "parent", "tag", F.col("node").alias("card"), F.col("end").alias("card_end"))
+    long = F.length(F.array_join("lines", " ")) > 1500
+    kids = nodes.where(~F.col("tag").isin("script", "style", "nav", "footer") & ~F.col("aside")).select(
+        page, "parent", "tag", F.col("node").alias("card"), F.col("end").alias("card_end"), long.alias("long"), F.slice("lines", 1, 4).alias("leading")
+    )
     parents = nodes.where(~F.col("tag").isin(bad)).select(page, F.col("node").alias("parent"))
     sizes = kids.groupBy(page, "parent", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("card").alias("f"))
     group = sizes.groupBy(page, "parent").agg(F.max_by(F.struct("tag", "n"), F.struct("n", -F.col("f"))).alias("g")).select(page, "parent", "g.tag", "g.n").where("n >= 5")
     kids = kids.join(group.join(parents, [page, "parent"]), [page, "parent", "tag"])
-    texts = nodes.select(page, F.col("node").alias("card"), "lines", "loud")
-    cards = kids.join(texts, [page, "card"])
-    long = F.length(F.array_join("lines", " ")) > 1500
     before = Window.partitionBy(page, "parent").orderBy("card").rowsBetween(Window.unboundedPreceding, 0)
-    cards = written(cards.withColumn("__cut", F.max(long.cast("int")).over(before)).where("__cut = 0").drop("__cut"), "cards")
-    leading = F.filter(F.transform(F.slice("lines", 1, 4), tx.squash), tx.looks_like_name)
-    fallback = cards.select(page, "card", tx.display_name(F.get(leading, F.lit(0))).alias("line_name"))
-    named = cards.join(_named_in(cards, names, page, CARD_NAMES, 3), [page, "card"], "left").join(fallback, [page, "card"])
+    cards = kids.withColumn("__cut", F.max(F.col("long").cast("int")).over(before)).where("__cut = 0")
+    leading = F.filter(F.transform("leading", tx.squash), tx.looks_like_name)
+    cards = written(cards.withColumn("line_name", tx.display_name(F.get(leading, F.lit(0)))).drop("__cut", "long", "leading"), "cards")
+    named = cards.join(_named_in(cards, names, page, CARD_NAMES, 3), [page, "card"], "left")
     named = named.withColumn("name", F.coalesce("name", F.nullif("line_name", F.lit("")))).where("name is not null").withColumn("ord", F.col("card"))
     named = written(_first_of_name(named.drop("line_name"), [page, "parent"]), "named-cards")
     found = named.groupBy(page, "parent", "n").agg(F.count(F.lit(1)).alias("m")).where((F.col("m") >= 5) & (F.col("m") >= F.col("n") * 0.6))
     best = found.groupBy(page).agg(F.max_by("parent", F.struct("m", -F.col("parent"))).alias("parent"))
-    rows = named.join(best, [page, "parent"]).join(_profile_links(named, links, page, domain), [page, "card"], "left")
+    texts = nodes.select(page, F.col("node").alias("card"), "lines", "loud")
+    chosen = written(named.join(best, [page, "parent"]), "chosen-cards")
+    rows = chosen.join(texts, [page, "card"]).join(_profile_links(chosen, links, page, domain), [page, "card"], "left")
     rows = rows.withColumns({"profile_url": F.coalesce("profile_url", F.lit("")), "given": F.expr(_NONE), "areas": F.expr(_NONE)})
     return _without_surname(rows).select(page, *_CARD)
 

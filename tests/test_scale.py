@@ -151,3 +151,15 @@ def test_addresses_leave_small_plans(spark):
     picked = frame.select(em.pick_email(F.col("emails"), F.col("name"), "ex.org").alias("p"), em.email_matches(F.get("emails", F.lit(1)), F.col("name")).alias("m"))
     assert plan_size(picked) < 120_000  # 169,000 before
     assert tuple(picked.first()) == ("jdoe@ex.org", True)
+
+
+def test_cards_join_their_texts_last(spark, monkeypatch):
+    """Of all like children only the first lines move; the texts join the cards of the parent that was chosen."""
+    seen = {}
+    monkeypatch.setattr(ex, "written", lambda df, label: (seen.update({label: df.columns}), written(df, label))[1])
+    item = '<li><a href="/p/{0}">Jane {1}</a><p>Professor of Soils</p><p>j{0}@ex.org</p></li>'
+    html = "<body><ul>" + "".join(item.format(i, n) for i, n in enumerate(["Doe", "Roe", "Lee", "Poe", "Zoe"])) + "</ul><div>" + "<p>word</p>" * 9 + "</div></body>"
+    pages = spark.createDataFrame([(1, "https://u.ex.org/list", html)], "page_id long, url string, html string")
+    rows = sorted((r["name"], r["title"], r["email"], r["profile_url"]) for r in ex.card_people(ht.page_nodes(pages), pages, "ex.org").collect())
+    assert rows == sorted((f"Jane {n}", "Professor of Soils", f"j{i}@ex.org", f"https://u.ex.org/p/{i}") for i, n in enumerate(["Doe", "Roe", "Lee", "Poe", "Zoe"]))
+    assert "lines" not in seen["cards"] + seen["named-cards"]  # all of them moved twice before

@@ -72,8 +72,9 @@ LINK_NOISE = "prospective|apply|admission|alumni|undergrad|how to|handbook|resou
 PHONE = r"\d{3}[-.)\s]\d{3,4}"
 
 
-def text_of() -> Column:
-    return tx.squash(F.array_join("lines", " "))
+def text_of(lines: str = "lines") -> Column:
+    """The text of an element; its pieces were squashed when they were read."""
+    return F.coalesce(F.array_join(lines, " "), F.lit(""))
 
 
 def _ident() -> Column:
@@ -126,7 +127,7 @@ def page_tokens(nodes: DataFrame, page: str = "page_id", mode: str = "strict") -
     leaf_like = tag.isin(TEXT_TAGS) & ~F.arrays_overlap("children", F.lit(BLOCK_TAGS)) & ~F.arrays_overlap("inner", F.lit(["ul", "ol", "li", "table"]))
     strong, cell = tag.isin("strong", "b"), tag.isin("td", "th")
     shown = F.when(heading | knob_like | leaf_like | strong | cell, text_of())
-    own = F.when(tag == "li", tx.squash(F.array_join("own", " ")))
+    own = F.when(tag == "li", text_of("own"))
     cut = nodes.select(
         page, "node", "end", "parent", "tag", _root_rank(mode).alias("rank"), is_chrome(mode).alias("chrome"), heading.alias("heading"), knob_like.alias("knob_like"), leaf_like.alias("leaf"),
         F.arrays_overlap("inner", F.lit(["ul", "ol"])).alias("lists"), strong.alias("strong"), cell.alias("cell"), shown.alias("text"), own.alias("own"),

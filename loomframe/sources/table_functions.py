@@ -50,12 +50,13 @@ class HtmlTableCells:
 
     def eval(self, html: str) -> Iterator[tuple]:
         page = read_page(html)
-        parent = {row["node"]: row for row in page.rows}
+        rows = page.rows
+        parent = {row["node"]: row for row in rows}
         tables: dict[int, int] = {}
         lines: dict[int, tuple[int, int]] = {}
         rows_of: dict[int, int] = {}
         cols_of: dict[int, int] = {}
-        for row in page.rows:
+        for row in rows:
             if row["tag"] == "table":
                 tables[row["node"]] = len(tables)
             elif row["tag"] == "tr":

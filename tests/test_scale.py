@@ -1,5 +1,7 @@
 """Work that grows with the input only: rows that joins make, elements that lambdas compare, plans that drivers hold."""
 
+import cProfile
+import pstats
 import time
 
 from pyspark.sql import functions as F
@@ -163,3 +165,58 @@ def test_cards_join_their_texts_last(spark, monkeypatch):
     rows = sorted((r["name"], r["title"], r["email"], r["profile_url"]) for r in ex.card_people(ht.page_nodes(pages), pages, "ex.org").collect())
     assert rows == sorted((f"Jane {n}", "Professor of Soils", f"j{i}@ex.org", f"https://u.ex.org/p/{i}") for i, n in enumerate(["Doe", "Roe", "Lee", "Poe", "Zoe"]))
     assert "lines" not in seen["cards"] + seen["named-cards"]  # all of them moved twice before
+
+
+CARDS = "<body>" + "<div class='c'><p>Jane <b>Doe</b></p><ul><li><a href='/p'>x</a></li></ul></div>" * 2000 + "</body>"
+
+
+def test_reading_is_a_few_calls_an_element():
+    profile = cProfile.Profile()
+    profile.enable()
+    page = ht.read_page(CARDS)
+    profile.disable()
+    assert len(page.rows) == 12_001
+    assert pstats.Stats(profile).total_calls < 60 * 12_001  # 80 calls an element before
+
+
+def test_plain_tags_are_read_as_others():
+    """Tags without attributes take a short way; their case, raw text, lists, roles and text around them come out alike."""
+    plain = "<HTML><Body><nav><ul><li>a<li>b</UL></nav><script>var t = '</p><p>';</script><title>x &lt;b></title><p>c\xa0 d<p>e<textarea>f</textarea></p ><br>g</body></html>"
+    marked = plain.replace("<li>", "<li x>").replace("<p>", "<p x>").replace("<ul>", "<ul x>").replace("<nav>", "<nav x>").replace("<Body>", "<Body x>").replace("'</p><p x>'", "'</p><p>'")
+    rows, others = ht.read_page(plain), ht.read_page(marked)
+    assert rows.pieces == others.pieces == [("a", True, 4), ("b", True, 5), ("x <b>", False, -1), ("c d", False, -1), ("e", False, -1), ("f", False, -1), ("g", False, -1)]
+    assert [r | {"attrs": {}} for r in rows.rows] == [r | {"attrs": {}} for r in others.rows]
+    told = [(r["tag"], r["parent"], r["depth"], r["end"], r["aside"], r["above"], list(r["children"]), list(r["inner"])) for r in rows.rows]
+    assert told[:5] == [
+        ("html", -1, 0, 11, False, [], ["body"], ["body", "br", "li", "nav", "p", "script", "textarea", "title", "ul"]),
+        ("body", 0, 1, 11, False, [], ["br", "nav", "p", "script", "title"], ["br", "li", "nav", "p", "script", "textarea", "title", "ul"]),
+        ("nav", 1, 2, 5, False, [], ["ul"], ["li", "ul"]), ("ul", 2, 3, 5, True, [2], ["li"], ["li"]), ("li", 3, 4, 4, True, [3, 2], [], []),
+    ]
+
+
+def test_long_pages_are_read_in_parts(spark):
+    """Each element's row held the text of its whole page until it was cut: 4,000 elements of a 0.7 MB page filled a heap of 2 GB."""
+    item = "<p><a href='/{0}'>{0}</a> " + "word " * 30 + "</p>"
+    html = "<html><body><article><h1>Jane</h1>" + "".join(item.format(i) for i in range(1500)) + "</article></body></html>"
+    pages = spark.createDataFrame([(1, "https://u.ex.org/", html)], "page_id long, url string, html string")
+    parsed = written(ht.parse_pages(pages), "test-parsed")
+    sizes = parsed.agg(F.sum(F.size("elements")), F.sum(F.size("elements") * F.size("pieces")), F.sum(F.size("pieces"))).first()
+    assert sizes[0] == 3_004 and sizes[1] < 200 * 3_004 and sizes[2] < 3 * 3_001  # 3,001 pieces beside each element before
+    nodes = ht.nodes_of(parsed)
+    links = ex.page_links(nodes, pages).orderBy("node").collect()
+    assert [(r["url"], r["text"]) for r in links] == [(f"https://u.ex.org/{i}", str(i)) for i in range(1500)]
+    tokens = ex.page_tokens(nodes).orderBy("tok").collect()
+    assert tokens[0]["text"] == "Jane" and [r["text"] for r in tokens[1:]] == [f"{i} " + " ".join(["word"] * 30) for i in range(1500)]
+    assert nodes.where("tag = 'article'").first()["lines"] == ["Jane"] + [x for i in range(1500) for x in (str(i), " ".join(["word"] * 30))]
+    [whole] = ht.page_text(pages).collect()
+    assert whole["text"].count("\n") == 3_000
+
+
+def test_parts_of_deep_and_empty_elements_are_few():
+    for html, n in (("<b>x" * 5000, 5000), ("<p>" + "word " * 999 + "<br>" * 20_000, 20_001), ("<ul>" + "<li>a<p>b</p><br>" * 3000, 9_001)):
+        page = ht.read_page(html)
+        want = [(r["node"], page.pieces[r["low"] : r["high"]]) for r in page.rows]
+        parts = list(ht._parts(page))
+        got = sorted((r["node"], p.pieces[r["low"] : r["high"]]) for p in parts for r in p.rows)
+        assert len(got) == n and got == want
+        assert sum(len(p.pieces) for p in parts) < 4 * n

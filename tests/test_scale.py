@@ -3,6 +3,7 @@
 import cProfile
 import pstats
 import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -179,6 +180,16 @@ def test_reading_is_a_few_calls_an_element():
     assert pstats.Stats(profile).total_calls < 60 * 12_001  # 80 calls an element before
 
 
+def test_reading_holds_little_an_element():
+    ht._arrow_pages([ht.read_page("<p>x</p>")])  # imports
+    tracemalloc.start()
+    page = ht.read_page(CARDS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(page.pieces) == 6_000
+    assert peak < 1_100 * 12_001  # 1,363 bytes an element before
+
+
 def test_plain_tags_are_read_as_others():
     """Tags without attributes take a short way; their case, raw text, lists, roles and text around them come out alike."""
     plain = "<HTML><Body><nav><ul><li>a<li>b</UL></nav><script>var t = '</p><p>';</script><title>x &lt;b></title><p>c\xa0 d<p>e<textarea>f</textarea></p ><br>g</body></html>"

@@ -231,3 +231,14 @@ def test_parts_of_deep_and_empty_elements_are_few():
         got = sorted((r["node"], p.pieces[r["low"] : r["high"]]) for p in parts for r in p.rows)
         assert len(got) == n and got == want
         assert sum(len(p.pieces) for p in parts) < 4 * n
+
+
+def test_profiles_of_long_pages_are_read_in_frames(spark):
+    """A page's elements were one row of one frame, however many; parts keep frames small, and a profile is put together over all of them."""
+    html = "<html><body><main><h1>Jane Doe</h1><p>Professor of Soils</p><ul>" + "<li>a <b>b</b></li>" * 4000 + "</ul><p>jdoe@ex.org</p><h2>Research</h2><ul><li>peat; soil water</li></ul></main></body></html>"
+    pages = spark.createDataFrame([(1, "https://u.ex.org/p/1", html)], "page_id long, url string, html string")
+    parsed = written(ht.parse_pages(pages), "test-parsed")
+    most, n = parsed.agg(F.max(F.size("elements")), F.sum(F.size("elements"))).first()
+    assert n == 8_010 and most <= 256  # 8,010 in a row before
+    [r] = ex.parse_profiles(ht.nodes_of(parsed), pages, "ex.org").collect()
+    assert (r["name"], r["title"], r["email"], r["research_areas"]) == ("Jane Doe", "Professor of Soils", "jdoe@ex.org", ["peat", "soil water"])

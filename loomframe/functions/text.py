@@ -277,6 +277,11 @@ def unescape(col: Column) -> Column:
     return let(F.coalesce(col, F.lit("")), resolved)
 
 
+def known_references(html: Column, known: str) -> Column:
+    """HTML in which only the references that ``known`` names (regex alternatives, after the &) count; all others read as they are written."""
+    return F.regexp_replace(html, f"&(?!{known})", "&amp;")
+
+
 def uid(*parts: Column) -> Column:
     """The first 12 hex digits of the SHA-1 of the parts, joined by bars."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 12)

@@ -168,6 +168,22 @@ def test_cards_join_their_texts_last(spark, monkeypatch):
     assert "lines" not in seen["cards"] + seen["named-cards"]  # all of them moved twice before
 
 
+def test_listings_leave_small_plans(spark, monkeypatch):
+    """Links of both modes are worked out at once, and a plan holds the tables of folding once: it held them up to six times, twice as often with its changes."""
+    seen = []
+    monkeypatch.setattr(ex, "written", lambda df, label: (seen.append((label, plan_size(df))), written(df, label))[1])
+    card = '<div><h3><a href="/people/p{0}">{1}</a></h3><p>{1}, PhD</p><p>Professor of Soils</p><p>p{0}@ex.org</p></div>'
+    html = "<html><body><main>" + "".join(card.format(i, n) for i, n in enumerate(["Jane Doe", "Ann Roe", "Bo Lee", "Éva Poe", "Ida Zoe", "ÉVA POE"])) + "</main></body></html>"
+    pages = spark.createDataFrame([(1, "https://u.ex.org/list", html)], "page_id long, url string, html string")
+    nodes = ht.nodes_of(written(ht.parse_pages(pages), "test-parsed"))
+    rows = ex.listing_people(nodes, pages, "ex.org").collect()
+    assert sorted((r["name"], r["title"], r["email"], r["profile_url"][-2:], list(r["lines"])) for r in rows) == sorted(
+        (n, "Professor of Soils", f"p{i}@ex.org", f"p{i}", ["Professor of Soils", f"p{i}@ex.org"]) for i, n in enumerate(["Jane Doe", "Ann Roe", "Bo Lee", "Éva Poe", "Ida Zoe"])
+    )
+    assert [label for label, _ in seen].count("candidates") == 1 and [label for label, _ in seen].count("method-cards") == 3  # 2 and 4 before
+    assert max(size for label, size in seen if label != "listed") < 60_000  # listed: its fields are read in a step without a shuffle
+
+
 CARDS = "<body>" + "<div class='c'><p>Jane <b>Doe</b></p><ul><li><a href='/p'>x</a></li></ul></div>" * 2000 + "</body>"
 
 
